@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.llm import decontam, packing, tokens
+from sheaf.llm import decontam, neardup, packing, tokens
 
 QUERIES: dict[str, Callable] = {
     "op3_token_ids": tokens.op3,
     "op5_packing": packing.op5,
+    "op7_near_duplicates": neardup.op7,
     "op9_decontamination": decontam.op9,
 }
 
