@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.llm import decontam, langid, neardup, packing, quality, tokens
+from sheaf.llm import archive, decontam, fingerprints, langid, neardup, packing, quality, tokens
 
 QUERIES: dict[str, Callable] = {
+    "op1_fingerprints": fingerprints.op1,
     "op3_token_ids": tokens.op3,
     "op5_packing": packing.op5,
     "op6_language_id": langid.op6,
     "op7_near_duplicates": neardup.op7,
+    "op8_warc": archive.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality": quality.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc": archive.ORACLE,
+}
