@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.llm import archive, decontam, fingerprints, langid, neardup, packing, quality, secrets, tokens
+from sheaf.llm import archive, decontam, fingerprints, langid, licenses, neardup, packing, quality, secrets, tokens
 
 QUERIES: dict[str, Callable] = {
     "op1_fingerprints": fingerprints.op1,
     "op3_token_ids": tokens.op3,
+    "op2_licenses": licenses.op2,
     "op4_secrets": secrets.op4,
     "op5_packing": packing.op5,
     "op6_language_id": langid.op6,
