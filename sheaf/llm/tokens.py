@@ -9,6 +9,7 @@ Ids stand in ascending ``doc_id`` order, within a file and over the files by num
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import CACHE_ENTRIES, materialize, shared_dir, text_of
+from sheaf.llm.common import materialize, shared_dir, text_of
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -34,16 +35,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Units that an encoder keeps before it starts anew.
+UNITS = 800_000
+#: Marks, in a cut text, a unit without a space before it.
+MARK = "\x01"
+
+
 class _Units(dict):
-    """unit -> number; a new unit is noted as pending."""
+    """unit -> number; a new unit is noted as pending.
 
-    def __init__(self, owner: Encoder, lead: str):
-        self.owner, self.lead = owner, lead
+    ``first`` units begin a text; the others have a space before them unless marked.
+    """
+
+    def __init__(self, owner: Encoder, first: bool):
+        self.owner, self.first = owner, first
 
     def __missing__(self, unit: str) -> int:
-        number = self[unit] = self.owner.note(self.lead + unit)
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            self.owner.dirty.add(number)
+        number = self[unit] = self.owner.note(unit, self.first)
         if len(unit) > 48:
             self.owner.long_units.append((self, unit))
         return number
@@ -52,11 +60,14 @@ class _Units(dict):
 class Encoder:
     """Encodes whole texts with a byte-level BPE tokenizer, end id appended, through a bounded unit cache.
 
-    The tokenizer's pre-tokenizer never joins two words over a single space between two
-    characters that are no white space: the space goes with what follows it.  So a text cut
-    before each such space has the ids of its units one after another, and a unit seen before
-    needs no second encoding.  A text with any other white space next to a space is encoded
-    whole.  Units are encoded by the tokenizers library itself.
+    The pre-tokenizer's pattern never joins what stands on the two sides of these places: before
+    a single space between characters that are no white space; before a full stop or comma that
+    follows a letter or number; around a single line feed between characters that are no white
+    space.  So a text cut there has the ids of its units one after another, and a unit seen
+    before needs no second encoding.  Any other white space, or a stop or comma after other
+    characters, makes the whole text be encoded at once.  All encoding is done by the tokenizers
+    library: new units go there together, a line feed between them.  With other kinds of
+    pre-tokenizers every text is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -64,75 +75,120 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        pre = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        feed = self._encode_raw(["\n"])[0]
+        self.by_units = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 1 and self.tokenizer.normalizer is None
+        self.feed = feed[0] if feed else -1
         self.reset()
 
     def reset(self) -> None:
-        self.first, self.inner = _Units(self, ""), _Units(self, " ")
-        self.dirty: set[int] = set()
+        self.first, self.inner = _Units(self, True), _Units(self, False)
         self.long_units: list[tuple[_Units, str]] = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used, self.count, self.pending = 0, 0, []
-
-    def note(self, text: str) -> int:
-        self.pending.append(text)
+        # per unit: 1 its text must be encoded whole; 2 it must follow a letter or number; 4 it ends with one
+        self.flags = np.zeros(1 << 14, np.uint8)
+        self.used, self.count = 0, 0
+        self.pending: list[str] = []
+        self.kinds: list[int] = []
+        self.pending.append("")
+        self.kinds.append(0)
+        self._flush()
+        self.flat[0], self.lens[0], self.used = self.end_id, 1, 1  # unit 0: the end id
+
+    def note(self, unit: str, first: bool) -> int:
+        marked = unit[:1] == MARK
+        text = unit[1:] if marked else unit
+        if not text or marked and first:
+            kind = 1
+        elif text == "\n" and marked:
+            kind = 0
+        else:
+            kind = (text[0].isspace() or text[-1].isspace()) | (marked and text[0] in ".,") << 1 | text[-1].isalnum() << 2
+        self.pending.append(text if marked or first else " " + text)
+        self.kinds.append(kind)
         return self.count + len(self.pending) - 1
 
     def _encode_raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in turn, and how many each has."""
+        ids = np.array(self._encode_raw(["\n".join(units)])[0], np.uint32)
+        edges = np.flatnonzero(ids == self.feed)
+        if len(edges) == len(units) - 1:
+            lens = np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1
+            return np.delete(ids, edges), lens
+        coded = self._encode_raw(units)
+        lens = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum())), lens
+
     def _flush(self) -> None:
+        """Encode the pending units; the lone ones are those that can't be joined with others."""
         if not self.pending:
             return
-        coded = self._encode_raw(self.pending)
-        lens = np.fromiter(map(len, coded), np.int64, len(coded))
-        total, n = int(lens.sum()), len(coded)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        kinds = np.array(self.kinds, np.uint8)
+        n = len(kinds)
         while self.count + n > len(self.starts):
-            self.starts, self.lens = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.starts, self.lens))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
-        self.starts[self.count : self.count + n] = self.used + np.cumsum(lens) - lens
-        self.lens[self.count : self.count + n] = lens
-        self.used, self.count, self.pending = self.used + total, self.count + n, []
+            self.starts, self.lens, self.flags = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens, self.flags))
+        self.flags[self.count : self.count + n] = kinds
+        joined = [i for i, (text, kind) in enumerate(zip(self.pending, self.kinds, strict=True)) if not kind & 1 and "\n" not in text and text]
+        parts = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
+        alone = [[i] for i, (text, kind) in enumerate(zip(self.pending, self.kinds, strict=True)) if not kind & 1 and "\n" in text]
+        for part in parts + alone:
+            if len(part) > 1:
+                ids, lens = self._encode_units([self.pending[i] for i in part])
+            else:
+                ids = np.array(self._encode_raw([self.pending[part[0]]])[0], np.uint32)
+                lens = np.array([len(ids)])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            at = self.count + np.array(part)
+            self.starts[at] = self.used + np.cumsum(lens) - lens
+            self.lens[at] = lens
+            self.used += len(ids)
+        self.count, self.pending, self.kinds = self.count + n, [], []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of the texts in them (one more than texts)."""
-        if self.count > CACHE_ENTRIES or self.used > 16 * CACHE_ENTRIES:
+        if not self.by_units:
+            return self._joined([np.array([*ids, self.end_id], np.uint32) for ids in self._encode_raw(texts)])
+        if self.count > UNITS or self.used > 16 * UNITS:
             self.reset()
-        if not self.count:
-            self.note("")
-            self._flush()  # unit 0: no ids; stands for the end id
-        numbers, sizes = [], []
-        for text in texts:
-            parts = text.split(" ")
-            numbers.append(self.first[parts[0]] if text else 0)
-            numbers += map(self.inner.__getitem__, parts[1:])
-            sizes.append(len(parts))
+        numbers, ends, whole = [], [], []
+        inner = self.inner.__getitem__
+        for i, text in enumerate(texts):
+            if MARK in text:
+                whole.append(i)
+            elif text:
+                parts = text.replace(".", " \x01.").replace(",", " \x01,").replace("\n", " \x01\n \x01").split(" ")
+                numbers.append(self.first[parts[0]])
+                numbers += map(inner, parts[1:])
+            numbers.append(0)
+            ends.append(len(numbers))
         self._flush()
-        units = np.array(numbers, np.int64)
-        sizes = np.array(sizes, np.int64)
+        units, ends = np.array(numbers, np.int64), np.array(ends, np.int64)
         lens = self.lens[units]
         edges = np.concatenate([[0], np.cumsum(lens)])
-        flat = np.arange(edges[-1]) + np.repeat(self.starts[units] - edges[:-1], lens)
-        ids = self.flat[flat]
-        last = np.cumsum(sizes)
-        ends = edges[last]  # of each text in ids
-        out = np.insert(ids, ends, self.end_id).astype(np.uint32, copy=False)
-        offsets = np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
-        if self.dirty and (bad := np.flatnonzero(np.isin(units, np.fromiter(self.dirty, np.int64)))).size:
-            odd = [i for i in np.unique(np.searchsorted(last, bad, "right")).tolist() if texts[i]]
-            if odd:
-                whole = self._encode_raw([texts[i] for i in odd])
-                parts = [out[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-                for i, ids_i in zip(odd, whole, strict=True):
-                    parts[i] = np.array([*ids_i, self.end_id], np.uint32)
-                out = np.concatenate(parts)
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        ids = self.flat[np.arange(edges[-1]) + np.repeat(self.starts[units] - edges[:-1], lens)]
+        offsets = np.concatenate([[0], edges[ends]])
+        flags = self.flags[units]
+        bad = np.flatnonzero((flags & 1).astype(bool) | (flags & 2).astype(bool) & ~np.concatenate([[False], (flags[:-1] & 4).astype(bool)]))
+        whole = sorted({*whole, *np.searchsorted(ends, bad, "right").tolist()})
+        if whole:
+            parts = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            for i, own in zip(whole, self._encode_raw([texts[i] for i in whole]), strict=True):
+                parts[i] = np.array([*own, self.end_id], np.uint32)
+            ids, offsets = self._joined(parts)
         for cache, unit in self.long_units:
             cache.pop(unit, None)
         self.long_units = []
-        return out, offsets
+        return ids, offsets
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
