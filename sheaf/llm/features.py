@@ -55,8 +55,11 @@ class TokenTable(dict):
             self.long.append(token)
         return number
 
-    def lookup(self, tokens: list[str]) -> np.ndarray:
-        """The rows of the tokens; the cache is emptied first if it has grown past its bound."""
+    def lookup(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the tokens, and numbers that are equal for equal tokens.
+
+        The cache is emptied first if it has grown past its bound.
+        """
         if self.count > CACHE_ENTRIES:
             self.reset()
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
@@ -71,4 +74,4 @@ class TokenTable(dict):
         for token in self.long:
             self.pop(token, None)
         self.long = []
-        return self.rows[at]
+        return self.rows[at], at

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm.common import held_out, text_of
 from sheaf.llm.features import TokenTable, ngrams
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
             for _, texts in slices(iter([batch]), SLICE_CHARS):
                 parts = [t.split() for t in texts]
                 lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-                rows = table.lookup([w for p in parts for w in p])
+                rows, _ = table.lookup([w for p in parts for w in p])
                 labels = viterbi(rows[:, :width], lengths, penalty) if width else np.zeros(len(rows), np.uint8)
                 letters, fits = rows[:, width], rows[:, width + 1]
                 owner = np.repeat(np.arange(len(parts)), lengths)
@@ -225,8 +226,10 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = text_of(docs, *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
-    schema = f"doc_id long, {kept + ', ' if kept else ''}lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
+    kept = [f for f in source.schema.fields if f.name in keep]
+    schema = T.StructType([source.schema["doc_id"], *kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if spans:
+        schema = schema.add("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))
     return source.mapInArrow(run, schema)
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: learned vectors of hashed words and character n-grams.
 
-A document is the mean of the vectors of its tokens and their n-grams; a linear layer with
-softmax gives the classes.  Vectors and layer are trained by stochastic gradient descent in
+A document is the mean of the vectors of its tokens, their character n-grams, and of one word
+bigram: a token that repeats the one before it.  A linear layer with softmax gives the classes.  Vectors and layer are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows.  As the model is linear in the mean, a token's
 part in the score is one number, which workers keep per token.
 """
@@ -25,6 +25,8 @@ TRAIN_ROWS = 1500
 BITS, SIZES, DIM = 17, (1, 2, 3), 8
 EPOCHS, RATE = 8, 0.4
 CUT = 0.3
+#: The bigram of a repeated token has a bucket of its own and counts as this many features.
+REPEAT, REPEAT_WEIGHT = 1 << BITS, 8
 
 
 class Model:
@@ -46,7 +48,7 @@ def _sigmoid(x):
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: tuple[int, int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
     """Train on (label, distinct buckets, counts).  ``prior``: rows with label 0 and 1 in all of the training data."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << BITS) + 1, dim)).astype(np.float32)
     layer = np.zeros((dim, 2), np.float32)
     bags = [b for b in bags if len(b[1])]
     steps, done = max(1, epochs * len(bags)), 0
@@ -86,9 +88,12 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS,
         for batch in batches:
             ids, values = [], []
             for text in batch.column("text"):
-                words = Counter(text.as_py().split())
+                tokens = text.as_py().split()
+                words = Counter(tokens)
                 buckets, owners = ngrams([w.encode("utf-8", "surrogatepass") for w in words], SIZES, BITS) if words else (np.zeros(0, np.int64),) * 2
-                totals = np.bincount(buckets, np.fromiter(words.values(), np.float64, len(words))[owners], 1 << BITS) if words else np.zeros(0)
+                totals = np.bincount(buckets, np.fromiter(words.values(), np.float64, len(words))[owners], REPEAT + 1) if words else np.zeros(0)
+                if words:
+                    totals[REPEAT] = REPEAT_WEIGHT * sum(a == b for a, b in zip(tokens, tokens[1:]))
                 at = np.flatnonzero(totals)
                 ids.append(at.astype(np.int32).tobytes())
                 values.append(totals[at].astype(np.float32).tobytes())
@@ -127,9 +132,11 @@ def predict(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             for _, texts in slices(iter([batch])):
                 parts = [t.split() for t in texts]
                 lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-                rows = table.lookup([w for p in parts for w in p])
+                rows, same = table.lookup([w for p in parts for w in p])
                 owner = np.repeat(np.arange(len(parts)), lengths)
                 total, n = (np.bincount(owner, rows[:, i], len(parts)) for i in (0, 1))
+                again = REPEAT_WEIGHT * np.bincount(owner[1:][(same[1:] == same[:-1]) & (owner[1:] == owner[:-1])], minlength=len(parts))
+                total, n = total + again * float(model.weights[REPEAT]), n + again
                 scores += np.where(n > 0, _sigmoid(total / np.maximum(n, 1) + model.bias), model.empty).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -130,20 +130,20 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["order"] + 1), s["start"], s["stop"])), ",")
 
 
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Add ``base`` and ``spans`` to the documents: arrays of (start, order, stop), sorted.
+def find(docs: DataFrame, reach: int = REACH, base: str = "base", spans: str = "spans") -> DataFrame:
+    """Add the columns ``base`` and ``spans`` to the documents: arrays of (start, order, stop), sorted.
 
     ``order`` counts in KINDS; ``spans`` holds base and linked spans.  Places are code points,
     the stop exclusive.  A null text has none.  Every row is judged by itself, so repeated
-    rows, null ids and other columns make no difference.  A text with as many parts as it has
+    rows, null ids and other columns make no difference (columns of the two names are replaced).  A text with as many parts as it has
     words takes time in proportion to their number squared over the fixed size of a span.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # weak parts only matter where a secret may stand: a base span, or a long mixed value
-    may = (F.size("base") > 0) | text.rlike(r"[A-Za-z0-9+/_-]{20}")
-    out = docs.withColumn("base", base_spans(text))
-    linked = F.when(may, weak_spans(text, F.col("base"), reach)).otherwise(_none())
-    return out.withColumn("spans", F.array_sort(F.concat("base", linked)))
+    may = (F.size(base) > 0) | text.rlike(r"[A-Za-z0-9+/_-]{20}")
+    out = docs.withColumn(base, base_spans(text))
+    linked = F.when(may, weak_spans(text, F.col(base), reach)).otherwise(_none())
+    return out.withColumn(spans, F.array_sort(F.concat(F.col(base), linked)))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataFrame:
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
     Linked identifiers and endpoints bear a secret out but stay in the text.  A document
     without secrets is returned as it is.
     """
-    found = find(docs, reach).withColumn("spans", F.filter("spans", lambda s: s["order"].isin(*REDACTED)))
+    found = find(docs, reach, "__base", "__spans").withColumn("__spans", F.filter("__spans", lambda s: s["order"].isin(*REDACTED)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -162,9 +162,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
         out = F.when(covered, state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mark)))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
-    changed = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    columns = [changed.alias(c) if c == "text" else F.when((F.size("spans") > 0) & (F.col("n_chars") == F.char_length("text")), F.char_length(changed)).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    done = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    changed = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
+    columns = [changed.alias(c) if c == "text" else F.when((F.size("__spans") > 0) & (F.col("n_chars") == F.char_length("text")), F.char_length(changed)).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return found.select(*columns)
 
 
