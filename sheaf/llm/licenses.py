@@ -101,17 +101,27 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return at
 
 
-def _votes(words: Column, weights: dict[str, float], templates) -> Column:
-    """Sorted (template, place) that at least LEAST_VOTES places of the file's rarest licence words point to."""
+def _anchors(words: Column, weights: dict[str, float]) -> Column:
+    """The file's licence words with the highest idf, at most ANCHORS."""
     names = sorted(weights, key=lambda w: (-weights[w], w))
     rank = F.create_map(*(x for i, w in enumerate(names) for x in (F.lit(w), F.lit(i))))
-    anchors = F.slice(F.array_sort(F.transform(F.array_intersect(words, _strings(names)), lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word")))), 1, ANCHORS)
-    anchors = F.transform(anchors, lambda a: a["word"])
-    postings = {w: [(t, q) for t, (_, notice, _) in enumerate(templates) for q, x in enumerate(notice.split()) if x == w] for w in names}
-    index = F.create_map(*(x for w in names for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w])))))
+    ranked = F.array_sort(F.transform(F.array_intersect(words, _strings(names)), lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word"))))
+    return F.transform(F.slice(ranked, 1, ANCHORS), lambda a: a["word"])
+
+
+def _votes(words: Column, anchors: Column, templates) -> Column:
+    """(template, place) that each place of an anchor word points to, sorted."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, notice, _) in enumerate(templates):
+        for q, w in enumerate(notice.split()):
+            postings.setdefault(w, []).append((t, q))
+    index = F.create_map(*(x for w, posts in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in posts)))))
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"]))
-    votes = F.array_sort(F.flatten(F.transform(places, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["q"]).alias("at"))))))
-    # the least votes of any template are LEAST_VOTES, of a template with fewer words as many as it has
+    return F.array_sort(F.flatten(F.transform(places, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["q"]).alias("at"))))))
+
+
+def _voted(votes: Column) -> Column:
+    """Of the sorted votes those that LEAST_VOTES places share, once each."""
     return F.array_distinct(F.filter(votes, lambda v, i: F.get(votes, i + LEAST_VOTES - 1) == v))
 
 
@@ -147,7 +157,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
 
     ``score``: 1 with a base phrase, else the largest share of a template's words that stand at
     its place (0 without labels).  A null text has no words.  Rows are judged by themselves, so
-    repeated rows, null ids and other columns make no difference; an empty table gives no rows.
+    repeated rows, null ids and other columns make no difference (columns with the added
+    names are replaced); an empty table gives no rows.
     """
     weights = idf(docs, templates)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -158,7 +169,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
     starts = F.flatten(F.array(*(F.transform(_phrase_starts(words, phrase), labelled(label)) for phrase, label in base)))
-    out = out.withColumn("__base", F.when(words.isNotNull(), starts)).withColumn("__votes", F.when(words.isNotNull(), _votes(words, weights, templates)))
+    out = out.withColumn("__base", F.when(words.isNotNull(), starts)).withColumn("__anchors", F.when(words.isNotNull(), _anchors(words, weights)))
+    # columns of their own, for inside a lambda an expression would be computed for each element
+    out = out.withColumn("__all", F.when(F.size("__anchors") > 0, _votes(words, F.col("__anchors"), templates)))
+    out = out.withColumn("__votes", _voted(F.col("__all")))
     out = out.withColumn("__found", F.when(F.size("__votes") > 0, _matches(words, F.col("__votes"), templates)))
     none = F.expr("cast(array() as array<string>)")
     label = lambda c: F.coalesce(F.transform(F.col(c), lambda m: m["label"]), none)
@@ -175,7 +189,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
             "score": F.when(F.coalesce(F.size("__base"), F.lit(0)) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("__found", lambda m: m["share"])), F.lit(0.0))),
         }
     )
-    return out.drop("__words", "__base", "__votes", "__found")
+    return out.drop("__words", "__base", "__anchors", "__all", "__votes", "__found")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
