@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+from sheaf.plans import retrieval
+
+QUERIES: dict[str, Callable] = {**retrieval.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE}
 FLAGSHIP = "rrf_fusion"
