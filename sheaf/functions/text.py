@@ -144,7 +144,7 @@ def split_numbered_heading(text: Column) -> Column:
     """Two numbered headings run together, as an array of two; otherwise the text alone."""
     parts = F.split(text, r"\s+(?=(?:\d+\.){1,3}\s+[A-Z])", -1)
     numbered = r"^(?:\d+\.){1,3}\s+\S.*$"
-    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: F.trim(p).rlike(numbered)), F.transform(parts, F.trim)).otherwise(F.array(text))
+    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: F.trim(p).rlike(numbered)), F.transform(parts, lambda p: F.trim(p))).otherwise(F.array(text))
 
 
 def strip_page_counter(text: Column) -> Column:
@@ -189,12 +189,12 @@ def citation_labels(answer: Column) -> Column:
 
 def first_seen(values: Column) -> Column:
     """Trimmed, blanks dropped, first occurrences kept in order."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def first_seen_folded(values: Column) -> Column:
     """As first_seen, but letters' case makes no difference."""
-    kept = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     lower = F.transform(kept, F.lower)
     return F.filter(kept, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
 

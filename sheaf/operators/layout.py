@@ -273,18 +273,21 @@ def front_matter_blocks(items: DataFrame, most_pages: int = 2) -> DataFrame:
     """Blocks under front-matter headings, and inline labelled ones: paper_id, block_type, canonical_section, text, page_start, page_end, n_items, block_index.
 
     A heading's block goes to the next heading; texts under availability headings are told
-    apart by what they say.  Blocks of one type and start are one, in order of first place.
+    apart by what they say.  Blocks are in order of their first item.
     """
     inside = items.where(F.col("page").isNotNull() & (F.col("page") <= most_pages))
     order = Window.partitionBy("paper_id").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heading = F.col("label").isin(*HEADINGS)
-    run = inside.withColumn("head", F.last(F.when(heading, F.struct("pos", heading_type(F.col("text")).alias("type"))), ignorenulls=True).over(upto))
+    heading, labelled = F.col("label").isin(*HEADINGS), inline_type(F.col("text"))
+    # an inline label opens a block as a heading does, and its own content belongs to it
+    mark = F.when(heading, F.struct("pos", heading_type(F.col("text")).alias("type"))).when(labelled.isNotNull(), F.struct("pos", labelled.alias("type")))
+    run = inside.withColumn("head", F.last(mark, ignorenulls=True).over(upto))
     body = run.where(~F.col("label").isin(*HEADINGS, *FURNITURE) & (F.length(F.trim("text")) > 0))
-    headed = body.where(F.col("head.type").isNotNull()).select("paper_id", "pos", F.trim("text").alias("text"), "page", F.col("head.pos").alias("start"), F.when(F.col("head.type") == "availability", availability_type(F.col("text"))).otherwise(F.col("head.type")).alias("type"))
+    content = F.when(labelled.isNotNull(), inline_content(F.col("text"))).otherwise(F.trim("text"))
+    headed = body.where(F.col("head.type").isNotNull()).select("paper_id", "pos", content.alias("text"), "page", F.col("head.pos").alias("start"), F.when(F.col("head.type") == "availability", availability_type(F.col("text"))).otherwise(F.col("head.type")).alias("type"))
+    # publication labels elsewhere: all of one type are one block
     free = body.where(F.col("head.type").isNull())
-    kind = F.coalesce(inline_type(F.col("text")), publication_type(F.col("text")))
-    inline = free.select("paper_id", "pos", F.when(inline_type(F.col("text")).isNotNull(), inline_content(F.col("text"))).otherwise(F.trim("text")).alias("text"), "page", F.col("pos").alias("start"), kind.alias("type")).where("type is not null")
+    inline = free.select("paper_id", "pos", F.trim("text").alias("text"), "page", F.lit(-1).alias("start"), publication_type(F.col("text")).alias("type")).where("type is not null")
     rows = headed.unionByName(inline)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
     blocks = rows.groupBy("paper_id", "type", "start").agg(text.alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("n_items"), F.min("pos").alias("first"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.plans import retrieval
+from sheaf.plans import answering, overviews, parsing, retrieval
 
-QUERIES: dict[str, Callable] = {**retrieval.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE}
+_PLANS = (retrieval, answering, overviews, parsing)
+QUERIES: dict[str, Callable] = {name: run for plan in _PLANS for name, run in plan.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
 FLAGSHIP = "rrf_fusion"
