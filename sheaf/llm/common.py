@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +51,38 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_HOLDER: list = [None]
+
+
+def claim(cache) -> None:
+    """Let only one large cache live in a worker: the last holder is emptied.
+
+    Spark hands a worker from stage to stage, and with it all that its modules keep.
+    """
+    if _HOLDER[0] is not cache:
+        if _HOLDER[0] is not None:
+            _HOLDER[0].reset()
+        _HOLDER[0] = cache
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class HashCache(dict):
     """word (bytes) -> 64-bit hash; filled on demand, emptied when it grows past its bound."""
 
+    def reset(self) -> None:
+        self.clear()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
@@ -62,6 +92,7 @@ class HashCache(dict):
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
+        claim(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
-from sheaf.llm.common import CACHE_ENTRIES
+from sheaf.llm.common import CACHE_ENTRIES, claim
 
 
 def ngrams(tokens: list[bytes], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +60,7 @@ class TokenTable(dict):
 
         The cache is emptied first if it has grown past its bound.
         """
+        claim(self)
         if self.count > CACHE_ENTRIES:
             self.reset()
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialize, shared_dir, text_of
+from sheaf.llm.common import claim, materialize, shared_dir, text_of
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -36,7 +36,7 @@ def default_tokenizer() -> str:
 
 
 #: Units that an encoder keeps before it starts anew.
-UNITS = 800_000
+UNITS = 600_000
 #: Marks, in a cut text, a unit without a space before it.
 MARK = "\x01"
 
@@ -198,6 +198,7 @@ def encoder(path: str, end_id: int) -> Encoder:
     """The worker's encoder; kept between tasks."""
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = Encoder(path, end_id)
+    claim(_ENCODERS[path, end_id])
     return _ENCODERS[path, end_id]
 
 
