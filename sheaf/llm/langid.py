@@ -29,7 +29,7 @@ SWITCH_PENALTY = 4.0
 #: Share of a language's letters from which it counts as using a script.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 3_000_000
 
 # Unicode ranges of scripts.  Letters outside all of them share one more script.
 SCRIPTS = (
@@ -132,13 +132,19 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
     """Learn from documents with a language that are not held out.
 
-    At most ``rows_per_language`` rows of each language are counted, on the executors; the
-    driver gets one count table per language and task.
+    Of each language the ``rows_per_language`` rows with the smallest hashes of doc_id are
+    counted (all with the last one's hash), on the executors; the driver gets one count table
+    per language and task.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = labelled.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= rows_per_language).select("doc_id", "lang").distinct()
-    sample = labelled.select("doc_id", "lang", "text").join(drawn, ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(6)
+    place = F.xxhash64("doc_id")
+    ranked = labelled.select("lang", place.alias("place")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    last = ranked.where(F.col("n") <= rows_per_language).groupBy("lang").agg(F.max("place").alias("last")).collect()
+    if not last:
+        return Model([], np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
+    # one number per language says which rows are drawn, so no text is shuffled to be left out
+    limits = F.create_map(*(F.lit(x) for r in last for x in (r["lang"], r["last"])))
+    sample = labelled.where(place <= F.element_at(limits, F.col("lang"))).select("lang", "text").repartition(6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
@@ -161,8 +167,7 @@ def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
         have[1] += np.frombuffer(scripts, np.float32)
         have[2] += n
     langs = sorted(found)
-    empty = np.zeros((0, 1))
-    return Model(langs, np.stack([found[x][0] for x in langs], 1) if langs else empty, np.stack([found[x][1] for x in langs], 1) if langs else empty, np.array([found[x][2] for x in langs]))
+    return Model(langs, np.stack([found[x][0] for x in langs], 1), np.stack([found[x][1] for x in langs], 1), np.array([found[x][2] for x in langs]))
 
 
 _TABLES: dict[str, tuple[Model, TokenTable]] = {}
