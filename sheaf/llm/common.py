@@ -51,6 +51,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def hash_limits(rows: DataFrame, group: str, wanted: int) -> dict:
+    """group -> limit of xxhash64(doc_id) below which about ``wanted`` of the group's rows lie.
+
+    Hashes are spread evenly, so a group's count gives its limit: no row is ranked and the
+    draw is the same on every run.  Which rows are drawn does not depend on how many machines
+    there are; the driver gets one count per group.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).collect()
+    return {r[group]: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, wanted / r["n"]))) for r in counts}
+
+
 _HOLDER: list = [None]
 
 

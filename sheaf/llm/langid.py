@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import held_out, text_of
+from sheaf.llm.common import hash_limits, held_out, text_of
 from sheaf.llm.features import TokenTable, ngrams
 from sheaf.llm.tokens import slices
 
-#: Labelled rows that are drawn per language to fit the model, those with the smallest hash of doc_id.
+#: About how many labelled rows are drawn per language to fit the model, those with the smallest hashes of doc_id.
 TRAIN_ROWS = 1500
 BITS, SIZES = 16, (1, 2, 3, 4)
 SWITCH_PENALTY = 4.0
@@ -132,19 +132,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
     """Learn from documents with a language that are not held out.
 
-    Of each language the ``rows_per_language`` rows with the smallest hashes of doc_id are
-    counted (all with the last one's hash), on the executors; the driver gets one count table
-    per language and task.
+    Of each language about ``rows_per_language`` rows, those with the smallest hashes of
+    doc_id, are counted on the executors; the driver gets one count table per language and task.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.xxhash64("doc_id")
-    ranked = labelled.select("lang", place.alias("place")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
-    last = ranked.where(F.col("n") <= rows_per_language).groupBy("lang").agg(F.max("place").alias("last")).collect()
-    if not last:
+    limits = hash_limits(labelled, "lang", rows_per_language)
+    if not limits:
         return Model([], np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
-    # one number per language says which rows are drawn, so no text is shuffled to be left out
-    limits = F.create_map(*(F.lit(x) for r in last for x in (r["lang"], r["last"])))
-    sample = labelled.where(place <= F.element_at(limits, F.col("lang"))).select("lang", "text").repartition(6)
+    below = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
+    # a row tells by itself whether it is drawn, so no text is shuffled to be left out
+    sample = labelled.where(F.xxhash64("doc_id") <= below).select("lang", "text").repartition(6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}

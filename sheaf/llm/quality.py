@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import held_out, text_of
+from sheaf.llm.common import hash_limits, held_out, text_of
 from sheaf.llm.features import TokenTable, ngrams
 from sheaf.llm.tokens import slices
 
-#: Labelled rows that are drawn per class, those with the smallest hash of doc_id.
+#: About how many labelled rows are drawn per class, those with the smallest hashes of doc_id.
 TRAIN_ROWS = 1500
 BITS, SIZES, DIM = 17, (1, 2, 3), 8
 EPOCHS, RATE = 8, 0.4
@@ -75,14 +75,15 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], prior: tuple[int, int],
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS, label: str = "quality") -> Model:
     """Learn from labelled documents that are not held out.
 
-    At most ``rows_per_class`` rows a class are drawn and sent to the driver, each as the
-    distinct features of the whole text; the classes' shares are counted over all labels.
-    A document with several labels counts with each.
+    About ``rows_per_class`` rows a class are drawn and sent to the driver, each as the distinct
+    features of the whole text; the classes' shares are counted over all labels.  A document
+    with several labels counts with each; of rows with one doc_id the smallest text counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
     prior = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = (F.xxhash64("doc_id"), "doc_id")
-    drawn = known.where("label = 0").orderBy(*order).limit(rows_per_class).union(known.where("label = 1").orderBy(*order).limit(rows_per_class))
+    limits = hash_limits(known, "label", rows_per_class)
+    below = F.element_at(F.create_map(*(F.lit(x) for pair in (limits or {0: 0}).items() for x in pair)), F.col("label"))
+    drawn = known.where(F.xxhash64("doc_id") <= below).distinct()
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS,
                 values.append(totals[at].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["label", "doc_id", "buckets", "counts"])
 
-    texts = text_of(docs).join(F.broadcast(drawn), "doc_id").select("label", "doc_id", "text")
+    # about 2 * rows_per_class ids
+    texts = text_of(docs).join(F.broadcast(drawn), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(bag, "label int, doc_id long, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["buckets"]))
     return fit([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows], (prior.get(0, 0), prior.get(1, 0)))
