@@ -72,7 +72,7 @@ class Model:
         self.langs = langs
         share = counts / np.maximum(counts.sum(axis=0, keepdims=True), 1)
         logs = np.log(share + 1e-6)
-        self.table = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+        self.table = (logs - logs.sum(axis=1, keepdims=True) / max(1, len(langs))).astype(np.float32)
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.default = int(rows.argmax()) if len(rows) else -1
 
@@ -138,7 +138,7 @@ def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     limits = hash_limits(labelled, "lang", rows_per_language)
     if not limits:
-        return Model([], np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
+        return Model([], np.zeros((1 << BITS, 0)), np.zeros((N_SCRIPTS, 0)), np.zeros(0))
     below = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
     # a row tells by itself whether it is drawn, so no text is shuffled to be left out
     sample = labelled.where(F.xxhash64("doc_id") <= below).select("lang", "text").repartition(6)

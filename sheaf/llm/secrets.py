@@ -163,9 +163,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
-    changed = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
-    columns = [changed.alias(c) if c == "text" else F.when((F.size("__spans") > 0) & (F.col("n_chars") == F.char_length("text")), F.char_length(changed)).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    # a column of its own first: inside lambdas a new column's name would hide the old one
+    found = found.withColumn("__changed", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
+    right = (F.size("__spans") > 0) & (F.col("n_chars") == F.char_length("text")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("__changed")}
+    if right is not None:
+        new["n_chars"] = F.when(right, F.char_length("__changed")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
