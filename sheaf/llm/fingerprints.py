@@ -25,7 +25,7 @@ from sheaf.llm.common import mix, text_of
 LEAST, NORMAL, MOST = 16, 48, 256
 STRICT_BITS, LOOSE_BITS = 6, 4
 #: Rows that one partition of the ordered pass should hold at most, and most partitions.
-PARTITION_ROWS, MOST_PARTITIONS = 4_000, 100_000
+PARTITION_ROWS, MOST_PARTITIONS = 4_000, 20_000
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 _STRICT = np.uint32(((1 << STRICT_BITS) - 1) << (32 - STRICT_BITS))

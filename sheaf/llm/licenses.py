@@ -77,13 +77,12 @@ def idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     """Inverse document frequency of each licence word over all files.
 
     Every file gives the licence words it has, at most as many as the templates have; counts
-    are combined before the shuffle, and the driver gets one row per licence word.  Files
-    without triggers, which nothing is looked up for, count as files without licence words.
+    are combined before the shuffle, and the driver gets one row per licence word.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    total = docs.count()
-    found = docs.where(may_match(text)).select(F.explode(F.array_intersect(words_of(text), _strings(vocabulary(templates)))).alias("word"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0))
+    found = docs.select(F.explode(F.array_intersect(words, _strings(vocabulary(templates)))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    total = docs.count()
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary(templates)}
 
 
