@@ -7,16 +7,26 @@ folder named by ``spark.checkpoint.dir``, which every executor can reach.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache may hold before it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
+#: Texts in one Arrow batch at most.
+TEXT_ROWS = 2_000
+
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:
+    _LIBC = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +53,7 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and the named columns only, so extra columns never clash."""
+    modest(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -74,6 +85,33 @@ def claim(cache) -> None:
         if _HOLDER[0] is not None:
             _HOLDER[0].reset()
         _HOLDER[0] = cache
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back after each of them."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+
+    return over
+
+
+def modest(spark: SparkSession) -> None:
+    """Texts may be long: workers of this session get at most TEXT_ROWS of them in one Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > TEXT_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, TEXT_ROWS)
 
 
 @contextlib.contextmanager

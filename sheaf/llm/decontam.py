@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import HashCache, alnum_words, gram_hashes, text_of
+from sheaf.llm.common import HashCache, alnum_words, gram_hashes, text_of, trimmed
 
 WINDOW = 13
 GRAM = 5
@@ -161,7 +161,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = G
     first = True
     for block in [*_blocks(bench, block_words)] or [[]]:
         shared = sc.broadcast(block)
-        frame = frame.mapInArrow(_scan(shared, window, k, first), out_schema)
+        frame = frame.mapInArrow(trimmed(_scan(shared, window, k, first)), out_schema)
         first = False
     return frame
 

@@ -10,6 +10,7 @@ with most letters.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import hash_limits, held_out, text_of
+from sheaf.llm.common import hash_limits, held_out, text_of, trimmed
 from sheaf.llm.features import TokenTable, ngrams
 from sheaf.llm.tokens import slices
 
@@ -70,6 +71,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, rows: np.ndarray):
         self.langs = langs
+        # tells models apart in a worker, where the address of a broadcast may be used again
+        self.token = uuid.uuid4().hex
         share = counts / np.maximum(counts.sum(axis=0, keepdims=True), 1)
         logs = np.log(share + 1e-6)
         self.table = (logs - logs.sum(axis=1, keepdims=True) / max(1, len(langs))).astype(np.float32)
@@ -158,7 +161,7 @@ def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([v[i].astype(np.float32).tobytes() for v in seen.values()], pa.binary()) for i in (0, 1)), pa.array([v[2] for v in seen.values()], pa.int64())], names=["lang", "grams", "scripts", "n"])
 
     found: dict[str, list] = {}
-    for lang, grams, scripts, n in sample.mapInArrow(count, "lang string, grams binary, scripts binary, n long").collect():
+    for lang, grams, scripts, n in sample.mapInArrow(trimmed(count), "lang string, grams binary, scripts binary, n long").collect():
         have = found.setdefault(lang, [np.zeros(1 << BITS), np.zeros(N_SCRIPTS), 0])
         have[0] += np.frombuffer(grams, np.float32)
         have[1] += np.frombuffer(scripts, np.float32)
@@ -172,12 +175,11 @@ _TABLES: dict[str, tuple[Model, TokenTable]] = {}
 
 def _table(shared) -> tuple[Model, TokenTable]:
     """The worker's model and token table; of the last model only."""
-    key = repr(getattr(shared, "_jid", None) or id(shared))
-    if key not in _TABLES:
-        model = shared.value
+    model = shared.value
+    if model.token not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = model, TokenTable(model.score, len(model.langs) + 2)
-    return _TABLES[key]
+        _TABLES[model.token] = model, TokenTable(model.score, len(model.langs) + 2)
+    return _TABLES[model.token]
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -186,7 +188,8 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
     ``score`` is the share of the text's letters that lie in spans of the predicted language.
     Texts that are null or have no letter are ``und`` with score 0.  A text whose letters are
     all of scripts that no learned language uses gets the most common language and score 0;
-    with nothing learned all texts are ``und``.  Only ``text`` is an input.
+    with nothing learned all texts are ``und``.  Only ``text`` is an input.  The columns named
+    by ``keep`` are passed on (a null text as an empty one).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -227,12 +230,12 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    source = text_of(docs, *keep)
-    kept = [f for f in source.schema.fields if f.name in keep]
+    source = text_of(docs, *(c for c in keep if c != "text"))
+    kept = [source.schema[c] for c in keep]
     schema = T.StructType([source.schema["doc_id"], *kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sheaf.llm.common import text_of
+from sheaf.llm.common import text_of, trimmed
 from sheaf.llm.tokens import default_tokenizer, encoder, slices
 
 CAPACITY = 1024
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         if rows := list(packer.finish()):
             yield table(rows)
 
-    return text_of(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double")
+    return text_of(docs).mapInArrow(trimmed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

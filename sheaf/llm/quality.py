@@ -8,6 +8,7 @@ part in the score is one number, which workers keep per token.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import hash_limits, held_out, text_of
+from sheaf.llm.common import hash_limits, held_out, text_of, trimmed
 from sheaf.llm.features import TokenTable, ngrams
 from sheaf.llm.tokens import slices
 
@@ -33,6 +34,8 @@ class Model:
     """What scoring needs: a number per bucket and the offset that restores the classes' shares."""
 
     def __init__(self, weights: np.ndarray, bias: float, empty: float):
+        # tells models apart in a worker, where the address of a broadcast may be used again
+        self.token = uuid.uuid4().hex
         self.weights, self.bias, self.empty = weights.astype(np.float32), bias, empty
 
     def score(self, tokens: list[str]) -> np.ndarray:
@@ -102,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS,
 
     # about 2 * rows_per_class ids
     texts = text_of(docs).join(F.broadcast(drawn), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(bag, "label int, doc_id long, buckets binary, counts binary").collect()
+    rows = texts.mapInArrow(trimmed(bag), "label int, doc_id long, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["buckets"]))
     return fit([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows], (prior.get(0, 0), prior.get(1, 0)))
 
@@ -111,12 +114,11 @@ _TABLES: dict[str, tuple[Model, TokenTable]] = {}
 
 
 def _table(shared) -> tuple[Model, TokenTable]:
-    key = repr(getattr(shared, "_jid", None) or id(shared))
-    if key not in _TABLES:
-        model = shared.value
+    model = shared.value
+    if model.token not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = model, TokenTable(model.score, 2)
-    return _TABLES[key]
+        _TABLES[model.token] = model, TokenTable(model.score, 2)
+    return _TABLES[model.token]
 
 
 def predict(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -142,7 +144,7 @@ def predict(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 scores += np.where(n > 0, _sigmoid(total / np.maximum(n, 1) + model.bias), model.empty).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    out = text_of(docs).mapInArrow(run, "doc_id long, score double")
+    out = text_of(docs).mapInArrow(trimmed(run), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import claim, materialize, shared_dir, text_of
+from sheaf.llm.common import claim, materialize, shared_dir, text_of, trimmed
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -36,7 +36,7 @@ def default_tokenizer() -> str:
 
 
 #: Units that an encoder keeps before it starts anew.
-UNITS = 600_000
+UNITS = 400_000
 #: Marks, in a cut text, a unit without a space before it.
 MARK = "\x01"
 
@@ -335,7 +335,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             sink.close()
 
     ordered = text_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, "doc_id long, shard int, file string, local_start long, n_tokens long"), f"{folder}-index")
+    return materialize(ordered.mapInArrow(trimmed(write), "doc_id long, shard int, file string, local_start long, n_tokens long"), f"{folder}-index")
 
 
 def read_shards(index: DataFrame, batch_sequences: int = BATCH_SEQUENCES) -> DataFrame:
@@ -367,7 +367,7 @@ def read_shards(index: DataFrame, batch_sequences: int = BATCH_SEQUENCES) -> Dat
             reader.close()
 
     placed = index.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "file", "local_start")
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
