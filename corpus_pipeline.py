@@ -22,11 +22,12 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts of which no language covers a fair share."""
-    own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    boxed = docs.select("doc_id", "text", F.struct(F.col("doc_id"), F.col("text"), *(F.col(f"`{c}`") for c in own)).alias("row"))
-    judged = langid.predict(boxed, langid.train(docs), keep=("row",))
+    # the text goes to the workers once; the other columns travel in one struct
+    own = [c for c in docs.columns if c != "text"]
+    boxed = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("text"), *(F.col(f"`{c}`") for c in own)).alias("own"))
+    judged = langid.predict(boxed, langid.train(docs), keep=("text", "own"))
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.when(~F.col("own.text"), F.col("text")).alias(c) if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
