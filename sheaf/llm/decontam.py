@@ -212,3 +212,24 @@ def op9(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     hits = contaminated(find(docs, bench))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE = r"""
+WITH lowered AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id::VARCHAR, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+windows AS (
+  SELECT DISTINCT id AS item, least(13, len(ws)) AS m, array_to_string(list_slice(ws, i, i + least(13, len(ws)) - 1), ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM words WHERE side = 'b' AND len(ws) > 0)),
+sizes AS (SELECT DISTINCT m FROM windows),
+spans AS (
+  SELECT id, m, i, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS w
+  FROM (SELECT id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(ws) >= m)),
+hits AS (SELECT s.id, s.i, s.m, b.item FROM spans s JOIN windows b ON b.m = s.m AND b.w = s.w),
+counts AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT w.id::BIGINT AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM words w LEFT JOIN counts c ON c.id = w.id LEFT JOIN items i ON i.id = w.id WHERE side = 'd'
+"""

@@ -20,5 +20,7 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op7_near_duplicates": neardup.ORACLE,
     "op8_warc": archive.ORACLE,
+    "op9_decontamination": decontam.ORACLE,
 }
