@@ -9,7 +9,7 @@ from sheaf.functions import text as X
 from sheaf.operators import answers, context, store
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import with_chunks
-from sheaf.plans.retrieval import FUSED_SQL, _routes
+from sheaf.plans.retrieval import FUSED_SQL, _fused
 
 S = Settings()
 QUERIES, ORACLE = {}, {}
@@ -109,11 +109,8 @@ evidence AS (SELECT o.*, 'E' || row_number() OVER (PARTITION BY o.qid ORDER BY o
 
 
 def _seeds(spark, d):
-    from sheaf.operators import fusion
-
-    hits, chunks = _routes(spark, d)
-    fused = fusion.fuse(hits, S.retrieval.rrf_k).where("pre_rank <= 10")
-    return fused.select("qid", "chunk_id", F.round("fused_score", 9).alias("priority"), "pre_rank"), chunks
+    fused, chunks = _fused(spark, d)
+    return fused.where("pre_rank <= 10").select("qid", "chunk_id", F.round("fused_score", 9).alias("priority"), "pre_rank"), chunks
 
 
 @query("neighbor_windows", FUSED_SQL + "," + SEEDS_SQL + "," + WINDOW_SQL + "SELECT qid, chunk_id, paper_id, section, lo, hi FROM spans")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf import catalog
 from sheaf.functions import text as X
 from sheaf.operators import chunking, dense
 
@@ -54,7 +55,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content chunks with vector ids 1, 2, ... in order of paper and place."""
     rows = chunks(spark, sf_dir).where("section_type = 'content'")
-    return dense.number_rows(rows, "paper_id", "chunk_index")
+    # stored once, as every search reads it
+    return catalog.written(dense.number_rows(rows, "paper_id", "chunk_index"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,15 +10,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf import catalog
-from sheaf.config import Settings
 from sheaf.functions import text as X
-from sheaf.operators import fusion, layout
+from sheaf.operators import layout
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import with_chunks
-from sheaf.plans.retrieval import FUSED_SQL, _routes
+from sheaf.plans.retrieval import FUSED_SQL, _fused
 from sheaf.sources import readers
 
-S = Settings()
 QUERIES, ORACLE = {}, {}
 
 
@@ -286,22 +284,22 @@ def stable_json(spark, d):
 # extensions: what becomes cheap once many questions and papers are handled at once
 @query("per_paper_topk", FUSED_SQL + "SELECT qid, paper_id, chunk_id, CAST(row_number() OVER (PARTITION BY qid, paper_id ORDER BY pre_rank) AS INTEGER) AS n FROM fused JOIN chunks USING (chunk_id) QUALIFY n <= 2")
 def per_paper_topk(spark, d):
-    hits, chunks = _routes(spark, d)
-    rows = fusion.fuse(hits, S.retrieval.rrf_k).join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    fused, chunks = _fused(spark, d)
+    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("qid", "paper_id").orderBy("pre_rank"))).where("n <= 2").select("qid", "paper_id", "chunk_id", "n")
 
 
 @query("paper_discovery", FUSED_SQL + "SELECT qid, paper_id, count(*) AS n_chunks, round(sum(fused_score), 9) AS mass, round(max(fused_score), 9) AS best FROM fused JOIN chunks USING (chunk_id) GROUP BY ALL")
 def paper_discovery(spark, d):
-    hits, chunks = _routes(spark, d)
-    rows = fusion.fuse(hits, S.retrieval.rrf_k).join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    fused, chunks = _fused(spark, d)
+    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
     return rows.groupBy("qid", "paper_id").agg(F.count("*").alias("n_chunks"), F.round(F.sum("fused_score"), 9).alias("mass"), F.round(F.max("fused_score"), 9).alias("best"))
 
 
 @query("paper_coverage_check", FUSED_SQL + "SELECT qid, count(DISTINCT paper_id) AS n_papers, round(max(c)::DOUBLE / sum(c), 9) AS top_share FROM (SELECT qid, paper_id, count(*) AS c FROM fused JOIN chunks USING (chunk_id) WHERE pre_rank <= 10 GROUP BY ALL) GROUP BY qid")
 def paper_coverage_check(spark, d):
-    hits, chunks = _routes(spark, d)
-    rows = fusion.fuse(hits, S.retrieval.rrf_k).where("pre_rank <= 10").join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    fused, chunks = _fused(spark, d)
+    rows = fused.where("pre_rank <= 10").join(chunks.select("chunk_id", "paper_id"), "chunk_id")
     counts = rows.groupBy("qid", "paper_id").agg(F.count("*").alias("c"))
     return counts.groupBy("qid").agg(F.count("*").alias("n_papers"), F.round(F.max("c") / F.sum("c"), 9).alias("top_share"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf import catalog
 from sheaf.config import Settings
 from sheaf.functions import text as X
 from sheaf.functions import vector as V
@@ -242,7 +243,9 @@ def _routes(spark, d):
     vectors, texts = fx.vectors(spark, d), fx.query_texts(spark, d)
     content = chunks.select("chunk_id", "paper_title", "section", "raw_text", "section_type", "vector_id")
     phrase = texts.select("qid", F.array(F.array_join(F.slice(X.tokens(F.col("query")), 1, 4), " ")).alias("texts"))
-    lexical_hits = lambda q, k: lexical.search(content, q, k).withColumnRenamed("id", "chunk_id")
+    # the index is built and stored once and read by both lexical routes
+    index, sizes = catalog.written(lexical.postings(content)), catalog.written(lexical.lengths(content))
+    lexical_hits = lambda q, k: lexical.top(lexical.scores(index, sizes, q), k).withColumnRenamed("id", "chunk_id")
     return fusion.pool(
         fusion.dense_route(dense.search(vectors, fx.query_vectors(spark, d), r.dense_top_k), content, "dense_original", r.dense_original_weight),
         fusion.dense_route(dense.search(vectors, fx.query_vectors(spark, d, 40), r.dense_top_k), content, "dense_rewrite", r.dense_rewrite_weight),
@@ -251,6 +254,12 @@ def _routes(spark, d):
     ), chunks
 
 
+def _fused(spark, d):
+    """Fused hits, stored, and the numbered chunks."""
+    hits, chunks = _routes(spark, d)
+    return catalog.written(fusion.fuse(hits, S.retrieval.rrf_k)), chunks
+
+
 def _dense_sql(name: str, shift: int) -> str:
     return f"{name} AS (SELECT b.item_id AS qid, v.vec_id + 1 AS vector_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id + {shift}, embeddings v QUALIFY rank <= 20)"
 
@@ -294,13 +303,12 @@ def rrf_sources(spark, d):
 
 @query("best_paper_by_evidence", FUSED_SQL + "," + MASS_SQL + "SELECT qid, paper_id, round(mass, 9) AS mass FROM best")
 def best_paper(spark, d):
-    hits, chunks = _routes(spark, d)
-    return fusion.best_paper(fusion.fuse(hits, S.retrieval.rrf_k), chunks).select("qid", "paper_id", F.round("mass", 9).alias("mass"))
+    fused, chunks = _fused(spark, d)
+    return fusion.best_paper(fused, chunks).select("qid", "paper_id", F.round("mass", 9).alias("mass"))
 
 
 def _reranked(spark, d):
-    hits, chunks = _routes(spark, d)
-    fused = fusion.fuse(hits, S.retrieval.rrf_k)
+    fused, chunks = _fused(spark, d)
     scores = fusion.overlap_scores(fused, fx.query_texts(spark, d), chunks, S.reranking.candidate_top_k)
     return fusion.rerank(fused, scores, S.reranking.candidate_top_k), fused, chunks
 
