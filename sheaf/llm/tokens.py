@@ -36,7 +36,7 @@ def default_tokenizer() -> str:
 
 
 #: Units that an encoder keeps before it starts anew.
-UNITS = 400_000
+UNITS = 700_000
 #: Marks, in a cut text, a unit without a space before it.
 MARK = "\x01"
 
