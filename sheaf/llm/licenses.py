@@ -1,11 +1,12 @@
 """Licence scans with a positional index of rare words; DataFrame functions only.
 
 The licence notices (templates) are indexed by word: each posting is a template and the word's
-place in it.  A file is looked up by those of its words that are licence words with the highest
-inverse document frequency; frequencies are counted over all files.  Each place of such a word
-votes, through its postings, for a template starting at the place it would have; places with
-enough votes are compared with the template word by word, and the template's mandatory key
-phrases must stand where the template has them.
+place in it.  A template is posted under the words of its mandatory key phrases with the highest
+inverse document frequency; frequencies are counted over all files.  A file is looked up by all
+of its words.  Each place of a posted word votes, through its postings, for a template starting
+at the place it would have; places with all votes of a template are compared with it word by
+word, and its key phrases must stand where the template has them.  As a template only stands
+where all words of its key phrases do, the lookup loses none.
 
 Independently of templates, base phrases are found wherever their words stand in a row.  Files
 that contain none of the words which every base phrase and every template needs skip all of it.
@@ -49,9 +50,7 @@ TEMPLATES = (
 #: A text without any of these has no base phrase and no template's key phrases.
 TRIGGERS = ("licens", "permission", "redistribution", "unencumbered", "cc by", "creative commons", "cc0 1")
 
-#: A file's licence words that are looked up, those with the highest idf.
-ANCHORS = 12
-#: Votes that a place needs, and the share of a template's words that must agree there.
+#: Votes that a place needs, as many as a template has postings, and the share of a template's words that must agree there.
 LEAST_VOTES, LEAST_SHARE = 2, 0.8
 
 
@@ -100,22 +99,24 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return at
 
 
-def _anchors(words: Column, weights: dict[str, float]) -> Column:
-    """The file's licence words with the highest idf, at most ANCHORS."""
-    names = sorted(weights, key=lambda w: (-weights[w], w))
-    rank = F.create_map(*(x for i, w in enumerate(names) for x in (F.lit(w), F.lit(i))))
-    ranked = F.array_sort(F.transform(F.array_intersect(words, _strings(names)), lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word"))))
-    return F.transform(F.slice(ranked, 1, ANCHORS), lambda a: a["word"])
+def _anchors(weights: dict[str, float], templates) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, place) by word: of each template LEAST_VOTES words of its key phrases, those with the highest idf.
 
+    A template with fewer such words posts them again, so that their votes suffice.
+    """
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, notice, phrases) in enumerate(templates):
+        words = notice.split()
+        places = sorted({q + k for q, n in _key_places(notice, phrases) for k in range(n)}, key=lambda q: (-weights[words[q]], q))
+        for k in range(LEAST_VOTES):
+            q = places[k % len(places)]
+            postings.setdefault(words[q], []).append((t, q))
+    return postings
 
-def _votes(words: Column, anchors: Column, templates) -> Column:
+
+def _votes(places: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
     """(template, place) that each place of an anchor word points to, sorted."""
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, notice, _) in enumerate(templates):
-        for q, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append((t, q))
     index = F.create_map(*(x for w, posts in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in posts)))))
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"]))
     return F.array_sort(F.flatten(F.transform(places, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["q"]).alias("at"))))))
 
 
@@ -159,7 +160,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     repeated rows, null ids and other columns make no difference (columns with the added
     names are replaced); an empty table gives no rows.
     """
-    weights = idf(docs, templates)
+    postings = _anchors(idf(docs, templates), templates)
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__words", F.when(may_match(text), words_of(text)))
     words = F.col("__words")
@@ -168,9 +169,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
     starts = F.flatten(F.array(*(F.transform(_phrase_starts(words, phrase), labelled(label)) for phrase, label in base)))
-    out = out.withColumn("__base", F.when(words.isNotNull(), starts)).withColumn("__anchors", F.when(words.isNotNull(), _anchors(words, weights)))
+    out = out.withColumn("__base", F.when(words.isNotNull(), starts))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*postings))
+    out = out.withColumn("__anchors", F.when(words.isNotNull(), places))
     # columns of their own, for inside a lambda an expression would be computed for each element
-    out = out.withColumn("__all", F.when(F.size("__anchors") > 0, _votes(words, F.col("__anchors"), templates)))
+    out = out.withColumn("__all", F.when(F.size("__anchors") > 0, _votes(F.col("__anchors"), postings)))
     out = out.withColumn("__votes", _voted(F.col("__all")))
     out = out.withColumn("__found", F.when(F.size("__votes") > 0, _matches(words, F.col("__votes"), templates)))
     none = F.expr("cast(array() as array<string>)")

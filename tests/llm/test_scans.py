@@ -55,6 +55,15 @@ def test_licenses_on_awkward_rows(spark):
     assert L.scan(empty(spark)).count() == 0
 
 
+def test_every_notice_of_a_file_with_many_is_found(spark):
+    notices = {label: notice for label, notice, _ in L.TEMPLATES}
+    several = [notices[x] for x in ("bsd", "gpl-3", "isc")]
+    rare = " ".join(sorted({w for w in L.vocabulary() if w not in " ".join(several).split()}))
+    texts = ["\n\n".join(several), notices["isc"] + ". " + notices["gpl-3"], rare + ". " + notices["unlicense"], ". ".join(notices.values())]
+    rows = {r["doc_id"]: r["labels"] for r in L.scan(documents(spark, texts)).collect()}
+    assert rows == {1: ["bsd", "gpl-3", "isc"], 2: ["gpl-3", "isc"], 3: ["unlicense"], 4: sorted(notices)}
+
+
 def test_every_key_phrase_stands_in_its_notice_and_has_a_trigger():
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     trigger = re.compile("|".join(t.replace(" ", gap) for t in L.TRIGGERS))
