@@ -4,8 +4,9 @@ Three plain patterns (``assign``, ``access``, ``hex``) stand on their own.  Weak
 an account name, a secret-looking value or an endpoint is common in clean text.  The parts of
 a document are put in order of place; a weak part is reported only where complementary parts
 stand near it in the same scope (a paragraph): an identifier with a secret, or a secret with
-an endpoint.  This is an interval join of the parts with themselves within scopes, done as one
-pass forwards and one backwards over the ordered parts, so no pairs are built.
+an endpoint.  Parts that overlap (a path inside its URL) are no evidence for each other.  This
+is an interval join of the parts with themselves within scopes, done as one pass forwards and
+one backwards over the ordered starts and stops of the parts, so no pairs are built.
 
 Texts without any trigger skip all of it.
 """
@@ -94,35 +95,43 @@ def weak_spans(text: Column, base: Column, reach: int = REACH) -> Column:
     identifier = F.filter(_spans(text, IDENTIFIER, 3), lambda s: ~_overlaps(s, base))
     # scopes: their limits are blank lines, kept as parts of order 9
     limits = _spans(text, r"\n[\x20\t\r]*\n", 9)
-    parts = F.array_sort(F.concat(base, identifier, secret, F.filter(endpoint, lambda s: ~_overlaps(s, base)), limits))
-    far = -(1 << 30)
+    parts = F.concat(base, identifier, secret, F.filter(endpoint, lambda s: ~_overlaps(s, base)), limits)
+
+    def event(p: Column, at: str, begins: bool) -> Column:
+        return F.struct(p[at].alias("at"), F.lit(begins).alias("begins"), p["order"].alias("order"), p["start"].alias("start"), p["stop"].alias("stop"))
+
+    # where a part stops and another starts, the stop comes first
+    events = F.array_sort(F.flatten(F.transform(parts, lambda p: F.array(event(p, "stop", False), event(p, "start", True)))))
 
     def role(p: Column, *orders: int) -> Column:
         return p["order"].isin(*orders)
 
-    def sweep(items: Column, near: str, edge: str) -> Column:
-        """For each part, in turn, the last place before it of an identifier, secret and endpoint in its scope."""
-        start = F.struct(*(F.lit(far).alias(x) for x in ("i", "s", "e")), F.expr("cast(array() as array<struct<i:int,s:int,e:int>>)").alias("out"))
+    def sweep(items: Column, forward: bool) -> Column:
+        """Weak parts that a complementary part on the side already swept bears out.
+
+        A part is seen once it is left behind as a whole and judged before it is entered, so
+        parts that overlap never bear each other out.
+        """
+        far = -(1 << 30) if forward else 1 << 30
+        start = F.struct(*(F.lit(far).alias(x) for x in ("i", "s", "e")), _none().alias("out"))
 
         def step(state: Column, p: Column) -> Column:
-            cut = role(p, 9)
-            seen = {x: F.when(cut, far).when(role(p, *orders), p[edge] if near == "stop" else -p[edge]).otherwise(state[x]) for x, orders in (("i", (1, 3)), ("s", (0, 2, 4)), ("e", (5,)))}
-            here = F.struct(*(state[x].alias(x) for x in ("i", "s", "e")))
-            return F.struct(*(v.alias(x) for x, v in seen.items()), F.concat(state["out"], F.array(here)).alias("out"))
+            left = p["begins"] != F.lit(forward)
 
-        return F.aggregate(items, start, step, lambda s: s["out"])
+            def close(kind: str) -> Column:
+                return (p["at"] - state[kind] if forward else state[kind] - p["at"]) <= reach
 
-    before = sweep(parts, "stop", "stop")
-    after = F.reverse(sweep(F.reverse(parts), "start", "start"))
-    joined = F.zip_with(F.zip_with(parts, before, lambda p, b: F.struct(p.alias("p"), b.alias("b"))), after, lambda x, a: F.struct(x["p"].alias("p"), x["b"].alias("b"), a.alias("a")))
+            seen = {x: F.when(role(p, 9), far).when(left & role(p, *orders), p["at"]).otherwise(state[x]) for x, orders in (("i", (1, 3)), ("s", (0, 2, 4)), ("e", (5,)))}
+            linked = ~left & (role(p, 3, 5) & close("s") | role(p, 4) & (close("i") | close("e")))
+            here = F.array(F.struct(p["start"].alias("start"), p["order"].alias("order"), p["stop"].alias("stop")))
+            return F.struct(*(v.alias(x) for x, v in seen.items()), F.when(linked, F.concat(state["out"], here)).otherwise(state["out"]).alias("out"))
 
-    def close(x: Column, kind: str) -> Column:
-        return (x["p"]["start"] - x["b"][kind] <= reach) | (-x["a"][kind] - x["p"]["stop"] <= reach) & (x["a"][kind] > far)
+        return F.aggregate(items, start, step, lambda s: s["out"])
 
-    def linked(x: Column) -> Column:
-        return F.when(role(x["p"], 3, 5), close(x, "s")).when(role(x["p"], 4), close(x, "i") | close(x, "e")).otherwise(False)
+    def once(found: Column, p: Column) -> Column:
+        return F.when((F.size(found) > 0) & (F.get(found, F.size(found) - 1) == p), found).otherwise(F.concat(found, F.array(p)))
 
-    return F.transform(F.filter(joined, linked), lambda x: x["p"])
+    return F.aggregate(F.array_sort(F.concat(sweep(events, True), sweep(F.reverse(events), False))), _none(), once)
 
 
 def render(spans: Column) -> Column:

@@ -131,3 +131,20 @@ def test_redaction_leaves_clean_rows_alone(spark):
         elif base_secrets(text):
             assert all(text[a:b] not in rows[i]["text"] for a, _, b in base_secrets(text))
             assert rows[i]["n_chars"] == len(rows[i]["text"])
+
+
+def test_overlapping_parts_do_not_bear_each_other_out(spark):
+    secret, url = "AbCdEfGh1234567890XyZ12", "https://example.com/Wiki/2024/LongPathTitle1"
+    cases = [
+        (f"see {url} for more", ""),
+        ("account: Ab3dEf6hIj9kLm2nOp5qR", ""),
+        (f"user=bob {url}", "identifier:0:8,secret:25:53"),
+        (f"{secret} {url}", "secret:0:23,endpoint:24:68"),
+        (f"{url}?LongOtherTitle2OfThePath {secret}", "endpoint:0:69,secret:70:93"),
+        (f"user=bob account: {secret}", "identifier:0:8,secret:18:41"),
+        (f"{secret} " + "x" * 300 + f" {url}", ""),
+    ]
+    docs = documents(spark, [t for t, _ in cases])
+    rows = {r["doc_id"]: r["shown"] for r in S.find(docs).withColumn("shown", S.render(F.col("spans"))).collect()}
+    assert [rows[i] for i in range(1, len(cases) + 1)] == [want for _, want in cases]
+    assert S.redact(docs).where("doc_id = 1").first()["text"] == cases[0][0]
