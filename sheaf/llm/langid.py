@@ -1,8 +1,8 @@
 """Language identification: scripts narrow the candidates, Viterbi labels spans of words.
 
-A word scores for each learned language the log-probability of its hashed character n-grams
-against the mean of the languages.  The script of its letters leaves only languages that use
-this script.  Viterbi with a penalty for switching turns the word scores into spans of one
+A word scores for each learned language the log-probability of its hashed character n-grams.
+The script of its letters leaves only languages that use this script; scores are taken against
+the best of these, so a bound on what one word may weigh never makes the best ones equal.  Viterbi with a penalty for switching turns the word scores into spans of one
 language each, so mixed texts are labelled piece by piece; the document's language is the one
 with most letters.
 """
@@ -27,6 +27,8 @@ from sheaf.llm.tokens import slices
 TRAIN_ROWS = 1500
 BITS, SIZES = 16, (1, 2, 3, 4)
 SWITCH_PENALTY = 4.0
+#: How far a word's score may fall behind its best language.
+WORD_BOUND = 24
 #: Share of a language's letters from which it counts as using a script.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -74,8 +76,7 @@ class Model:
         # tells models apart in a worker, where the address of a broadcast may be used again
         self.token = uuid.uuid4().hex
         share = counts / np.maximum(counts.sum(axis=0, keepdims=True), 1)
-        logs = np.log(share + 1e-6)
-        self.table = (logs - logs.sum(axis=1, keepdims=True) / max(1, len(langs))).astype(np.float32)
+        self.table = np.log(share + 1e-6).astype(np.float32)
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.default = int(rows.argmax()) if len(rows) else -1
 
@@ -85,19 +86,15 @@ class Model:
         buckets, owners = ngrams([w.encode("utf-8", "surrogatepass") for w in words], SIZES, BITS)
         n, width = len(tokens), len(self.langs)
         out = np.zeros((n, width + 2), np.float32)
-        for j in range(width):
-            out[:, j] = np.clip(np.bincount(owners, self.table[buckets, j], n) / 4, -12, 12)
-        for i, word in enumerate(words):
-            if not word:
-                out[i] = 0
-                continue
-            fits = self.uses[script_of(word)]
-            out[i, width] = len(word) - word.count(" ")
-            if fits.any():
-                out[i, :width][~fits] = -100
-                out[i, width + 1] = 1
-            else:
-                out[i, :width] = 0
+        out[:, width] = [len(w) - w.count(" ") for w in words]
+        if not width:
+            return out
+        logs = np.stack([np.bincount(owners, self.table[buckets, j], n) / 4 for j in range(width)], 1)
+        fits = np.stack([self.uses[script_of(w)] if w else np.zeros(width, bool) for w in words])
+        known = fits.any(axis=1)
+        best = np.where(fits, logs, -np.inf).max(axis=1)
+        out[known, :width] = np.where(fits, np.maximum(logs - best[:, None], -WORD_BOUND), -100)[known]
+        out[:, width + 1] = known
         return out
 
 

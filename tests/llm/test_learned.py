@@ -77,3 +77,32 @@ def test_quality_of_awkward_rows(spark):
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows.values())
     assert rows[1]["score"] == rows[2]["score"] == rows[3]["score"] and rows[13]["score"] == rows[14]["score"]
     assert quality.predict(empty(spark), quality.train(docs, labels)).count() == 0
+
+
+OWN = {
+    "de": "der hund und die katze sind nicht im haus aber auf dem feld",
+    "en": "the dog and the cat are not in the house but on the field",
+    "es": "el perro y el gato no están en la casa pero en el campo",
+    "fr": "le chien et le chat ne sont pas dans la maison mais sur le champ",
+    "ja": "私は学生です。今日は天気が良いので公園に行きました。東京大学で日本語を勉強します。",
+    "ru": "это новый дом и большой город где мы жили всегда вместе с семьёй и друзьями",
+    "uk": "це новий будинок і велике місто де ми жили завжди разом з родиною та друзями",
+    "zh": "我是学生。今天天气很好所以我们去了公园。他们在北京大学学习中文和历史。",
+}
+
+
+def test_languages_of_one_script_among_many(spark):
+    held = {i for i in range(1, 600) if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
+    free = [i for i in range(1, 600) if i not in held][: 8 * 20]
+    docs = spark.createDataFrame([(d, OWN[sorted(OWN)[i % 8]], sorted(OWN)[i % 8]) for i, d in enumerate(free)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(OWN)
+    words = [(w, x) for x, text in OWN.items() for w in text.split() if sum(w in t.split() for t in OWN.values()) == 1]
+    scores = model.score([w for w, _ in words])[:, : len(OWN)]
+    top = np.sort(scores, axis=1)
+    assert (top[:, -1] > top[:, -2]).all()
+    assert [model.langs[j] for j in scores.argmax(axis=1)] == [x for _, x in words]
+    texts = ["ми жили разом де велике місто", "где мы жили вместе большой город", "今天我们去了北京大学学习历史", "日本語を勉強しますので東京に行きました"]
+    rows = {r["doc_id"]: r for r in langid.predict(documents(spark, texts), model).collect()}
+    assert [rows[i]["lang_pred"] for i in range(1, 5)] == ["uk", "ru", "zh", "ja"]
+    assert all(r["score"] > 0.9 for r in rows.values())
