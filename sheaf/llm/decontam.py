@@ -48,10 +48,10 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
 class Index:
     """Fingerprints of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, k: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, k: int):
         self.window, self.k, self.span = window, k, window - k + 1
         cache = HashCache()
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         self.words: list[np.ndarray] = []
         long_posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -132,7 +132,7 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, streamed to the driver partition by partition, in blocks of bounded size."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -149,17 +149,16 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add to each document: n_words, runs ([start, end) of hit words, merged), items (ids as strings, sorted).
 
-    A null text has no words.  Items without words never occur; items whose id is null are
-    left out; repeated item ids count once.  Repeated documents are separate rows.  Columns of
+    A null text has no words.  Items without words never occur; repeated item ids count
+    once, and so do null ids, as one null at the end of items.  Repeated documents are separate rows.  Columns of
     ``docs`` other than doc_id, text and those named by ``keep`` are dropped.
     """
     frame = text_of(docs, *keep)
     fields = list(frame.schema.fields)
-    bench = benchmark.where("item_id is not null")
     sc = docs.sparkSession.sparkContext
     out_schema = T.StructType([*fields, *HITS.fields])
     first = True
-    for block in [*_blocks(bench, block_words)] or [[]]:
+    for block in [*_blocks(benchmark, block_words)] or [[]]:
         shared = sc.broadcast(block)
         frame = frame.mapInArrow(trimmed(_scan(shared, window, k, first)), out_schema)
         first = False
@@ -179,7 +178,7 @@ def _scan(shared, window: int, k: int, first: bool):
                 got, found = index.hits(words)
                 counts.append(len(words))
                 runs.append(merge(got if first else [*map(tuple, before[0][i]), *got]))
-                items.append(sorted({index.names[x] for x in found} | (set() if first else set(before[1][i]))))
+                items.append(sorted({index.names[x] for x in found} | (set() if first else set(before[1][i])), key=lambda x: (x is None, x)))
             columns = [batch.column(c) for c in names if c not in ("n_words", "runs", "items")]
             kept = [c for c in names if c not in ("n_words", "runs", "items")]
             columns += [pa.array(counts, pa.int64()), pa.array([[list(r) for r in row] for row in runs], pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]

@@ -59,6 +59,16 @@ def test_removal_keeps_clean_rows_and_columns(spark):
     assert decontam.remove(docs, items.limit(0)).count() == len(TEXTS)
 
 
+def test_items_without_an_id_are_hit(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta epsilon"), (2, "one two"), (1, "three four")], "item_id long, text string")
+    docs = documents(spark, ["x alpha beta gamma", "alpha beta gamma delta epsilon one two", "three four one two", "clean text"])
+    for block_words in (1, 500_000):
+        hits = decontam.contaminated(decontam.find(docs, items, block_words=block_words))
+        got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in hits.collect()}
+        assert got == {1: (3, [None], True), 2: (7, ["2", None], True), 3: (4, ["1", "2"], True), 4: (0, [], False)}
+    assert [r["doc_id"] for r in decontam.remove(docs, items).collect()] == [4]
+
+
 def test_archive_reads_back(spark, sf):
     pages = {r["page_id"]: (r["html"] or "").encode() for r in table(spark, sf, "pages").collect()}
     rows = archive.op8(spark, sf).collect()
