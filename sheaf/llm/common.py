@@ -15,13 +15,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache may hold before it starts anew.
 CACHE_ENTRIES = 250_000
 #: Texts in one Arrow batch at most.
 TEXT_ROWS = 2_000
+#: Parts into which the rows of one key are dealt.
+SALTS = 32
 
 try:
     _LIBC = ctypes.CDLL(None)
@@ -57,6 +59,19 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def group_value(rows: DataFrame, key: str, by: tuple[str, ...], value: Column, merge: Callable[[str], Column], name: str, salts: int = SALTS) -> DataFrame:
+    """The rows with ``name``, an aggregate over all rows of their ``key``; a hot key meets in no task.
+
+    Rows are dealt by key and a salt (a hash of the columns ``by``) and aggregated there with
+    ``value``; ``merge`` joins the parts, at most ``salts`` for a key, and each part takes the
+    result back to its rows.  Rows with a null key are left out.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    part = salted.groupBy(key, "__salt").agg(value.alias("__part"))
+    total = part.groupBy(key).agg(merge("__part").alias(name))
+    return salted.join(part.select(key, "__salt").join(total, key), [key, "__salt"]).drop("__salt")
+
+
 def held_out(doc_id):
     """Rows that no training may see: crc32(doc_id as text) mod 5 is 0 (a null id is never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
