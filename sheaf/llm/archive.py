@@ -6,9 +6,9 @@ response is its header block and the payload; a revisit has no block of its own
 response that it refers to and the payload's digest and length.
 
 ``payloads``: digest, payload, bucketed by digest.  ``headers``: page_id, digest, header (the
-record's header block with its blank line).  ``layout``: the number of buckets.  All are
-Parquet tables; as payloads lie in buckets, a join reads them where they are and moves only
-the headers.
+record's header block with its blank line), alone (a response with a long payload), buckets
+(their number).  Both are Parquet tables; as payloads lie in buckets, a join reads them where
+they are and moves only the headers.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def record_uri(page_id, *more):
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str = DATE) -> None:
-    """Write the tables of ``pages`` (page_id, url, html) below ``folder``.
+    """Write the two tables of ``pages`` (page_id, url, html) below ``folder``.
 
     Of the records with equal payloads of at least ``least_bytes`` the one with the smallest
     page_id is the response and the others are revisits of it.  A null html is an empty
@@ -56,7 +56,6 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
     table = f"sheaf_payloads_{uuid.uuid4().hex}"
     once.write.format("parquet").option("path", f"{folder}/payloads").bucketBy(buckets, "digest").saveAsTable(table)
     spark.sql(f"DROP TABLE {table}")  # the files stay: they are outside the warehouse
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/layout")
     light = records.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     long = F.col("size") >= least_bytes
     # short payloads are responses whatever else there is, so they meet no one in a join
@@ -77,12 +76,13 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("size").cast("string"))),
         F.lit(CRLF),
     )
-    placed.select("page_id", "digest", (long & ~revisit).alias("alone"), header.alias("header")).write.parquet(f"{folder}/headers")
+    placed.select("page_id", "digest", (long & ~revisit).alias("alone"), F.lit(buckets).alias("buckets"), header.alias("header")).write.parquet(f"{folder}/headers")
 
 
 def verified(spark, folder: str) -> DataFrame:
     """digest, payload, checked: the stored payloads and whether their bytes have their digest."""
-    buckets = spark.read.parquet(f"{folder}/layout").first()["buckets"]
+    head = spark.read.parquet(f"{folder}/headers").select("buckets").first()
+    buckets = head["buckets"] if head else 1
     table, place = f"sheaf_payloads_{uuid.uuid4().hex}", f"{folder}/payloads".replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"CREATE TABLE {table} (digest STRING, payload BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'")
     stored = spark.table(table)
