@@ -32,10 +32,24 @@ def ngrams(tokens: list[bytes], sizes: tuple[int, ...], bits: int) -> tuple[np.n
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), 1) for t in tokens), np.uint64, len(tokens))
+
+
+def bigrams(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of word bigrams, given the hashes of their first and second words; a repeated word is a back-reference."""
+    left = np.where(left == right, np.uint64(0), left)
+    right = np.where(left == 0, np.uint64(0), right)
+    code = left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)
+    code ^= code >> np.uint64(31)
+    return ((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class TokenTable(dict):
     """token -> row of a growing matrix; rows of new tokens are computed together by ``score``.
 
     ``score`` takes a list of tokens and returns a float32 matrix with ``width`` columns.
+    ``hashes`` holds the tokens' hashes by the same numbers.
     """
 
     def __init__(self, score: Callable[[list[str]], np.ndarray], width: int):
@@ -45,6 +59,7 @@ class TokenTable(dict):
     def reset(self) -> None:
         self.clear()
         self.rows, self.count = np.zeros((1 << 14, self.width), np.float32), 0
+        self.hashes = np.zeros(1 << 14, np.uint64)
         self.pending: list[str] = []
         self.long: list[str] = []
 
@@ -68,8 +83,9 @@ class TokenTable(dict):
             part = self.pending[i : i + 50_000]
             need = self.count + len(part)
             while need > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.hashes))
             self.rows[self.count : need] = self.score(part)
+            self.hashes[self.count : need] = token_hashes(part)
             self.count = need
         self.pending = []
         for token in self.long:

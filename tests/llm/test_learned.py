@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from sheaf.llm import langid, quality
-from tests.llm.fixtures import AWKWARD, documents, empty, table
-
+from tests.llm.fixtures import AWKWARD, documents, empty, table, texts
 
 
 
@@ -106,3 +108,64 @@ def test_languages_of_one_script_among_many(spark):
     rows = {r["doc_id"]: r for r in langid.predict(documents(spark, texts), model).collect()}
     assert [rows[i]["lang_pred"] for i in range(1, 5)] == ["uk", "ru", "zh", "ja"]
     assert all(r["score"] > 0.9 for r in rows.values())
+
+
+MASK = (1 << 64) - 1
+
+
+def grams_by_the_book(token, bits, sizes):
+    """Buckets of a token and of its byte n-grams between marks, one at a time."""
+    data = token.encode("utf-8", "surrogatepass")
+    out = [xxhash.xxh3_64_intdigest(data) >> (64 - bits)]
+    data = b"\x01" + data + b"\x02"
+    for n in sizes:
+        for i in range(len(data) - n + 1):
+            code = n
+            for byte in data[i : i + n]:
+                code = (code * 1099511628211 + byte) & MASK
+            code ^= code >> 31
+            out.append(((code * 0x9E3779B97F4A7C15) & MASK) >> (64 - bits))
+    return out
+
+
+def quality_by_the_book(model, text):
+    tokens = text.split()
+    if not tokens:
+        return model.empty
+    first = [float(model.weights[b]) for t in tokens for b in grams_by_the_book(t, quality.BITS, quality.SIZES)]
+    mean = sum(first) / len(first)
+    if len(tokens) > 1:
+        pairs = []
+        for a, b in zip(tokens, tokens[1:]):
+            ha, hb = (xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in (a, b))
+            code = 0 if a == b else (ha * 0x9E3779B97F4A7C15 + hb * 0xC2B2AE3D27D4EB4F) & MASK
+            code ^= code >> 31
+            pairs.append(float(model.weights[((code * 0xD6E8FEB86659FD93) & MASK) >> (64 - quality.BITS)]))
+        mean = (mean + sum(pairs) / len(pairs)) / 2
+    return 1 / (1 + math.exp(-mean - model.bias))
+
+
+def test_quality_scores_by_the_book(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(docs, labels, rows_per_class=40)
+    want = texts(spark, sf)
+    got = {r["doc_id"]: r["score"] for r in quality.predict(docs, model).collect()}
+    assert set(got) == set(want)
+    for i, text in want.items():
+        assert abs(got[i] - quality_by_the_book(model, text)) < 1e-4
+    odd = documents(spark, AWKWARD).union(documents(spark, AWKWARD)).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    rows = quality.predict(odd, model).collect()
+    assert len(rows) == 2 * len(AWKWARD)
+    for r in rows:
+        assert abs(r["score"] - quality_by_the_book(model, AWKWARD[(r["doc_id"] or 7) - 1] or "")) < 1e-4
+
+
+LONG = "Grüße an alle, the of and " * 200_000
+
+
+def test_texts_of_megabytes(spark):
+    docs = documents(spark, [LONG, "the of and"]).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    rows = {r["doc_id"]: r["score"] for r in quality.predict(docs, model).collect()}
+    assert abs(rows[1] - quality_by_the_book(model, LONG)) < 1e-3
