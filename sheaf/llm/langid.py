@@ -2,9 +2,11 @@
 
 A word scores for each learned language the log-probability of its hashed character n-grams.
 The script of its letters leaves only languages that use this script; scores are taken against
-the best of these, so a bound on what one word may weigh never makes the best ones equal.  Viterbi with a penalty for switching turns the word scores into spans of one
-language each, so mixed texts are labelled piece by piece; the document's language is the one
-with most letters.
+the best of these, so a bound on what one word may weigh never makes the best ones equal.  A
+token of several scripts is cut where the script changes, and scripts written without spaces
+are cut into short pieces, so that a span may begin inside a token.  Viterbi with a penalty for
+switching turns the word scores into spans of one language each, so mixed texts are labelled
+piece by piece; the document's language is the one with most letters.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,11 +54,53 @@ SCRIPTS = (
 )
 N_SCRIPTS = len(SCRIPTS) + 1
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts written without spaces, and the letters that one of their pieces has at most.
+UNSPACED, PIECE = ("thai", "kana", "han"), 4
+
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_MARKS = "\u0300-\u036f"
+
+
+def _class(ranges) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def _run(name: str, ranges) -> str:
+    first, more = f"[{_class(ranges)}]", f"[{_class(ranges)}{_MARKS}]"
+    return first + more + (f"{{0,{PIECE - 1}}}" if name in UNSPACED else "*")
+
+
+_KNOWN = "".join(_class(r) for _, r in SCRIPTS)
+#: A character after which a text may hold other scripts than Latin.
+_FOREIGN = re.compile(r"[\u0250-\u1dff\u1f00-\u1fff\u2c00-\U0010ffff]")
+_RUNS = re.compile("|".join([*(_run(n, r) for n, r in SCRIPTS), rf"(?:(?![{_KNOWN}])[^\W\d_])+"]))
+
+
+def pieces(text: str) -> list[str]:
+    """The units that are judged: tokens, cut where their script changes and, without spaces, every few letters."""
+    if text.isascii() or not _FOREIGN.search(text):
+        return text.split()
+    out = []
+    for token in text.split():
+        if _FOREIGN.search(token):
+            out += _RUNS.findall(token)
+        else:
+            out.append(token)
+    return out
+
+
+def offsets(text: str, parts: list[str]) -> list[tuple[int, int]]:
+    """Start and end, in code points, of the pieces of the text."""
+    out, at = [], 0
+    for part in parts:
+        at = text.index(part, at)
+        out.append((at, at + len(part)))
+        at += len(part)
+    return out
 
 
 def script_of(word: str) -> int:
-    """The script of the word's first letter; words seldom mix scripts."""
+    """The script of the word's first letter; pieces do not mix scripts."""
     code = ord(word[0])
     for i, (_, ranges) in enumerate(SCRIPTS):
         if any(a <= code <= b for a, b in ranges):
@@ -64,7 +109,7 @@ def script_of(word: str) -> int:
 
 
 def prepared(token: str) -> str:
-    """The letters of a token, lower-cased; runs of other characters become one space."""
+    """The letters of a token with their marks, lower-cased; runs of other characters, numerals too, become one space."""
     return " ".join(_LETTERS.findall(token)).lower()
 
 
@@ -109,17 +154,18 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     sizes = lengths[order]
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
     best = np.zeros((len(order), width), np.float32)
-    back = np.empty((total, width), np.uint8)
-    own = np.arange(width, dtype=np.uint8)
+    kind = np.min_scalar_type(max(width - 1, 0))
+    back = np.empty((total, width), kind)
+    own = np.arange(width, dtype=kind)
     for t, n in enumerate(active.tolist()):
         rows = starts[:n] + t
         here = best[:n]
         top = here.argmax(axis=1)
         other = here[np.arange(n), top][:, None] - penalty
         switch = other > here
-        back[rows] = np.where(switch, top[:, None].astype(np.uint8), own)
+        back[rows] = np.where(switch, top[:, None].astype(kind), own)
         best[:n] = np.where(switch, other, here) + scores[rows]
-    labels = np.empty(total, np.uint8)
+    labels = np.empty(total, kind)
     now = best.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
@@ -147,7 +193,7 @@ def train(docs: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
         seen: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                words = [w for w in map(prepared, text.as_py().split()) if w]
+                words = [w for w in map(prepared, pieces(text.as_py())) if w]
                 grams, scripts, n = seen.get(lang) or (np.zeros(1 << BITS), np.zeros(N_SCRIPTS), 0)
                 if words:
                     grams += np.bincount(ngrams([w.encode("utf-8", "surrogatepass") for w in words], SIZES, BITS)[0], minlength=1 << BITS)
@@ -180,12 +226,15 @@ def _table(shared) -> tuple[Model, TokenTable]:
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, lang_pred, score and, if asked for, spans (start, end, lang; in words).
+    """Per document: doc_id, lang_pred, score and, if asked for, spans (start, end, lang; in code points, from
+    the first of a span's pieces to the last).
 
     ``score`` is the share of the text's letters that lie in spans of the predicted language.
     Texts that are null or have no letter are ``und`` with score 0.  A text whose letters are
     all of scripts that no learned language uses gets the most common language and score 0;
-    with nothing learned all texts are ``und``.  Only ``text`` is an input.  The columns named
+    with nothing learned all texts are ``und``.  Only ``text`` is an input: repeated rows and
+    null ids are judged as the rows they are, other columns make no difference, and an empty
+    table gives no rows.  Texts of any length are judged whole.  The columns named
     by ``keep`` are passed on (a null text as an empty one).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -196,7 +245,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
         for batch in batches:
             preds, scores, marks = [], [], []
             for _, texts in slices(iter([batch]), SLICE_CHARS):
-                parts = [t.split() for t in texts]
+                parts = [pieces(t) for t in texts]
                 lengths = np.fromiter(map(len, parts), np.int64, len(parts))
                 rows, _ = table.lookup([w for p in parts for w in p])
                 labels = viterbi(rows[:, :width], lengths, penalty) if width else np.zeros(len(rows), np.uint8)
@@ -215,10 +264,11 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
                         scores.append(min(1.0, float(top[i] / every[i])))
                 if spans:
                     at = 0
-                    for n in lengths.tolist():
+                    for text, own_parts in zip(texts, parts, strict=True):
+                        n, places = len(own_parts), offsets(text, own_parts)
                         own = np.where(fits[at : at + n] > 0, labels[at : at + n].astype(np.int64), -1)
                         edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n] if n else []
-                        marks.append([{"start": a, "end": b, "lang": model.langs[own[a]] if own[a] >= 0 else UNKNOWN} for a, b in zip(edges, edges[1:])])
+                        marks.append([{"start": places[a][0], "end": places[b - 1][1], "lang": model.langs[own[a]] if own[a] >= 0 else UNKNOWN} for a, b in zip(edges, edges[1:])])
                         at += n
             columns = [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             names = ["doc_id", *keep, "lang_pred", "score"]

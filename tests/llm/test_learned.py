@@ -48,7 +48,7 @@ def test_spans_scripts_and_awkward_rows(spark):
     for i, text in enumerate(AWKWARD, 1):
         assert (rows[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
     n = len(AWKWARD)
-    assert [(s["start"], s["end"], s["lang"]) for s in rows[n + 1]["spans"]] == [(0, 30, "en"), (30, 60, "de")]
+    assert [(s["start"], s["end"], s["lang"]) for s in rows[n + 1]["spans"]] == [(0, 124, "en"), (125, 254, "de")]
     assert rows[n + 2]["score"] == 0 and rows[n + 2]["lang_pred"] in model.langs and rows[n + 3]["lang_pred"] == "und"
     assert langid.predict(empty(spark), model).count() == 0
 
@@ -160,6 +160,59 @@ def test_quality_scores_by_the_book(spark, sf):
         assert abs(r["score"] - quality_by_the_book(model, AWKWARD[(r["doc_id"] or 7) - 1] or "")) < 1e-4
 
 
+def test_numerals_are_no_letters_and_scripts_change_inside_tokens(spark):
+    assert [langid.prepared(x) for x in ("½", "²", "Ⅷ", "٣", "a½b", "x́y")] == ["", "", "", "", "a b", "x́y"]
+    assert langid.pieces("Hello世界 ok") == ["Hello", "世界", "ok"]
+    assert langid.pieces("привет,мир") == ["привет", "мир"] and langid.pieces("für auf") == ["für", "auf"]
+    assert langid.pieces("我们今天去了公园x") == ["我们今天", "去了公园", "x"]
+    held = {i for i in range(1, 600) if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
+    free = [i for i in range(1, 600) if i not in held][: 8 * 20]
+    docs = spark.createDataFrame([(d, OWN[sorted(OWN)[i % 8]], sorted(OWN)[i % 8]) for i, d in enumerate(free)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    mixed = "the dog and the cat are in the house今天天气很好所以我们去了公园"
+    cases = ["½ ²", "Ⅷ", mixed, mixed, "123", None]
+    frame = documents(spark, cases).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
+    rows = {r["doc_id"]: r for r in langid.predict(frame, model, spans=True).collect()}
+    assert [rows[i]["lang_pred"] for i in (1, 2, 5, 6)] == ["und"] * 4
+    assert [(s["lang"], mixed[s["start"] : s["end"]]) for s in rows[3]["spans"]] == [("en", mixed[:36]), ("zh", mixed[36:])]
+    assert rows[None]["spans"] == rows[3]["spans"]
+
+
+def language_by_the_book(model, text):
+    """lang_pred and score of one text, word by word."""
+    words, every, by, path = langid.pieces(text), 0, {x: 0 for x in model.langs}, []
+    scores, letters, fits = [], [], []
+    for word in words:
+        low = langid.prepared(word)
+        letters.append(len(low.replace(" ", "")))
+        uses = model.uses[langid.script_of(low)] if low else np.zeros(len(model.langs), bool)
+        fits.append(bool(uses.any()))
+        if not fits[-1]:
+            scores.append(np.zeros(len(model.langs)))
+            continue
+        logs = sum(model.table[b].astype(float) for b in grams_by_the_book(low, langid.BITS, langid.SIZES)) / 4
+        best = logs[uses].max()
+        scores.append(np.where(uses, np.maximum(logs - best, -langid.WORD_BOUND), -100))
+    if words:
+        path = viterbi_by_the_book(np.array(scores), langid.SWITCH_PENALTY)
+    for label, n, fit in zip(path, letters, fits, strict=True):
+        every += n
+        by[model.langs[label]] += n * fit
+    if not every:
+        return "und", 0.0
+    top = max(by.values())
+    return next(x for x in model.langs if by[x] == top) if top else model.langs[model.default], top / every
+
+
+def test_language_by_the_book(spark, sf):
+    model = langid.train(table(spark, sf, "documents"), 20)
+    want = {i: t for i, t in texts(spark, sf).items() if len(t) < 3000}
+    got = {r["doc_id"]: r for r in langid.predict(table(spark, sf, "documents"), model).collect()}
+    for i, text in want.items():
+        lang, score = language_by_the_book(model, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6
+
+
 LONG = "Grüße an alle, the of and " * 200_000
 
 
@@ -169,3 +222,6 @@ def test_texts_of_megabytes(spark):
     model = quality.train(docs, labels)
     rows = {r["doc_id"]: r["score"] for r in quality.predict(docs, model).collect()}
     assert abs(rows[1] - quality_by_the_book(model, LONG)) < 1e-3
+    free = docs.withColumn("doc_id", F.col("doc_id") * 7)
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.train(free)).collect()}
+    assert got[1]["lang_pred"] == "en" and got[1]["score"] == 1
