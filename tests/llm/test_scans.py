@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -138,7 +140,8 @@ def test_overlapping_parts_do_not_bear_each_other_out(spark):
     cases = [
         (f"see {url} for more", ""),
         ("account: Ab3dEf6hIj9kLm2nOp5qR", ""),
-        (f"user=bob {url}", "identifier:0:8,secret:25:53"),
+        (f"user=bob {url}", ""),
+        (f"user=bob {url} {secret}", "identifier:0:8,endpoint:9:53,secret:54:77"),
         (f"{secret} {url}", "secret:0:23,endpoint:24:68"),
         (f"{url}?LongOtherTitle2OfThePath {secret}", "endpoint:0:69,secret:70:93"),
         (f"user=bob account: {secret}", "identifier:0:8,secret:18:41"),
@@ -148,3 +151,69 @@ def test_overlapping_parts_do_not_bear_each_other_out(spark):
     rows = {r["doc_id"]: r["shown"] for r in S.find(docs).withColumn("shown", S.render(F.col("spans"))).collect()}
     assert [rows[i] for i in range(1, len(cases) + 1)] == [want for _, want in cases]
     assert S.redact(docs).where("doc_id = 1").first()["text"] == cases[0][0]
+
+
+def part_spans(text):
+    """Base and linked spans of a text by looking at all pairs of parts."""
+    find = lambda pattern, k: [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.A)]
+    meets = lambda p, q: p[0] < q[2] and q[0] < p[2]
+    base, endpoints, limits = base_secrets(text), find(S.ENDPOINT, 5), find(r"\n[\x20\t\r]*\n", 9)
+    secret = [p for p in find(S.SECRET, 4) if not any(meets(p, q) for q in endpoints)]
+    weak = [p for p in [*find(S.IDENTIFIER, 3), *secret, *endpoints] if not any(meets(p, q) for q in base)]
+    wanted = {3: (0, 2, 4), 5: (0, 2, 4), 4: (1, 3, 5)}
+    out = list(base)
+    for p in weak:
+        for q in [*base, *weak]:
+            first, second = sorted((p, q))
+            gap = second[0] - first[2]
+            if q[1] in wanted[p[1]] and 0 <= gap <= S.REACH and not any(first[2] <= x[0] and x[2] <= second[0] for x in limits):
+                out.append(p)
+                break
+    return sorted(out)
+
+
+def random_texts(seed, count):
+    rng = random.Random(seed)
+    secret = lambda: "".join(rng.choice("abcXYZ019_/-") for _ in range(24)) + "aZ9"
+    makers = [
+        secret, lambda: "user=bob", lambda: "account: " + secret(), lambda: "https://example.com/a/" + rng.choice(["b", secret()]), lambda: "token=abcdef" + rng.choice("gh"), lambda: "AKIA" + "Q" * 16,
+        lambda: "0123456789abcdef" * 2, lambda: "\n\n", lambda: "\n \t\n", lambda: "word " * rng.choice((1, 20, 59, 61)), lambda: "é好", lambda: "host=db.example.com", lambda: "https://x.y/?token=abcdefg&sig=" + secret(), lambda: "secret: " + secret(), lambda: "password=a",
+    ]
+    return ["".join(rng.choice(makers)() + rng.choice([" ", " ", "\n", ",", ""]) for _ in range(rng.randint(1, 14))) for _ in range(count)]
+
+
+def test_linking_against_all_pairs(spark):
+    every = [*SECRET, *random_texts(1, 600)]
+    frame = documents(spark, every).repartition(4)
+    rows = {r["doc_id"]: r["shown"] for r in S.find(frame).withColumn("shown", S.render(F.col("spans"))).collect()}
+    for i, text in enumerate(every, 1):
+        assert rows[i] == shown(part_spans(text or "")), text
+    got = {r["doc_id"]: r["text"] for r in S.redact(frame).collect()}
+    for i, text in enumerate(every, 1):
+        out, at = "", 0
+        for a, k, b in part_spans(text or ""):
+            if k in S.REDACTED and b > at:
+                out, at = out + text[at : max(a, at)] + "[secret]", b
+        assert got[i] == (None if text is None else out + text[at:])
+
+
+def test_plain_addresses_are_left_alone(spark):
+    clean = ["see https://docs.google.com/document/d/1AbCdEfGhIjKlMnOpQrStUvWxYz012345/edit for notes", "user: bob wrote https://github.com/Some/Repo/blob/0Ab1Cd2Ef3Gh4Ij5Kl6/src/Main.java", "https://a.example/B1c2D3e4F5g6H7i8J9k0 https://b.example/Z1y2X3w4V5u6T7s8R9q0"]
+    docs = documents(spark, clean)
+    assert [r["spans"] for r in S.find(docs).collect()] == [[]] * 3
+    assert [r["text"] for r in S.redact(docs).orderBy("doc_id").collect()] == clean
+
+
+def test_many_matches_in_a_long_text(spark):
+    text = "token=abcdef é user=bob\n" * 40_000 + "x" * 4_000_000
+    began = time.time()
+    row = S.find(documents(spark, [text])).select(F.size("base").alias("n"), F.element_at("spans", -1).alias("last"), F.size("spans").alias("all")).first()
+    assert (row["n"], row["all"]) == (40_000, 80_000) and row["last"]["stop"] == 24 * 40_000 - 1
+    assert S.redact(documents(spark, [text])).first()["text"] == "[secret] é user=bob\n" * 40_000 + "x" * 4_000_000
+    assert time.time() - began < 60
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = documents(spark, ["token=abcdef"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [S.render(F.lit(1)) is not None and r["spans"][0]["stop"] for r in S.find(docs.union(docs)).collect()] == [12, 12]
+    assert [r["labels"] for r in L.scan(documents(spark, ["under the mit license"] * 2).withColumn("doc_id", F.lit(None).cast("long"))).collect()] == [["mit"]] * 2
