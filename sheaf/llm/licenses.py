@@ -78,7 +78,9 @@ def idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     Every file gives the licence words it has, at most as many as the templates have; counts
     are combined before the shuffle, and the driver gets one row per licence word.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0))
+    # the two characters beyond A-Z whose lower case has an ASCII letter are put out of its way
+    text = F.replace(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u212a"), F.lit("\u00df")), F.lit("\u0130"), F.lit("\u00df"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     found = docs.select(F.explode(F.array_intersect(words, _strings(vocabulary(templates)))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()

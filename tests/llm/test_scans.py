@@ -66,6 +66,38 @@ def test_every_notice_of_a_file_with_many_is_found(spark):
     assert rows == {1: ["bsd", "gpl-3", "isc"], 2: ["gpl-3", "isc"], 3: ["unlicense"], 4: sorted(notices)}
 
 
+def license_labels(text):
+    """Labels and score by trying every template at every place."""
+    words = WORDS.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    at = lambda i: words[i] if 0 <= i < len(words) else None
+    labels, score = set(base_licenses(text)[4]), 0.0
+    for label, notice, phrases in L.TEMPLATES:
+        own = notice.split()
+        for start in range(-len(own), len(words)):
+            same = [at(start + q) == w for q, w in enumerate(own)]
+            if sum(same) / len(own) >= L.LEAST_SHARE and all(all(same[q : q + n]) for q, n in L._key_places(notice, phrases)):
+                labels.add(label)
+                score = max(score, sum(same) / len(own))
+    return sorted(labels), 1.0 if base_licenses(text)[1] else score
+
+
+def test_labels_of_all_pairs_of_notices(spark):
+    rng, notices = random.Random(2), [(label, notice) for label, notice, _ in L.TEMPLATES]
+    pairs = [(a, b) for i, a in enumerate(notices) for b in notices[:i]]
+    every = [f"{a[1]}. Some words between. {b[1]}" for a, b in pairs]
+    damaged = [" ".join(w for w in f"{a[1]} {b[1]}".split() if rng.random() > 0.06) for a, b in pairs[::3]]
+    changed = [" ".join("other" if rng.random() < 0.1 else w for w in f"{a[1]} {b[1]}".split()) for a, b in pairs[::3]]
+    whole = [" / ".join(n for _, n in notices) + " pad" * 5000]
+    docs = documents(spark, [*every, *damaged, *changed, *whole, *LICENSED]).repartition(4)
+    rows = {r["doc_id"]: r for r in L.scan(docs).collect()}
+    for i, text in enumerate([*every, *damaged, *changed, *whole, *LICENSED], 1):
+        labels, score = license_labels(text)
+        assert rows[i]["labels"] == labels and abs(rows[i]["score"] - score) < 1e-9, text
+    for i, (a, b) in enumerate(pairs, 1):
+        assert {a[0], b[0]} <= set(rows[i]["labels"])
+    assert set(rows[len(every) + len(damaged) + len(changed) + 1]["labels"]) == {x for x, _ in notices}
+
+
 def test_every_key_phrase_stands_in_its_notice_and_has_a_trigger():
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     trigger = re.compile("|".join(t.replace(" ", gap) for t in L.TRIGGERS))
