@@ -1,10 +1,11 @@
 """Token-id output: Arrow IPC files whose batches hold equal-length sequences and their masks.
 
 Each task writes one file in the Arrow *file* format.  A file has two columns of fixed-size
-lists, ``ids`` and ``mask``, and record batches of exactly ``batch_sequences`` rows (the last
-may be shorter), so sequence ``i`` is row ``i % batch_sequences`` of batch
-``i // batch_sequences``: a reader maps the file and gets numpy views without copying.
-Ids stand in ascending ``doc_id`` order, within a file and over the files by number.
+lists, ``ids`` and ``mask`` (a byte each, 1 for a real id and 0 for padding), and record batches
+of exactly ``batch_sequences`` rows (the last may be shorter), so sequence ``i`` is row
+``i % batch_sequences`` of batch ``i // batch_sequences``: a reader maps the file and gets numpy
+views of both without copying.  Ids stand in ascending ``doc_id`` order, within a file and over
+the files by number.  Files have about ``SHARD_BYTES`` of text each, whatever the input's size.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SEQUENCE = 1024
 BATCH_SEQUENCES = 256
 #: Texts are encoded together up to about this many characters.
 SLICE_CHARS = 2_000_000
+#: Bytes of text that go into one file, about.
+SHARD_BYTES = 64 << 20
 
 
 def default_tokenizer() -> str:
@@ -217,11 +220,17 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
             yield ids, texts
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with its scheme; a path without one lies on Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def filesystem(uri: str):
-    """The pyarrow file system and path of a folder that Spark names by URI or by plain path."""
+    """The pyarrow file system and path of a URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def _dtype(tokenizer_path: str) -> np.dtype:
@@ -236,7 +245,7 @@ class ShardWriter:
     def __init__(self, sink, dtype: np.dtype, length: int, batch_sequences: int):
         self.dtype, self.length, self.rows = dtype, length, batch_sequences
         ids = pa.list_(pa.field("item", pa.from_numpy_dtype(dtype), nullable=False), length)
-        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length), nullable=False)])
+        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length), nullable=False)])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.left: list[np.ndarray] = []
         self.held = 0
@@ -252,7 +261,7 @@ class ShardWriter:
             self.left, self.held = [every[self.held // step * step :].copy()], self.held % step
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(values, type=field.type) for values, field in zip((pa.array(ids), pa.array(np.arange(len(ids)) < real)), self.schema, strict=True)]
+        columns = [pa.FixedSizeListArray.from_arrays(values, type=field.type) for values, field in zip((pa.array(ids), pa.array((np.arange(len(ids)) < real).astype(np.uint8))), self.schema, strict=True)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -273,25 +282,26 @@ class ShardReader:
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows = batch_sequences
-        self.kept: tuple[int, np.ndarray] = (-1, np.zeros(0))
+        self.number, self.kept = -1, (np.zeros(0), np.zeros(0))
 
-    def batch(self, number: int) -> np.ndarray:
-        """The ids of one record batch: a view of the file's memory."""
-        if self.kept[0] != number:
-            self.kept = number, self.reader.get_batch(number).column(0).flatten().to_numpy(zero_copy_only=True)
-        return self.kept[1]
+    def batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of one record batch: views of the file's memory."""
+        if self.number != number:
+            columns = self.reader.get_batch(number).columns
+            self.number, self.kept = number, tuple(c.flatten().to_numpy(zero_copy_only=True) for c in columns)
+        return self.kept
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i and its mask."""
+        """Sequence i and its mask: views, too."""
         at = i % self.rows * self.length
-        mask = self.reader.get_batch(i // self.rows).column(1).flatten().slice(at, self.length).to_numpy(zero_copy_only=False)
-        return self.batch(i // self.rows)[at : at + self.length], mask
+        ids, mask = self.batch(i // self.rows)
+        return ids[at : at + self.length], mask[at : at + self.length]
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """The ids at places start to start + count, over the borders of batches."""
         step, parts = self.rows * self.length, []
         while count > 0:
-            part = self.batch(start // step)[start % step : start % step + count]
+            part = self.batch(start // step)[0][start % step : start % step + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -304,10 +314,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     """Encode ``docs`` (doc_id, text), write the shards and return their index.
 
     Index: doc_id, shard (number), file, local_start, n_tokens.  A null text counts as empty
-    and gives the end id alone; null ids come first; repeated ids stay, ordered by text; an
-    empty table gives no shard.  A retried task writes a file of another name and only the
-    file that the committed index names is read.
+    and gives the end id alone; null ids come first; repeated ids stay, ordered by a hash of
+    the text and may lie in several files; other columns are left out; an empty table gives no
+    shard.  A retried task writes a file of another name and only the file that the committed
+    index names is read.
     """
+    folder = qualified(docs.sparkSession, folder)
     path = tokenizer_path or default_tokenizer()
     dtype = _dtype(path)
 
@@ -318,13 +330,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             if writer is None:
                 system, root = filesystem(folder)
                 system.create_dir(root, recursive=True)
-                name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.arrow"
-                sink = system.open_output_stream(name)
+                file = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.arrow"
+                uri, sink = f"{folder}/{file}", system.open_output_stream(f"{root}/{file}")
                 writer = ShardWriter(sink, dtype, length, batch_sequences)
             ids, offsets = coder.encode(texts)
             writer.add(ids)
             n = len(doc_ids)
-            uri = name if "://" not in folder and not folder.startswith("file:") else folder + name[len(root) :]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([uri] * n), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets))],
                 names=["doc_id", "shard", "file", "local_start", "n_tokens"],
@@ -334,7 +345,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             writer.close()
             sink.close()
 
-    ordered = text_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    frame = text_of(docs)
+    size = frame.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    order = ("doc_id", F.xxhash64("text"))  # the hash parts the rows of one id
+    ordered = frame.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order, "text")
     return materialize(ordered.mapInArrow(trimmed(write), "doc_id long, shard int, file string, local_start long, n_tokens long"), f"{folder}-index")
 
 

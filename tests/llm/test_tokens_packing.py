@@ -56,12 +56,12 @@ def test_sequences_are_views_of_the_file(tmp_path):
         for n in (5, 30, 20, 2):
             writer.add(np.arange(n))
         writer.close()
-    reader = tokens.ShardReader(path, 3)
+    reader = tokens.ShardReader(f"file://{path}", 3)
     want = np.concatenate([np.arange(n) for n in (5, 30, 20, 2)])
     assert reader.ids(3, 50).tolist() == want[3:53].tolist()
     ids, mask = reader.sequence(7)
-    assert ids.tolist() == [*want[56:].tolist(), *[0] * 7] and mask.tolist() == [True, *[False] * 7]
-    assert not reader.batch(1).flags.owndata
+    assert ids.tolist() == [*want[56:].tolist(), *[0] * 7] and mask.tolist() == [1, *[0] * 7]
+    assert not any(x.flags.owndata for i in (0, 4, 7) for x in (*reader.batch(i // 3), *reader.sequence(i)))
 
 
 def check_pieces(rows, sizes, capacity=1024):
@@ -99,6 +99,29 @@ def test_packing_of_awkward_rows(spark, coder):
     assert packing.pack(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("partitions", "fan"), [(32, 64), (211, 64), (211, 5)])
+def test_rests_of_partitions_are_packed_together(spark, sf, coder, partitions, fan):
+    frame = spark.read.parquet(f"{sf}/documents.parquet").repartition(partitions)
+    rows = packing.pack(frame, fan=fan).collect()
+    check_pieces(rows, {i: len(plain(coder, t)) for i, t in texts(spark, sf).items()})
+    sums = {}
+    for r in rows:
+        sums[r["sequence_id"]] = sums.get(r["sequence_id"], 0) + r["length"]
+    short = [n for n in sums.values() if n < 1024]
+    # one run of short sequences in all: the bits of one number under 1024
+    assert len(short) == len(set(short)) <= 10 and sum(n for n in sums.values()) // 1024 == len(sums) - len(short)
+
+
+def test_packing_of_null_and_repeated_ids_and_megabytes(spark, coder):
+    every = ["same text", "same text", None, "", "Grüße an alle " * 350_000]
+    docs = documents(spark, every).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id"))).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id"))).withColumn("ids", F.lit(1)).repartition(3)
+    rows = packing.pack(docs).collect()
+    sizes = [len(plain(coder, t or "")) for t in every]
+    assert sum(r["length"] for r in rows) == sum(sizes)
+    assert sum(r["length"] for r in rows if r["doc_id"] is None) == sum(sizes[i] for i in (0, 1, 3))
+    assert sum(r["length"] for r in rows if r["doc_id"] == 5) == sizes[4] and all(r["doc_tokens"] == sizes[4] for r in rows if r["doc_id"] == 5)
+
+
 def test_a_block_balances_cost():
     rng = random.Random(1)
     pieces = [(i, 0, rng.randint(1, 63)) for i in range(400)]
