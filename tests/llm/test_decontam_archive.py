@@ -69,6 +69,29 @@ def test_items_without_an_id_are_hit(spark):
     assert [r["doc_id"] for r in decontam.remove(docs, items).collect()] == [4]
 
 
+def test_long_items_and_common_beginnings(spark):
+    prompt = " ".join(f"prompt{i}" for i in range(20))
+    items = [(i, f"{prompt} own{i} " + " ".join(f"q{i}x{j}" for j in range(15))) for i in range(200)]
+    items += [(1000, " ".join(f"long{j}" for j in range(3000)))]
+    docs = {1: prompt, 2: prompt + " own7 q7x0", 3: "prompt0 prompt1 prompt2 prompt3 prompt4 prompt5 else", 4: " ".join(f"long{j}" for j in range(90, 120)), 5: "pad " * 300_000 + items[-1][1] + " pad" * 300_000, 6: " ".join(f"q9x{j}" for j in range(13))}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (900, 500_000):
+        rows = decontam.contaminated(decontam.find(frame, bench, block_words=block_words)).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in rows}
+        assert got == brute(docs, items)
+    cut = decontam.pieces(bench, 13, piece_words=100).groupBy("name").count().where("name = 1000").first()["count"]
+    assert cut == 30
+
+
+def test_repeated_documents_and_null_ids(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "alpha beta gamma"), (None, "alpha beta gamma"), (3, None), (3, "clean"), (3, "clean")], "doc_id long, text string")
+    for block_words in (1, 500_000):
+        got = sorted(((r["doc_id"], r["n_words"], r["items"]) for r in decontam.find(docs, items, block_words=block_words).collect()), key=str)
+        assert got == sorted([(None, 3, ["1"]), (None, 3, ["1"]), (3, 0, []), (3, 1, []), (3, 1, [])], key=str)
+
+
 def test_archive_reads_back(spark, sf):
     pages = {r["page_id"]: (r["html"] or "").encode() for r in table(spark, sf, "pages").collect()}
     rows = archive.op8(spark, sf).collect()
