@@ -24,6 +24,8 @@ CACHE_ENTRIES = 250_000
 TEXT_ROWS = 2_000
 #: Parts into which the rows of one key are dealt.
 SALTS = 32
+#: A key is hot with more than HOT_ROWS rows and more than one in MOST_HOT of all, so at most MOST_HOT are.
+HOT_ROWS, MOST_HOT = 10_000, 1_000
 
 try:
     _LIBC = ctypes.CDLL(None)
@@ -72,6 +74,27 @@ def group_value(rows: DataFrame, key: str, by: tuple[str, ...], value: Column, m
     return salted.join(part.select(key, "__salt").join(total, key), [key, "__salt"]).drop("__salt")
 
 
+def hot_keys(sizes: DataFrame, key: str, total: int) -> DataFrame | None:
+    """Of ``sizes`` (key, n) the keys with so many of ``total`` rows that one task should not get them.
+
+    They are at most MOST_HOT, so they fit in the driver; None if there are none.
+    """
+    found = sizes.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).select(key).collect()
+    return sizes.sparkSession.createDataFrame(found, sizes.select(key).schema) if found else None
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (one light row a key); rows of hot keys stay where they are.
+
+    ``hot`` comes from ``hot_keys``, so what is broadcast is bounded by MOST_HOT rows.
+    """
+    if hot is None:
+        return rows.join(side, key)
+    often = side.join(F.broadcast(hot), key, "left_semi")
+    seldom = rows.join(F.broadcast(hot), key, "left_anti").join(side, key)
+    return rows.join(F.broadcast(often), key).select(*seldom.columns).union(seldom)
+
+
 def held_out(doc_id):
     """Rows that no training may see: crc32(doc_id as text) mod 5 is 0 (a null id is never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -123,22 +146,28 @@ def trimmed(run: Callable) -> Callable:
 
 
 def modest(spark: SparkSession) -> None:
-    """Texts may be long: workers of this session get at most TEXT_ROWS of them in one Arrow batch."""
+    """Texts may be long: workers of this session get at most TEXT_ROWS of them in one Arrow batch.
+
+    The setting stays, for the frames that operators return run later; the session's bound on a
+    batch's bytes holds besides.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > TEXT_ROWS or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, TEXT_ROWS)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for the jobs that run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int, size: int):
+    """Arrow batches of at most so many rows and, about, so many bytes for the jobs that run inside."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class HashCache(dict):
