@@ -1,10 +1,10 @@
 """Token-id output: Arrow IPC files whose batches hold equal-length sequences and their masks.
 
 Each task writes one file in the Arrow *file* format.  A file has two columns of fixed-size
-lists, ``ids`` and ``mask`` (a byte each, 1 for a real id and 0 for padding), and record batches
-of exactly ``batch_sequences`` rows (the last may be shorter), so sequence ``i`` is row
+lists, ``ids`` and ``mask`` (a bit per id, lowest first: 1 for a real id and 0 for padding; the
+bits of a sequence fill whole bytes), and record batches of exactly ``batch_sequences`` rows (the last may be shorter), so sequence ``i`` is row
 ``i % batch_sequences`` of batch ``i // batch_sequences``: a reader maps the file and gets numpy
-views of both without copying.  Ids stand in ascending ``doc_id`` order, within a file and over
+views of both without copying (``unpack`` makes booleans of a mask).  Ids stand in ascending ``doc_id`` order, within a file and over
 the files by number.  Files have about ``SHARD_BYTES`` of text each, whatever the input's size.
 """
 
@@ -29,7 +29,7 @@ BATCH_SEQUENCES = 256
 #: Texts are encoded together up to about this many characters.
 SLICE_CHARS = 2_000_000
 #: Bytes of text that go into one file, about.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 
 
 def default_tokenizer() -> str:
@@ -245,7 +245,7 @@ class ShardWriter:
     def __init__(self, sink, dtype: np.dtype, length: int, batch_sequences: int):
         self.dtype, self.length, self.rows = dtype, length, batch_sequences
         ids = pa.list_(pa.field("item", pa.from_numpy_dtype(dtype), nullable=False), length)
-        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length), nullable=False)])
+        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), -(-length // 8)), nullable=False)])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.left: list[np.ndarray] = []
         self.held = 0
@@ -261,7 +261,8 @@ class ShardWriter:
             self.left, self.held = [every[self.held // step * step :].copy()], self.held % step
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(values, type=field.type) for values, field in zip((pa.array(ids), pa.array((np.arange(len(ids)) < real).astype(np.uint8))), self.schema, strict=True)]
+        mask = np.packbits((np.arange(len(ids)) < real).reshape(-1, self.length), axis=1, bitorder="little").ravel()
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(values), type=field.type) for values, field in zip((ids, mask), self.schema, strict=True)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -285,17 +286,21 @@ class ShardReader:
         self.number, self.kept = -1, (np.zeros(0), np.zeros(0))
 
     def batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one record batch: views of the file's memory."""
+        """Ids and mask bits of one record batch: views of the file's memory."""
         if self.number != number:
             columns = self.reader.get_batch(number).columns
             self.number, self.kept = number, tuple(c.flatten().to_numpy(zero_copy_only=True) for c in columns)
         return self.kept
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i and its mask: views, too."""
-        at = i % self.rows * self.length
+        """Sequence i and its mask bits: views, too."""
+        at, wide = i % self.rows, -(-self.length // 8)
         ids, mask = self.batch(i // self.rows)
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at * self.length : (at + 1) * self.length], mask[at * wide : (at + 1) * wide]
+
+    def unpack(self, mask: np.ndarray) -> np.ndarray:
+        """The mask bits of a sequence as booleans."""
+        return np.unpackbits(mask, count=self.length, bitorder="little").astype(bool)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """The ids at places start to start + count, over the borders of batches."""
