@@ -7,100 +7,31 @@ Publication of an index with its chunk table is one such swap.
 
 from __future__ import annotations
 
-import json
-import tempfile
 import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.operators import chunking, dense, lexical
 from sheaf.schemas import SCHEMA_VERSION
+from sheaf.storage import CatalogError, Files, shared_folder, spark_array, written
 
-
-class CatalogError(RuntimeError):
-    """The stored state does not allow the operation."""
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; only local sessions without it get their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise CatalogError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sheaf-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Written as Parquet and read back, which ends its lineage."""
-    path = path or shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Files:
-    """The few file operations that snapshots need, through Hadoop's file systems."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root
-        self.fs = self._path("").getFileSystem(self.conf)
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(name))
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self._path(name), True)
-
-    def read_json(self, name: str) -> dict[str, Any] | None:
-        """A JSON object, or null where there is no file; anything else is refused."""
-        if not self.exists(name):
-            return None
-        stream = self.fs.open(self._path(name))
-        try:
-            text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            value = json.loads(text)
-        except ValueError as error:
-            raise CatalogError(f"{name} is no JSON") from error
-        if not isinstance(value, dict):
-            raise CatalogError(f"{name} must hold a JSON object")
-        return value
-
-    def write_json(self, name: str, value: dict[str, Any]) -> None:
-        """Written aside, then renamed over the old file."""
-        aside = f"{name}.{uuid.uuid4().hex}"
-        stream = self.fs.create(self._path(aside), True)
-        try:
-            stream.write(bytearray(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()))
-        finally:
-            stream.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf)
-        array = spark_array(self.jvm, rename, [rename.OVERWRITE])
-        options.rename(self._path(aside), self._path(name), array)
-
-
-def spark_array(jvm, kind, values):
-    """A Java array of the enum type with the given values."""
-    from pyspark import SparkContext
-
-    array = SparkContext._gateway.new_array(kind, len(values))
-    for i, v in enumerate(values):
-        array[i] = v
-    return array
+__all__ = ["Catalog", "CatalogError", "Files", "mapping_fingerprint", "migrate", "replaced", "shared_folder", "spark_array", "written"]
 
 
 class Catalog:
-    """The store: documents and chunks, replaced paper by paper, with guarded vector ids."""
+    """The store: documents, chunks and their lexical index, replaced paper by paper, with guarded vectors.
+
+    The pointer names the place of each table, so a snapshot holds what has changed and shares
+    the rest with the one before.
+    """
 
-    TABLES = ("documents", "chunks")
+    #: Tables that are divided by section type.
+    DIVIDED = ("postings", "lengths", "terms")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root.rstrip("/"))
@@ -108,43 +39,72 @@ class Catalog:
         if pointer is not None and pointer.get("schema_version") != SCHEMA_VERSION:
             raise CatalogError(f"schema version {pointer.get('schema_version')} is not {SCHEMA_VERSION}; migrate first")
 
+    def pointer(self) -> dict[str, Any]:
+        return self.files.read_json("current.json") or {}
+
     def current(self) -> str | None:
-        pointer = self.files.read_json("current.json")
-        return pointer and pointer["snapshot"]
+        return self.pointer().get("snapshot")
 
     def table(self, name: str) -> DataFrame | None:
-        at = self.current()
-        return self.spark.read.parquet(f"{self.root}/{at}/{name}") if at else None
+        place = self.pointer().get("tables", {}).get(name)
+        return place and self.spark.read.parquet(f"{self.root}/{place}")
+
+    def index(self) -> lexical.Index:
+        """The stored lexical index of all chunks."""
+        tables = [self.table(t) for t in self.DIVIDED]
+        if any(t is None for t in tables):
+            raise CatalogError("the store has no lexical index")
+        return lexical.Index(*tables)
+
+    def publish(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], name: str | None = None, drop: tuple[str, ...] = (), **facts: Any) -> str:
+        """Write the tables to a new snapshot, then point to it; other tables stay where they are.
+
+        A table may be a function of a reader of the tables written so far.
+        """
+        name = name or f"snapshot-{uuid.uuid4().hex}"
+        pointer = self.pointer()
+        places = {k: v for k, v in pointer.get("tables", {}).items() if k not in drop}
+
+        def read(key: str) -> DataFrame:
+            return self.spark.read.parquet(f"{self.root}/{places[key]}")
 
-    def publish(self, tables: dict[str, DataFrame], **facts: Any) -> str:
-        """Write all tables to a new snapshot, then point to it."""
-        name = f"snapshot-{uuid.uuid4().hex}"
         for key, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{key}")
-        self.files.write_json("current.json", {"snapshot": name, "schema_version": SCHEMA_VERSION, **facts})
+            writer = (df(read) if callable(df) else df).write
+            (writer.partitionBy("section_type") if key in self.DIVIDED else writer).parquet(f"{self.root}/{name}/{key}")
+            places[key] = f"{name}/{key}"
+        kept = {k: v for k, v in pointer.items() if k == "index" and "vectors" not in drop}
+        self.files.write_json("current.json", {**kept, "snapshot": name, "tables": places, "schema_version": SCHEMA_VERSION, **facts})
         return name
 
-    def import_papers(self, documents: DataFrame, chunks: DataFrame) -> str:
-        """Replace the given papers as a whole; refused for papers that have vectors."""
-        from sheaf.operators import chunking
+    def import_papers(self, documents: DataFrame, chunks: DataFrame, now: datetime | None = None) -> str:
+        """Replace the given papers as a whole, index their text; refused for papers that have vectors.
 
-        broken = chunking.violations(chunks).collect()
+        Documents get the time of their first import and of this one.  The new chunks are
+        written first and checked where they lie, so a broken import leaves the old state.
+        """
+        name = f"snapshot-{uuid.uuid4().hex}"
+        fresh = written(chunks, f"{self.root}/{name}/incoming")
+        broken = chunking.violations(fresh).collect()
         if broken:
             raise CatalogError("chunks break rules: " + ", ".join(sorted(r["rule"] for r in broken)))
-        if documents.select("paper_id").join(chunks.select("paper_id").distinct(), "paper_id", "left_anti").limit(1).count():
+        if documents.select("paper_id").join(fresh.select("paper_id").distinct(), "paper_id", "left_anti").limit(1).count():
             raise CatalogError("a document has no chunks")
-        old_documents, old_chunks = self.table("documents"), self.table("chunks")
-        if old_chunks is None:
-            return self.publish({"documents": documents, "chunks": chunks})
-        hit = old_chunks.where("vector_id is not null").join(documents.select("paper_id"), "paper_id", "left_semi")
-        if hit.limit(1).count():
-            raise CatalogError("a paper to replace has vectors; reset them first")
-        return self.publish({"documents": replaced(old_documents, documents), "chunks": replaced(old_chunks, chunks)})
-
-    def assign_vectors(self, assignments: DataFrame) -> str:
+        time = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
+        documents = documents.drop("ingested_at", "updated_at").withColumns({"ingested_at": time, "updated_at": time})
+        old = {t: self.table(t) for t in ("documents", "chunks", "postings", "lengths")}
+        tables = {"documents": documents, "chunks": fresh, "postings": lexical.postings(fresh), "lengths": lexical.lengths(fresh)}
+        if old["chunks"] is not None:
+            hit = old["chunks"].where("vector_id is not null").join(documents.select("paper_id"), "paper_id", "left_semi")
+            if hit.limit(1).count():
+                raise CatalogError("a paper to replace has vectors; reset them first")
+            before = old["documents"].select("paper_id", F.col("ingested_at").alias("__first"))
+            tables["documents"] = documents.join(before, "paper_id", "left").withColumn("ingested_at", F.coalesce("__first", "ingested_at")).select(*documents.columns)
+            papers = documents.select("paper_id").distinct()
+            tables = {t: replaced(old[t], df, papers) for t, df in tables.items()}
+        return self.publish({**tables, "terms": lambda read: lexical.term_counts(read("postings"))}, name)
+
+    def assign_vectors(self, assignments: DataFrame, vectors: DataFrame | None = None, **facts: Any) -> str:
         """Set vector ids (chunk_id, vector_id, text_sha256) after checking that they fit exactly."""
-        from sheaf.operators import dense
-
         chunks = self.table("chunks")
         if chunks is None:
             raise CatalogError("the store is empty")
@@ -156,39 +116,83 @@ class Catalog:
             raise CatalogError("the artifact does not fit the stored chunks")
         ids = assignments.select("chunk_id", "vector_id")
         fresh = chunks.drop("vector_id").join(ids, "chunk_id", "left").select(*chunks.columns)
-        return self.publish({"documents": self.table("documents"), "chunks": fresh})
+        return self.publish({"chunks": fresh, **({"vectors": vectors} if vectors is not None else {})}, **facts)
 
     def reset_vectors(self) -> int:
-        """Clear all vector ids; returns how many there were."""
+        """Clear all vector ids and drop the vectors; returns how many ids there were."""
         chunks = self.table("chunks")
         if chunks is None:
             return 0
         n = chunks.where("vector_id is not null").count()
         cleared = chunks.withColumn("vector_id", F.lit(None).cast(chunks.schema["vector_id"].dataType))
-        self.publish({"documents": self.table("documents"), "chunks": cleared})
+        self.publish({"chunks": cleared}, drop=("vectors",))
         return n
 
-    def recover(self, actual: DataFrame, journal: str = "pending.json") -> str:
+    def publish_index(self, embedded: DataFrame, dimension: int, journal: str = "pending.json", stop: str | None = None) -> str:
+        """Publish vectors (chunk_id, paper_id, chunk_index, embedding_text, embedding) of all content chunks.
+
+        The numbered vectors are written and checked first; then the journal names them and
+        their mapping's fingerprint; then one swap of the pointer brings vectors and vector ids
+        together; then the journal goes.  ``recover`` finishes what was cut short between.
+        ``stop`` ends after the journal or the swap, for tests of recovery.
+        """
+        rows = embedded.select("paper_id", "chunk_index", "chunk_id", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("text_sha256"), "embedding")
+        numbered = dense.number_rows(rows, "paper_id", "chunk_index").select("vector_id", "chunk_id", "text_sha256", "embedding")
+        place = f"{self.root}/index-{uuid.uuid4().hex}"
+        stored = written(numbered, place)
+        if bad := dense.invalid(stored, dimension).limit(1).collect():
+            raise CatalogError(f"vector {bad[0]['vector_id']} is not valid: {bad[0]['problem']}")
+        facts = {"fingerprint": mapping_fingerprint(stored), "dimension": dimension, "count": stored.count()}
+        self.files.write_json(journal, {"mapping": place, "fingerprint": facts["fingerprint"]})
+        if stop == "journal":
+            return place
+        name = self.assign_vectors(stored.select("chunk_id", "vector_id", "text_sha256"), stored, index=facts)
+        if stop != "swap":
+            self.files.delete(journal)
+        return name
+
+    def rebuild_index(self, embedded: DataFrame, dimension: int) -> str:
+        """Reset and publish anew; the embedded rows must not depend on the stored vector ids."""
+        embedded = written(embedded)
+        self.reset_vectors()
+        return self.publish_index(embedded, dimension)
+
+    def verify_index(self) -> DataFrame:
+        """problem, n: where chunks, vectors and the recorded fingerprint differ; no rows when all fit."""
+        chunks, vectors, facts = self.table("chunks"), self.table("vectors"), self.pointer().get("index")
+        if chunks is None or vectors is None or facts is None:
+            raise CatalogError("no index is published")
+        have = chunks.where("vector_id is not null").select("vector_id", "chunk_id")
+        parts = [
+            dense.mapping_differences(have, vectors.select("vector_id", "chunk_id")).select(F.lit("mapping").alias("problem")),
+            dense.staleness(chunks, vectors).select("problem"),
+            dense.invalid(vectors, facts["dimension"]).select(F.concat(F.lit("vector: "), "problem").alias("problem")),
+        ]
+        if mapping_fingerprint(have) != facts["fingerprint"]:
+            parts.append(self.spark.range(1).select(F.lit("fingerprint").alias("problem")))
+        if vectors.count() != facts["count"]:
+            parts.append(self.spark.range(1).select(F.lit("count").alias("problem")))
+        return reduce(DataFrame.union, parts).groupBy("problem").agg(F.count("*").alias("n"))
+
+    def recover(self, actual: DataFrame | None = None, journal: str = "pending.json") -> str:
         """Finish or discard a publication that was cut short: none, discarded or published.
 
-        The journal names the mapping's snapshot folder and its fingerprint.  No vector ids in
-        the store: the publication never took place.  The same mapping: it did.  Anything else
+        The journal names the mapping's folder and its fingerprint.  No vector ids in the
+        store: the publication never took place.  The same mapping: it did.  Anything else
         is an error, and so is a table whose fingerprint differs from the journal's.
         """
-        from sheaf.operators import dense
-
         pending = self.files.read_json(journal)
         if pending is None:
             return "none"
         if missing := {"mapping", "fingerprint"} - set(pending):
             raise CatalogError(f"the journal lacks {', '.join(sorted(missing))}")
+        actual = self.table("chunks") if actual is None else actual
         have = actual.where("vector_id is not null").select("vector_id", "chunk_id")
         if not have.limit(1).count():
             self.files.delete(journal)
             return "discarded"
         expected = self.spark.read.parquet(pending["mapping"])
-        line = F.concat_ws("|", F.col("vector_id").cast("string"), "chunk_id")
-        if dense.fingerprint(expected, line, "vector_id", "chunk_id").first()["fingerprint"] != pending["fingerprint"]:
+        if mapping_fingerprint(expected) != pending["fingerprint"]:
             raise CatalogError("the pending mapping was changed")
         if dense.mapping_differences(have, expected).limit(1).count():
             raise CatalogError("the stored mapping is not the pending one")
@@ -196,9 +200,16 @@ class Catalog:
         return "published"
 
 
-def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All rows of old whose paper is not in new, and all of new."""
-    return old.join(new.select("paper_id").distinct(), "paper_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def mapping_fingerprint(mapping: DataFrame) -> str:
+    """The digest of a mapping (vector_id, chunk_id) in order of its ids."""
+    line = F.concat_ws("|", F.col("vector_id").cast("string"), "chunk_id")
+    return dense.fingerprint(mapping, line, "vector_id", "chunk_id").first()["fingerprint"]
+
+
+def replaced(old: DataFrame, new: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+    """All rows of old whose paper is not in new (or in ``papers``), and all of new."""
+    gone = new.select("paper_id").distinct() if papers is None else papers
+    return old.join(gone, "paper_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def migrate(chunks: DataFrame, version: int, blocks: DataFrame | None = None) -> DataFrame:

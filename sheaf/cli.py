@@ -56,11 +56,8 @@ def main(argv: list[str] | None = None) -> int:
     held = catalog.Catalog(spark, args.store)
     if args.verb == "import":
         docs = spark.read.parquet(args.documents)
-        best = docs.groupBy(chunking.paper_id(F.col("text")).alias("paper_id")).agg(F.max(F.struct("doc_id", "source", "text")).alias("d"))
-        title = F.array_join(F.slice(F.split(F.trim("d.text"), r"\s+"), 1, 6), " ")
-        papers = best.select("paper_id", title.alias("paper_title"), F.col("d.source").alias("source"), "d.text")
-        chunks = chunking.build(papers.select("paper_id", "paper_title", "source", fixtures.items_of(F.col("text")).alias("items")), fixtures.BUDGET)
-        held.import_papers(papers.drop("text"), chunks.withColumn("vector_id", F.lit(None).cast("long")))
+        sources = fixtures.distinct_papers(docs)
+        held.import_papers(sources.drop("text"), fixtures.built(sources).withColumn("vector_id", F.lit(None).cast("long")))
         return 0
     chunks = held.table("chunks")
     if chunks is None:
@@ -70,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         store.histogram(chunks, "section").show(truncate=False)
     elif args.verb == "search":
         questions = spark.createDataFrame([(0, [args.question])], "qid long, texts array<string>")
-        lexical.search(chunks.where("section_type = 'content'"), questions, args.k).show(truncate=False)
+        lexical.search(held.index().of("content"), questions, args.k).show(truncate=False)
     elif args.reset:
         print(held.reset_vectors())
     elif args.verify:

@@ -7,9 +7,22 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their bases, by the rule of canonical decomposition.
-_ACCENTED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-_FROM, _TO = ("".join(x) for x in zip(*_ACCENTED, strict=True))
+def _accented() -> dict[str, str]:
+    """Latin letters with accents and their bases a to z, by the rule of canonical decomposition."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        whole = unicodedata.normalize("NFD", chr(code))
+        if len(whole) > 1 and whole[0].isascii() and whole[0].isalpha():
+            out[chr(code)] = whole[0]
+    return out
+
+
+# Marks that are dropped, in a term or after it; other marks end a term.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+# Letters that are folded with others, beyond lower case; the two accented ones stay.
+VARIANTS, FOLDED, KEPT = "µſςϐϑϕϖϰϱϵ", "μsσβθφπκρε", "ǠǡǢǣ"
+_ACCENTED = {k: v for k, v in _accented().items() if k not in KEPT}
+_FROM, _TO = "".join(_ACCENTED) + VARIANTS + MARKS, "".join(_ACCENTED.values()) + FOLDED
 
 # Headings that make a section a bibliography.
 BIBLIOGRAPHY_HEADINGS = ("references", "bibliography", "works cited", "literature cited")
@@ -34,7 +47,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower-cased, accents stripped."""
+    """Lower-cased, accents stripped, whether they are part of a letter or marks of their own."""
     return F.translate(F.lower(text), _FROM, _TO)
 
 

@@ -6,12 +6,16 @@ array, so chunking needs no shuffle beyond the one that gathers a paper's items.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.config import Chunking
 from sheaf.functions import text as X
+from sheaf.operators import layout
 
-ITEM = "struct<section:string,text:string,tokens:int,page:int>"
 CHUNK = "struct<section:string,text:string,tokens:int,first:int,last:int>"
 
 
@@ -24,15 +28,30 @@ def chunk_id(paper: Column, index: Column) -> Column:
     return F.format_string("%s_chunk_%04d", paper, index)
 
 
-def split_oversize(items: Column, budget: int) -> Column:
-    """Items with more words than the budget are cut into windows of so many words."""
+def split_oversize(items: Column, budget: int, headers: bool = False) -> Column:
+    """Items with more words than the budget are cut into windows of so many words.
+
+    With ``headers`` items have a field ``header``, a table's heading row or null: it stands
+    again at the start of each further window, which has room for fewer words then.
+    """
 
     def cut(item: Column) -> Column:
         words = F.split(X.squeeze(item["text"]), " ")
-        windows = F.sequence(F.lit(0), F.ceil(item["tokens"] / budget).cast("int") - 1)
-        part = lambda k: F.slice(words, k * budget + 1, budget)
-        pieces = F.transform(windows, lambda k: F.struct(item["section"].alias("section"), F.array_join(part(k), " ").alias("text"), F.size(part(k)).alias("tokens"), item["page"].alias("page")))
-        return F.when(item["tokens"] > budget, pieces).otherwise(F.array(item))
+        head = F.coalesce(item["header"], F.lit("")) if headers else F.lit("")
+        again = F.when(X.squeeze(head) == "", 0).otherwise(F.size(F.split(X.squeeze(head), " ")))
+        # a heading that fills the budget is not repeated
+        again = F.when(again * 2 <= budget, again).otherwise(0)
+        step = F.lit(budget) - again
+        windows = F.sequence(F.lit(0), F.greatest(F.ceil((item["tokens"] - budget) / step), F.lit(0)).cast("int"))
+        part = lambda k: F.when(k == 0, F.slice(words, F.lit(1), F.lit(budget))).otherwise(F.slice(words, F.lit(budget + 1) + (k - 1) * step, step))
+
+        def piece(k: Column) -> Column:
+            repeats = (k > 0) & (again > 0)
+            text = F.when(repeats, F.concat(head, F.lit("\n"), F.array_join(part(k), " "))).otherwise(F.array_join(part(k), " "))
+            return F.struct(item["section"].alias("section"), text.alias("text"), (F.size(part(k)) + F.when(repeats, again).otherwise(0)).alias("tokens"), item["page"].alias("page"))
+
+        whole = F.struct(*(item[c].alias(c) for c in ("section", "text", "tokens", "page")))
+        return F.when(item["tokens"] > budget, F.transform(windows, piece)).otherwise(F.array(whole))
 
     return F.flatten(F.transform(items, cut))
 
@@ -51,18 +70,22 @@ def pack(items: Column, budget: int) -> Column:
     return F.aggregate(items, empty, step)
 
 
-def build(papers: DataFrame, budget: int, reserve: int = 64) -> DataFrame:
+def build(papers: DataFrame, max_tokens: int, reserve: int = 64, blocks: DataFrame | None = None) -> DataFrame:
     """Chunks of papers (paper_id, paper_title, source, items), with identity, links and types.
 
-    Chunks without text are dropped before numbering, and so are bare article labels without a
-    section.
+    ``reserve`` tokens of a chunk's most are left for what is embedded with its text.  Chunks
+    without text are dropped before numbering, and so are bare article labels without a
+    section.  With front-matter ``blocks`` (as of layout.front_matter_blocks) the chunks of
+    their sections and pages are front matter of their type; the others are body.
     """
-    packed = papers.select("paper_id", "paper_title", "source", pack(split_oversize(F.col("items"), budget), budget).alias("chunks"))
+    budget = max_tokens - reserve
+    headers = "header" in papers.schema["items"].dataType.elementType.fieldNames()
+    packed = papers.select("paper_id", "paper_title", "source", pack(split_oversize(F.col("items"), budget, headers), budget).alias("chunks"))
     kept = F.filter("chunks", lambda c: (F.length(F.trim(c["text"])) > 0) & ~is_layout_noise(c["section"], c["tokens"], c["text"]))
     rows = packed.select("paper_id", "paper_title", "source", F.posexplode(kept).alias("chunk_index", "c"), F.size(kept).alias("n"))
     index = F.col("chunk_index")
     embedded = X.embedding_text(F.col("paper_title"), F.col("c.section"), F.col("c.text"))
-    return rows.select(
+    chunks = rows.select(
         chunk_id(F.col("paper_id"), index).alias("chunk_id"),
         "paper_id",
         "paper_title",
@@ -77,10 +100,39 @@ def build(papers: DataFrame, budget: int, reserve: int = 64) -> DataFrame:
         X.word_count(embedded).cast("long").alias("embedding_token_count"),
         F.when(index > 0, chunk_id(F.col("paper_id"), index - 1)).alias("prev_chunk_id"),
         F.when(index < F.col("n") - 1, chunk_id(F.col("paper_id"), index + 1)).alias("next_chunk_id"),
-        F.lit("body").alias("content_kind"),
-        F.lit(None).cast("string").alias("front_matter_type"),
-        F.when(X.is_bibliography(F.col("c.section")), "bibliography").otherwise("content").alias("section_type"),
     )
+    if blocks is None:
+        typed = chunks.withColumn("front_matter_type", F.lit(None).cast("string"))
+    else:
+        # a paper has a handful of blocks and they share its key; chunks carry no text into the match
+        kinds = layout.front_matter_types(chunks.select("chunk_id", "paper_id", "section", "page_start", "page_end"), blocks)
+        typed = chunks.join(kinds, "chunk_id", "left")
+    body = F.col("front_matter_type").isNull()
+    return typed.select(
+        *chunks.columns,
+        F.when(body, "body").otherwise("front_matter").alias("content_kind"),
+        "front_matter_type",
+        F.when(body & X.is_bibliography(F.col("section")), "bibliography").otherwise("content").alias("section_type"),
+    )
+
+
+class Chunker(Protocol):
+    """What turns papers (paper_id, paper_title, source, items) into chunks; ``chunker_id`` goes into the documents."""
+
+    chunker_id: str
+
+    def chunk(self, papers: DataFrame, blocks: DataFrame | None = None) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class StructureChunker:
+    """The chunker of this module with its settings."""
+
+    settings: Chunking = Chunking()
+    chunker_id: str = "structure_v1"
+
+    def chunk(self, papers: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        return build(papers, self.settings.max_tokens, self.settings.metadata_reserve, blocks)
 
 
 def is_layout_noise(section: Column, tokens: Column, text: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.catalog import written
+from sheaf.storage import written
 from sheaf.functions import vector as V
 
 #: Query vectors that one pass holds; more are searched in several passes.

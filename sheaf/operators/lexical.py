@@ -1,8 +1,14 @@
 """Positional inverted index and BM25 over phrases, natively.
 
-``postings`` holds a row per term occurrence (id, col, pos, term); ``lengths`` one row per
-chunk.  A phrase occurs where the places of its terms, less their offsets, meet; occurrences
-may overlap and never span columns.  The score of a phrase p in a document D is
+The index is three tables, stored with the chunks and read by every search: ``postings`` (a row
+per term, chunk and column, with the term's places), ``lengths`` (terms of each chunk) and
+``terms`` (how many chunks have a term, and how many rows).  All are divided by section type.
+Postings are dealt by ranges of term and chunk, so a very common term's rows lie in several
+files and no task has all of them.
+
+A phrase occurs where the places of its terms, less their offsets, meet; occurrences may overlap
+and never span columns.  A phrase of several terms starts from its rarest one: only chunks that
+have this one are looked up for the others.  The score of a phrase p in a document D is
 
     -idf(p) * f * (k1 + 1) / (f + k1 * (1 - b + b * |D| / avgdl)),
 
@@ -15,6 +21,8 @@ where the term set is small (the planner checks its size).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +33,54 @@ COLUMNS = ("paper_title", "section", "raw_text")
 LEAST_IDF = 1e-6
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """id, col, pos, term of every term of the three indexed columns."""
+@dataclass(frozen=True)
+class Index:
+    """The three tables of an index, whole or of one section type."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+
+    def of(self, section_type: str) -> Index:
+        part = F.col("section_type") == section_type
+        return Index(self.postings.where(part), self.lengths.where(part), self.terms.where(part))
+
+
+def _owned(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are indexed; without papers and types they are content of one paper."""
+    lacking = [c for c in ("paper_id", "section_type") if c not in chunks.columns]
+    return chunks.withColumns({c: F.lit("content" if c == "section_type" else "") for c in lacking}) if lacking else chunks
+
+
+def places(chunks: DataFrame) -> DataFrame:
+    """section_type, paper_id, id, col, pos, term of every term of the three indexed columns."""
     columns = F.array(*(F.struct(F.lit(i).alias("col"), X.tokens(F.col(c)).alias("terms")) for i, c in enumerate(COLUMNS)))
-    flat = chunks.select(F.col("chunk_id").alias("id"), F.explode(columns).alias("c"))
-    return flat.select("id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
+    flat = _owned(chunks).select("section_type", "paper_id", F.col("chunk_id").alias("id"), F.explode(columns).alias("c"))
+    return flat.select("section_type", "paper_id", "id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """section_type, paper_id, term, id, col, positions; one shuffle, by ranges of term and chunk."""
+    ranged = places(chunks).repartitionByRange("term", "id")
+    grouped = ranged.groupBy("term", "id", "section_type", "paper_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return grouped.sortWithinPartitions("section_type", "term", "id").select("section_type", "paper_id", "term", "id", "col", "positions")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    """id and number of terms over all indexed columns."""
+    """section_type, paper_id, id and number of terms over all indexed columns."""
     total = sum((F.size(X.tokens(F.col(c))) for c in COLUMNS), F.lit(0))
-    return chunks.select(F.col("chunk_id").alias("id"), total.alias("len"))
+    return _owned(chunks).select("section_type", "paper_id", F.col("chunk_id").alias("id"), total.alias("len"))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """section_type, term, df (chunks that have it) of postings."""
+    return rows.groupBy("section_type", "term").agg(F.count_distinct("id").alias("df"))
+
+
+def index(chunks: DataFrame) -> Index:
+    """An index that is not stored, for a few chunks."""
+    rows = postings(chunks)
+    return Index(rows, lengths(chunks), term_counts(rows))
 
 
 def stats(sizes: DataFrame) -> DataFrame:
@@ -50,24 +95,35 @@ def phrases(queries: DataFrame) -> DataFrame:
     return split.select("qid", "pid", F.size("terms").alias("terms"), F.posexplode("terms").alias("off", "term"))
 
 
-def occurrences(index: DataFrame, wanted: DataFrame) -> DataFrame:
+def occurrences(stored: Index, wanted: DataFrame) -> DataFrame:
     """qid, pid, id, col and the number of occurrences of each phrase."""
-    met = index.join(wanted, "term").groupBy("qid", "pid", "id", "col", (F.col("pos") - F.col("off")).alias("start"), "terms").agg(F.count("*").alias("n"))
-    return met.where("n = terms").groupBy("qid", "pid", "id", "col").agg(F.count("*").alias("tf"))
-
-
-def scores(index: DataFrame, sizes: DataFrame, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
-    """qid, id, score of all chunks with any phrase of the query."""
+    rows = stored.postings.select("term", "id", "col", "positions")
+    single = rows.join(wanted.where("terms = 1").select("qid", "pid", "term"), "term").select("qid", "pid", "id", "col", F.size("positions").alias("tf"))
+    # a phrase with a term that no chunk has is dropped here
+    by = Window.partitionBy("qid", "pid")
+    known = wanted.where("terms > 1").join(stored.terms.select("term", "df"), "term")
+    ranked = known.withColumn("n", F.row_number().over(by.orderBy("df", "off"))).withColumn("have", F.count("*").over(by)).where("have = terms")
+    starts = F.transform("positions", lambda p: p - F.col("off")).alias("starts")
+    first = rows.join(ranked.where("n = 1").select("qid", "pid", "term", "off", "terms"), "term").select("qid", "pid", "id", "col", "terms", starts)
+    others = ranked.where("n > 1").select("qid", "pid", "term", "off").join(first.select("qid", "pid", "id", "col", "terms"), ["qid", "pid"])
+    rest = rows.join(others, ["term", "id", "col"]).select("qid", "pid", "id", "col", "terms", starts)
+    met = first.unionByName(rest).groupBy("qid", "pid", "id", "col", "terms").agg(F.collect_list("starts").alias("every")).where(F.size("every") == F.col("terms"))
+    shared = F.aggregate(F.slice("every", F.lit(2), F.col("terms")), F.get("every", F.lit(0)), F.array_intersect)
+    return single.unionByName(met.select("qid", "pid", "id", "col", F.size(shared).alias("tf")).where("tf > 0"))
+
+
+def scores(stored: Index, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
+    """qid, id, paper_id, score of all chunks with any phrase of the query."""
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in (settings.title_weight, settings.section_weight, settings.text_weight))), F.col("col") + 1)
-    found = occurrences(index, phrases(queries)).groupBy("qid", "pid", "id").agg(F.sum(weight * F.col("tf")).alias("f"))
+    found = occurrences(stored, phrases(queries)).groupBy("qid", "pid", "id").agg(F.sum(weight * F.col("tf")).alias("f"))
     spread = found.groupBy("qid", "pid").agg(F.count("*").alias("df"))
-    totals = stats(sizes)
+    totals = stats(stored.lengths)
     raw = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     k1, b = settings.k1, settings.b
     part = -idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    joined = found.join(spread, ["qid", "pid"]).join(sizes, "id").join(F.broadcast(totals))
-    return joined.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    joined = found.join(spread, ["qid", "pid"]).join(stored.lengths.select("id", "paper_id", "len"), "id").join(F.broadcast(totals))
+    return joined.groupBy("qid", "id", "paper_id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -76,13 +132,11 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, settings: Bm25 = Bm25()) -> DataFrame:
-    """BM25 of queries (qid, texts) over the chunks: the k best per query."""
-    return top(scores(postings(chunks), lengths(chunks), queries, settings), k)
+def search(stored: Index, queries: DataFrame, k: int, settings: Bm25 = Bm25()) -> DataFrame:
+    """BM25 of queries (qid, texts) over an index: the k best per query."""
+    return top(scores(stored, queries, settings).drop("paper_id"), k)
 
 
-def search_scoped(chunks: DataFrame, queries: DataFrame, k: int, settings: Bm25 = Bm25()) -> DataFrame:
+def search_scoped(stored: Index, queries: DataFrame, k: int, settings: Bm25 = Bm25()) -> DataFrame:
     """As search, for queries (qid, texts, paper_id): hits of that paper only, statistics of all chunks."""
-    scored = scores(postings(chunks), lengths(chunks), queries, settings)
-    owners = chunks.select(F.col("chunk_id").alias("id"), "paper_id")
-    return top(scored.join(owners, "id").join(queries.select("qid", "paper_id"), ["qid", "paper_id"]).drop("paper_id"), k)
+    return top(scores(stored, queries, settings).join(queries.select("qid", "paper_id"), ["qid", "paper_id"]).drop("paper_id"), k)

@@ -6,6 +6,9 @@ papers with four or more is a reference list.  Equal texts are one paper (the la
 stays).  Chunks in order of paper and place get the stored vectors in order of vec_id.  A
 benchmark item is a question; its three rarest words, by spelling length and then by letters,
 are its keywords; its second question vector is the one 40 places on.
+
+The chunks, with the vector ids of their content, and the lexical index are published once per
+application and folder of tables; queries read that store.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from pyspark.sql import functions as F
 
 from sheaf import catalog
 from sheaf.functions import text as X
-from sheaf.operators import chunking, dense
+from sheaf.operators import chunking, dense, layout
 
-BUDGET = 96
+MAX_TOKENS, RESERVE = 160, 64
+BUDGET = MAX_TOKENS - RESERVE
 SECTION_NAMES = ("Abstract", "1. Introduction", "2. Background", "3. Sparse flow", "4. Experiments", "5. Results and discussion", "6. Conclusion")
 KEYWORDS = 3
 
@@ -27,11 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_papers(table(spark, sf_dir, "documents"))
+
+
+def distinct_papers(documents: DataFrame) -> DataFrame:
     """paper_id, doc_id, paper_title, source, text: one row per distinct text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    best = docs.groupBy(chunking.paper_id(F.col("text")).alias("paper_id")).agg(F.max(F.struct("doc_id", "source", "text")).alias("d"))
-    title = F.array_join(F.slice(F.split(X.squeeze("d.text"), " "), 1, 6), " ")
-    return best.select("paper_id", "d.doc_id", title.alias("paper_title"), "d.source", "d.text")
+    docs = documents.select("doc_id", "text", "source").withColumn("paper_id", chunking.paper_id(F.col("text")))
+    # the copies are told apart by ids alone; each text is joined once
+    best = docs.groupBy("paper_id").agg(F.max("doc_id").alias("doc_id"))
+    title = F.array_join(F.slice(F.split(X.squeeze("text"), " "), 1, 6), " ")
+    return docs.join(best, ["paper_id", "doc_id"]).select("paper_id", "doc_id", title.alias("paper_title"), "source", "text")
 
 
 def items_of(text):
@@ -47,16 +56,47 @@ def items_of(text):
     return F.transform(lines, item)
 
 
+def layout_items(sources: DataFrame) -> DataFrame:
+    """paper_id, pos, label, text, page of papers with items: each section's name stands as a heading before its first item."""
+    rows = sources.select("paper_id", F.posexplode("items").alias("at", "x"), F.col("items"))
+    before = F.get("items", F.col("at") - 1)["section"]
+    heading = F.struct((2 * F.col("at")).alias("pos"), F.lit("SECTION_HEADER").alias("label"), F.col("x.section").alias("text"), F.col("x.page").alias("page"))
+    own = F.struct((2 * F.col("at") + 1).alias("pos"), F.lit("TEXT").alias("label"), F.col("x.text").alias("text"), F.col("x.page").alias("page"))
+    both = F.when(F.col("x.section").eqNullSafe(before), F.array(own)).otherwise(F.array(heading, own))
+    return rows.select("paper_id", F.explode(both).alias("i")).select("paper_id", "i.*")
+
+
+def built(sources: DataFrame) -> DataFrame:
+    """The chunks of papers (paper_id, paper_title, source, text), with their front matter."""
+    with_items = sources.select("paper_id", "paper_title", "source", items_of(F.col("text")).alias("items"))
+    return chunking.build(with_items, MAX_TOKENS, RESERVE, layout.front_matter_blocks(layout_items(with_items)))
+
+
+_STORES: dict[tuple[str, str], catalog.Catalog] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """The store of the tables in a folder: papers, chunks, lexical index, vector ids of the content."""
+    key = spark.sparkContext.applicationId, sf_dir
+    held = _STORES.get(key)
+    if held is None or held.current() is None:
+        held = catalog.Catalog(spark, catalog.shared_folder(spark))
+        sources = papers(spark, sf_dir)
+        held.import_papers(sources.drop("text"), built(sources).withColumn("vector_id", F.lit(None).cast("long")))
+        content = held.table("chunks").where("section_type = 'content'")
+        line = F.sha2(F.col("embedding_text").cast("binary"), 256).alias("text_sha256")
+        held.assign_vectors(catalog.written(dense.number_rows(content.select("paper_id", "chunk_index", "chunk_id", line), "paper_id", "chunk_index")))
+        _STORES[key] = held
+    return held
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = papers(spark, sf_dir).select("paper_id", "paper_title", "source", items_of(F.col("text")).alias("items"))
-    return chunking.build(source, BUDGET)
+    return store(spark, sf_dir).table("chunks")
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content chunks with vector ids 1, 2, ... in order of paper and place."""
-    rows = chunks(spark, sf_dir).where("section_type = 'content'")
-    # stored once, as every search reads it
-    return catalog.written(dense.number_rows(rows, "paper_id", "chunk_index"))
+    return chunks(spark, sf_dir).where("section_type = 'content'")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

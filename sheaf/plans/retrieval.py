@@ -34,7 +34,7 @@ def papers_dedup(spark, d):
 
 @query("chunk_build", with_chunks() + "SELECT chunk_id, paper_id, chunk_index, section, section_type, CAST(raw_token_count AS BIGINT) AS raw_token_count, page_start, page_end, sha256(raw_text) AS text_sha256 FROM chunks")
 def chunk_build(spark, d):
-    return fx.chunks(spark, d).select("chunk_id", "paper_id", "chunk_index", "section", "section_type", "raw_token_count", "page_start", "page_end", F.sha2(F.col("raw_text").cast("binary"), 256).alias("text_sha256"))
+    return fx.built(fx.papers(spark, d)).select("chunk_id", "paper_id", "chunk_index", "section", "section_type", "raw_token_count", "page_start", "page_end", F.sha2(F.col("raw_text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query("chunk_links", with_chunks() + "SELECT chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM chunks WINDOW w AS (PARTITION BY paper_id ORDER BY chunk_index)")
@@ -76,34 +76,41 @@ def row_counts(spark, d):
     return store.row_counts(documents=fx.papers(spark, d), chunks=fx.chunks(spark, d))
 
 
-@query("import_summary", with_chunks() + "SELECT paper_id, count(*) AS n_chunks, 0::BIGINT AS n_front_matter, count(*) FILTER (section_type = 'bibliography') AS n_bibliography FROM chunks GROUP BY paper_id")
+@query("import_summary", with_chunks() + "SELECT paper_id, count(*) AS n_chunks, count(*) FILTER (section = 'Abstract') AS n_front_matter, count(*) FILTER (section_type = 'bibliography') AS n_bibliography FROM chunks GROUP BY paper_id")
 def import_summary(spark, d):
     return store.import_summary(fx.chunks(spark, d))
 
 
-@query("section_lookup", with_chunks() + "SELECT c.chunk_id, c.paper_id, c.section, c.chunk_index, 'doc-' || p.doc_id AS source_filename FROM chunks c JOIN papers p USING (paper_id) WHERE section_type = 'content' AND section = '1. Introduction' AND p.doc_id % 2 = 0")
+@query("section_lookup", with_chunks() + "SELECT c.chunk_id, c.paper_id, c.section, c.chunk_index, 'doc-' || p.doc_id AS source_filename FROM chunks c JOIN papers p USING (paper_id) WHERE section_type = 'content' AND section = '1. Introduction'")
 def section_lookup(spark, d):
     documents = fx.papers(spark, d).select("paper_id", F.concat(F.lit("doc-"), "doc_id").alias("source_filename"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"), "doc_id")
-    wanted = documents.where("doc_id % 2 = 0").select("paper_id", F.lit("1. Introduction").alias("section"))
+    wanted = documents.select("paper_id", F.lit("1. Introduction").alias("section"))
     return store.in_section(fx.chunks(spark, d), documents, wanted).select("chunk_id", "paper_id", "section", "chunk_index", "source_filename")
 
 
 @query("tokenize", with_chunks(TERMS_SQL) + "SELECT id, col, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(term, ' ' ORDER BY pos)) AS sha FROM terms GROUP BY id, col")
 def tokenize(spark, d):
-    rows = lexical.postings(fx.chunks(spark, d))
+    rows = lexical.places(fx.chunks(spark, d))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ")
     return rows.groupBy("id", "col").agg(F.count("*").alias("n"), F.sha2(listed.cast("binary"), 256).alias("sha"))
 
 
 @query("corpus_stats", with_chunks(TERMS_SQL) + "SELECT section_type, count(*) AS n_chunks, round(avg(len), 6) AS avgdl, CAST(sum(len) AS BIGINT) AS n_terms FROM lens GROUP BY section_type")
 def corpus_stats(spark, d):
-    chunks = fx.chunks(spark, d)
-    sizes = lexical.lengths(chunks).join(chunks.select(F.col("chunk_id").alias("id"), "section_type"), "id")
+    sizes = fx.store(spark, d).index().lengths
     return sizes.groupBy("section_type").agg(F.count("*").alias("n_chunks"), F.round(F.avg("len"), 6).alias("avgdl"), F.sum("len").cast("long").alias("n_terms"))
 
 
-def _content(spark, d):
-    return fx.chunks(spark, d).where("section_type = 'content'")
+def _index(spark, d, section_type="content"):
+    """The stored index of a section type; no text is read."""
+    return fx.store(spark, d).index().of(section_type)
+
+
+@query("posting_counts", with_chunks(TERMS_SQL) + "SELECT section_type, term, count(DISTINCT id) AS df, CAST(count(*) AS BIGINT) AS n FROM terms GROUP BY ALL")
+def posting_counts(spark, d):
+    held = fx.store(spark, d).index()
+    counts = held.postings.groupBy("section_type", "term").agg(F.sum(F.size("positions")).alias("n"))
+    return held.terms.join(counts, ["section_type", "term"]).select("section_type", "term", "df", "n")
 
 
 def _hits(rows):
@@ -118,19 +125,19 @@ GROUP = "SELECT qid, n AS pid, [word] AS ts FROM kws"
 @query("bm25_phrase", with_chunks(TERMS_SQL, QUERIES_SQL, bm25_sql("b", "content", "SELECT qid, 0 AS pid, list_slice(ts, 1, 4) AS ts FROM qs", 10)) + HITS_SQL)
 def bm25_phrase(spark, d):
     questions = fx.query_texts(spark, d).select("qid", F.array(F.array_join(F.slice(X.tokens(F.col("query")), 1, 4), " ")).alias("texts"))
-    return _hits(lexical.search(_content(spark, d), questions, S.retrieval.bm25_original_top_k))
+    return _hits(lexical.search(_index(spark, d), questions, S.retrieval.bm25_original_top_k))
 
 
 @query("bm25_full_question", with_chunks(TERMS_SQL, QUERIES_SQL, bm25_sql("b", "content", PHRASE, 10)) + HITS_SQL)
 def bm25_full_question(spark, d):
     questions = fx.query_texts(spark, d).select("qid", F.array("query").alias("texts"))
-    return _hits(lexical.search(_content(spark, d), questions, S.retrieval.bm25_original_top_k))
+    return _hits(lexical.search(_index(spark, d), questions, S.retrieval.bm25_original_top_k))
 
 
 @query("bm25_keyword_group", with_chunks(TERMS_SQL, QUERIES_SQL, bm25_sql("b", "content", GROUP, 20)) + HITS_SQL)
 def bm25_keyword_group(spark, d):
     questions = fx.query_texts(spark, d).select("qid", F.col("keywords").alias("texts"))
-    return _hits(lexical.search(_content(spark, d), questions, S.retrieval.bm25_rewrite_top_k))
+    return _hits(lexical.search(_index(spark, d), questions, S.retrieval.bm25_rewrite_top_k))
 
 
 # the paper in whose reference list a question's words occur most
@@ -140,18 +147,16 @@ SCOPE_SQL = "scope AS (SELECT qid, paper_id FROM (SELECT k.qid, t.paper_id, coun
 def _scopes(spark, d):
     from pyspark.sql import Window
 
-    chunks = fx.chunks(spark, d)
     words = fx.query_texts(spark, d).select("qid", F.explode("keywords").alias("term"))
-    owners = chunks.select(F.col("chunk_id").alias("id"), "paper_id")
-    counts = lexical.postings(chunks).join(words, "term").join(owners, "id").groupBy("qid", "paper_id").agg(F.count("*").alias("n"))
+    counts = fx.store(spark, d).index().postings.join(words, "term").groupBy("qid", "paper_id").agg(F.sum(F.size("positions")).alias("n"))
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "paper_id")
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1").select("qid", "paper_id")
 
 
-@query("bibliography_phrase_scoped", with_chunks(TERMS_SQL, QUERIES_SQL, SCOPE_SQL, bm25_sql("b", "content", "SELECT qid, 0 AS pid, [word] AS ts FROM kws WHERE n = 1", 5, "scope")) + HITS_SQL)
+@query("bibliography_phrase_scoped", with_chunks(TERMS_SQL, QUERIES_SQL, SCOPE_SQL, bm25_sql("b", "bibliography", "SELECT qid, 0 AS pid, [word] AS ts FROM kws WHERE n = 1", 5, "scope")) + HITS_SQL)
 def bibliography_phrase_scoped(spark, d):
     questions = fx.query_texts(spark, d).select("qid", F.slice("keywords", 1, 1).alias("texts")).join(_scopes(spark, d), "qid")
-    return _hits(lexical.search_scoped(_content(spark, d), questions, S.retrieval.rewrite.bibliography_top_k))
+    return _hits(lexical.search_scoped(_index(spark, d, "bibliography"), questions, S.retrieval.rewrite.bibliography_top_k))
 
 
 # words common enough to occur in reference lists
@@ -160,8 +165,7 @@ COMMON_SQL = "common AS (SELECT qid, word, row_number() OVER (PARTITION BY qid O
 
 @query("bibliography_keywords_scoped", with_chunks(TERMS_SQL, QUERIES_SQL, SCOPE_SQL, COMMON_SQL, bm25_sql("b", "bibliography", "SELECT qid, n AS pid, [word] AS ts FROM common", 5, "scope")) + HITS_SQL)
 def bibliography_keywords_scoped(spark, d):
-    refs = fx.chunks(spark, d).where("section_type = 'bibliography'")
-    return _hits(lexical.search_scoped(refs, _common(spark, d).join(_scopes(spark, d), "qid"), S.retrieval.rewrite.bibliography_top_k))
+    return _hits(lexical.search_scoped(_index(spark, d, "bibliography"), _common(spark, d).join(_scopes(spark, d), "qid"), S.retrieval.rewrite.bibliography_top_k))
 
 
 def _common(spark, d):
@@ -241,15 +245,13 @@ def mapping_equality(spark, d):
 def _routes(spark, d):
     r, chunks = S.retrieval, fx.numbered(spark, d)
     vectors, texts = fx.vectors(spark, d), fx.query_texts(spark, d)
-    content = chunks.select("chunk_id", "paper_title", "section", "raw_text", "section_type", "vector_id")
-    phrase = texts.select("qid", F.array(F.array_join(F.slice(X.tokens(F.col("query")), 1, 4), " ")).alias("texts"))
-    # the index is built and stored once and read by both lexical routes
-    index, sizes = catalog.written(lexical.postings(content)), catalog.written(lexical.lengths(content))
-    lexical_hits = lambda q, k: lexical.top(lexical.scores(index, sizes, q), k).withColumnRenamed("id", "chunk_id")
+    content, index = chunks.select("chunk_id", "section_type", "vector_id"), _index(spark, d)
+    questions = texts.select("qid", F.array("query").alias("texts"))
+    lexical_hits = lambda q, k: lexical.search(index, q, k).withColumnRenamed("id", "chunk_id")
     return fusion.pool(
         fusion.dense_route(dense.search(vectors, fx.query_vectors(spark, d), r.dense_top_k), content, "dense_original", r.dense_original_weight),
         fusion.dense_route(dense.search(vectors, fx.query_vectors(spark, d, 40), r.dense_top_k), content, "dense_rewrite", r.dense_rewrite_weight),
-        fusion.route(lexical_hits(phrase, r.bm25_original_top_k), "bm25_original", r.bm25_original_weight),
+        fusion.route(lexical_hits(questions, r.bm25_original_top_k), "bm25_original", r.bm25_original_weight),
         fusion.route(lexical_hits(texts.select("qid", F.col("keywords").alias("texts")), r.bm25_rewrite_top_k), "bm25_rewrite", r.bm25_rewrite_weight),
     ), chunks
 
@@ -266,7 +268,7 @@ def _dense_sql(name: str, shift: int) -> str:
 
 FUSED_SQL = with_chunks(
     TERMS_SQL, QUERIES_SQL, NUMBERED_SQL, _dense_sql("d1", 0), _dense_sql("d2", 40),
-    bm25_sql("b1", "content", "SELECT qid, 0 AS pid, list_slice(ts, 1, 4) AS ts FROM qs", 10), bm25_sql("b2", "content", GROUP, 20),
+    bm25_sql("b1", "content", "SELECT qid, 0 AS pid, ts FROM qs WHERE len(ts) > 0", 10), bm25_sql("b2", "content", GROUP, 20),
     """hits AS (
   SELECT qid, 0 AS place, 'dense_original' AS route, chunk_id, rank, 0.8 AS w FROM d1 JOIN numbered USING (vector_id)
   UNION ALL SELECT qid, 1, 'dense_rewrite', chunk_id, rank, 1.2 FROM d2 JOIN numbered USING (vector_id)
@@ -343,9 +345,8 @@ quota AS (
 
 def _quota(spark, d):
     ranked, fused, chunks = _reranked(spark, d)
-    refs = fx.chunks(spark, d).where("section_type = 'bibliography'")
     target = fusion.best_paper(fused, chunks).select("qid", "paper_id")
-    found = lexical.search_scoped(refs, _common(spark, d).join(target, "qid"), S.retrieval.rewrite.bibliography_top_k).withColumnRenamed("id", "chunk_id")
+    found = lexical.search_scoped(_index(spark, d, "bibliography"), _common(spark, d).join(target, "qid"), S.retrieval.rewrite.bibliography_top_k).withColumnRenamed("id", "chunk_id")
     plans = fx.query_texts(spark, d).select("qid", (F.col("qid") % 2 == 0).alias("search_bibliography"))
     return fusion.quota(ranked, found, plans, S.reranking.final_top_k, S.retrieval.rewrite.bibliography_top_k)
 
