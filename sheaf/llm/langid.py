@@ -226,10 +226,11 @@ def _table(shared) -> tuple[Model, TokenTable]:
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, lang_pred, score and, if asked for, spans (start, end, lang; in code points, from
+    """Per document: doc_id, lang_pred, score, covered and, if asked for, spans (start, end, lang; in code points, from
     the first of a span's pieces to the last).
 
-    ``score`` is the share of the text's letters that lie in spans of the predicted language.
+    ``score`` is the share of the text's letters that lie in spans of the predicted language,
+    ``covered`` the share in spans of any learned one.
     Texts that are null or have no letter are ``und`` with score 0.  A text whose letters are
     all of scripts that no learned language uses gets the most common language and score 0;
     with nothing learned all texts are ``und``.  Only ``text`` is an input: repeated rows and
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
         model, table = _table(shared)
         width = len(model.langs)
         for batch in batches:
-            preds, scores, marks = [], [], []
+            preds, scores, shares, marks = [], [], [], []
             for _, texts in slices(iter([batch]), SLICE_CHARS):
                 parts = [pieces(t) for t in texts]
                 lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -255,6 +256,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
                 by = np.stack([np.bincount(owner, letters * fits * (labels == j), len(parts)) for j in range(width)], 1) if width else np.zeros((len(parts), 1))
                 best = by.argmax(axis=1)
                 top = by[np.arange(len(parts)), best]
+                shares += np.minimum(1.0, by.sum(axis=1) / np.maximum(every, 1)).tolist()
                 for i in range(len(parts)):
                     if not every[i] or not width:
                         preds.append(UNKNOWN)
@@ -270,8 +272,8 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
                         edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n] if n else []
                         marks.append([{"start": places[a][0], "end": places[b - 1][1], "lang": model.langs[own[a]] if own[a] >= 0 else UNKNOWN} for a, b in zip(edges, edges[1:])])
                         at += n
-            columns = [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-            names = ["doc_id", *keep, "lang_pred", "score"]
+            columns = [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
+            names = ["doc_id", *keep, "lang_pred", "score", "covered"]
             if spans:
                 columns.append(pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
                 names.append("spans")
@@ -279,7 +281,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, span
 
     source = text_of(docs, *(c for c in keep if c != "text"))
     kept = [source.schema[c] for c in keep]
-    schema = T.StructType([source.schema["doc_id"], *kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([source.schema["doc_id"], *kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("covered", T.DoubleType())])
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))
     return source.mapInArrow(trimmed(run), schema)
