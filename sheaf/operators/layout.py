@@ -6,10 +6,14 @@ order-dependent passes are windows over a paper's items.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
+from sheaf.storage import written
 
 HEADINGS = ("TITLE", "SECTION_HEADER")
 FURNITURE = ("PAGE_HEADER", "PAGE_FOOTER")
@@ -306,18 +310,143 @@ def front_matter_types(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.join(known, ["paper_id", "leaf"]).where(meets).groupBy("chunk_id").agg(F.min_by("block_type", "block_index").alias("front_matter_type"))
 
 
+def _title_places(items: DataFrame, titles: DataFrame) -> DataFrame:
+    """paper_id, from: where the title stands as a heading."""
+    known = items.join(titles.where("paper_title is not null").select("paper_id", "paper_title"), "paper_id")
+    return known.where(F.col("label").isin(*HEADINGS) & (F.lower(X.squeeze("text")) == F.lower(X.squeeze("paper_title")))).groupBy("paper_id").agg(F.min("pos").alias("from"))
+
+
+def authorship_at(items: DataFrame, titles: DataFrame) -> DataFrame:
+    """paper_id, pos of the first text of the authors' block, where there is one."""
+    found = authorship(items, titles).select("paper_id")
+    rows = items.join(_title_places(items, titles), "paper_id").join(found, "paper_id", "left_semi").where((F.col("pos") > F.col("from")) & (F.length(F.trim("text")) > 0))
+    return rows.groupBy("paper_id").agg(F.min("pos").alias("pos"))
+
+
 def authorship(items: DataFrame, titles: DataFrame) -> DataFrame:
     """paper_id, text of what stands between a title and the next heading, if it is short and names an institution."""
-    at = items.join(titles.where("paper_title is not null").select("paper_id", "paper_title"), "paper_id").where(F.col("label").isin(*HEADINGS) & (F.lower(X.squeeze("text")) == F.lower(X.squeeze("paper_title")))).groupBy("paper_id").agg(F.min("pos").alias("from"))
+    at = _title_places(items, titles)
     ends = items.where(F.col("label").isin(*HEADINGS) | inline_type(F.col("text")).isNotNull()).select("paper_id", F.col("pos").alias("p")).join(at, "paper_id").where("p > `from`").groupBy("paper_id").agg(F.min("p").alias("to"))
     rows = items.join(at, "paper_id").join(ends, "paper_id").where("pos > `from` and pos < `to`").where(~F.col("label").isin(*FURNITURE))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text")))), lambda x: x["text"]), "\n")
     return rows.groupBy("paper_id").agg(text.alias("text")).where((F.length("text") <= MOST_AUTHOR_CHARS) & F.col("text").rlike(AFFILIATION))
 
 
+def heading_names() -> dict[str, str]:
+    """The heading of each type's block: the last part of its section."""
+    return {kind: section.split(" > ")[1] for kind, section in SECTIONS.items()}
+
+
+def table_fragments(tables: DataFrame) -> DataFrame:
+    """Tables (grid: rows of cells with a text) without what is left of page counters at the end of cells."""
+    return tables.withColumn("grid", F.transform("grid", lambda row: F.transform(row, lambda c: c.withField("text", X.strip_dangling_counter(c["text"])))))
+
+
+def promoted(items: DataFrame, titles: DataFrame | None = None, most_pages: int = 2) -> DataFrame:
+    """Front matter of the first pages with headings of its own; places are numbered anew.
+
+    Headings that name a type get its name.  A heading of article information whose first text
+    is ``Keywords: ...`` becomes Keywords.  Other texts of the kind ``Label: content`` get a
+    heading and keep the content.  With ``titles`` the authors' block gets one, too.
+    """
+    names = heading_names()
+    inside = F.col("page").isNotNull() & (F.col("page") <= most_pages)
+    heading = F.col("label") == "SECTION_HEADER"
+    kind = F.when(heading & inside, heading_type(F.col("text")))
+    order = Window.partitionBy("paper_id").orderBy("pos")
+    rest = order.rowsBetween(1, Window.unboundedFollowing)
+    filled = inside & (F.length(F.trim("text")) > 0)
+    said = F.struct(heading.alias("heading"), inline_type(F.col("text")).alias("inline"), F.col("pos").alias("pos"))
+    marked = items.withColumn("__kind", kind).withColumn("__next", F.first(F.when(filled | heading, said), ignorenulls=True).over(rest))
+    container = F.coalesce((F.col("__kind") == "article_info") & ~F.col("__next.heading") & (F.col("__next.inline") == "keywords"), F.lit(False))
+    marked = marked.withColumn("__took", F.when(container, F.col("__next.pos"))).withColumn("__kind", F.when(container, "keywords").otherwise(F.col("__kind")))
+    marked = marked.withColumn("__took", F.last("__took", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    inline = F.when(~heading & inside, inline_type(F.col("text")))
+    taken = inline.isNotNull() & F.coalesce(F.col("__took") == F.col("pos"), F.lit(False))
+    text = F.when(F.col("__kind").isNotNull(), _lookup(names, F.col("__kind"))).when(inline.isNotNull(), inline_content(F.col("text"))).otherwise(F.col("text"))
+    above = F.when(inline.isNotNull() & ~taken, _lookup(names, inline))
+    if titles is not None:
+        at = authorship_at(items, titles)
+        marked = marked.join(at.withColumnRenamed("pos", "__authors"), "paper_id", "left")
+        above = F.coalesce(above, F.when(F.col("__authors") == F.col("pos"), names["authors_affiliations"]))
+    lines = F.filter(F.array(F.struct(F.lit("SECTION_HEADER").alias("label"), above.alias("text")), F.struct("label", text.alias("text"))), lambda x: x["text"].isNotNull())
+    rows = marked.select(*(c for c in items.columns if c not in ("label", "text")), F.posexplode(lines).alias("__k", "x"))
+    rows = rows.select(*(F.col("x." + c).alias(c) if c in ("label", "text") else F.col(c) for c in items.columns), "__k")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos", "__k")) - 1).drop("__k")
+
+
 def label_histogram(items: DataFrame) -> DataFrame:
     return items.groupBy("paper_id", "label").agg(F.count("*").alias("n"))
 
 
-def first_page(items: DataFrame) -> DataFrame:
-    return items.where("page = 1")
+@dataclass(frozen=True)
+class Cleaned:
+    """What the ordered passes make of items: the items, running furniture, titles, front-matter blocks, and how much each pass did."""
+
+    items: DataFrame
+    furniture: DataFrame
+    titles: DataFrame
+    blocks: DataFrame
+    diagnostics: DataFrame
+
+
+#: Passes after which the items are written.
+CUTS = ("hyphens", "reading_order", "captions")
+
+
+def clean(items: DataFrame, tables: DataFrame | None = None, height: float = 842.0, most_pages: int = 2, least_list_chars: int = 80, trace: bool = False) -> Cleaned:
+    """All passes in order: formulas, hyphens, headings, lists, reading order, furniture, review marks, captions, title, front matter.
+
+    ``items``: paper_id, pos, label, text, and where known page and box (l, t, r, b); items
+    without pages are all on page 1.  ``tables``: as for formula_rows; tables of equations
+    become FORMULA items in their places.  ``diagnostics``: paper_id, name, n, for n over 0.
+
+    The passes in CUTS are written, so that no stage of the plan grows too large to compile;
+    with ``trace``, which diagnostics are worth, all are, and none runs twice.
+    """
+    kinds = {"page": "int", "l": "double", "t": "double", "r": "double", "b": "double"}
+    lacking = {c: F.lit(1 if c == "page" else None).cast(kind) for c, kind in kinds.items() if c not in items.columns}
+    columns = ("paper_id", "pos", "label", "text", *kinds)
+    stages: list[tuple[str, DataFrame]] = [("", items.withColumns(lacking).select(*columns))]
+
+    def step(name: str, after: DataFrame) -> None:
+        after = after.select(*columns)
+        stages.append((name, written(after) if trace or name in CUTS else after))
+
+    def now() -> DataFrame:
+        return stages[-1][1]
+
+    if tables is not None:
+        rows = formula_rows(tables)
+        fresh = rows.select("paper_id", "pos", F.lit("FORMULA").alias("label"), "text", F.lit(1).alias("page"), *(F.lit(None).cast("double").alias(c) for c in "ltrb"), "row")
+        kept = now().join(rows.select("paper_id", "pos").distinct(), ["paper_id", "pos"], "left_anti").withColumn("row", F.lit(0))
+        every = kept.unionByName(fresh)
+        step("formula_tables", every.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos", "row")) - 1))
+    step("formulas", now().withColumn("text", F.when(F.col("label") == "FORMULA", X.clean_formula(F.col("text"))).otherwise(F.col("text"))))
+    step("hyphens", repair_text(now()))
+    step("headings", split_headings(now()))
+    step("list_headings", list_headings(now(), least_list_chars))
+    step("reading_order", abstract_first(now()))
+    running = furniture(now(), height)
+    step("furniture_removed", without_furniture(now(), height))
+    step("review_marks", peer_review_removed(now()))
+    step("captions", captions_once(now()))
+    titles = resolve_title(title_candidates(now(), most_pages))
+    step("front_matter_headings", promoted(now(), titles, most_pages))
+    blocks = front_matter_blocks(now(), most_pages)
+    counts = [_changed(before, after, name) for (_, before), (name, after) in zip(stages, stages[1:])]
+    counts.append(running.groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit("furniture").alias("name"), "n"))
+    counts.append(blocks.groupBy("paper_id", F.concat(F.lit("front_matter_"), "block_type").alias("name")).agg(F.count("*").alias("n")))
+    return Cleaned(now(), running, titles, blocks, reduce(DataFrame.unionByName, counts))
+
+
+def _changed(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """paper_id, name, n: items that a pass changed or took away, whatever their places; of the order-changing pass those that moved up."""
+    key = ["paper_id", "label", "text"]
+    if name == "reading_order":
+        again = F.row_number().over(Window.partitionBy(*key).orderBy("pos")).alias("again")
+        now = after.select(*key, F.col("pos").alias("at"), again)
+        moved = before.select(*key, "pos", again).join(now, [*key, "again"]).where("at < pos").select("paper_id")
+    else:
+        moved = before.select(*key).exceptAll(after.select(*key))
+    return moved.groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit(name).alias("name"), "n")

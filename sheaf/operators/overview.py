@@ -90,23 +90,22 @@ def positions(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("section_position", at / F.greatest(F.count("*").over(by) - 1, F.lit(1)))
 
 
-def role_score(role: str) -> Column:
-    """The role's score of a chunk with category, section_position, section and raw_text."""
-    text = F.lower(X.squeeze("raw_text"))
-    section = F.lower(F.coalesce(F.trim("section"), F.lit("")))
-    points = F.lit(0.0)
-    for kind, n in BASE_POINTS[role].items():
-        points = points + F.when(F.col("category") == kind, float(n)).otherwise(0.0)
-    where = text if role in TEXT_ONLY else F.concat(section, F.lit(" "), text)
-    points = points + SIGNAL_POINTS[role] * X.signal_count(where, SIGNALS[role])
-    intro = F.col("category") == "introduction"
-    if role == "research_problem":
-        points = points + F.when(intro, 2 * (1 - F.col("section_position"))).otherwise(0.0)
-    if role == "contributions":
-        points = points + F.when(intro, 3 * F.col("section_position")).otherwise(0.0)
-    if role == "main_results":
-        points = points + F.least(X.numeric_density(text) * 8, F.lit(6.0))
-    return points
+def _by_role(values: dict) -> Column:
+    """The value of the row's role."""
+    return F.element_at(F.create_map(*(x for r, v in values.items() for x in (F.lit(r), v))), F.col("role"))
+
+
+def role_points() -> Column:
+    """The score of a row's role, for rows with text and section in lower case (``__text``, ``__where``)."""
+    base = {f"{r}:{kind}": float(n) for r in ROLES for kind, n in BASE_POINTS[r].items()}
+    points = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), F.concat_ws(":", "role", "category")), F.lit(0.0))
+    signals = _by_role({r: F.array(*(F.lit(s) for s in SIGNALS[r])) for r in ROLES})
+    where = F.when(F.col("role").isin(*TEXT_ONLY), F.col("__text")).otherwise(F.col("__where"))
+    points = points + _by_role({r: F.lit(float(SIGNAL_POINTS[r])) for r in ROLES}) * F.size(F.filter(signals, lambda s: F.contains(where, s)))
+    intro = F.coalesce(F.col("category") == "introduction", F.lit(False))
+    place = F.when(intro & (F.col("role") == "research_problem"), 2 * (1 - F.col("section_position"))).when(intro & (F.col("role") == "contributions"), 3 * F.col("section_position"))
+    numbers = F.when(F.col("role") == "main_results", F.least(X.numeric_density(F.col("__text")) * 8, F.lit(6.0)))
+    return points + F.coalesce(place, F.lit(0.0)) + F.coalesce(numbers, F.lit(0.0))
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
@@ -115,10 +114,15 @@ def candidates(chunks: DataFrame) -> DataFrame:
 
 
 def role_scores(placed: DataFrame) -> DataFrame:
-    """paper_id, chunk_id, chunk_index, section, role, score: positive scores only."""
-    scores = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), role_score(r).alias("score")) for r in ROLES)))
-    rows = placed.select("paper_id", "chunk_id", "chunk_index", "section", "category", "raw_text", "raw_token_count", scores.alias("s"))
-    return rows.select("paper_id", "chunk_id", "chunk_index", "section", "category", "raw_text", "raw_token_count", "s.role", "s.score").where("score > 0")
+    """paper_id, chunk_id, chunk_index, section, role, score: positive scores only.
+
+    Texts are lower-cased once; then a chunk has a row per role, and one formula, with its
+    signals and points looked up by role, scores them all.
+    """
+    text = F.lower(X.squeeze("raw_text"))
+    low = placed.withColumn("__text", text).withColumn("__where", F.concat_ws(" ", F.lower(F.coalesce(F.trim("section"), F.lit(""))), "__text"))
+    rows = low.withColumn("role", F.explode(F.array(*(F.lit(r) for r in ROLES)))).withColumn("score", role_points())
+    return rows.select("paper_id", "chunk_id", "chunk_index", "section", "category", "raw_text", "raw_token_count", "role", "score").where("score > 0")
 
 
 def role_top(scored: DataFrame, settings: Overview = Overview()) -> DataFrame:

@@ -30,14 +30,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-ITEMS_SQL = """
-clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '(?i)<br\\s*/?>', ' ', 'g'), '(?is)</?(?:b|a|i|em|strong|span)\\b[^>]*>', '', 'g') AS h FROM pages),
-raw AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<(title|h1|p|li|footer|div)\\b[^>]*>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '(?is)<(title|h1|p|li|footer|div)\\b[^>]*>([^<]*)', 2)) AS t, unnest(range(0, len(regexp_extract_all(h, '(?is)<(title|h1|p|li|footer|div)\\b[^>]*>([^<]*)', 1)))) AS pos FROM clean),
+_TAGS, _INLINE = "|".join(readers.TAG_LABELS), "|".join(readers.INLINE_TAGS)
+_LABELS = " ".join(f"WHEN '{tag}' THEN '{label}'" for tag, label in readers.TAG_LABELS.items())
+ITEMS_SQL = f"""
+clean AS (
+  SELECT page_id, chr(1) || '/' || chr(2) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
+         '(?i)<(/?(?:{_TAGS}))\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</?(?:{_INLINE})\\b[^>]*>', '', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g') AS h FROM pages),
+raw AS (
+  SELECT page_id, unnest(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 1)) AS tag, unnest(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 2)) AS t,
+         unnest(range(0, len(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 1)))) AS pos FROM clean),
 items AS (
-  SELECT page_id::VARCHAR AS paper_id, CAST(pos AS INTEGER) AS pos, CASE lower(tag) WHEN 'title' THEN 'TITLE' WHEN 'h1' THEN 'SECTION_HEADER' WHEN 'p' THEN 'TEXT' WHEN 'li' THEN 'LIST_ITEM' WHEN 'footer' THEN 'PAGE_FOOTER' ELSE 'PAGE_HEADER' END AS label,
+  SELECT page_id::VARCHAR AS paper_id, CAST(pos AS INTEGER) AS pos, CASE lower(tag) {_LABELS} ELSE 'TEXT' END AS label,
          trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text
   FROM raw)
 """
+# what the ordered passes leave of pages: no furniture, nothing that reads like it, no bare counters
+CLEAN_SQL = """,
+furniture AS (SELECT DISTINCT paper_id, text, CASE label WHEN 'PAGE_HEADER' THEN 'header' ELSE 'footer' END AS location FROM items WHERE text <> '' AND label IN ('PAGE_HEADER', 'PAGE_FOOTER')),
+kept AS (
+  SELECT paper_id, pos, label, text FROM items i WHERE text <> '' AND label NOT IN ('PAGE_HEADER', 'PAGE_FOOTER') AND NOT EXISTS (SELECT 1 FROM furniture f WHERE f.paper_id = i.paper_id AND f.text = i.text)
+    AND NOT regexp_matches(text, '(?i)^(?:page\\s*)?\\d+(?:\\s*(?:of|/)\\s*\\d+)?$'))
+"""
 
 
 @query("html_items", "WITH " + ITEMS_SQL + "SELECT * FROM items WHERE text <> ''")
@@ -50,6 +63,18 @@ def label_histogram(spark, d):
     return layout.label_histogram(readers.html_items(fx.table(spark, d, "pages")))
 
 
+@query("pages_clean", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS INTEGER) AS pos, label, text FROM kept")
+def pages_clean(spark, d):
+    """All passes, in order, over the items of all pages."""
+    return layout.clean(readers.html_items(fx.table(spark, d, "pages"))).items.select("paper_id", "pos", "label", "text")
+
+
+@query("pages_diagnostics", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, 'furniture' AS name, count(*) AS n FROM furniture GROUP BY paper_id UNION ALL SELECT i.paper_id, 'furniture_removed', i.n - coalesce(k.n, 0) FROM (SELECT paper_id, count(*) AS n FROM items WHERE text <> '' GROUP BY ALL) i LEFT JOIN (SELECT paper_id, count(*) AS n FROM kept GROUP BY ALL) k ON k.paper_id = i.paper_id WHERE i.n > coalesce(k.n, 0)")
+def pages_diagnostics(spark, d):
+    """What each pass did, per page; passes that found nothing have no row."""
+    return layout.clean(readers.html_items(fx.table(spark, d, "pages")), trace=True).diagnostics
+
+
 def _bench(spark, d):
     return fx.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paper_id"), F.col("item_id").alias("i"), "text")
 
@@ -150,7 +175,9 @@ def formula_cleanup(spark, d):
     return fx.table(spark, d, "benchmark").select("item_id", X.clean_formula(made).alias("text"))
 
 
-@query("caption_dedup")
+@query("caption_dedup", """
+WITH made AS (SELECT item_id, 'Figure 3. ' || rpad(text, 90, 'y') AS once FROM benchmark)
+SELECT item_id::VARCHAR AS paper_id, CASE WHEN item_id % 2 = 0 AND 1 - levenshtein(lower(trim(once)), lower(trim(once))) / length(once)::DOUBLE >= 0.9 THEN trim(once) WHEN item_id % 2 = 0 THEN once || ' ' || once ELSE once || ' as in Figure 3. above' END AS text FROM made""")
 def caption_dedup(spark, d):
     once = F.concat(F.lit("Figure 3. "), F.rpad("text", 90, "y"))
     items = _made(spark, d, ("CAPTION", F.when(F.col("i") % 2 == 0, F.concat(once, F.lit(" "), once)).otherwise(F.concat(once, F.lit(" as in Figure 3. above")))))
@@ -208,6 +235,20 @@ def _front_items(spark, d):
     )
 
 
+@query("front_matter_promoted", """
+SELECT item_id::VARCHAR AS paper_id, CAST(k AS INTEGER) AS pos, label, t AS text FROM (
+  SELECT item_id, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k,
+         unnest(['TITLE', 'SECTION_HEADER', 'TEXT', 'SECTION_HEADER', 'TEXT', 'SECTION_HEADER', 'TEXT', 'SECTION_HEADER', 'TEXT']) AS label,
+         unnest(['Title ' || item_id, 'Keywords', trim(text), 'Abstract', 'of ' || item_id, CASE WHEN item_id % 2 = 0 THEN 'Article information' ELSE 'Introduction' END, 'Received first', 'Keywords', 'late']) AS t FROM benchmark)""")
+def front_matter_promoted(spark, d):
+    """A container of keywords, an inline abstract, and a container that begins with something else."""
+    items = _made(
+        spark, d, ("TITLE", _name("Title ")), ("SECTION_HEADER", F.lit("ARTICLE INFO")), ("TEXT", F.concat(F.lit("Keywords: "), "text")), ("TEXT", _name("Abstract : of ")),
+        ("SECTION_HEADER", F.when(F.col("i") % 2 == 0, F.lit("Article information")).otherwise(F.lit("Introduction"))), ("TEXT", F.lit("Received first")), ("TEXT", F.lit("Index terms: late")),
+    )
+    return layout.promoted(items.select("paper_id", "pos", "label", "text", "page")).select("paper_id", "pos", "label", "text")
+
+
 FRONT_SQL = """
 blocks AS (
   SELECT item_id::VARCHAR AS paper_id, b.block_type, b.canonical_section, CASE b.block_type WHEN 'abstract' THEN text WHEN 'publication_info' THEN 'Received: 1 May ' || item_id || chr(10) || 'Accepted: 2 May' ELSE b.t END AS text, b.page AS page_start, b.page AS page_end, b.n AS n_items, b.i AS block_index
@@ -304,7 +345,7 @@ def paper_coverage_check(spark, d):
     return counts.groupBy("qid").agg(F.count("*").alias("n_papers"), F.round(F.max("c") / F.sum("c"), 9).alias("top_share"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", "SELECT 'paper_' || substr(sha256(text), 1, 16) AS paper_id, max(doc_id) AS doc_id FROM documents GROUP BY text")
 def stream_ingest(spark, d):
     from sheaf.streaming import ingest
 
