@@ -7,6 +7,7 @@ terms for embeddings, term overlap for reranking.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 from collections.abc import Callable, Iterator
@@ -33,9 +34,17 @@ class Reranker(Protocol):
 
 
 class ChatClient(Protocol):
+    def complete(self, system: str, user: str) -> str: ...
+
     def complete_json(self, system: str, user: str, schema: dict) -> str: ...
 
 
+class Parser(Protocol):
+    """Turns a file's bytes into layout items (dictionaries)."""
+
+    def __call__(self, content: bytes) -> list[dict]: ...
+
+
 class HashEmbedder:
     """Signed term hashing to unit vectors; a text without terms points along the first axis."""
 
@@ -83,6 +92,8 @@ def rerank(pairs: DataFrame, factory: Callable[[], Reranker]) -> DataFrame:
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk_id")
+        if (group["passage"].isna() | (group["passage"].str.strip() == "")).any():
+            raise ValueError("a passage to rerank is blank")
         try:
             scores = [float(s) for s in factory().rerank(group["query"].iloc[0], group["passage"].tolist())]
         except Exception:
@@ -94,17 +105,46 @@ def rerank(pairs: DataFrame, factory: Callable[[], Reranker]) -> DataFrame:
     return pairs.groupBy("qid").applyInPandas(one, "qid long, chunk_id string, rerank_score double")
 
 
-def rewrite(queries: DataFrame, client: ChatClient, system: str, schema: dict) -> DataFrame:
-    """Adds ``payload``: the client's JSON per query, null where the call failed.  Calls run on the driver, one per query."""
-    rows = []
-    for row in queries.select("qid", "query").toLocalIterator():
-        try:
-            payload = client.complete_json(system, row["query"], schema)
-        except Exception:
-            # the rewrite is optional: the question alone is searched
-            payload = None
-        rows.append((row["qid"], row["query"], payload))
-    return queries.sparkSession.createDataFrame(rows, "qid long, query string, payload string")
+def embed_queries(rows: DataFrame, factory: Callable[[], Embedder], instruction: str = "") -> DataFrame:
+    """qid, embedding of questions (qid, text)."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in batches:
+            yield pd.Series(list(np.asarray(model.embed_queries(texts.tolist(), instruction), np.float32)))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return rows.select("qid", F.pandas_udf(run, "array<float>")("text").alias("embedding"))
+
+
+def ask(prompts: DataFrame, factory: Callable[[], ChatClient], system: str, schema: dict) -> DataFrame:
+    """qid, query, payload: the model's JSON for each user text (qid, query), null where the call failed.
+
+    Calls run on the executors, one after another in a partition, with the client made there.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = factory()
+        for batch in batches:
+            replies = []
+            for text in batch["query"]:
+                try:
+                    replies.append(client.complete_json(system, text, schema))
+                except Exception:
+                    # the step is optional: what has no reply falls back
+                    replies.append(None)
+            yield batch.assign(payload=replies)
+
+    return prompts.select("qid", "query").mapInPandas(run, "qid long, query string, payload string")
+
+
+def rewrite(queries: DataFrame, factory: Callable[[], ChatClient], system: str, schema: dict, most: int = 3) -> DataFrame:
+    """qid, query, payload: a model's plan for each question (qid, query, and turns if there are any)."""
+    from sheaf import prompts
+
+    turns = F.col("turns") if "turns" in queries.columns else F.lit(None).cast("array<string>")
+    asked = queries.select("qid", prompts.rewrite(F.col("query"), turns, most).alias("query"))
+    return queries.select("qid", "query").join(ask(asked, factory, system, schema).select("qid", "payload"), "qid")
 
 
 def rewrite_offline(queries: DataFrame, most: int = 3) -> DataFrame:
@@ -121,19 +161,28 @@ class HttpChatClient:
     def __init__(self, runtime):
         self.runtime = runtime
 
+    def complete(self, system: str, user: str) -> str:
+        """The text of one reply."""
+        return extract_content(self._post([{"role": "system", "content": system}, {"role": "user", "content": user}] if system else [{"role": "user", "content": user}], {}))
+
     def complete_json(self, system: str, user: str, schema: dict) -> str:
+        """As complete, with a reply that the endpoint holds to the schema."""
+        shape = {"response_format": {"type": "json_schema", "json_schema": {"name": "result", "schema": schema, "strict": True}}}
+        return extract_content(self._post([{"role": "system", "content": system}, {"role": "user", "content": user}], shape))
+
+    def limited(self, max_output_tokens: int) -> HttpChatClient:
+        """A client with another bound on replies; this one keeps its own."""
+        return HttpChatClient(dataclasses.replace(self.runtime, max_output_tokens=max_output_tokens))
+
+    def _post(self, messages: list[dict], more: dict) -> dict:
         import os
         import urllib.request
 
-        body = {
-            "model": self.runtime.model, "stream": False, "temperature": self.runtime.temperature, "max_tokens": self.runtime.max_output_tokens,
-            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
-            "response_format": {"type": "json_schema", "json_schema": {"name": "result", "schema": schema, "strict": True}},
-        }
+        body = {"model": self.runtime.model, "stream": False, "temperature": self.runtime.temperature, "max_tokens": self.runtime.max_output_tokens, "messages": messages, **more}
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get('SHEAF_LLM_KEY', '')}"}
         request = urllib.request.Request(f"{self.runtime.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
         with urllib.request.urlopen(request, timeout=self.runtime.timeout_seconds) as reply:
-            return extract_content(json.loads(reply.read()))
+            return json.loads(reply.read())
 
 
 def extract_content(reply: dict) -> str:

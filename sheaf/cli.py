@@ -1,85 +1,160 @@
-"""Command line: ``python -m sheaf.cli VERB ...``."""
+"""Command line: ``python -m sheaf.cli VERB ...``.
+
+Exit codes: 0 done, 1 failed, 2 not configured or nothing to work on.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sheaf")
+    top.add_argument("--config", help="settings file (JSON or YAML)")
     verbs = top.add_subparsers(dest="verb", required=True)
-    add = verbs.add_parser("import", help="chunk a table of documents (doc_id, text, source) into the store")
-    add.add_argument("documents")
-    add.add_argument("store")
-    index = verbs.add_parser("index", help="embed and index the store's content")
-    index.add_argument("store")
+
+    def verb(name: str, text: str, *names: str) -> argparse.ArgumentParser:
+        made = verbs.add_parser(name, help=text)
+        for x in names:
+            made.add_argument(x)
+        return made
+
+    verb("import", "chunk a table of documents (doc_id, text, source) into the store", "documents", "store")
+    embed = verb("embed", "embed the store's content into an artifact", "store", "folder")
+    embed.add_argument("--dimension", type=int, default=64)
+    index = verb("index", "embed and publish the store's content", "store")
     mode = index.add_mutually_exclusive_group()
     mode.add_argument("--verify", action="store_true")
     mode.add_argument("--reset", action="store_true")
     mode.add_argument("--rebuild", action="store_true")
-    find = verbs.add_parser("search", help="BM25 search of the store")
-    find.add_argument("store")
-    find.add_argument("question")
-    find.add_argument("-k", type=int, default=10)
-    stats = verbs.add_parser("inspect", help="chunk counts by section")
-    stats.add_argument("store")
-    run = verbs.add_parser("query", help="run a registered query and show its first rows")
-    run.add_argument("name")
-    run.add_argument("tables")
-    verbs.add_parser("health", help="check that the model's settings are complete")
+    mode.add_argument("--recover", action="store_true")
+    for name, text in (("search", "word search of the store"), ("retrieve", "hybrid retrieval: ranked records as JSON"), ("answer", "retrieval, evidence and answer as JSON")):
+        find = verb(name, text, "store", "question")
+        find.add_argument("-k", type=int, default=10 if name == "search" else None)
+        if name != "search":
+            find.add_argument("--context", action="append", default=[], help="an earlier turn")
+    stage = verb("stage", "make a workspace of one paper of the store; prints its id", "store", "paper", "folder")
+    stage.add_argument("--sha256", default="")
+    verb("unstage", "delete a workspace", "folder", "workspace")
+    verb("overview", "the passages that an overview of a workspace's paper would be drafted from", "folder", "workspace")
+    stats = verb("inspect", "chunk counts by section and chunk sizes by paper", "store")
+    stats.add_argument("--budget", type=int, default=512)
+    pages = verb("inspect-items", "label counts of cleaned pages (page_id, html) and what the passes did", "pages")
+    pages.add_argument("--label", help="only items of this label")
+    pages.add_argument("--markdown", help="folder for the pages as Markdown")
+    verb("query", "run a registered query and show its first rows", "name", "tables")
+    verb("health", "call the chat model once")
     return top
 
 
+def health() -> int:
+    """One call of the configured model; says whether a reply came, never what it was."""
+    from sheaf import adaptors, config
+
+    try:
+        runtime = config.load_runtime()
+    except config.ConfigurationError as error:
+        print(json.dumps({"status": "failed", "error": str(error)}))
+        return 2
+    try:
+        adaptors.HttpChatClient(runtime).complete("", "Hello")
+    except Exception as error:
+        # the kind alone: messages may hold parts of the request
+        print(json.dumps({"status": "failed", "error_category": type(error).__name__}))
+        return 1
+    print(json.dumps({"status": "ok", "mode": "non_streaming", "model": runtime.model, "final_content_received": True}))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.verb == "health":
-        from sheaf import config
-
-        try:
-            config.load_runtime()
-        except config.ConfigurationError as error:
-            print(error, file=sys.stderr)
-            return 1
-        return 0
+        return health()
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from sheaf import adaptors, catalog, registry
-    from sheaf.operators import chunking, dense, lexical, store
+    from sheaf import adaptors, catalog, config, registry, workspace
+    from sheaf.operators import chunking, dense, layout, lexical, store
     from sheaf.plans import fixtures
+    from sheaf.service import Service
+    from sheaf.sources import readers
 
+    settings = config.load(args.config) if args.config else config.Settings()
     spark = SparkSession.builder.appName("sheaf").getOrCreate()
     if args.verb == "query":
         registry.QUERIES[args.name](spark, args.tables).show(truncate=False)
         return 0
+    if args.verb == "inspect-items":
+        done = layout.clean(readers.html_items(spark.read.parquet(args.pages)), trace=True)
+        layout.label_histogram(done.items).groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").show(truncate=False)
+        done.diagnostics.groupBy("name").agg(F.sum("n").alias("n")).orderBy("name").show(truncate=False)
+        if args.label:
+            done.items.where(F.col("label") == args.label).orderBy("paper_id", "pos").show(truncate=False)
+        if args.markdown:
+            readers.write_markdown(done.items, args.markdown)
+        return 0
+    if args.verb in ("unstage", "overview"):
+        try:
+            if args.verb == "unstage":
+                workspace.delete(spark, args.folder, args.workspace)
+            else:
+                workspace.overview_context(workspace.open_chunks(spark, args.folder, args.workspace), settings.overview).orderBy("ord").show(truncate=False)
+        except catalog.CatalogError as error:
+            print(error, file=sys.stderr)
+            return 2
+        return 0
     held = catalog.Catalog(spark, args.store)
     if args.verb == "import":
-        docs = spark.read.parquet(args.documents)
-        sources = fixtures.distinct_papers(docs)
+        sources = fixtures.distinct_papers(spark.read.parquet(args.documents))
         held.import_papers(sources.drop("text"), fixtures.built(sources).withColumn("vector_id", F.lit(None).cast("long")))
         return 0
     chunks = held.table("chunks")
     if chunks is None:
         print("the store is empty", file=sys.stderr)
         return 2
-    if args.verb == "inspect":
-        store.histogram(chunks, "section").show(truncate=False)
-    elif args.verb == "search":
-        questions = spark.createDataFrame([(0, [args.question])], "qid long, texts array<string>")
-        lexical.search(held.index().of("content"), questions, args.k).show(truncate=False)
-    elif args.reset:
-        print(held.reset_vectors())
-    elif args.verify:
-        dense.state(chunks).show()
-    else:
-        if args.rebuild:
-            held.reset_vectors()
-            chunks = held.table("chunks")
-        numbered = dense.number_rows(adaptors.embed(store.embedding_inputs(chunks), adaptors.HashEmbedder), "paper_id", "chunk_index")
-        rows = catalog.written(numbered)
-        held.assign_vectors(rows.select("chunk_id", "vector_id", F.sha2(F.col("embedding_text").cast("binary"), 256).alias("text_sha256")))
-        rows.select("vector_id", "embedding").write.mode("overwrite").parquet(f"{args.store}/vectors")
+
+    def embedded(rows):
+        texts = rows.where("section_type = 'content'").select("chunk_id", "paper_id", "chunk_index", "embedding_text")
+        return adaptors.embed(texts, adaptors.HashEmbedder)
+
+    try:
+        if args.verb == "inspect":
+            store.histogram(chunks, "section").show(truncate=False)
+            chunking.diagnostics(chunks, args.budget).show(truncate=False)
+        elif args.verb == "embed":
+            print(readers.write_artifact(embedded(chunks), args.folder, args.dimension))
+        elif args.verb == "search":
+            questions = spark.createDataFrame([(0, [args.question])], "qid long, texts array<string>")
+            lexical.search(held.index().of("content"), questions, args.k, settings.bm25).show(truncate=False)
+        elif args.verb in ("retrieve", "answer"):
+            questions = spark.createDataFrame([(0, args.question, args.context)], "qid long, query string, turns array<string>")
+            service = Service(held, settings)
+            if args.verb == "answer":
+                print(service.answer(questions, args.k).first()["json"])
+            else:
+                for row in service.records(service.retrieve(questions, args.k)).orderBy("rank").toLocalIterator():
+                    print(row["json"])
+        elif args.verb == "stage":
+            print(workspace.create(chunks.where(F.col("paper_id") == args.paper), args.folder, adaptors.HashEmbedder, args.sha256))
+        elif args.reset:
+            print(held.reset_vectors())
+        elif args.verify:
+            dense.state(chunks).show()
+            problems = held.verify_index().collect()
+            for row in problems:
+                print(f"{row['problem']}: {row['n']}")
+            return 1 if problems else 0
+        elif args.recover:
+            print(held.recover())
+        elif args.rebuild:
+            held.rebuild_index(embedded(chunks), 64)
+        else:
+            held.publish_index(embedded(chunks), 64)
+    except catalog.CatalogError as error:
+        print(error, file=sys.stderr)
+        return 1
     return 0
 
 

@@ -115,8 +115,32 @@ class Overview(Checked):
     max_output_tokens: int = ranged(1600, 256, 8192)
 
 
+@dataclass(frozen=True)
+class Storage(Checked):
+    """Folders; relative ones count from the settings file's folder."""
+
+    store: str = "store"
+    artifacts: str = "artifacts"
+    workspaces: str = "workspaces"
+
+
+@dataclass(frozen=True)
+class Parsing(Checked):
+    front_matter_max_pages: int = ranged(2, 1, 10)
+    list_heading_min_chars: int = ranged(80, 1, 1000)
+
+
+@dataclass(frozen=True)
+class Embedding(Checked):
+    dimension: int = ranged(64, 1, 65536)
+    instruction: str = ""
+
+
 @dataclass(frozen=True)
 class Settings(Checked):
+    storage: Storage = Storage()
+    parsing: Parsing = Parsing()
+    embedding: Embedding = Embedding()
     chunking: Chunking = Chunking()
     retrieval: Retrieval = Retrieval()
     bm25: Bm25 = Bm25()
@@ -154,7 +178,9 @@ def load(path: str) -> Settings:
         values = json.loads(text)
     if not isinstance(values, dict):
         raise ConfigurationError("the settings file must hold one mapping")
-    return build(Settings, values)
+    settings, base = build(Settings, values), os.path.dirname(os.path.abspath(path))
+    folders = {f.name: resolve_path(base, getattr(settings.storage, f.name)) for f in fields(Storage)}
+    return dataclasses.replace(settings, storage=Storage(**folders))
 
 
 def resolve_path(base: str, path: str) -> str:

@@ -75,6 +75,14 @@ def rewrite_plan(queries: DataFrame, most_keywords: int) -> DataFrame:
     )
 
 
+def unplanned(questions: DataFrame) -> DataFrame:
+    """Plans where rewriting is off: the question alone, with the rules for references."""
+    return questions.select(
+        "qid", X.squeeze("query").alias("original_query"), F.lit(None).cast("string").alias("semantic_query"), F.expr("cast(array() as array<string>)").alias("keywords"),
+        F.coalesce(bibliography_rule(F.col("query")), F.lit(False)).alias("search_bibliography"), F.lit("disabled").alias("status"),
+    )
+
+
 def is_deictic(query: Column) -> Column:
     text = F.lower(X.squeeze(query))
     out = F.lit(False)
@@ -125,5 +133,33 @@ def prompt(units: DataFrame) -> DataFrame:
     return units.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("line")))), lambda x: x["line"]), "\n\n").alias("prompt"))
 
 
+def parse_drafts(replies: DataFrame) -> DataFrame:
+    """Drafts (qid, answer, citations, insufficient_evidence) from model replies (qid, payload); what is no valid draft has nulls."""
+    raw = F.col("payload")
+    fine = J.has_exactly(raw, ("answer", "citations", "insufficient_evidence")) & J.has_types(raw, {"answer": ("STRING",), "insufficient_evidence": ("BOOLEAN",), "citations": ("ARRAY<STRING>", "ARRAY<VOID>")})
+    parsed = F.when(F.coalesce(fine, F.lit(False)), F.from_json(raw, "answer string, citations array<string>, insufficient_evidence boolean"))
+    return replies.select("qid", parsed.alias("d")).select("qid", "d.answer", "d.citations", "d.insufficient_evidence")
+
+
 def to_json(outcome: DataFrame) -> DataFrame:
-    return outcome.select("qid", F.to_json(F.struct("status", "answer", "citations", "insufficient_evidence")).alias("json"))
+    """qid, json: the outcome's own fields."""
+    return outcome.select("qid", F.to_json(F.struct("status", "answer", "citations", "insufficient_evidence"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def outcome_json(questions: DataFrame, plans: DataFrame, outcome: DataFrame, records: DataFrame, units: DataFrame) -> DataFrame:
+    """qid, json: question, plan, states, answer, hits and evidence, so that each step can be checked by itself.
+
+    ``records``: qid, rank, json; ``units``: evidence units.  Lists are in order of rank.
+    """
+    hits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "json"))), lambda x: x["json"]), ",")
+    listed = records.groupBy("qid").agg(hits.alias("hits"))
+    unit = F.struct("evidence_id", "kind", "paper_id", "section", "page_start", "page_end", F.split("seed_chunk_ids", ",").alias("seed_chunk_ids"), F.split("chunk_ids", ",").alias("chunk_ids"), "token_count", "text")
+    proofs = F.transform(F.array_sort(F.collect_list(F.struct("ord", unit.alias("unit")))), lambda x: x["unit"])
+    shown = units.groupBy("qid").agg(F.to_json(proofs, {"ignoreNullFields": "false"}).alias("evidence"))
+    plan = F.struct(F.col("p.status").alias("status"), "p.semantic_query", F.col("p.keywords").alias("lexical_keywords_en"), "p.search_bibliography")
+    head = F.struct(F.col("query"), plan.alias("rewrite_plan"), "p.reranking_status", F.col("o.status").alias("answer_status"), "o.answer", "o.citations", "o.insufficient_evidence")
+    joined = questions.join(plans.alias("p"), "qid").join(outcome.alias("o"), "qid").join(listed, "qid", "left").join(shown, "qid", "left")
+    text = F.to_json(head, {"ignoreNullFields": "false"})
+    # the two lists are JSON already
+    whole = F.concat(F.expr("substring(__head, 1, length(__head) - 1)"), F.lit(',"retrieved_chunks":['), F.coalesce("hits", F.lit("")), F.lit('],"evidence":'), F.coalesce("evidence", F.lit("[]")), F.lit("}"))
+    return joined.withColumn("__head", text).select("qid", whole.alias("json"))

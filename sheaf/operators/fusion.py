@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
@@ -76,8 +76,28 @@ def overlap_scores(fused: DataFrame, queries: DataFrame, chunks: DataFrame, cand
     return texts.select("qid", "chunk_id", share.cast("double").alias("rerank_score"))
 
 
+def per_paper(fused: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The first k hits of each paper for each question: qid, paper_id, chunk_id, n."""
+    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    order = Window.partitionBy("qid", "paper_id").orderBy("pre_rank")
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("qid", "paper_id", "chunk_id", "n")
+
+
+def papers_found(fused: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question and paper: hits, sum and best of their fused scores."""
+    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    return rows.groupBy("qid", "paper_id").agg(F.count("*").alias("n_chunks"), F.sum("fused_score").alias("mass"), F.max("fused_score").alias("best"))
+
+
+def coverage(fused: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Per question: papers among its first hits, and the share of hits that the most frequent has."""
+    rows = fused.where(F.col("pre_rank") <= most).join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    counts = rows.groupBy("qid", "paper_id").agg(F.count("*").alias("c"))
+    return counts.groupBy("qid").agg(F.count("*").alias("n_papers"), (F.max("c") / F.sum("c")).alias("top_share"))
+
+
 def quota(ranked: DataFrame, bibliography: DataFrame, plans: DataFrame, final_top_k: int, bibliography_top_k: int, result_limit: int | None = None) -> DataFrame:
-    """Content first, then bibliography hits, within the limit; ranks from 1.
+    """Content first, then bibliography hits, within the limit; ranks from 1 (``route_rank``: the rank in its own list).
 
     ``plans``: qid, search_bibliography.  The limit is ``result_limit`` or else final_top_k
     plus, where the bibliography is searched, bibliography_top_k.  Bibliography hits take up
@@ -90,9 +110,28 @@ def quota(ranked: DataFrame, bibliography: DataFrame, plans: DataFrame, final_to
     content = ranked.join(limits, "qid").where(F.col("rank") <= F.col("limit") - F.col("n_bib")).select("qid", "chunk_id", F.lit("content").alias("section_type"), F.lit(0).alias("class"), F.col("rank").alias("at"), "fused_score")
     found = refs.join(limits, "qid").where(F.col("rank") <= F.col("n_bib")).select("qid", "chunk_id", F.lit("bibliography").alias("section_type"), F.lit(1).alias("class"), F.col("rank").alias("at"), F.lit(0.0).alias("fused_score"))
     order = Window.partitionBy("qid").orderBy("class", "at")
-    return content.unionByName(found).withColumn("final_rank", F.row_number().over(order)).drop("class", "at")
+    return content.unionByName(found).withColumn("final_rank", F.row_number().over(order)).withColumnRenamed("at", "route_rank").drop("class")
+
+
+def detailed(final: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Final hits with what led to them: pre_rank, rerank_score and sources of content, one route without weight of references."""
+    joined = final.join(ranked.select("qid", "chunk_id", "pre_rank", "rerank_score", "sources"), ["qid", "chunk_id"], "left")
+    direct = bibliography_source(F.col("route_rank").cast("int"))
+    return joined.withColumn("sources", F.when(F.col("section_type") == "bibliography", direct).otherwise(F.col("sources")))
+
+
+#: What a result record takes from its chunk.
+RECORD_COLUMNS = ("chunk_id", "vector_id", "paper_id", "paper_title", "section", "content_kind", "front_matter_type", "page_start", "page_end", "raw_text")
+
+
+def bibliography_source(rank: Column) -> Column:
+    """The sources of a reference hit: one route, without weight."""
+    return F.array(F.struct(F.lit(len(ROUTES)).alias("place"), F.lit("bm25_bibliography").alias("route"), rank.alias("rank"), F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("term")))
 
 
 def to_json(rows: DataFrame, text_limit: int = 500) -> DataFrame:
-    """Result rows as JSON, texts cut to their first characters."""
-    return rows.select("qid", "final_rank", F.to_json(F.struct("final_rank", "chunk_id", "section_type", F.substring("raw_text", 1, text_limit).alias("raw_text"))).alias("json"))
+    """qid, rank, json: hits joined with their chunks as full records, texts cut to their first characters."""
+    sources = F.transform("sources", lambda s: F.struct(s["route"].alias("route"), s["rank"].alias("rank"), s["raw_score"].alias("raw_score"), s["weight"].alias("effective_weight")))
+    fields = [F.col("final_rank").cast("long").alias("rank"), "chunk_id", "vector_id", "paper_id", "paper_title", "section", "content_kind", "front_matter_type", "section_type", "page_start", "page_end", F.substring("raw_text", 1, text_limit).alias("raw_text")]
+    fields += [F.col("pre_rank").cast("long").alias("pre_rerank_rank"), "rerank_score", "fused_score", sources.alias("source_matches")]
+    return rows.select("qid", F.col("final_rank").cast("long").alias("rank"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
-from sheaf.storage import written
+from sheaf.storage import CatalogError, written
 
 HEADINGS = ("TITLE", "SECTION_HEADER")
 FURNITURE = ("PAGE_HEADER", "PAGE_FOOTER")
@@ -332,6 +332,26 @@ def authorship(items: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.groupBy("paper_id").agg(text.alias("text")).where((F.length("text") <= MOST_AUTHOR_CHARS) & F.col("text").rlike(AFFILIATION))
 
 
+def flattened(items: DataFrame) -> DataFrame:
+    """Adds root_pos and depth to items that hang below others (parent_pos; null or unknown: a root).
+
+    Every item points to its parent and takes over its parent's pointer until all point to
+    roots: the rounds grow with the logarithm of the depth.  A circle is an error.
+    """
+    own = items.select("paper_id", "pos", "parent_pos")
+    known = own.select("paper_id", F.col("pos").alias("parent_pos"), F.lit(True).alias("__known"))
+    links = own.join(known, ["paper_id", "parent_pos"], "left").select("paper_id", "pos", F.when(F.col("__known"), F.col("parent_pos")).otherwise(F.col("pos")).alias("up"), F.when(F.col("__known"), 1).otherwise(0).cast("long").alias("depth"))
+    links = written(links)
+    for _ in range(40):
+        above = links.select("paper_id", F.col("pos").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__more"))
+        moved = links.join(above, ["paper_id", "up"]).select("paper_id", "pos", F.col("__up").alias("up"), (F.col("depth") + F.col("__more")).alias("depth"), (F.col("__more") > 0).alias("__moved"))
+        moved = written(moved)
+        links = moved.drop("__moved")
+        if not moved.where("__moved").limit(1).count():
+            return items.join(links.withColumnRenamed("up", "root_pos"), ["paper_id", "pos"])
+    raise CatalogError("items hang below each other in a circle")
+
+
 def heading_names() -> dict[str, str]:
     """The heading of each type's block: the last part of its section."""
     return {kind: section.split(" > ")[1] for kind, section in SECTIONS.items()}

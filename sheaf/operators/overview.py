@@ -191,6 +191,25 @@ def union_ids(chosen: DataFrame) -> DataFrame:
     return first.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]), ",").alias("ids"))
 
 
+def title_problem(drafted: Column, known: Column) -> Column:
+    """Why a drafted title is refused, or null: it must be the paper's, or the stand-in where that is missing."""
+    expected = F.coalesce(X.blank_to_null(known), F.lit(MISSING))
+    return F.when(~F.trim(F.coalesce(drafted, F.lit(""))).eqNullSafe(F.trim(expected)), "title differs")
+
+
+def parse_draft(payload: Column) -> Column:
+    """The fields of a drafted overview (a model's JSON): title and an array of (field, content, source_chunk_ids); null if it is no object."""
+    kinds = "paper_title string, " + ", ".join(f"{r} struct<content:string,source_chunk_ids:array<string>>" for r in ROLES)
+    draft = F.from_json(payload, kinds)
+    fields = F.array(*(F.struct(F.lit(r).alias("field"), draft[r]["content"].alias("content"), draft[r]["source_chunk_ids"].alias("source_chunk_ids")) for r in ROLES))
+    return F.when(draft["paper_title"].isNotNull(), F.struct(draft["paper_title"].alias("paper_title"), fields.alias("fields")))
+
+
+def unknown_sources(cited: Column, known: Column) -> Column:
+    """Cited ids that are not among the known ones."""
+    return F.array_except(cited, known)
+
+
 def validate(fields: DataFrame, context: DataFrame) -> DataFrame:
     """Drafted fields (paper_id, field, content, source_chunk_ids) with their problem, or sections filled in.
 
@@ -200,7 +219,7 @@ def validate(fields: DataFrame, context: DataFrame) -> DataFrame:
     clean = fields.withColumn("ids", X.first_seen(F.col("source_chunk_ids"))).withColumn("content", F.trim("content"))
     known = context.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "section"))).alias("known"))
     joined = clean.join(known, "paper_id", "left").withColumn("known", F.coalesce("known", F.expr("cast(map() as map<string,string>)")))
-    unknown = F.size(F.array_except("ids", F.map_keys("known"))) > 0
+    unknown = F.size(unknown_sources(F.col("ids"), F.map_keys("known"))) > 0
     problem = F.when(unknown, "unknown chunk").when((F.col("content") == MISSING) & (F.size("ids") > 0), "missing field cites").when((F.col("content") != MISSING) & (F.size("ids") == 0), "no source")
     sections = F.array_distinct(F.transform("ids", lambda i: F.element_at(F.col("known"), i)))
     return joined.select("paper_id", "field", "content", "ids", problem.alias("problem"), F.when(problem.isNull(), sections).alias("sections"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.config import Settings
 from sheaf.functions import text as X
-from sheaf.operators import answers, context, store
+from sheaf.operators import answers, context, overview, store
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import with_chunks
 from sheaf.plans.retrieval import FUSED_SQL, _fused
@@ -195,24 +195,30 @@ def deictic_ambiguity(spark, d):
 
 @query("citation_validation", EVIDENCE_SQL + "," + DRAFT_SQL + "SELECT d.qid, CASE WHEN s.status <> 'ready' THEN s.status WHEN d.qid % 5 IN (1, 2, 3) OR d.qid % 5 = 0 AND NOT has1 THEN 'fallback' ELSE 'success' END AS status, CASE WHEN s.status = 'ready' AND (d.qid % 5 = 4 OR d.qid % 5 = 0 AND has1) THEN trim(d.answer) WHEN s.status = 'insufficient_evidence' THEN '当前检索到的论文证据不足以回答该问题。' WHEN s.status = 'ambiguous_paper' THEN '问题中的论文对象不明确；当前检索到多个论文来源，请指定论文标题后再提问。' END AS answer, CASE WHEN s.status = 'ready' AND d.qid % 5 = 0 AND has1 THEN 'E1' ELSE '' END AS citations, CASE WHEN s.status = 'ready' THEN d.qid % 5 = 4 ELSE true END AS insufficient_evidence FROM drafts d JOIN status s USING (qid)")
 def citation_validation(spark, d):
+    return _outcome(spark, d).withColumn("citations", F.array_join("citations", ","))
+
+
+def _outcome(spark, d):
     states, units = _states(spark, d)
     q = F.col("qid") % 5
     answer = F.when(q == 1, "See [E1].").when(q == 2, "See [E1] and [E2].").when(q == 3, "No source.").when(q == 4, " Nothing found. ").otherwise("As [E1] says.")
     cites = F.when(q == 1, F.array(F.lit("E9"))).when(q.isin(0, 2), F.array(F.lit(" E1 "), F.lit("E1"))).otherwise(F.expr("cast(array() as array<string>)"))
     drafts = _questions(spark, d).select("qid", answer.alias("answer"), cites.alias("citations"), (q == 4).alias("insufficient_evidence"))
-    return answers.finish(states, drafts, units).withColumn("citations", F.array_join("citations", ","))
+    return answers.finish(states, drafts, units)
 
 
-@query("answer_json", EVIDENCE_SQL + "," + DRAFT_SQL + "SELECT qid, to_json({'status': status, 'n_evidence': n_evidence})::VARCHAR AS json FROM status")
+@query("answer_json", EVIDENCE_SQL + "," + DRAFT_SQL + """, done AS (
+  SELECT d.qid, CASE WHEN s.status <> 'ready' THEN s.status WHEN d.qid % 5 IN (1, 2, 3) OR d.qid % 5 = 0 AND NOT has1 THEN 'fallback' ELSE 'success' END AS state, d.answer, d.cites, d.insufficient FROM drafts d JOIN status s ON s.qid = d.qid)
+SELECT qid, to_json({'status': state, 'answer': CASE state WHEN 'success' THEN trim(answer) WHEN 'insufficient_evidence' THEN '当前检索到的论文证据不足以回答该问题。' WHEN 'ambiguous_paper' THEN '问题中的论文对象不明确；当前检索到多个论文来源，请指定论文标题后再提问。' END,
+  'citations': CASE WHEN state = 'success' THEN cites ELSE []::VARCHAR[] END, 'insufficient_evidence': CASE WHEN state = 'success' THEN insufficient ELSE state IN ('insufficient_evidence', 'ambiguous_paper') END})::VARCHAR AS json FROM done""")
 def answer_json(spark, d):
-    return _states(spark, d)[0].select("qid", F.to_json(F.struct("status", "n_evidence")).alias("json"))
+    return answers.to_json(_outcome(spark, d))
 
 
 @query("unknown_ids", with_chunks() + "SELECT chunk_id, CASE WHEN chunk_index % 3 = 0 THEN chunk_id || '_x' ELSE '' END AS unknown, chunk_index % 3 <> 0 AS subset FROM chunks")
 def unknown_ids(spark, d):
-    known = F.array("chunk_id", F.lit("other"))
     cited = F.when(F.col("chunk_index") % 3 == 0, F.array("chunk_id", F.concat("chunk_id", F.lit("_x")))).otherwise(F.array("chunk_id"))
-    left = F.array_except(cited, known)
+    left = overview.unknown_sources(cited, F.array("chunk_id", F.lit("other")))
     return fx.chunks(spark, d).select("chunk_id", F.array_join(left, ",").alias("unknown"), (F.size(left) == 0).alias("subset"))
 
 

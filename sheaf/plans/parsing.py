@@ -6,12 +6,11 @@ SQL states what each rule must give.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sheaf import catalog
+from sheaf import catalog, workspace
 from sheaf.functions import text as X
-from sheaf.operators import layout
+from sheaf.operators import fusion, layout
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import with_chunks
 from sheaf.plans.retrieval import FUSED_SQL, _fused
@@ -90,6 +89,15 @@ def _name(prefix: str):
     return F.concat(F.lit(prefix), F.col("i").cast("string"))
 
 
+@query("tree_roots", """
+WITH RECURSIVE nodes AS (SELECT doc_id AS pos, CASE WHEN doc_id % 10 <> 0 AND doc_id > 3 THEN doc_id - 1 - doc_id % 3 END AS parent_pos FROM documents),
+up AS (SELECT pos, pos AS root_pos, 0 AS depth FROM nodes WHERE parent_pos IS NULL OR parent_pos NOT IN (SELECT pos FROM nodes) UNION ALL SELECT n.pos, u.root_pos, u.depth + 1 FROM nodes n JOIN up u ON n.parent_pos = u.pos)
+SELECT pos, root_pos, CAST(depth AS BIGINT) AS depth FROM up""")
+def tree_roots(spark, d):
+    parent = F.when((F.col("doc_id") % 10 != 0) & (F.col("doc_id") > 3), F.col("doc_id") - 1 - F.col("doc_id") % 3)
+    return layout.flattened(fx.table(spark, d, "documents").select(F.lit("p").alias("paper_id"), F.col("doc_id").alias("pos"), parent.alias("parent_pos"))).select("pos", "root_pos", "depth")
+
+
 @query("page_furniture", "SELECT item_id::VARCHAR AS paper_id, 'Journal of Things ' || item_id AS text, 'header' AS location FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id::VARCHAR, 'Downloaded ' || item_id, 'footer' FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id::VARCHAR, 'Labelled ' || item_id, 'footer' FROM benchmark")
 def page_furniture(spark, d):
     return layout.furniture(_furniture_items(spark, d), 800.0)
@@ -302,9 +310,7 @@ def migrate_bibliography_split(spark, d):
 
 @query("workspace_content_index", with_chunks() + "SELECT chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS vector_id FROM chunks WHERE section_type = 'content'")
 def workspace_content_index(spark, d):
-    content = fx.chunks(spark, d).where("section_type = 'content'")
-    order = Window.partitionBy("paper_id").orderBy("chunk_index")
-    return content.select("chunk_id", F.row_number().over(order).cast("long").alias("vector_id"))
+    return workspace.numbered(fx.chunks(spark, d)).select("chunk_id", "vector_id")
 
 
 @query("chunk_jsonl_roundtrip", with_chunks() + "SELECT chunk_id, chunk_index, section, sha256(raw_text) AS sha FROM chunks")
@@ -326,23 +332,19 @@ def stable_json(spark, d):
 @query("per_paper_topk", FUSED_SQL + "SELECT qid, paper_id, chunk_id, CAST(row_number() OVER (PARTITION BY qid, paper_id ORDER BY pre_rank) AS INTEGER) AS n FROM fused JOIN chunks USING (chunk_id) QUALIFY n <= 2")
 def per_paper_topk(spark, d):
     fused, chunks = _fused(spark, d)
-    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("qid", "paper_id").orderBy("pre_rank"))).where("n <= 2").select("qid", "paper_id", "chunk_id", "n")
+    return fusion.per_paper(fused, chunks, 2)
 
 
 @query("paper_discovery", FUSED_SQL + "SELECT qid, paper_id, count(*) AS n_chunks, round(sum(fused_score), 9) AS mass, round(max(fused_score), 9) AS best FROM fused JOIN chunks USING (chunk_id) GROUP BY ALL")
 def paper_discovery(spark, d):
     fused, chunks = _fused(spark, d)
-    rows = fused.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
-    return rows.groupBy("qid", "paper_id").agg(F.count("*").alias("n_chunks"), F.round(F.sum("fused_score"), 9).alias("mass"), F.round(F.max("fused_score"), 9).alias("best"))
+    return fusion.papers_found(fused, chunks).select("qid", "paper_id", "n_chunks", F.round("mass", 9).alias("mass"), F.round("best", 9).alias("best"))
 
 
 @query("paper_coverage_check", FUSED_SQL + "SELECT qid, count(DISTINCT paper_id) AS n_papers, round(max(c)::DOUBLE / sum(c), 9) AS top_share FROM (SELECT qid, paper_id, count(*) AS c FROM fused JOIN chunks USING (chunk_id) WHERE pre_rank <= 10 GROUP BY ALL) GROUP BY qid")
 def paper_coverage_check(spark, d):
     fused, chunks = _fused(spark, d)
-    rows = fused.where("pre_rank <= 10").join(chunks.select("chunk_id", "paper_id"), "chunk_id")
-    counts = rows.groupBy("qid", "paper_id").agg(F.count("*").alias("c"))
-    return counts.groupBy("qid").agg(F.count("*").alias("n_papers"), F.round(F.max("c") / F.sum("c"), 9).alias("top_share"))
+    return fusion.coverage(fused, chunks, 10).select("qid", "n_papers", F.round("top_share", 9).alias("top_share"))
 
 
 @query("stream_ingest", "SELECT 'paper_' || substr(sha256(text), 1, 16) AS paper_id, max(doc_id) AS doc_id FROM documents GROUP BY text")

@@ -337,9 +337,9 @@ plans AS (SELECT qid, qid % 2 = 0 AS sb FROM qs),
 bib AS (SELECT rb.* FROM rb JOIN plans USING (qid) WHERE sb),
 lim AS (SELECT p.qid, 5 + CASE WHEN sb THEN 5 ELSE 0 END AS l, least(coalesce(n, 0), 5) AS nb FROM plans p LEFT JOIN (SELECT qid, count(*) AS n FROM bib GROUP BY qid) USING (qid)),
 quota AS (
-  SELECT qid, chunk_id, section_type, fused_score, row_number() OVER (PARTITION BY qid ORDER BY k, r) AS final_rank FROM (
-    SELECT f.qid, f.chunk_id, 'content' AS section_type, f.fused_score, 0 AS k, f.rank AS r FROM final f JOIN lim USING (qid) WHERE f.rank <= l - nb
-    UNION ALL SELECT b.qid, b.id, 'bibliography', 0.0, 1, b.rank FROM bib b JOIN lim USING (qid) WHERE b.rank <= nb))
+  SELECT qid, chunk_id, section_type, fused_score, pre_rank, rerank_score, r AS route_rank, row_number() OVER (PARTITION BY qid ORDER BY k, r) AS final_rank FROM (
+    SELECT f.qid, f.chunk_id, 'content' AS section_type, f.fused_score, f.pre_rank, f.rerank_score, 0 AS k, f.rank AS r FROM final f JOIN lim USING (qid) WHERE f.rank <= l - nb
+    UNION ALL SELECT b.qid, b.id, 'bibliography', 0.0, NULL, NULL, 1, b.rank FROM bib b JOIN lim USING (qid) WHERE b.rank <= nb))
 """
 
 
@@ -348,15 +348,35 @@ def _quota(spark, d):
     target = fusion.best_paper(fused, chunks).select("qid", "paper_id")
     found = lexical.search_scoped(_index(spark, d, "bibliography"), _common(spark, d).join(target, "qid"), S.retrieval.rewrite.bibliography_top_k).withColumnRenamed("id", "chunk_id")
     plans = fx.query_texts(spark, d).select("qid", (F.col("qid") % 2 == 0).alias("search_bibliography"))
-    return fusion.quota(ranked, found, plans, S.reranking.final_top_k, S.retrieval.rewrite.bibliography_top_k)
+    return fusion.quota(ranked, found, plans, S.reranking.final_top_k, S.retrieval.rewrite.bibliography_top_k), ranked
 
 
 @query("final_quota", QUOTA_SQL + "SELECT qid, chunk_id, section_type, round(fused_score, 9) AS fused_score, CAST(final_rank AS BIGINT) AS final_rank FROM quota")
 def final_quota(spark, d):
-    return _quota(spark, d).select("qid", "chunk_id", "section_type", F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    return _quota(spark, d)[0].select("qid", "chunk_id", "section_type", F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
-@query("retrieval_json", QUOTA_SQL + "SELECT qid, CAST(final_rank AS BIGINT) AS final_rank, to_json({'final_rank': final_rank, 'chunk_id': chunk_id, 'section_type': quota.section_type, 'raw_text': substr(raw_text, 1, 500)})::VARCHAR AS json FROM quota JOIN chunks USING (chunk_id)")
+RECORD = "rank long, chunk_id string, vector_id long, paper_id string, paper_title string, section string, content_kind string, front_matter_type string, section_type string, page_start int, page_end int, raw_text string, pre_rerank_rank long, rerank_score double, fused_score double, source_matches array<struct<route:string,rank:int,raw_score:double,effective_weight:double>>"
+
+
+@query("retrieval_json", QUOTA_SQL + """
+SELECT q.qid, CAST(final_rank AS BIGINT) AS rank, q.chunk_id, n.vector_id, c.paper_id, c.paper_title, c.section, CASE WHEN c.section = 'Abstract' THEN 'front_matter' ELSE 'body' END AS content_kind, CASE WHEN c.section = 'Abstract' THEN 'abstract' END AS front_matter_type, q.section_type, c.page_start, c.page_end,
+       substr(c.raw_text, 1, 500) AS raw_text, CAST(q.pre_rank AS BIGINT) AS pre_rerank_rank, round(q.rerank_score, 9) AS rerank_score, round(q.fused_score, 9) AS fused_score, CASE q.section_type WHEN 'bibliography' THEN 'bm25_bibliography:' || route_rank ELSE f.sources END AS sources
+FROM quota q JOIN chunks c USING (chunk_id) LEFT JOIN numbered n ON n.chunk_id = q.chunk_id LEFT JOIN fused f ON f.qid = q.qid AND f.chunk_id = q.chunk_id""")
 def retrieval_json(spark, d):
-    texts = fx.chunks(spark, d).select("chunk_id", "raw_text")
-    return fusion.to_json(_quota(spark, d).join(texts, "chunk_id")).withColumn("final_rank", F.col("final_rank").cast("long"))
+    """The records as JSON, read again."""
+    final, ranked = _quota(spark, d)
+    records = fusion.to_json(fusion.detailed(final, ranked).join(fx.chunks(spark, d).select(*fusion.RECORD_COLUMNS), "chunk_id"))
+    shown = F.array_join(F.transform("source_matches", lambda x: F.concat_ws(":", x["route"], x["rank"])), ",").alias("sources")
+    parsed = records.select("qid", F.from_json("json", RECORD).alias("r")).select("qid", "r.*")
+    return parsed.select("qid", *(c for c in parsed.columns if c not in ("qid", "rerank_score", "fused_score", "source_matches")), F.round("rerank_score", 9).alias("rerank_score"), F.round("fused_score", 9).alias("fused_score"), shown)
+
+
+@query("quota_without_reranking", FUSED_SQL + "SELECT qid, chunk_id, CAST(pre_rank AS BIGINT) AS final_rank FROM fused WHERE pre_rank <= 50")
+def quota_without_reranking(spark, d):
+    """With reranking off, the size of the fused list limits the result."""
+    hits, _ = _routes(spark, d)
+    ranked = fusion.rerank(fusion.fuse(hits, S.retrieval.rrf_k), None, S.reranking.candidate_top_k)
+    plans = fx.query_texts(spark, d).select("qid", F.lit(False).alias("search_bibliography"))
+    none = ranked.limit(0).select("qid", "chunk_id", "rank")
+    return fusion.quota(ranked, none, plans, S.retrieval.fused_top_k, S.retrieval.rewrite.bibliography_top_k).select("qid", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"))

@@ -52,12 +52,41 @@ def html_items(pages: DataFrame) -> DataFrame:
     return out.where("text != ''")
 
 
-def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The PDF files of a folder in order of their paths: path, length, content and its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+def pdf_files(spark: SparkSession, folder: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """PDF files in order of their paths, each once: path, length, content and its digest.
+
+    Either the files of a folder or an explicit list; other files are refused.
+    """
+    if (folder is None) == (paths is None):
+        raise ValueError("name either a folder or files")
+    if paths is not None and (wrong := [p for p in paths if not p.lower().endswith(".pdf")]):
+        raise ValueError(f"no PDF file: {wrong[0]}")
+    if paths == []:
+        raise ValueError("no file is named")
+    reader = spark.read.format("binaryFile")
+    files = reader.option("pathGlobFilter", "*.[pP][dD][fF]").load(folder) if folder is not None else reader.load(sorted(set(paths)))
     return files.select("path", "length", F.sha2("content", 256).alias("source_sha256"), "content").orderBy("path")
 
 
+def markdown(items: DataFrame) -> DataFrame:
+    """paper_id, markdown of items in order: headings, lists, code and paragraphs."""
+    text = F.col("text")
+    line = (
+        F.when(F.col("label") == "TITLE", F.concat(F.lit("# "), text))
+        .when(F.col("label") == "SECTION_HEADER", F.concat(F.lit("## "), text))
+        .when(F.col("label") == "LIST_ITEM", F.concat(F.lit("- "), text))
+        .when(F.col("label") == "CODE", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+        .when(F.col("label") == "FORMULA", F.concat(F.lit("$$"), text, F.lit("$$")))
+        .otherwise(text)
+    )
+    return items.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("markdown"))
+
+
+def write_markdown(items: DataFrame, path: str) -> None:
+    """The papers as Markdown, a JSON line each (paper_id, markdown)."""
+    markdown(items).write.json(path)
+
+
 def parse_files(files: DataFrame, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Run a parser (bytes to item dictionaries) over files; its model is loaded once per worker."""
     import pandas as pd

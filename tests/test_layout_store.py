@@ -192,12 +192,14 @@ def test_models(spark):
 
     class Client:
         def complete_json(self, system, user, schema):
-            if user == "fails":
+            if "fails" in user:
                 raise OSError
             return "{}"
 
     queries = spark.createDataFrame([(0, "works"), (1, "fails")], "qid long, query string")
-    assert {r["qid"]: r["payload"] for r in adaptors.rewrite(queries, Client(), "", {}).collect()} == {0: "{}", 1: None}
+    assert {r["qid"]: r["payload"] for r in adaptors.rewrite(queries, Client, "", {}).collect()} == {0: "{}", 1: None}
+    with pytest.raises(Exception, match="blank"):
+        adaptors.rerank(pairs.withColumn("passage", F.lit(" ")), Fails).collect()
     assert adaptors.extract_content({"choices": [{"message": {"content": " x "}}]}) == "x"
     for bad in ({}, {"choices": []}, {"choices": [{"message": {"content": ""}}]}):
         with pytest.raises(ValueError):
