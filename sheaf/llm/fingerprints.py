@@ -103,48 +103,75 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return text_of(docs).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+class Ranges:
+    """Ranges of descending doc_id; an id with more rows than ``limit`` has ranges of its own, cut by the texts' hashes."""
+
+    def __init__(self, cuts: list[int], hot: dict[int, int], limit: int):
+        edges = {*cuts, *hot, *(i + 1 for i in hot if i < 2**63 - 1)}
+        self.cuts = np.array(sorted(edges), np.int64)
+        self.parts = np.ones(len(self.cuts) + 1, np.int64)  # by plain range, the largest ids first
+        for doc_id, n in hot.items():
+            self.parts[self.plain(np.array([doc_id], np.int64))[0]] = -(-n // limit)
+        self.before = np.cumsum(self.parts) - self.parts
+        self.count = int(self.parts.sum())
+
+    def plain(self, ids: np.ndarray) -> np.ndarray:
+        return len(self.cuts) - np.searchsorted(self.cuts, ids, side="right")
+
+    def places(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = self.plain(ids)
+        high = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return self.before[at] + (high * self.parts[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def ordered_ranges(docs: DataFrame) -> DataFrame:
     """Rows dealt into ranges of descending doc_id, each followed by a copy of the row after its last.
 
-    Columns place (range), guest (the copied row), doc_id, text; partition ``place`` holds its
-    rows in order: descending doc_id, null ids last, equal ids by text, then the guests, of
-    which the first counts.  After the last document comes the first.  The driver gets the
-    ranges' limits and their first ids, as many as partitions, never as documents.
+    Columns place (range), guest (the copied row), doc_id, h, text; partition ``place`` holds its
+    rows in order: descending doc_id, null ids last, equal ids by a hash of the text, then the
+    guests, of which the first counts.  After the last document comes the first.  The driver
+    gets the ranges' limits, the ids with more rows than a range should hold and the ranges'
+    first rows' keys, as many as partitions at most, never as documents.
     """
-    frame = text_of(docs)
+    low = -(2**63)
+    frame = text_of(docs).withColumn("h", F.xxhash64("text"))
     total = frame.count()
     parts = min(MOST_PARTITIONS, max(1, -(-total // PARTITION_ROWS)))
+    limit = max(PARTITION_ROWS, -(-total // MOST_PARTITIONS))
     cuts = frame.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = np.array(sorted({int(x) for x in cuts}), np.int64)
-    low = -(2**63)
+    counts = frame.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect() if parts > 1 else []
+    ranges = Ranges([int(x) for x in cuts], {low if r["doc_id"] is None else r["doc_id"]: r["n"] for r in counts}, limit)
 
-    def places(ids: np.ndarray) -> np.ndarray:
-        return len(cuts) - np.searchsorted(cuts, ids, side="right")
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("doc_id").fill_null(low).to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most: dict[int, int] = {}
+        first: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(low).to_numpy(zero_copy_only=False)
-            for place, doc_id in zip(places(ids).tolist(), ids.tolist(), strict=True):
-                most[place] = max(most.get(place, low), doc_id)
-        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.int64())], names=["place", "most"])
+            ids, hashes = keys(batch)
+            for place, doc_id, h in zip(ranges.places(ids, hashes).tolist(), ids.tolist(), hashes.tolist(), strict=True):
+                first[place] = max(first.get(place, (low, low)), (doc_id, ~h))
+        yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int32()), *(pa.array([v[i] for v in first.values()], pa.int64()) for i in (0, 1))], names=["place", "most", "least"])
 
-    firsts = {r["place"]: r["most"] for r in frame.select("doc_id").mapInArrow(top, "place int, most long").groupBy("place").agg(F.max("most").alias("most")).collect()}
+    leads = frame.select("doc_id", "h").mapInArrow(top, "place int, most long, least long").groupBy("place").agg(F.max(F.struct("most", "least")).alias("lead")).collect()
+    firsts = {r["place"]: (r["lead"]["most"], ~r["lead"]["least"]) for r in leads}
     used = np.array(sorted(firsts), np.int64)
-    lead = np.array([firsts[p] for p in used.tolist()], np.int64)
+    lead_id, lead_h = (np.array([firsts[p][i] for p in used.tolist()], np.int64) for i in (0, 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(low).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(used, places(ids))
-            copied = np.flatnonzero(ids == lead[at]) if len(ids) else np.zeros(0, np.int64)
+            ids, hashes = keys(batch)
+            at = np.searchsorted(used, ranges.places(ids, hashes))
+            leading = np.flatnonzero((ids == lead_id[at]) & (hashes == lead_h[at])) if len(ids) else np.zeros(0, np.int64)
+            # of equal rows one copy is enough
+            copied = leading[np.unique(at[leading], return_index=True)[1]]
             rows = batch.take(pa.array(np.concatenate([np.arange(len(ids)), copied])))
             place = np.concatenate([used[at], used[at[copied] - 1]]).astype(np.int32)
             guest = np.arange(len(place)) >= len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(guest), rows.column("doc_id"), rows.column("text")], names=["place", "guest", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(guest), *(rows.column(c) for c in ("doc_id", "h", "text"))], names=["place", "guest", "doc_id", "h", "text"])
 
-    dealt = frame.mapInArrow(deal, "place int, guest boolean, doc_id long, text string").repartitionById(max(1, len(cuts) + 1), "place")
-    return dealt.sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "text")
+    dealt = frame.mapInArrow(deal, "place int, guest boolean, doc_id long, h long, text string").repartitionById(ranges.count, "place")
+    return dealt.sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "h", "text")
 
 
 def edit(text: str, other: str) -> str:
@@ -156,9 +183,10 @@ def edit(text: str, other: str) -> str:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, its edited text's, and how far it is contained in that and in the next one's.
 
-    The next document is the one with the next smaller doc_id, after the last the first; of
-    rows with one doc_id the one with the next larger text, and null ids come last.  A null
-    text is empty; a single document is its own next one; an empty table gives no rows.
+    The next document is the one with the next smaller doc_id, after the last the first; rows
+    with one doc_id are in order of a hash of their texts, and null ids come last.  A null
+    text is empty; a single document is its own next one; other columns are left out; an empty
+    table gives no rows.
     """
 
     def row(doc_id, text: str, own: dict[int, int], after: str, following: dict[int, int]) -> tuple:
