@@ -6,9 +6,7 @@ a text without any letter or without a known language, a copy, a contaminated te
 are taken out of texts, which stay.
 
 All stages take null and empty texts, texts of any length, repeated rows, null ids, empty tables
-and columns of any names; what becomes of them is said at each.  One thing to know: rows that
-share a doc_id are one document to the second stage, whatever their texts, and one row of them
-stays.
+and columns of any names; what becomes of them is said at each.
 """
 
 from __future__ import annotations
@@ -46,8 +44,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group: five-word shingles, similarity 0.8.
 
-    Null and empty texts are linked with nothing and stay, as do all rows with a null id.  Rows
-    that share a doc_id are one document, of which the row with the smallest text stays.
+    Null and empty texts are linked with nothing and stay, as do all rows with a null id.  Of
+    rows with the same doc_id and text one stays; with other texts they are other documents.
     """
     return neardup.keep_one(docs)
 
