@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunking, dense, lexical
+from sheaf.operators import chunking, dense, lexical, store
 from sheaf.schemas import SCHEMA_VERSION
 from sheaf.storage import CatalogError, Files, shared_folder, spark_array, written
 
@@ -92,7 +92,9 @@ class Catalog:
         time = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
         documents = documents.drop("ingested_at", "updated_at").withColumns({"ingested_at": time, "updated_at": time})
         old = {t: self.table(t) for t in ("documents", "chunks", "postings", "lengths")}
-        tables = {"documents": documents, "chunks": fresh, "postings": lexical.postings(fresh), "lengths": lexical.lengths(fresh)}
+        # the document's title is indexed where a chunk has none
+        rows = store.indexed_rows(fresh, documents) if "paper_title" in documents.columns else fresh
+        tables = {"documents": documents, "chunks": fresh, "postings": lexical.postings(rows), "lengths": lexical.lengths(rows)}
         if old["chunks"] is not None:
             hit = old["chunks"].where("vector_id is not null").join(documents.select("paper_id"), "paper_id", "left_semi")
             if hit.limit(1).count():

@@ -34,6 +34,16 @@ CONTINUATION_SUFFIXES = ("ability", "ation", "ations", "ibility", "ically", "ica
 # Prefixes that a word continues.
 SPLIT_PREFIXES = ("fore", "inter", "intra", "macro", "micro", "multi", "semi")
 
+# A word broken at a line end, its first half at the end of an item, its second at the start of the next.
+BREAK = r"([A-Za-z]+(?:-[A-Za-z]+)*)-[ \t]*\r?\n(?:[ \t]*\r?\n)?[ \t]*([a-z][A-Za-z]*)"
+FIRST_HALF, SECOND_HALF = r"([A-Za-z]+(?:-[A-Za-z]+)*)-$", r"^\s*([a-z][A-Za-z]*)"
+# Where a second numbered heading begins, and a numbered heading as a whole.
+HEADING_CUT, NUMBERED_HEADING = r"\s+(?=(?:\d+\.){1,3}\s+[A-Z])", r"^(?:\d+\.){1,3}\s+\S.*$"
+# Page counters before a text, as a whole text, and at the end of a table cell.
+COUNTER_BEFORE, COUNTER, COUNTER_LEFT = r"(?i)^\s*(?:page\s*)?\d+\s+of\s+\d+\s+", r"(?i)^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$", r"(?i)\s+\d+\s+of\s*$"
+# A formula's closing tag, its number, and the mark of a caption.
+FORMULA_END, FORMULA_NUMBER, CAPTION_MARK = r"</?formula.*$", r"(?s)(\\quad\s*\(\s*(?:\d\s*)+\)).*$", r"(?i)^((?:figure|table)\s*\d+\.)"
+
 SPACE = r"(?U)\s+"
 
 
@@ -122,9 +132,6 @@ def word_join(left: Column, right: Column) -> Column:
     )
 
 
-BREAK = r"([A-Za-z]+(?:-[A-Za-z]+)*)-[ \t]*\r?\n(?:[ \t]*\r?\n)?[ \t]*([a-z][A-Za-z]*)"
-
-
 def repair_hyphens(text: Column) -> Column:
     """Soft hyphens removed, and words broken at a line end put together again.
 
@@ -140,11 +147,11 @@ def repair_hyphens(text: Column) -> Column:
 
 def join_across(text: Column, following: Column) -> tuple[Column, Column]:
     """Texts of two neighbours after a word broken between them is put into the first."""
-    left = F.regexp_extract(text, r"([A-Za-z]+(?:-[A-Za-z]+)*)-$", 1)
-    right = F.regexp_extract(following, r"^\s*([a-z][A-Za-z]*)", 1)
+    left = F.regexp_extract(text, FIRST_HALF, 1)
+    right = F.regexp_extract(following, SECOND_HALF, 1)
     broken = (left != "") & (right != "")
-    first = F.concat(F.regexp_replace(text, r"[A-Za-z]+(?:-[A-Za-z]+)*-$", ""), word_join(left, right))
-    return F.when(broken, first).otherwise(text), F.when(broken, F.ltrim(F.regexp_replace(following, r"^\s*[a-z][A-Za-z]*", ""))).otherwise(following)
+    first = F.concat(F.regexp_replace(text, FIRST_HALF, ""), word_join(left, right))
+    return F.when(broken, first).otherwise(text), F.when(broken, F.ltrim(F.regexp_replace(following, SECOND_HALF, ""))).otherwise(following)
 
 
 def merge_spaced_capitals(text: Column) -> Column:
@@ -155,27 +162,26 @@ def merge_spaced_capitals(text: Column) -> Column:
 
 def split_numbered_heading(text: Column) -> Column:
     """Two numbered headings run together, as an array of two; otherwise the text alone."""
-    parts = F.split(text, r"\s+(?=(?:\d+\.){1,3}\s+[A-Z])", -1)
-    numbered = r"^(?:\d+\.){1,3}\s+\S.*$"
-    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: F.trim(p).rlike(numbered)), F.transform(parts, lambda p: F.trim(p))).otherwise(F.array(text))
+    parts = F.split(text, HEADING_CUT, -1)
+    return F.when((F.size(parts) == 2) & F.forall(parts, lambda p: F.trim(p).rlike(NUMBERED_HEADING)), F.transform(parts, lambda p: F.trim(p))).otherwise(F.array(text))
 
 
 def strip_page_counter(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)^\s*(?:page\s*)?\d+\s+of\s+\d+\s+", "")
+    return F.regexp_replace(text, COUNTER_BEFORE, "")
 
 
 def is_page_counter(text: Column) -> Column:
-    return F.trim(text).rlike(r"(?i)^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$")
+    return F.trim(text).rlike(COUNTER)
 
 
 def strip_dangling_counter(text: Column) -> Column:
     """Table cells: what is left of a page counter at the end goes."""
-    return F.regexp_replace(text, r"(?i)\s+\d+\s+of\s*$", "")
+    return F.regexp_replace(text, COUNTER_LEFT, "")
 
 
 def clean_formula(text: Column) -> Column:
     """Closing tags go, and so does any text after a formula's number."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"</?formula.*$", ""), r"(?s)(\\quad\s*\(\s*(?:\d\s*)+\)).*$", "$1"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, FORMULA_END, ""), FORMULA_NUMBER, "$1"))
 
 
 def page_label(first: Column, last: Column) -> Column:
@@ -214,13 +220,8 @@ def first_seen_folded(values: Column) -> Column:
 
 def caption_repeat(text: Column) -> tuple[Column, Column]:
     """The two halves of a caption whose number mark occurs twice (empty without a second one)."""
-    mark = F.regexp_extract(text, r"(?i)^((?:figure|table)\s*\d+\.)", 1)
+    mark = F.regexp_extract(text, CAPTION_MARK, 1)
     bare = F.lower(F.regexp_replace(mark, r"\s+", ""))
     again = F.when(mark != "", F.regexp_instr(F.lower(F.substring(text, F.length(mark) + 1, F.length(text))), F.concat(F.regexp_extract(bare, "^([a-z]+)", 1), F.lit(r"\s*"), F.regexp_extract(bare, r"(\d+)", 1), F.lit(r"\."))))
     at = F.when(again > 0, again + F.length(mark))
     return F.coalesce(F.trim(F.substring(text, F.lit(1), at - 1)), F.lit("")), F.coalesce(F.trim(F.substring(text, at, F.length(text))), F.lit(""))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length: stands in for a matching-block ratio."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))

@@ -1,13 +1,15 @@
 """Exact inner-product search and the vector table's life: ids, checks, fingerprints.
 
-A batch of query vectors is scored against all stored vectors block by block: each task keeps
-the k best per query of what it has seen, and one window merges what the tasks kept, so at
-most tasks * queries * k rows are shuffled.
+A block of query vectors is scored against all stored vectors: each task keeps the k best per
+query of what it has seen, and one window merges what the tasks kept, so at most
+tasks * queries * k rows are shuffled.  More queries than one block are searched block by
+block, each written before the next is sent, so the driver and the workers hold one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,32 +19,42 @@ from pyspark.sql import functions as F
 from sheaf.storage import written
 from sheaf.functions import vector as V
 
-#: Query vectors that one pass holds; more are searched in several passes.
+#: Query vectors that one pass holds, about; more are searched in several passes.
 BATCH_QUERIES = 4096
+#: Stored vectors that are scored at once.
+SCORED_ROWS = 1024
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, vector_id, score, rank: the k largest inner products; equal ones by vector_id.
 
-    ``vectors``: vector_id, embedding.  ``queries``: qid, embedding; at most BATCH_QUERIES of
-    them are sent to the tasks at a time.
+    ``vectors``: vector_id, embedding.  ``queries``: qid, embedding.
     """
-    parts, batch = [], []
-    rows = queries.select("qid", "embedding").toLocalIterator()
-    for row in rows:
-        batch.append(row)
-        if len(batch) == BATCH_QUERIES:
-            parts.append(_pass(vectors, batch, k))
-            batch = []
-    if batch or not parts:
-        parts.append(_pass(vectors, batch, k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    wanted = queries.select("qid", "embedding")
+    blocks = max(1, -(-wanted.count() // BATCH_QUERIES))
+    if blocks == 1:
+        out = _pass(vectors, wanted.collect(), k)
+    else:
+        wanted = written(wanted.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
+        parts = [written(_pass(vectors, wanted.where(F.col("__block") == b).select("qid", "embedding").collect(), k)) for b in range(blocks)]
+        out = reduce(DataFrame.union, parts)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vector_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k largest scores, equal ones by name; only those that reach the k-th are sorted."""
+    width = scores.shape[1]
+    if width <= k:
+        return np.lexsort((names, -scores), axis=1)
+    least = np.partition(scores, width - k, axis=1)[:, width - k]
+    out = np.empty((len(scores), k), np.int64)
+    for i, row in enumerate(scores):
+        some = np.flatnonzero(row >= least[i])
+        out[i] = some[np.lexsort((names[i, some], -row[some]))[:k]]
+    return out
+
+
 def _pass(vectors: DataFrame, batch: list, k: int) -> DataFrame:
     ids = np.array([r["qid"] for r in batch], np.int64)
     matrix = np.array([r["embedding"] for r in batch], np.float64)
@@ -51,16 +63,15 @@ def _pass(vectors: DataFrame, batch: list, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, wanted = shared.value
         best_ids, best = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
-        for part in batches:
-            if not part.num_rows or not len(qids):
-                continue
-            column = part.column("embedding")
-            block = column.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
-            numbers = part.column("vector_id").to_numpy(zero_copy_only=False)
-            every = np.concatenate([best, wanted @ block.T], 1)
-            names = np.concatenate([best_ids, np.broadcast_to(numbers, (len(qids), len(numbers)))], 1)
-            order = np.lexsort((names, -every), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(qids) else 0, SCORED_ROWS):
+                part = whole.slice(at, SCORED_ROWS)
+                block = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                numbers = part.column("vector_id").to_numpy(zero_copy_only=False)
+                every = np.concatenate([best, wanted @ block.T], 1)
+                names = np.concatenate([best_ids, np.broadcast_to(numbers, (len(qids), len(numbers)))], 1)
+                order = best_of(every, names, k)
+                best, best_ids = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
         n = best.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["qid", "vector_id", "score"])
 

@@ -6,9 +6,11 @@ order-dependent passes are windows over a paper's items.
 
 from __future__ import annotations
 
+import difflib
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,15 @@ def heading_type(text: Column) -> Column:
     return _lookup(HEADING_TYPES, X.key(X.squeeze(text)))
 
 
+# A label before its content, and one of publication data.
 INLINE = r"(?is)^(abstract|keywords?|key\s+words?|index\s+terms?)\s*:\s*(\S.+)$"
 
 
+PUBLICATION_LABEL = r"^\s*([A-Za-z][A-Za-z\s-]{1,40})\s*:"
+# A numbered point, the points in a text, and the mark of papers under review.
+POINT, LISTED, REVIEW = r"^(\d{1,9})\)\s+.+$", r"(?:^|\n)\s*(?:[-*•]\s*)?(\d{1,9})\)\s+", r"\bFOR\s+PEER\s+REVIEW\b"
+
+
 def inline_type(text: Column) -> Column:
     """abstract or keywords for ``Label: content`` texts."""
     return _lookup(HEADING_TYPES, X.key(F.regexp_extract(F.trim(text), INLINE, 1)))
@@ -87,7 +95,7 @@ def inline_content(text: Column) -> Column:
 
 
 def publication_type(text: Column) -> Column:
-    return _lookup(PUBLICATION_LABELS, X.key(F.regexp_extract(text, r"^\s*([A-Za-z][A-Za-z\s-]{1,40})\s*:", 1)))
+    return _lookup(PUBLICATION_LABELS, X.key(F.regexp_extract(text, PUBLICATION_LABEL, 1)))
 
 
 def availability_type(text: Column) -> Column:
@@ -153,9 +161,9 @@ def split_headings(items: DataFrame) -> DataFrame:
 
 def list_headings(items: DataFrame, least_chars: int = 80, reach: int = 8) -> DataFrame:
     """Long ``N) ...`` headings become list items where ``N+1) ...`` follows before the next heading."""
-    number = F.try_to_number(F.nullif(F.regexp_extract("text", r"^(\d{1,9})\)\s+.+$", 1), F.lit("")), F.lit("999999999")).cast("int")
+    number = F.try_to_number(F.nullif(F.regexp_extract("text", POINT, 1), F.lit("")), F.lit("999999999")).cast("int")
     order = Window.partitionBy("paper_id").orderBy("pos").rowsBetween(1, reach)
-    ahead = F.collect_list(F.struct(F.col("label").alias("label"), F.regexp_extract_all("text", F.lit(r"(?:^|\n)\s*(?:[-*•]\s*)?(\d{1,9})\)\s+"), F.lit(1)).alias("numbers"))).over(order)
+    ahead = F.collect_list(F.struct(F.col("label").alias("label"), F.regexp_extract_all("text", F.lit(LISTED), F.lit(1)).alias("numbers"))).over(order)
     marked = items.withColumn("__n", number).withColumn("__ahead", ahead)
     stop = F.array_position(F.transform("__ahead", lambda x: x["label"]), F.lit("SECTION_HEADER"))
     near = F.when(stop > 0, F.slice("__ahead", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("__ahead"))
@@ -166,7 +174,7 @@ def list_headings(items: DataFrame, least_chars: int = 80, reach: int = 8) -> Da
 
 def peer_review_removed(items: DataFrame, band: float = 1.0) -> DataFrame:
     """Without review marks and the fragments beside them; counters before texts go on those pages."""
-    mark = F.upper(F.col("text")).rlike(r"\bFOR\s+PEER\s+REVIEW\b")
+    mark = F.upper(F.col("text")).rlike(REVIEW)
     marks = items.where(mark).select(F.col("paper_id").alias("__p"), F.col("page").alias("__page"), F.col("t").alias("__top"), F.col("pos").alias("__pos"))
     beside = (F.col("paper_id") == F.col("__p")) & (F.col("page") == F.col("__page")) & (F.abs(F.col("t") - F.col("__top")) <= band)
     kept = items.join(marks, beside, "left_anti")
@@ -209,10 +217,24 @@ def formula_rows(tables: DataFrame) -> DataFrame:
 
 
 def captions_once(items: DataFrame, least_chars: int = 80, least_similarity: float = 0.90) -> DataFrame:
-    """Captions that hold the same text twice keep the first."""
+    """Captions that hold the same text twice keep the first.
+
+    Two halves are the same if their matching blocks make up ``least_similarity`` of both; this
+    ratio is computed in Python, for captions with two long halves only.
+    """
     first, second = X.caption_repeat(F.col("text"))
-    twice = (F.length(first) >= least_chars) & (F.length(second) >= least_chars) & (X.similarity(F.lower(first), F.lower(second)) >= least_similarity)
-    return items.withColumn("text", F.when((F.col("label") == "CAPTION") & twice, first).otherwise(F.col("text")))
+    long = F.coalesce((F.col("label") == "CAPTION") & (F.length(first) >= least_chars) & (F.length(second) >= least_chars), F.lit(False))
+    twice = F.pandas_udf(_matching_ratio, "double")(first, second) >= least_similarity
+    judged = items.where(long).withColumn("text", F.when(twice, first).otherwise(F.col("text")))
+    return items.where(~long).unionByName(judged)
+
+
+def _matching_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, a.casefold(), b.casefold()).ratio() for a, b in zip(first, second, strict=True)], dtype=float)
+
+
+# the hints tell the kind of the function
+_matching_ratio.__annotations__ = {"first": pd.Series, "second": pd.Series, "return": pd.Series}
 
 
 def rejected(text: Column) -> Column:

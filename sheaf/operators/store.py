@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.storage import CatalogError
+
 
 def document(documents: DataFrame, paper: str) -> DataFrame:
     return documents.where(F.col("paper_id") == paper)
@@ -14,13 +16,17 @@ def chunks_of(chunks: DataFrame, paper: str) -> DataFrame:
     return chunks.where(F.col("paper_id") == paper).orderBy("chunk_index")
 
 
-def front_matter(chunks: DataFrame, paper: str) -> DataFrame:
-    return chunks.where((F.col("paper_id") == paper) & (F.col("content_kind") == "front_matter")).orderBy("chunk_index")
+def front_matter(chunks: DataFrame, paper: str | None = None) -> DataFrame:
+    """Front-matter chunks of one paper or of all."""
+    found = chunks.where("content_kind = 'front_matter'")
+    return found if paper is None else found.where(F.col("paper_id") == paper).orderBy("chunk_index")
 
 
 def embedding_inputs(chunks: DataFrame) -> DataFrame:
-    """Content chunks to embed; an assigned vector or an empty result ends the query."""
+    """Content chunks to embed; an assigned vector ends the query, and so does a store without content."""
     content = chunks.where("section_type = 'content'")
+    if not content.limit(1).count():
+        raise CatalogError("there is no content to embed")
     return content.select("chunk_id", "paper_id", "chunk_index", F.when(F.col("vector_id").isNull(), F.col("embedding_text")).otherwise(F.raise_error(F.lit("vectors are assigned already"))).alias("embedding_text"))
 
 
@@ -42,7 +48,7 @@ def in_section(chunks: DataFrame, documents: DataFrame, sections: DataFrame) ->
 def indexed_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """What an index holds of each chunk: the document's title stands in for a missing one."""
     titles = documents.select("paper_id", F.col("paper_title").alias("document_title"))
-    return chunks.join(titles, "paper_id", "left").select("chunk_id", F.coalesce("paper_title", "document_title", F.lit("")).alias("paper_title"), F.coalesce("section", F.lit("")).alias("section"), "raw_text", "section_type")
+    return chunks.join(titles, "paper_id", "left").select("chunk_id", "paper_id", F.coalesce("paper_title", "document_title", F.lit("")).alias("paper_title"), F.coalesce("section", F.lit("")).alias("section"), "raw_text", "section_type")
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:

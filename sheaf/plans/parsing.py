@@ -185,7 +185,7 @@ def formula_cleanup(spark, d):
 
 @query("caption_dedup", """
 WITH made AS (SELECT item_id, 'Figure 3. ' || rpad(text, 90, 'y') AS once FROM benchmark)
-SELECT item_id::VARCHAR AS paper_id, CASE WHEN item_id % 2 = 0 AND 1 - levenshtein(lower(trim(once)), lower(trim(once))) / length(once)::DOUBLE >= 0.9 THEN trim(once) WHEN item_id % 2 = 0 THEN once || ' ' || once ELSE once || ' as in Figure 3. above' END AS text FROM made""")
+SELECT item_id::VARCHAR AS paper_id, CASE WHEN item_id % 2 = 0 THEN trim(once) ELSE once || ' as in Figure 3. above' END AS text FROM made""")
 def caption_dedup(spark, d):
     once = F.concat(F.lit("Figure 3. "), F.rpad("text", 90, "y"))
     items = _made(spark, d, ("CAPTION", F.when(F.col("i") % 2 == 0, F.concat(once, F.lit(" "), once)).otherwise(F.concat(once, F.lit(" as in Figure 3. above")))))

@@ -88,6 +88,27 @@ def section_lookup(spark, d):
     return store.in_section(fx.chunks(spark, d), documents, wanted).select("chunk_id", "paper_id", "section", "chunk_index", "source_filename")
 
 
+@query("front_matter_chunks", with_chunks() + "SELECT chunk_id, chunk_index, 'abstract' AS front_matter_type FROM chunks WHERE section = 'Abstract'")
+def front_matter_chunks(spark, d):
+    return store.front_matter(fx.chunks(spark, d)).select("chunk_id", "chunk_index", "front_matter_type")
+
+
+def _newest(spark, d):
+    return fx.papers(spark, d).select("paper_id", "doc_id").orderBy(F.desc("doc_id")).first()["paper_id"]
+
+
+@query("paper_lookup", with_chunks() + "SELECT paper_id, doc_id, paper_title FROM papers ORDER BY doc_id DESC LIMIT 1")
+def paper_lookup(spark, d):
+    """One paper by its id: that of the newest document."""
+    return store.document(fx.store(spark, d).table("documents"), _newest(spark, d)).select("paper_id", "doc_id", "paper_title")
+
+
+@query("paper_chunks", with_chunks() + "SELECT chunk_id, chunk_index, section FROM chunks WHERE paper_id = (SELECT paper_id FROM papers ORDER BY doc_id DESC LIMIT 1)")
+def paper_chunks(spark, d):
+    """The chunks of one paper, in order."""
+    return store.chunks_of(fx.chunks(spark, d), _newest(spark, d)).select("chunk_id", "chunk_index", "section")
+
+
 @query("tokenize", with_chunks(TERMS_SQL) + "SELECT id, col, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(term, ' ' ORDER BY pos)) AS sha FROM terms GROUP BY id, col")
 def tokenize(spark, d):
     rows = lexical.places(fx.chunks(spark, d))

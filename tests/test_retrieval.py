@@ -116,6 +116,21 @@ def test_dense_search_is_exact(spark):
     assert dense.search(stored.limit(0), queries, 3).count() == 0 and dense.search(stored, queries.limit(0), 3).count() == 0
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BATCH_QUERIES", 7)
+    monkeypatch.setattr(dense, "SCORED_ROWS", 16)
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (200, 4)).astype(np.float32)  # many ties
+    stored = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(vectors)], "vector_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(20)], "qid long, embedding array<float>")
+    got = {}
+    for r in dense.search(stored, queries, 9).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["vector_id"]
+    for q in range(20):
+        scores = vectors.astype(float) @ vectors[q].astype(float)
+        assert [got[q][k] for k in range(1, 10)] == (np.lexsort((np.arange(200), -scores))[:9] + 1).tolist()
+
+
 def test_numbering_over_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(6)
     assert sorted((r["k"], r["vector_id"]) for r in dense.number_rows(rows, "k").collect()) == [(i, i + 1) for i in range(1000)]
