@@ -74,6 +74,33 @@ def pages_diagnostics(spark, d):
     return layout.clean(readers.html_items(fx.table(spark, d, "pages")), trace=True).diagnostics
 
 
+@query("pages_markdown", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, sha256(string_agg(CASE label WHEN 'TITLE' THEN '# ' || text WHEN 'SECTION_HEADER' THEN '## ' || text WHEN 'LIST_ITEM' THEN '- ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos)) AS sha FROM kept GROUP BY paper_id")
+def pages_markdown(spark, d):
+    done = layout.clean(readers.html_items(fx.table(spark, d, "pages")))
+    return readers.markdown(done.items).select("paper_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("sha"))
+
+
+@query("section_paths", with_chunks() + "SELECT chunk_id, 'Part > ' || section AS path, length(section) AS n FROM chunks")
+def section_paths(spark, d):
+    """Headings to a path and back to its leaf; blank ones are left out."""
+    path = X.section_path(F.array(F.lit(" Part "), F.lit("  "), F.col("section")))
+    return fx.chunks(spark, d).select("chunk_id", path.alias("path"), F.length(F.trim(F.element_at(F.split(path, ">"), -1))).alias("n"))
+
+
+@query("layout_noise", "SELECT 'paper_' || item_id || '_chunk_0000' AS chunk_id, CASE item_id % 3 WHEN 0 THEN 'Text ' ELSE 'Research Article number ' END || item_id AS raw_text FROM benchmark WHERE item_id % 3 < 2 UNION ALL SELECT 'paper_' || item_id || '_chunk_0000', 'Article' FROM benchmark WHERE item_id % 3 = 2")
+def layout_noise(spark, d):
+    """A bare label without a section is dropped; a longer one, and one with a section, stay."""
+    from sheaf.operators import chunking
+
+    k = F.col("item_id") % 3
+    item = lambda section, text, n: F.struct(section.alias("section"), text.alias("text"), F.lit(n).alias("tokens"), F.lit(1).alias("page"))
+    none = F.lit(None).cast("string")
+    number = F.col("item_id").cast("string")
+    rows = F.when(k == 0, F.array(item(none, F.lit("Research  ARTICLE"), 2), item(F.lit("S"), F.concat(F.lit("Text "), number), 2))).when(k == 1, F.array(item(none, F.concat(F.lit("Research Article number "), number), 4))).otherwise(F.array(item(F.lit("S"), F.lit("Article"), 1)))
+    papers = fx.table(spark, d, "benchmark").select(F.concat(F.lit("paper_"), number).alias("paper_id"), F.lit("t").alias("paper_title"), F.lit("s").alias("source"), rows.alias("items"))
+    return chunking.build(papers, 512).select("chunk_id", "raw_text")
+
+
 def _bench(spark, d):
     return fx.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("paper_id"), F.col("item_id").alias("i"), "text")
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf import catalog
+from sheaf import adaptors, catalog
 from sheaf.config import Settings
 from sheaf.functions import text as X
 from sheaf.functions import vector as V
-from sheaf.operators import chunking, dense, fusion, lexical, store
+from sheaf.operators import answers, chunking, dense, fusion, lexical, store
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import QUERIES_SQL, TERMS_SQL, bm25_sql, with_chunks
+from sheaf.sources import readers
 
 S = Settings()
 QUERIES, ORACLE = {}, {}
@@ -138,6 +139,7 @@ def _hits(rows):
     return rows.select("qid", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+NUMBERED_SQL = "numbered AS (SELECT row_number() OVER (ORDER BY paper_id, chunk_index) AS vector_id, * FROM chunks WHERE section_type = 'content')"
 HITS_SQL = "SELECT qid, id, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank FROM b"
 PHRASE = "SELECT qid, 0 AS pid, ts FROM qs WHERE len(ts) > 0"
 GROUP = "SELECT qid, n AS pid, [word] AS ts FROM kws"
@@ -206,7 +208,6 @@ def vector_normalize(spark, d):
     return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
 
 
-NUMBERED_SQL = "numbered AS (SELECT row_number() OVER (ORDER BY paper_id, chunk_index) AS vector_id, * FROM chunks WHERE section_type = 'content')"
 
 
 @query("vector_assign_ids", with_chunks(NUMBERED_SQL) + "SELECT vector_id, chunk_id, sha256(embedding_text) AS text_sha256 FROM numbered")
@@ -221,6 +222,45 @@ def vector_state(spark, d):
     return dense.state(chunks)
 
 
+@query("artifact_roundtrip", "SELECT vec_id + 1 AS vector_id, 'v' || vec_id AS chunk_id, sha256('text ' || vec_id) AS text_sha256, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def artifact_roundtrip(spark, d):
+    """Vectors written with records and a manifest, read back and checked against both."""
+    number = F.col("vec_id").cast("string")
+    rows = fx.table(spark, d, "embeddings").select(F.concat(F.lit("v"), number).alias("chunk_id"), F.lit("p").alias("paper_id"), F.col("vec_id").alias("chunk_index"), F.concat(F.lit("text "), number).alias("embedding_text"), "embedding")
+    stored = readers.read_artifact(spark, readers.write_artifact(rows, catalog.shared_folder(spark), 64))
+    return stored.select("vector_id", "chunk_id", "text_sha256", F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 5).alias("total"))
+
+
+@query("index_published", with_chunks(NUMBERED_SQL) + "SELECT vector_id, chunk_id, sha256(embedding_text) AS text_sha256 FROM numbered")
+def index_published(spark, d):
+    """A store whose index was cut short after the swap, recovered, verified and rebuilt; a problem ends the query."""
+    held = catalog.Catalog(spark, catalog.shared_folder(spark))
+    sources, chunks = fx.papers(spark, d).drop("text"), fx.chunks(spark, d)
+    held.import_papers(sources, chunks.withColumn("vector_id", F.lit(None).cast("long")))
+    content = held.table("chunks").where("section_type = 'content'").select("chunk_id", "paper_id", "chunk_index", "embedding_text")
+    embedded = adaptors.embed(content, adaptors.HashEmbedder)
+    held.publish_index(embedded, 64, stop="swap")
+    if held.recover() != "published" or held.verify_index().limit(1).count():
+        raise catalog.CatalogError("the index does not fit")
+    held.rebuild_index(embedded, 64)
+    if held.verify_index().limit(1).count():
+        raise catalog.CatalogError("the rebuilt index does not fit")
+    return held.table("vectors").select("vector_id", "chunk_id", "text_sha256")
+
+
+@query("score_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(embedding, lambda x: x::DOUBLE)))), 9) AS score FROM embeddings")
+def score_sigmoid(spark, d):
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x)
+    return fx.table(spark, d, "embeddings").select("vec_id", F.round(V.sigmoid(total), 9).alias("score"))
+
+
+@query("rewrite_offline", "WITH" + QUERIES_SQL.rstrip() + " SELECT q.qid, trim(regexp_replace(q.query, '\\s+', ' ', 'g')) AS original_query, trim(q.query) AS semantic_query, coalesce(k.words, '') AS keywords, 'success' AS status FROM qs q LEFT JOIN (SELECT qid, string_agg(word, ',' ORDER BY n) AS words FROM kws GROUP BY qid) k ON k.qid = q.qid")
+def rewrite_offline(spark, d):
+    """Plans without a model: the question and its longest words."""
+    plans = answers.rewrite_plan(adaptors.rewrite_offline(fx.query_texts(spark, d), fx.KEYWORDS), fx.KEYWORDS)
+    return plans.select("qid", "original_query", "semantic_query", F.array_join("keywords", ",").alias("keywords"), "status")
+
+
 @query("dense_topk", "SELECT q.vec_id AS qid, v.vec_id + 1 AS vector_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20")
 def dense_topk(spark, d):
     queries = fx.table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
