@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import claim, materialize, shared_dir, text_of, trimmed
@@ -30,6 +30,8 @@ BATCH_SEQUENCES = 256
 SLICE_CHARS = 2_000_000
 #: Bytes of text that go into one file, about.
 SHARD_BYTES = 32 << 20
+#: Files whose sizes are added up together; the driver gets one sum for so many.
+SHARD_BLOCK = 1_000
 
 
 def default_tokenizer() -> str:
@@ -357,19 +359,26 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     return materialize(ordered.mapInArrow(trimmed(write), "doc_id long, shard int, file string, local_start long, n_tokens long"), f"{folder}-index")
 
 
+def shard_starts(index: DataFrame, block: int = SHARD_BLOCK) -> DataFrame:
+    """shard, shard_start: how many ids stand before each file.
+
+    Files are added up within blocks of ``block`` files, and the blocks' sums on the driver.
+    """
+    sizes = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("shard") / block).cast("int"))
+    before, total = [], 0
+    for row in sorted(sizes.groupBy("block").agg(F.sum("n").alias("n")).collect()):
+        before.append((row["block"], total))
+        total += row["n"]
+    blocks = index.sparkSession.createDataFrame(before, "block int, block_start long")
+    earlier = F.sum("n").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.join(F.broadcast(blocks), "block").select("shard", (F.col("block_start") + F.coalesce(earlier, F.lit(0))).alias("shard_start"))
+
+
 def read_shards(index: DataFrame, batch_sequences: int = BATCH_SEQUENCES) -> DataFrame:
     """Read every document's ids back from the files: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it; the shards' sums that it needs are
-    one row a file.
+    ``start`` counts the ids of all documents before it.
     """
-    spark = index.sparkSession
-    sizes = sorted(index.groupBy("shard").agg(F.sum("n_tokens")).collect())
-    before, total = [], 0
-    for shard, n in sizes:
-        before.append((shard, total))
-        total += n
-    starts = F.broadcast(spark.createDataFrame(before, "shard int, shard_start long"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file, reader = None, None
@@ -385,7 +394,7 @@ def read_shards(index: DataFrame, batch_sequences: int = BATCH_SEQUENCES) -> Dat
         if reader:
             reader.close()
 
-    placed = index.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "file", "local_start")
+    placed = index.join(shard_starts(index), "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "file", "local_start")
     return placed.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -39,6 +39,18 @@ def test_shards_round_trip(spark, sf, coder):
     assert got == want
 
 
+def test_starts_of_many_files(spark):
+    rows = [(i % 37, i % 37, (i * 7) % 11) for i in range(500) if i % 37 != 5]
+    index = spark.createDataFrame(rows, "doc_id long, shard int, n_tokens long").repartition(3)
+    sums = {}
+    for _, shard, n in rows:
+        sums[shard] = sums.get(shard, 0) + n
+    want = {s: sum(n for t, n in sums.items() if t < s) for s in sums}
+    for block in (1, 4, 1000):
+        assert dict(tokens.shard_starts(index, block).collect()) == want
+    assert tokens.shard_starts(index.limit(0)).count() == 0
+
+
 def test_shards_of_awkward_rows(spark, tmp_path, coder):
     docs = documents(spark, AWKWARD, shard=7, file="clash").withColumn("doc_id", F.when(F.col("doc_id") == 3, None).when(F.col("doc_id") == 5, 4).otherwise(F.col("doc_id"))).repartition(3)
     got = tokens.read_shards(tokens.write_shards(docs, str(tmp_path / "s"), length=16, batch_sequences=4), 4).collect()
