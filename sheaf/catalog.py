@@ -159,6 +159,18 @@ class Catalog:
         self.reset_vectors()
         return self.publish_index(embedded, dimension)
 
+    def vacuum(self, least_seconds: float = 7 * 86_400, journal: str = "pending.json") -> list[str]:
+        """Delete snapshots that no table lies in any more and that nobody may still be reading; returns their names.
+
+        What the journal of an unfinished publication names stays.
+        """
+        pointer, pending = self.pointer(), self.files.read_json(journal) or {}
+        used = {place.split("/")[0] for place in pointer.get("tables", {}).values()} | {pending.get("mapping", "").rsplit("/", 1)[-1]}
+        old = sorted(name for name, age in self.files.folders().items() if name.startswith(("snapshot-", "index-")) and name not in used and age >= least_seconds)
+        for name in old:
+            self.files.delete(name)
+        return old
+
     def verify_index(self) -> DataFrame:
         """problem, n: where chunks, vectors and the recorded fingerprint differ; no rows when all fit."""
         chunks, vectors, facts = self.table("chunks"), self.table("vectors"), self.pointer().get("index")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from typing import Any
 
@@ -48,6 +49,11 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def folders(self) -> dict[str, float]:
+        """Folders right below the root and the seconds since each was changed."""
+        now = time.time()
+        return {f.getPath().getName(): now - f.getModificationTime() / 1000 for f in self.fs.listStatus(self._path("")) if f.isDirectory()}
+
     def read_json(self, name: str) -> dict[str, Any] | None:
         """A JSON object, or null where there is no file; anything else is refused."""
         if not self.exists(name):

@@ -118,6 +118,10 @@ def test_index_lifecycle(spark, tmp_path):
     before = held.table("postings")
     held.rebuild_index(embedded(held), 64)
     assert held.verify_index().count() == 0
+    # what no table lies in goes, once it is old enough
+    assert held.vacuum() == []
+    gone = held.vacuum(0)
+    assert gone and held.verify_index().count() == 0 and held.index().terms.count() > 0 and held.vacuum(0) == []
     # the lexical index stayed where it was
     assert held.table("postings").inputFiles() == before.inputFiles()
     changed = held.table("chunks").withColumn("embedding_text", F.concat("embedding_text", F.lit("!")))
