@@ -84,7 +84,7 @@ def pages_markdown(spark, d):
 def section_paths(spark, d):
     """Headings to a path and back to its leaf; blank ones are left out."""
     path = X.section_path(F.array(F.lit(" Part "), F.lit("  "), F.col("section")))
-    return fx.chunks(spark, d).select("chunk_id", path.alias("path"), F.length(F.trim(F.element_at(F.split(path, ">"), -1))).alias("n"))
+    return fx.chunks(spark, d).select("chunk_id", path.alias("path"), F.length(F.trim(F.element_at(F.split(path, ">"), -1))).cast("long").alias("n"))
 
 
 @query("layout_noise", "SELECT 'paper_' || item_id || '_chunk_0000' AS chunk_id, CASE item_id % 3 WHEN 0 THEN 'Text ' ELSE 'Research Article number ' END || item_id AS raw_text FROM benchmark WHERE item_id % 3 < 2 UNION ALL SELECT 'paper_' || item_id || '_chunk_0000', 'Article' FROM benchmark WHERE item_id % 3 = 2")
