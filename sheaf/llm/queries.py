@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.llm import archive, decontam, fingerprints, langid, licenses, neardup, packing, quality, secrets, tokens
+from sheaf.llm import archive, decontam, fingerprints, langid, licenses, neardup, packing, quality, secrets, tokens, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_fingerprints": fingerprints.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_warc": archive.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality": quality.op10,
+    "op13_whitening": whitening.op13,
 }
 
 ORACLE: dict[str, str] = {
