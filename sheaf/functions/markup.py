@@ -43,6 +43,7 @@ ENDS = {
 }
 # Elements beyond which no start or end tag reaches.
 SCOPE = frozenset("html table td th caption template object".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
 
 # Quotes matter after an equals sign only; possessive, so no tag is read twice.
@@ -158,6 +159,9 @@ class _Machine:
             self.pieces.append(" ")
         if tag in BLOCK:
             self.flush()
+        if self.open["head"] and tag not in IN_HEAD and (at := self.find(("head",), ("template",))):
+            self.flush()
+            self.pop_to(at)
         if tag in ENDS_PARAGRAPH and (at := self.find(("p",), SCOPE | {"button"})):
             self.pop_to(at)
         if tag in HEADINGS and self.page.elements[self.stack[-1]].tag in HEADINGS:

@@ -32,6 +32,7 @@ def shown(source, without=frozenset()):
         ("<h1>a<h2>b</h1>c", [("h1", "a"), ("h2", "b"), ("", "c")]),
         ('<script>var a="</p>";if(a<b){}</script><style>p{}</style>x<!-- <p>y</p> -->z<!-->u<!--->v', [("", "xzuv")]),
         ("<script>never ends <p>x", []),
+        ("<html><head><title>t</title><meta x><p>a<body>b", [("html/head/title", "t"), ("html/p", "a"), ("html/p/body", "b")]),
         ("<title>T &lt;p&gt; <b></title><textarea><p>x</textarea>", [("title", "T <p> <b>"), ("textarea", "<p>x")]),
         ('<p title="a > b" class=\'c>\'>x</p>', [("p", "x")]),
         ("<P CLASS=x>a</P></div></td></b>b", [("p", "a"), ("", "b")]),
