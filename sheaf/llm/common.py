@@ -95,14 +95,14 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | Non
     return rows.join(F.broadcast(often), key).select(*seldom.columns).union(seldom)
 
 
-def salted_join(rows: DataFrame, side: DataFrame, key: str, by: tuple[str, ...], salts: int = SALTS) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` (one light row a key); no task gets more than one in ``salts`` of a key's rows.
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: tuple[str, ...], salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with ``side`` (one light row a key); no task gets more than one in ``salts`` of a key's rows.
 
     Rows are dealt by key and a salt (a hash of the columns ``by``); the side meets each key and
     salt that there is, and these meet the rows.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
-    return salted.join(salted.select(key, "__salt").distinct().join(side, key), [key, "__salt"]).drop("__salt")
+    return salted.join(salted.select(key, "__salt").distinct().join(side, key), [key, "__salt"], how).drop("__salt")
 
 
 def held_out(doc_id):

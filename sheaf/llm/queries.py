@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sheaf.llm import archive, decontam, fingerprints, langid, licenses, neardup, packing, quality, secrets, tokens, whitening
+from sheaf.llm import archive, decontam, extraction, filters, fingerprints, langid, licenses, neardup, packing, quality, secrets, tokens, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_fingerprints": fingerprints.op1,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable] = {
     "op8_warc": archive.op8,
     "op9_decontamination": decontam.op9,
     "op10_quality": quality.op10,
+    "op11_main_text": extraction.op11,
+    "op12_filter_audit": filters.op12,
     "op13_whitening": whitening.op13,
 }
 
@@ -24,4 +26,6 @@ ORACLE: dict[str, str] = {
     "op7_near_duplicates": neardup.ORACLE,
     "op8_warc": archive.ORACLE,
     "op9_decontamination": decontam.ORACLE,
+    "op11_main_text": extraction.ORACLE,
+    "op12_filter_audit": filters.ORACLE,
 }
