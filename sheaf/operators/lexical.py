@@ -2,7 +2,8 @@
 
 The index is three tables, stored with the chunks and read by every search: ``postings`` (a row
 per term, chunk and column, with the term's places), ``lengths`` (terms of each chunk) and
-``terms`` (how many chunks have a term, and how many rows).  All are divided by section type.
+``terms`` (how many chunks have a term).  All are divided by section type and made from one pass
+over the text (``analysed``).
 Postings are dealt by ranges of term and chunk, so a very common term's rows lie in several
 files and no task has all of them.
 
@@ -35,15 +36,18 @@ LEAST_IDF = 1e-6
 
 @dataclass(frozen=True)
 class Index:
-    """The three tables of an index, whole or of one section type."""
+    """The three tables of an index, whole or of one section type, and what is known of the lengths' totals."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
+    #: section type -> number of chunks and sum of their lengths.
+    totals: dict[str, tuple[int, int]] | None = None
 
     def of(self, section_type: str) -> Index:
         part = F.col("section_type") == section_type
-        return Index(self.postings.where(part), self.lengths.where(part), self.terms.where(part))
+        totals = None if self.totals is None else {section_type: self.totals.get(section_type, (0, 0))}
+        return Index(self.postings.where(part), self.lengths.where(part), self.terms.where(part), totals)
 
 
 def _owned(chunks: DataFrame) -> DataFrame:
@@ -59,28 +63,57 @@ def places(chunks: DataFrame) -> DataFrame:
     return flat.select("section_type", "paper_id", "id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """section_type, paper_id, term, id, col, positions; one shuffle, by ranges of term and chunk."""
-    ranged = places(chunks).repartitionByRange("term", "id")
-    grouped = ranged.groupBy("term", "id", "section_type", "paper_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.sortWithinPartitions("section_type", "term", "id").select("section_type", "paper_id", "term", "id", "col", "positions")
+def analysed(chunks: DataFrame) -> DataFrame:
+    """section_type, paper_id, id, len, terms (term, col, positions) of each chunk: the only pass over the text.
 
+    A chunk's terms are put together within its row, so nothing is shuffled to group them.
+    """
+    columns = F.array(*(X.tokens(F.col(c)) for c in COLUMNS))
+    places = F.flatten(F.transform(columns, lambda ts, c: F.transform(ts, lambda t, i: F.struct(t.alias("term"), c.alias("col"), i.alias("pos")))))
+    rows = _owned(chunks).select("section_type", "paper_id", F.col("chunk_id").alias("id"), F.sort_array(places).alias("p"))
+    first = lambda i: (i == 0) | (F.get("p", i)["term"] != F.get("p", i - 1)["term"]) | (F.get("p", i)["col"] != F.get("p", i - 1)["col"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), first)
+    rows = rows.withColumn("starts", F.when(F.size("p") > 0, starts).otherwise(F.expr("cast(array() as array<int>)")))
+    group = lambda s, k: F.struct(F.get("p", s)["term"].alias("term"), F.get("p", s)["col"].alias("col"), F.transform(F.slice("p", s + 1, F.coalesce(F.get("starts", k + 1), F.size("p")) - s), lambda x: x["pos"]).alias("positions"))
+    return rows.select("section_type", "paper_id", "id", F.size("p").alias("len"), F.transform("starts", group).alias("terms"))
 
-def lengths(chunks: DataFrame) -> DataFrame:
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Postings dealt by ranges of term and chunk, and sorted within."""
+    return rows.repartitionByRange("term", "id").sortWithinPartitions("section_type", "term", "id")
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """section_type, paper_id, term, id, col, positions of analysed chunks."""
+    flat = rows.select("section_type", "paper_id", "id", F.explode("terms").alias("t")).select("section_type", "paper_id", "t.term", "id", "t.col", "t.positions")
+    return ordered(flat)
+
+
+def lengths(rows: DataFrame) -> DataFrame:
     """section_type, paper_id, id and number of terms over all indexed columns."""
-    total = sum((F.size(X.tokens(F.col(c))) for c in COLUMNS), F.lit(0))
-    return _owned(chunks).select("section_type", "paper_id", F.col("chunk_id").alias("id"), total.alias("len"))
+    return rows.select("section_type", "paper_id", "id", "len")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """section_type, term, df (chunks that have it) of postings."""
-    return rows.groupBy("section_type", "term").agg(F.count_distinct("id").alias("df"))
+    """section_type, term, df (chunks that have it) of analysed chunks."""
+    distinct = F.array_distinct(F.transform("terms", lambda t: t["term"]))
+    return rows.select("section_type", F.explode(distinct).alias("term")).groupBy("section_type", "term").agg(F.count("*").alias("df"))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """Counts of several segments put together; what has been taken back altogether is gone."""
+    return counts.groupBy("section_type", "term").agg(F.sum("df").alias("df")).where("df != 0")
+
+
+def totals(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    """section type -> number of chunks and sum of their lengths: one row per type."""
+    return {r["section_type"]: (r["n"], r["total"]) for r in rows.groupBy("section_type").agg(F.count("*").alias("n"), F.sum("len").alias("total")).collect()}
 
 
 def index(chunks: DataFrame) -> Index:
     """An index that is not stored, for a few chunks."""
-    rows = postings(chunks)
-    return Index(rows, lengths(chunks), term_counts(rows))
+    rows = analysed(chunks)
+    return Index(postings(rows), lengths(rows), term_counts(rows))
 
 
 def stats(sizes: DataFrame) -> DataFrame:
@@ -101,7 +134,9 @@ def occurrences(stored: Index, wanted: DataFrame) -> DataFrame:
     single = rows.join(wanted.where("terms = 1").select("qid", "pid", "term"), "term").select("qid", "pid", "id", "col", F.size("positions").alias("tf"))
     # a phrase with a term that no chunk has is dropped here
     by = Window.partitionBy("qid", "pid")
-    known = wanted.where("terms > 1").join(stored.terms.select("term", "df"), "term")
+    longer = wanted.where("terms > 1")
+    # the semi-join comes before the counts of several segments are added up
+    known = longer.join(stored.terms.join(longer.select("term").distinct(), "term", "left_semi").select("term", "df"), "term")
     ranked = known.withColumn("n", F.row_number().over(by.orderBy("df", "off"))).withColumn("have", F.count("*").over(by)).where("have = terms")
     starts = F.transform("positions", lambda p: p - F.col("off")).alias("starts")
     first = rows.join(ranked.where("n = 1").select("qid", "pid", "term", "off", "terms"), "term").select("qid", "pid", "id", "col", "terms", starts)
@@ -117,12 +152,16 @@ def scores(stored: Index, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFr
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in (settings.title_weight, settings.section_weight, settings.text_weight))), F.col("col") + 1)
     found = occurrences(stored, phrases(queries)).groupBy("qid", "pid", "id").agg(F.sum(weight * F.col("tf")).alias("f"))
     spread = found.groupBy("qid", "pid").agg(F.count("*").alias("df"))
-    totals = stats(stored.lengths)
-    raw = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    joined = found.join(spread, ["qid", "pid"]).join(stored.lengths.select("id", "paper_id", "len"), "id")
+    if stored.totals is None:
+        joined, n_chunks, mean = joined.join(F.broadcast(stats(stored.lengths))), F.col("n_chunks"), F.col("avgdl")
+    else:
+        n, total = (sum(t[i] for t in stored.totals.values()) for i in (0, 1))
+        n_chunks, mean = F.lit(n), F.lit(total / n if n else 0.0)
+    raw = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     k1, b = settings.k1, settings.b
-    part = -idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    joined = found.join(spread, ["qid", "pid"]).join(stored.lengths.select("id", "paper_id", "len"), "id").join(F.broadcast(totals))
+    part = -idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / mean))
     return joined.groupBy("qid", "id", "paper_id").agg(F.sum(part).alias("score"))
 
 

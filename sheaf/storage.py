@@ -8,6 +8,7 @@ import time
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +55,20 @@ class Files:
         now = time.time()
         return {f.getPath().getName(): now - f.getModificationTime() / 1000 for f in self.fs.listStatus(self._path("")) if f.isDirectory()}
 
+    def names(self, folder: str) -> list[str]:
+        """What lies right below a folder, by name; nothing where there is none."""
+        if not self.exists(folder):
+            return []
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self._path(folder)))
+
+    def age(self, name: str) -> float:
+        """Seconds since it was changed."""
+        return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
+    def size(self, name: str) -> int:
+        """Bytes of all files below it."""
+        return self.fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
+
     def read_json(self, name: str) -> dict[str, Any] | None:
         """A JSON object, or null where there is no file; anything else is refused."""
         if not self.exists(name):
@@ -73,16 +88,43 @@ class Files:
 
     def write_json(self, name: str, value: dict[str, Any]) -> None:
         """Written aside, then renamed over the old file."""
-        aside = f"{name}.{uuid.uuid4().hex}"
+        self._rename(self._aside(name, value), name, "OVERWRITE")
+
+    def create_json(self, name: str, value: dict[str, Any]) -> bool:
+        """Write a file that nobody else has written; false, and no change, where there is one.
+
+        Of several writers at once one succeeds: a rename that does not overwrite is one step on
+        file systems of clusters, and a hard link is on a local one.
+        """
+        aside = self._aside(name, value)
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                place = lambda x: self.jvm.java.io.File(self._path(x).toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(place(name), place(aside))
+            else:
+                self._rename(aside, name, "NONE")
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            self.fs.delete(self._path(aside), False)
+        return True
+
+    def _aside(self, name: str, value: dict[str, Any]) -> str:
+        folder, _, last = name.rpartition("/")
+        aside = f"{folder}/.{last}.{uuid.uuid4().hex}" if folder else f".{last}.{uuid.uuid4().hex}"
         stream = self.fs.create(self._path(aside), True)
         try:
             stream.write(bytearray(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()))
         finally:
             stream.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf)
-        array = spark_array(self.jvm, rename, [rename.OVERWRITE])
-        options.rename(self._path(aside), self._path(name), array)
+        return aside
+
+    def _rename(self, old: str, new: str, option: str) -> None:
+        kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf)
+        context.rename(self._path(old), self._path(new), spark_array(self.jvm, kinds, [getattr(kinds, option)]))
 
 
 def spark_array(jvm, kind, values):

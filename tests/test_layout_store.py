@@ -116,9 +116,12 @@ def catalog_window():
 
 
 def test_versions(spark, tmp_path):
-    catalog.Files(spark, str(tmp_path)).write_json("current.json", {"snapshot": "x", "schema_version": 9})
+    catalog.Files(spark, str(tmp_path / "a")).write_json("pointers/000000000001.json", {"version": 1, "schema_version": 9})
     with pytest.raises(catalog.CatalogError, match="version"):
-        catalog.Catalog(spark, str(tmp_path))
+        catalog.Catalog(spark, str(tmp_path / "a"))
+    catalog.Files(spark, str(tmp_path / "b")).write_json("current.json", {"snapshot": "x", "schema_version": 4})
+    with pytest.raises(catalog.CatalogError, match="older"):
+        catalog.Catalog(spark, str(tmp_path / "b"))
     old = spark.createDataFrame([("c0", "p", "A B S T R A C T", 1, 1), ("c1", "p", "7. References", 2, 2), ("c2", "p", "Intro", 1, 1)], "chunk_id string, paper_id string, section string, page_start int, page_end int")
     blocks = spark.createDataFrame([("p", "abstract", "Front matter > Abstract", 1, 2, 0)], "paper_id string, block_type string, canonical_section string, page_start int, page_end int, block_index int")
     got = {r["chunk_id"]: (r["content_kind"], r["front_matter_type"], r["section_type"]) for r in catalog.migrate(old, 1, blocks).collect()}
