@@ -13,6 +13,7 @@ words nor repeated rows meet in one task.  Equal texts meet by digest, dealt und
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import permutations
 from math import factorial
@@ -79,46 +80,41 @@ def judged(flagged: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pattern_counts(rows: DataFrame) -> DataFrame:
-    """part and three arrays of 32 numbers: documents, good ones and toxic ones by pattern, from 32 conditional columns each."""
-    kinds = {"n": F.col("copies"), "good": F.col("copies") * F.col("good"), "toxic": F.col("copies") * F.col("toxic")}
-    columns = [F.sum(F.when(F.col("pattern") == p, value).otherwise(0)).alias(f"{kind}_{p}") for kind, value in kinds.items() for p in range(PATTERNS)]
-    wide = rows.groupBy("part").agg(*columns)
-    return wide.select("part", *(F.array(*(f"{kind}_{p}" for p in range(PATTERNS))).alias(kind) for kind in kinds))
-
-
-def _total(counts: str, fits: list[int]) -> Column:
-    """The sum of the counts of the given patterns."""
-    return reduce(lambda a, b: a + b, (F.get(counts, F.lit(p)) for p in fits))
+    """part and 32 conditional columns each for documents (n_0, ...), good ones (good_0, ...) and toxic ones (toxic_0, ...), by pattern."""
+    kinds = {"n": "copies", "good": "copies * good", "toxic": "copies * toxic"}
+    return rows.groupBy("part").agg(*(F.expr(f"sum(CASE WHEN pattern = {p} THEN {value} ELSE 0 END) AS {kind}_{p}") for kind, value in kinds.items() for p in range(PATTERNS)))
 
 
 def steps(counts: DataFrame) -> DataFrame:
     """One row per part, order and step; what a step does depends on its filter and on which came before."""
     n = len(FILTERS)
-    cases = {(f, before): [p for p in range(PATTERNS) if p >> f & 1 and not p & before] for f in range(n) for before in range(PATTERNS) if not before >> f & 1}
-    place = {case: i for i, case in enumerate(cases)}
+    cases = [(f, before) for f in range(n) for before in range(PATTERNS) if not before >> f & 1]
+
+    def sums(kind: str, fits: Callable[[int, int, int], bool], name: str) -> Column:
+        """For each case the sum of the counts of the patterns that fit it."""
+        return F.expr("array(" + ", ".join(" + ".join(f"{kind}_{p}" for p in range(PATTERNS) if fits(p, 1 << f, before)) or "0L" for f, before in cases) + f") AS {name}")
 
-    # what a step does, computed once for each filter and set of filters before it
+    lost = lambda p, f, before: bool(p & f) and not p & before
     shared = counts.select(
         "part",
-        F.array(*(_total("n", [p for p in range(PATTERNS) if not p & (before | 1 << f)]) for f, before in cases)).alias("kept"),
-        F.array(*(_total("n", fits) for fits in cases.values())).alias("removed"),
-        F.array(*(_total("n", [p for p in range(PATTERNS) if p >> f & 1 and p & before]) if before else F.lit(0).cast("long") for f, before in cases)).alias("redundant"),
-        F.array(*(_total("good", fits) for fits in cases.values())).alias("good_lost"),
-        F.array(*(_total("toxic", fits) for fits in cases.values())).alias("toxic_lost"),
-        F.array(*(F.get("n", F.lit(1 << f)) for f in range(n))).alias("alone"),
+        sums("n", lambda p, f, before: not p & (f | before), "kept"),
+        sums("n", lost, "removed"),
+        sums("n", lambda p, f, before: bool(p & f) and bool(p & before), "redundant"),
+        sums("n", lambda p, f, before: p == f, "unique_fails"),
+        sums("good", lost, "good_lost"),
+        sums("toxic", lost, "toxic_lost"),
     )
     # a set of k filters comes before the filter in k! (n - 1 - k)! orders
-    weight = lambda before: factorial(before.bit_count()) * factorial(n - 1 - before.bit_count())
-    shares = F.array(*(reduce(lambda a, b: a + b, (F.get("removed", F.lit(i)) * weight(before) for (g, before), i in place.items() if g == f)) for f in range(n)))
-    rows = []
-    for order in permutations(range(n)):
-        before = 0
-        for k, f in enumerate(order):
-            rows.append(F.struct(F.lit("".join(FILTERS[x] for x in order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(f).alias("filter"), F.lit(place[f, before]).alias("at")))
-            before |= 1 << f
-    flat = shared.withColumn("shapley", shares).withColumn("row", F.explode(F.array(*rows)))
-    at = [F.get(c, F.col("row.at")).alias(c) for c in ("kept", "removed", "redundant", "good_lost", "toxic_lost")]
-    return flat.select("part", "row.filter_order", "row.step", *at[:3], F.get("alone", F.col("row.filter")).alias("unique_fails"), *at[3:], F.get("shapley", F.col("row.filter")).alias("shapley"))
+    weights = {case: factorial(case[1].bit_count()) * factorial(n - 1 - case[1].bit_count()) for case in cases}
+    shares = F.expr("array(" + ", ".join(" + ".join(f"{weights[case]} * removed[{i}]" for i, case in enumerate(cases) if case[0] == f) for f in range(n)) + ") AS shares")
+    orders = list(permutations(range(n)))
+    at = [cases.index((f, sum(1 << x for x in order[:k]))) for order in orders for k, f in enumerate(order)]
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    flat = shared.select("*", shares).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(at) - 1))).alias("i"))
+    placed = flat.withColumn("order", F.get(F.split(F.lit(",".join("".join(FILTERS[x] for x in o) for o in orders)), ","), F.floor(F.col("i") / n).cast("int"))).withColumn("at", F.get(numbers(at), F.col("i")))
+    mine = F.get("shares", F.get(numbers([f for f, _ in cases]), F.col("at")))
+    each = [F.get(c, F.col("at")).alias(c) for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")]
+    return placed.select("part", F.col("order").alias("filter_order"), (F.col("i") % n + 1).cast("int").alias("step"), *each, mine.alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
