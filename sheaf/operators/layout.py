@@ -109,27 +109,31 @@ def availability_type(text: Column) -> Column:
     )
 
 
-def furniture(items: DataFrame, height: float) -> DataFrame:
-    """paper_id, text, location of running headers and footers.
+def furniture_items(items: DataFrame, height: float) -> DataFrame:
+    """paper_id, pos, text, location of the items that are running headers and footers.
 
     Labelled ones, and texts at one page edge that stand on several pages at places that differ
     by no more than the tolerance.
     """
     clean = items.withColumn("clean", X.squeeze("text")).where("clean != ''")
-    labelled = clean.where(F.col("label").isin(*FURNITURE)).select("paper_id", F.col("clean").alias("text"), F.when(F.col("label") == "PAGE_HEADER", "header").otherwise("footer").alias("location"))
+    labelled = clean.where(F.col("label").isin(*FURNITURE)).select("paper_id", "pos", F.col("clean").alias("text"), F.when(F.col("label") == "PAGE_HEADER", "header").otherwise("footer").alias("location"))
     edge = F.when(F.col("t") >= height * (1 - EDGE), "header").when(F.col("b") <= height * EDGE, "footer")
     plain = clean.where((F.col("label") == "TEXT") & ~F.contains("text", F.lit("\n"))).withColumn("location", edge).where("location is not null")
     spread = lambda c: F.max(c) - F.min(c) <= TOLERANCE
-    stable = plain.groupBy("paper_id", F.col("clean").alias("text"), "location").agg(F.count_distinct("page").alias("pages"), (spread("l") & spread("t") & spread("r") & spread("b")).alias("stable"))
-    running = stable.where((F.col("pages") >= LEAST_PAGES) & F.col("stable")).select("paper_id", "text", "location")
-    return labelled.union(running).distinct()
+    stable = plain.groupBy("paper_id", "clean", "location").agg(F.count_distinct("page").alias("pages"), (spread("l") & spread("t") & spread("r") & spread("b")).alias("stable"))
+    running = stable.where((F.col("pages") >= LEAST_PAGES) & F.col("stable")).select("paper_id", "clean", "location")
+    return labelled.unionByName(plain.join(running, ["paper_id", "clean", "location"]).select("paper_id", "pos", F.col("clean").alias("text"), "location"))
+
+
+def furniture(items: DataFrame, height: float) -> DataFrame:
+    """paper_id, text, location of running headers and footers, each once; bare page counters say nothing."""
+    return furniture_items(items, height).where(~X.is_page_counter(F.col("text"))).select("paper_id", "text", "location").distinct()
 
 
 def without_furniture(items: DataFrame, height: float) -> DataFrame:
-    """Items that are no running header or footer and no bare page counter."""
-    found = furniture(items, height).select(F.col("paper_id").alias("__p"), F.col("text").alias("__t")).distinct()
-    kept = items.join(found, (F.col("paper_id") == F.col("__p")) & (X.squeeze("text") == F.col("__t")), "left_anti")
-    return kept.where(~F.col("label").isin(*FURNITURE) & ~X.is_page_counter(F.col("text")))
+    """Items that are no running header or footer and no bare page counter; other items with a header's text stay."""
+    found = furniture_items(items, height).select("paper_id", "pos").distinct()
+    return items.join(found, ["paper_id", "pos"], "left_anti").where(~F.col("label").isin(*FURNITURE) & ~X.is_page_counter(F.col("text")))
 
 
 def repair_text(items: DataFrame) -> DataFrame:
@@ -173,13 +177,17 @@ def list_headings(items: DataFrame, least_chars: int = 80, reach: int = 8) -> Da
 
 
 def peer_review_removed(items: DataFrame, band: float = 1.0) -> DataFrame:
-    """Without review marks and the fragments beside them; counters before texts go on those pages."""
-    mark = F.upper(F.col("text")).rlike(REVIEW)
-    marks = items.where(mark).select(F.col("paper_id").alias("__p"), F.col("page").alias("__page"), F.col("t").alias("__top"), F.col("pos").alias("__pos"))
-    beside = (F.col("paper_id") == F.col("__p")) & (F.col("page") == F.col("__page")) & (F.abs(F.col("t") - F.col("__top")) <= band)
+    """Texts beside review marks go, and counters before texts on those pages; items of other kinds stay.
+
+    A mark without a page or a place has no effect.
+    """
+    mark = F.upper(F.col("text")).rlike(REVIEW) & F.col("page").isNotNull() & F.col("t").isNotNull()
+    marks = items.where(mark).select(F.col("paper_id").alias("__p"), F.col("page").alias("__page"), F.col("t").alias("__top"))
+    beside = (F.col("paper_id") == F.col("__p")) & (F.col("page") == F.col("__page")) & (F.abs(F.col("t") - F.col("__top")) <= band) & (F.col("label") == "TEXT")
     kept = items.join(marks, beside, "left_anti")
     pages = marks.select(F.col("__p").alias("paper_id"), F.col("__page").alias("page")).distinct().withColumn("__hit", F.lit(True))
-    return kept.join(pages, ["paper_id", "page"], "left").withColumn("text", F.when(F.col("__hit"), X.strip_page_counter(F.col("text"))).otherwise(F.col("text"))).drop("__hit").where(F.length(F.trim("text")) > 0)
+    text = F.when(F.col("__hit") & (F.col("label") == "TEXT"), X.strip_page_counter(F.col("text"))).otherwise(F.col("text"))
+    return kept.join(pages, ["paper_id", "page"], "left").withColumn("text", text).drop("__hit").where(F.length(F.trim("text")) > 0)
 
 
 def abstract_first(items: DataFrame, alignment: float = 36.0) -> DataFrame:
@@ -379,6 +387,17 @@ def heading_names() -> dict[str, str]:
     return {kind: section.split(" > ")[1] for kind, section in SECTIONS.items()}
 
 
+def table_text(grid: Column) -> Column:
+    """A table as text: a line per row, cells apart by bars; a cell that spans several columns once."""
+
+    def line(row: Column) -> Column:
+        texts = F.transform(row, lambda c: c["text"])
+        once = F.filter(texts, lambda t, i: (i == 0) | (t != F.get(texts, i - 1)) | (t == ""))
+        return F.array_join(F.filter(once, lambda t: t != ""), " | ")
+
+    return F.array_join(F.filter(F.transform(grid, line), lambda t: t != ""), "\n")
+
+
 def table_fragments(tables: DataFrame) -> DataFrame:
     """Tables (grid: rows of cells with a text) without what is left of page counters at the end of cells."""
     return tables.withColumn("grid", F.transform("grid", lambda row: F.transform(row, lambda c: c.withField("text", X.strip_dangling_counter(c["text"])))))
@@ -437,18 +456,19 @@ CUTS = ("hyphens", "reading_order", "captions")
 
 
 def clean(items: DataFrame, tables: DataFrame | None = None, height: float = 842.0, most_pages: int = 2, least_list_chars: int = 80, trace: bool = False) -> Cleaned:
-    """All passes in order: formulas, hyphens, headings, lists, reading order, furniture, review marks, captions, title, front matter.
+    """All passes in order: tables, formulas, hyphens, headings, lists, reading order, furniture, review marks, captions, title, front matter.
 
-    ``items``: paper_id, pos, label, text, and where known page and box (l, t, r, b); items
-    without pages are all on page 1.  ``tables``: as for formula_rows; tables of equations
-    become FORMULA items in their places.  ``diagnostics``: paper_id, name, n, for n over 0.
+    ``items``: paper_id, pos, label, text, and where known page, box (l, t, r, b) and level;
+    items without pages are all on page 1.  ``tables``: as for formula_rows; TABLE items get
+    their rows' text without page counters, and tables of equations become FORMULA items in
+    their places.  ``diagnostics``: paper_id, name, n, for n over 0.
 
     The passes in CUTS are written, so that no stage of the plan grows too large to compile;
     with ``trace``, which diagnostics are worth, all are, and none runs twice.
     """
     kinds = {"page": "int", "l": "double", "t": "double", "r": "double", "b": "double"}
     lacking = {c: F.lit(1 if c == "page" else None).cast(kind) for c, kind in kinds.items() if c not in items.columns}
-    columns = ("paper_id", "pos", "label", "text", *kinds)
+    columns = ("paper_id", "pos", "label", "text", *kinds, *(("level",) if "level" in items.columns else ()))
     stages: list[tuple[str, DataFrame]] = [("", items.withColumns(lacking).select(*columns))]
 
     def step(name: str, after: DataFrame) -> None:
@@ -459,8 +479,11 @@ def clean(items: DataFrame, tables: DataFrame | None = None, height: float = 842
         return stages[-1][1]
 
     if tables is not None:
+        told = table_fragments(tables).select("paper_id", "pos", table_text(F.col("grid")).alias("__rows"))
+        step("table_fragments", now().join(told, ["paper_id", "pos"], "left").withColumn("text", F.when(F.col("label") == "TABLE", F.coalesce("__rows", "text")).otherwise(F.col("text"))))
         rows = formula_rows(tables)
-        fresh = rows.select("paper_id", "pos", F.lit("FORMULA").alias("label"), "text", F.lit(1).alias("page"), *(F.lit(None).cast("double").alias(c) for c in "ltrb"), "row")
+        level = [F.lit(None).cast("int").alias("level")] if "level" in columns else []
+        fresh = rows.select("paper_id", "pos", F.lit("FORMULA").alias("label"), "text", F.lit(1).alias("page"), *(F.lit(None).cast("double").alias(c) for c in "ltrb"), *level, "row")
         kept = now().join(rows.select("paper_id", "pos").distinct(), ["paper_id", "pos"], "left_anti").withColumn("row", F.lit(0))
         every = kept.unionByName(fresh)
         step("formula_tables", every.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos", "row")) - 1))

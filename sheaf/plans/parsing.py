@@ -14,7 +14,7 @@ from sheaf.operators import fusion, layout
 from sheaf.plans import fixtures as fx
 from sheaf.plans.fixtures import with_chunks
 from sheaf.plans.retrieval import FUSED_SQL, _fused
-from sheaf.sources import readers
+from sheaf.sources import html, readers
 
 QUERIES, ORACLE = {}, {}
 
@@ -29,52 +29,77 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_TAGS, _INLINE = "|".join(readers.TAG_LABELS), "|".join(readers.INLINE_TAGS)
-_LABELS = " ".join(f"WHEN '{tag}' THEN '{label}'" for tag, label in readers.TAG_LABELS.items())
-ITEMS_SQL = f"""
+# the fixture's pages, read by their own tags alone: lists stand in ``nav`` only
+ITEMS_SQL = r"""
 clean AS (
-  SELECT page_id, chr(1) || '/' || chr(2) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
-         '(?i)<(/?(?:{_TAGS}))\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</?(?:{_INLINE})\\b[^>]*>', '', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g') AS h FROM pages),
+  SELECT page_id::VARCHAR AS paper_id, replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '</?(?:b|a)(?: [^>]*)?>', '', 'g'), '<br>', ' ') AS h FROM pages),
 raw AS (
-  SELECT page_id, unnest(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 1)) AS tag, unnest(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 2)) AS t,
-         unnest(range(0, len(regexp_extract_all(h, '\\x01([^\\x02]*)\\x02([^\\x01]*)', 1)))) AS pos FROM clean),
-items AS (
-  SELECT page_id::VARCHAR AS paper_id, CAST(pos AS INTEGER) AS pos, CASE lower(tag) {_LABELS} ELSE 'TEXT' END AS label,
-         trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text
-  FROM raw)
+  SELECT paper_id, unnest(regexp_extract_all(h, '<(/?[a-zA-Z0-9!]+)[^>]*>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '<(/?[a-zA-Z0-9!]+)[^>]*>([^<]*)', 2)) AS t,
+         unnest(range(0, len(regexp_extract_all(h, '<(/?[a-zA-Z0-9!]+)[^>]*>([^<]*)', 1)))) AS n FROM clean),
+plain AS (
+  SELECT paper_id, n, tag, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;?', '"', 'g'), '&amp;?', chr(1), 'g'), chr(1), '&'), '\s+', ' ', 'g')) AS text FROM raw),
+nodes AS (
+  SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY n) - 1 AS INTEGER) AS pos, text,
+         CASE tag WHEN 'ul' THEN 'LIST' WHEN 'title' THEN 'TITLE' WHEN 'h1' THEN 'SECTION_HEADER' WHEN 'li' THEN 'PAGE_HEADER' WHEN 'footer' THEN 'PAGE_FOOTER' ELSE 'TEXT' END AS label
+  FROM plain WHERE text <> '' OR tag = 'ul'),
+items AS (SELECT * FROM nodes WHERE text <> '')
 """
-# what the ordered passes leave of pages: no furniture, nothing that reads like it, no bare counters
-CLEAN_SQL = """,
-furniture AS (SELECT DISTINCT paper_id, text, CASE label WHEN 'PAGE_HEADER' THEN 'header' ELSE 'footer' END AS location FROM items WHERE text <> '' AND label IN ('PAGE_HEADER', 'PAGE_FOOTER')),
-kept AS (
-  SELECT paper_id, pos, label, text FROM items i WHERE text <> '' AND label NOT IN ('PAGE_HEADER', 'PAGE_FOOTER') AND NOT EXISTS (SELECT 1 FROM furniture f WHERE f.paper_id = i.paper_id AND f.text = i.text)
-    AND NOT regexp_matches(text, '(?i)^(?:page\\s*)?\\d+(?:\\s*(?:of|/)\\s*\\d+)?$'))
+# what the ordered passes leave of pages: all text but that of ``nav`` and ``footer``, and no bare counters
+CLEAN_SQL = ITEMS_SQL.replace("coalesce(html, '')", "regexp_replace(coalesce(html, ''), '(?s)<nav>.*?</nav>|<footer>.*?(?:</footer>|$)', '', 'g')") + """,
+kept AS (SELECT paper_id, pos, label, text FROM items WHERE NOT regexp_matches(text, '(?i)^(?:page\\s*)?\\d+(?:\\s*(?:of|/)\\s*\\d+)?$'))
 """
 
 
-@query("html_items", "WITH " + ITEMS_SQL + "SELECT * FROM items WHERE text <> ''")
+@query("html_items", "WITH " + ITEMS_SQL + "SELECT paper_id, pos, label, text FROM items")
 def html_items(spark, d):
-    return readers.html_items(fx.table(spark, d, "pages"))
+    return readers.html_items(fx.table(spark, d, "pages")).select("paper_id", "pos", "label", "text")
 
 
-@query("label_histogram", "WITH " + ITEMS_SQL + "SELECT paper_id, label, count(*) AS n FROM items WHERE text <> '' GROUP BY ALL")
+@query("html_tree", "WITH " + ITEMS_SQL + """
+SELECT n.paper_id, n.pos, n.label, n.text, CASE WHEN n.label = 'PAGE_HEADER' THEN l.pos END AS parent_pos, CAST(coalesce(CASE WHEN n.label = 'PAGE_HEADER' THEN l.pos END, n.pos) AS BIGINT) AS root_pos,
+       CAST(CASE WHEN n.label IN ('LIST', 'PAGE_HEADER') THEN 1 ELSE 0 END AS INTEGER) AS lists, CASE WHEN n.label = 'SECTION_HEADER' THEN CAST(1 AS INTEGER) END AS level,
+       CASE WHEN n.pos > h.pos AND n.label = 'TEXT' THEN h.text ELSE '' END AS section
+FROM nodes n LEFT JOIN nodes l ON l.paper_id = n.paper_id AND l.label = 'LIST' LEFT JOIN nodes h ON h.paper_id = n.paper_id AND h.label = 'SECTION_HEADER'""")
+def html_tree(spark, d):
+    """The tree of every page, with the root that each node hangs below."""
+    tree = html.nodes(fx.table(spark, d, "pages"))
+    rows = tree.select("paper_id", F.col("pos").cast("long").alias("pos"), F.col("parent_pos").cast("long").alias("parent_pos"))
+    roots = layout.flattened(rows).select("paper_id", F.col("pos").cast("int").alias("pos"), "root_pos")
+    return tree.join(roots, ["paper_id", "pos"]).select("paper_id", "pos", "label", "text", "parent_pos", "root_pos", F.col("depth").alias("lists"), "level", F.array_join("headings", " > ").alias("section"))
+
+
+_TABLED_SQL = "WITH " + ITEMS_SQL + ", cells AS (SELECT paper_id, pos, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS k, text FROM items WHERE label = 'PAGE_HEADER')"
+
+
+@query("html_tables", _TABLED_SQL + " SELECT paper_id, CAST(k - 1 AS INTEGER) AS row, k = 1 AS header, text AS first, text || ' 8 of' AS second, text AS cleaned FROM cells")
+def html_tables(spark, d):
+    """Tables made of the entries of each page's menu, two cells a row, the first row a head; counters at the end of cells go."""
+    menu = F.regexp_replace(F.regexp_replace("html", "<li>(.*?)</li>", "<tr><td>$1<td>$1 8 of</tr>"), "<ul><tr><td>(.*?)<td>(.*?)</tr>", "<table><caption>Menu</caption><thead><tr><th>$1<th>$2</thead>")
+    pages = fx.table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(menu, "</ul>", "</table>"), "</?nav>", "").alias("html"))
+    found = layout.table_fragments(html.tables(html.nodes(pages)).where(F.col("captions") == F.array(F.lit("Menu")))).withColumnRenamed("grid", "after")
+    both = found.join(html.tables(html.nodes(pages)).select("paper_id", "pos", "grid"), ["paper_id", "pos"])
+    rows = both.select("paper_id", F.posexplode(F.arrays_zip("grid", "after")).alias("row", "x"))
+    return rows.select("paper_id", "row", F.col("x.grid")[0]["column_header"].alias("header"), F.col("x.grid")[0]["text"].alias("first"), F.col("x.grid")[1]["text"].alias("second"), F.col("x.after")[1]["text"].alias("cleaned"))
+
+
+@query("label_histogram", "WITH " + ITEMS_SQL + "SELECT paper_id, label, count(*) AS n FROM items GROUP BY ALL")
 def label_histogram(spark, d):
     return layout.label_histogram(readers.html_items(fx.table(spark, d, "pages")))
 
 
-@query("pages_clean", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS INTEGER) AS pos, label, text FROM kept")
+@query("pages_clean", "WITH " + CLEAN_SQL + "SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS INTEGER) AS pos, label, text FROM kept")
 def pages_clean(spark, d):
     """All passes, in order, over the items of all pages."""
     return layout.clean(readers.html_items(fx.table(spark, d, "pages"))).items.select("paper_id", "pos", "label", "text")
 
 
-@query("pages_diagnostics", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, 'furniture' AS name, count(*) AS n FROM furniture GROUP BY paper_id UNION ALL SELECT i.paper_id, 'furniture_removed', i.n - coalesce(k.n, 0) FROM (SELECT paper_id, count(*) AS n FROM items WHERE text <> '' GROUP BY ALL) i LEFT JOIN (SELECT paper_id, count(*) AS n FROM kept GROUP BY ALL) k ON k.paper_id = i.paper_id WHERE i.n > coalesce(k.n, 0)")
+@query("pages_diagnostics", "WITH " + ITEMS_SQL + ", f AS (SELECT paper_id, label, text FROM items WHERE label LIKE 'PAGE%') SELECT paper_id, 'furniture' AS name, count(DISTINCT label || text) AS n FROM f WHERE NOT regexp_matches(text, '(?i)^(?:page\\s*)?\\d+(?:\\s*(?:of|/)\\s*\\d+)?$') GROUP BY paper_id UNION ALL SELECT paper_id, 'furniture_removed', count(*) FROM f GROUP BY paper_id")
 def pages_diagnostics(spark, d):
     """What each pass did, per page; passes that found nothing have no row."""
     return layout.clean(readers.html_items(fx.table(spark, d, "pages")), trace=True).diagnostics
 
 
-@query("pages_markdown", "WITH " + ITEMS_SQL + CLEAN_SQL + "SELECT paper_id, sha256(string_agg(CASE label WHEN 'TITLE' THEN '# ' || text WHEN 'SECTION_HEADER' THEN '## ' || text WHEN 'LIST_ITEM' THEN '- ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos)) AS sha FROM kept GROUP BY paper_id")
+@query("pages_markdown", "WITH " + CLEAN_SQL + "SELECT paper_id, sha256(string_agg(CASE label WHEN 'TITLE' THEN '# ' || text WHEN 'SECTION_HEADER' THEN '## ' || text WHEN 'LIST_ITEM' THEN '- ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos)) AS sha FROM kept GROUP BY paper_id")
 def pages_markdown(spark, d):
     done = layout.clean(readers.html_items(fx.table(spark, d, "pages")))
     return readers.markdown(done.items).select("paper_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("sha"))

@@ -4,52 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions import text as X
-
-# What a page's block elements are as layout items.
-TAG_LABELS = {
-    "title": "TITLE", "h1": "SECTION_HEADER", "h2": "SECTION_HEADER", "h3": "SECTION_HEADER", "h4": "SECTION_HEADER", "h5": "SECTION_HEADER", "h6": "SECTION_HEADER",
-    "p": "TEXT", "blockquote": "TEXT", "td": "TEXT", "th": "TEXT", "dd": "TEXT", "dt": "TEXT", "pre": "CODE", "li": "LIST_ITEM", "caption": "CAPTION", "figcaption": "CAPTION", "footer": "PAGE_FOOTER", "header": "PAGE_HEADER", "div": "PAGE_HEADER",
-}
-# Elements inside a line; other elements end a word.
-INLINE_TAGS = ("a", "abbr", "b", "code", "em", "i", "mark", "s", "small", "span", "strong", "sub", "sup", "u")
-# Entities, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-def unescape(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
-
-
-def blocks(html: Column) -> Column:
-    """The text cut into ``\\x01 tag \\x02 text`` at the beginnings and ends of block elements.
-
-    Scripts, styles and comments are removed; other tags are dropped, those inside a line
-    without a trace.
-    """
-    bare = F.regexp_replace(F.translate(html, "\x01\x02", ""), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    cut = F.regexp_replace(bare, r"(?i)<(/?(?:" + "|".join(TAG_LABELS) + r"))\b[^>]*>", "\x01$1\x02")
-    plain = F.regexp_replace(cut, r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")\b[^>]*>", "")
-    return F.concat(F.lit("\x01/\x02"), F.regexp_replace(plain, r"</?[A-Za-z!][^>]*>", " "))
+from sheaf.sources import html
 
 
 def html_items(pages: DataFrame) -> DataFrame:
-    """paper_id, pos, label, text of the block elements of pages (page_id, html); malformed markup is no error.
-
-    A block's text runs to where the next block begins or one ends, so an unclosed paragraph
-    ends with the next.  Text outside all blocks is TEXT; none is left out.  Navigation entries
-    are furniture.
-    """
-    clean = blocks(F.coalesce("html", F.lit("")))
-    tags, texts = (F.regexp_extract_all(clean, F.lit("\x01([^\x02]*)\x02([^\x01]*)"), F.lit(g)) for g in (1, 2))
-    label = F.create_map(*(F.lit(x) for pair in TAG_LABELS.items() for x in pair))
-    rows = pages.select(F.col("page_id").cast("string").alias("paper_id"), F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))).alias("pos", "x"))
-    out = rows.select("paper_id", "pos", F.coalesce(F.try_element_at(label, F.lower("x.tag")), F.lit("TEXT")).alias("label"), X.squeeze(unescape(F.col("x.text"))).alias("text"))
-    return out.where("text != ''")
+    """paper_id, pos, label, text, level, depth, headings of what has text in pages (page_id, html); malformed markup is no error."""
+    return html.items(html.nodes(pages))
 
 
 def pdf_files(spark: SparkSession, folder: str | None = None, paths: list[str] | None = None) -> DataFrame:
