@@ -10,6 +10,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -45,6 +46,46 @@ class Parser(Protocol):
     def __call__(self, content: bytes) -> list[dict]: ...
 
 
+class Tokenizer(Protocol):
+    """What counts tokens: for each text the places (start, end) of its tokens in characters."""
+
+    def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]: ...
+
+
+class WordTokenizer:
+    """Words between white space."""
+
+    def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        return [[m.span() for m in re.finditer(r"\S+", text)] for text in texts]
+
+
+class FileTokenizer:
+    """A tokenizer from a JSON file, which the driver reads once; the workers get its content."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as source:
+            self.content = source.read()
+        self.made = None
+
+    def __getstate__(self) -> dict:
+        return {"content": self.content, "made": None}
+
+    def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        if self.made is None:
+            from tokenizers import Tokenizer as Library
+
+            self.made = Library.from_str(self.content)
+            self.made.no_truncation()
+            # strings of special tokens are text like any other
+            self.made.encode_special_tokens = True
+        return [e.offsets for e in self.made.encode_batch(texts, add_special_tokens=False)]
+
+
+def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a settings path; without one words are counted."""
+    return FileTokenizer(path) if path else WordTokenizer()
+
+
 class HashEmbedder:
     """Signed term hashing to unit vectors; a text without terms points along the first axis."""
 
@@ -87,15 +128,19 @@ def embed(rows: DataFrame, factory: Callable[[], Embedder], column: str = "embed
 def rerank(pairs: DataFrame, factory: Callable[[], Reranker]) -> DataFrame:
     """Scores of (qid, chunk_id, query, passage): qid, chunk_id, rerank_score.
 
-    A query whose reranking fails gets no scores at all, so its fused order stays.
+    A query whose reranking fails gets no scores at all, so its fused order stays: the model
+    raises, gives another number of scores than passages, or one that is no number, or a
+    passage is blank.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk_id")
-        if (group["passage"].isna() | (group["passage"].str.strip() == "")).any():
-            raise ValueError("a passage to rerank is blank")
         try:
+            if (group["passage"].isna() | (group["passage"].str.strip() == "")).any():
+                raise ValueError("a passage to rerank is blank")
             scores = [float(s) for s in factory().rerank(group["query"].iloc[0], group["passage"].tolist())]
+            if len(scores) != len(group) or not np.isfinite(scores).all():
+                raise ValueError("the scores are not one finite number for each passage")
         except Exception:
             # whatever the model raised: this query falls back
             return group.iloc[:0].assign(rerank_score=0.0)[["qid", "chunk_id", "rerank_score"]]

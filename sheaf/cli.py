@@ -22,8 +22,10 @@ def parser() -> argparse.ArgumentParser:
         return made
 
     verb("import", "chunk a table of documents (doc_id, text, source) into the store", "documents", "store")
+    verb("import-pages", "clean and chunk a table of pages (page_id, url, html) into the store", "pages", "store")
+    verb("compact", "merge the store's small segments", "store").add_argument("--whole", action="store_true")
     embed = verb("embed", "embed the store's content into an artifact", "store", "folder")
-    embed.add_argument("--dimension", type=int, default=64)
+    embed.add_argument("--dimension", type=int, help="instead of the settings' one")
     index = verb("index", "embed and publish the store's content", "store")
     mode = index.add_mutually_exclusive_group()
     mode.add_argument("--verify", action="store_true")
@@ -50,21 +52,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def health() -> int:
-    """One call of the configured model; says whether a reply came, never what it was."""
+    """One call of the configured model: prints its name and ``reachable``, or what went wrong, never a reply."""
     from sheaf import adaptors, config
 
     try:
         runtime = config.load_runtime()
+        adaptors.HttpChatClient(runtime).complete("", "Hello")
     except config.ConfigurationError as error:
-        print(json.dumps({"status": "failed", "error": str(error)}))
+        print(f"not configured: {error}")
         return 2
-    try:
-        adaptors.HttpChatClient(runtime).complete("", "Hello")
     except Exception as error:
         # the kind alone: messages may hold parts of the request
-        print(json.dumps({"status": "failed", "error_category": type(error).__name__}))
+        print(f"{runtime.model}: {type(error).__name__}")
         return 1
-    print(json.dumps({"status": "ok", "mode": "non_streaming", "model": runtime.model, "final_content_received": True}))
+    print(f"{runtime.model}: reachable")
     return 0
 
 
@@ -75,11 +76,10 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from sheaf import adaptors, catalog, config, registry, workspace
+    from sheaf import adaptors, catalog, config, importing, registry, workspace
     from sheaf.operators import chunking, dense, layout, lexical, store
-    from sheaf.plans import fixtures
     from sheaf.service import Service
-    from sheaf.sources import readers
+    from sheaf.sources import html, readers
 
     settings = config.load(args.config) if args.config else config.Settings()
     spark = SparkSession.builder.appName("sheaf").getOrCreate()
@@ -87,7 +87,8 @@ def main(argv: list[str] | None = None) -> int:
         registry.QUERIES[args.name](spark, args.tables).show(truncate=False)
         return 0
     if args.verb == "inspect-items":
-        done = layout.clean(readers.html_items(spark.read.parquet(args.pages)), trace=True)
+        tree = html.nodes(spark.read.parquet(args.pages))
+        done = layout.clean(html.items(tree), html.tables(tree), most_pages=settings.parsing.front_matter_max_pages, least_list_chars=settings.parsing.list_heading_min_chars, trace=True)
         layout.label_histogram(done.items).groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").show(truncate=False)
         done.diagnostics.groupBy("name").agg(F.sum("n").alias("n")).orderBy("name").show(truncate=False)
         if args.label:
@@ -105,39 +106,51 @@ def main(argv: list[str] | None = None) -> int:
             print(error, file=sys.stderr)
             return 2
         return 0
-    held = catalog.Catalog(spark, args.store)
-    if args.verb == "import":
-        sources = fixtures.distinct_papers(spark.read.parquet(args.documents))
-        held.import_papers(sources.drop("text"), fixtures.built(sources).withColumn("vector_id", F.lit(None).cast("long")))
-        return 0
+    try:
+        held = catalog.Catalog(spark, args.store)
+        if args.verb in ("import", "import-pages"):
+            found = importing.from_documents(spark.read.parquet(args.documents)) if args.verb == "import" else importing.from_pages(spark.read.parquet(args.pages), settings)
+            importing.into(held, found, settings)
+            return 0
+    except catalog.CatalogError as error:
+        print(error, file=sys.stderr)
+        return 1
     chunks = held.table("chunks")
     if chunks is None:
         print("the store is empty", file=sys.stderr)
         return 2
 
+    dimension = getattr(args, "dimension", None) or settings.embedding.dimension
+
+    def embedder():
+        return adaptors.HashEmbedder(dimension)
+
     def embedded(rows):
         texts = rows.where("section_type = 'content'").select("chunk_id", "paper_id", "chunk_index", "embedding_text")
-        return adaptors.embed(texts, adaptors.HashEmbedder)
+        return adaptors.embed(texts, embedder)
 
     try:
         if args.verb == "inspect":
             store.histogram(chunks, "section").show(truncate=False)
             chunking.diagnostics(chunks, args.budget).show(truncate=False)
         elif args.verb == "embed":
-            print(readers.write_artifact(embedded(chunks), args.folder, args.dimension))
+            print(readers.write_artifact(embedded(chunks), args.folder, dimension))
         elif args.verb == "search":
             questions = spark.createDataFrame([(0, [args.question])], "qid long, texts array<string>")
             lexical.search(held.index().of("content"), questions, args.k, settings.bm25).show(truncate=False)
         elif args.verb in ("retrieve", "answer"):
             questions = spark.createDataFrame([(0, args.question, args.context)], "qid long, query string, turns array<string>")
-            service = Service(held, settings)
+            service = Service(held, settings, embedder, settings.embedding.instruction)
             if args.verb == "answer":
                 print(service.answer(questions, args.k).first()["json"])
             else:
                 for row in service.records(service.retrieve(questions, args.k)).orderBy("rank").toLocalIterator():
                     print(row["json"])
         elif args.verb == "stage":
-            print(workspace.create(chunks.where(F.col("paper_id") == args.paper), args.folder, adaptors.HashEmbedder, args.sha256))
+            print(workspace.create(chunks.where(F.col("paper_id") == args.paper), args.folder, embedder, args.sha256))
+        elif args.verb == "compact":
+            for name, n in sorted(held.compact(args.whole).items()):
+                print(f"{name}: {n} segments merged")
         elif args.reset:
             print(held.reset_vectors())
         elif args.verify:
@@ -149,9 +162,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.recover:
             print(held.recover())
         elif args.rebuild:
-            held.rebuild_index(embedded(chunks), 64)
+            held.rebuild_index(embedded(chunks), dimension)
         else:
-            held.publish_index(embedded(chunks), 64)
+            held.publish_index(embedded(chunks), dimension)
     except catalog.CatalogError as error:
         print(error, file=sys.stderr)
         return 1

@@ -36,6 +36,10 @@ class Checked:
 class Chunking(Checked):
     max_tokens: int = ranged(512, 64, 8192)
     metadata_reserve: int = ranged(64, 16, 512)
+    #: A tokenizer's JSON file; without one words are counted.
+    tokenizer: str = ""
+    merge_peers: bool = True
+    repeat_table_header: bool = True
 
     @property
     def budget(self) -> int:
@@ -180,7 +184,10 @@ def load(path: str) -> Settings:
         raise ConfigurationError("the settings file must hold one mapping")
     settings, base = build(Settings, values), os.path.dirname(os.path.abspath(path))
     folders = {f.name: resolve_path(base, getattr(settings.storage, f.name)) for f in fields(Storage)}
-    return dataclasses.replace(settings, storage=Storage(**folders))
+    chunking = settings.chunking
+    if chunking.tokenizer:
+        chunking = dataclasses.replace(chunking, tokenizer=resolve_path(base, chunking.tokenizer))
+    return dataclasses.replace(settings, storage=Storage(**folders), chunking=chunking)
 
 
 def resolve_path(base: str, path: str) -> str:

@@ -20,7 +20,7 @@ def has_exactly(payload: Column, keys: tuple[str, ...]) -> Column:
 def has_types(payload: Column, types: dict[str, tuple[str, ...]]) -> Column:
     """Whether each key's value has one of the given variant types."""
     fine = F.lit(True)
-    for name, kinds in types.items():
+    for name, kinds in types.items():  # names may be paths
         kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant"))
         fine = fine & F.coalesce(kind.isin(*kinds), F.lit("VOID" in kinds))
     return fine

@@ -185,7 +185,8 @@ def clean_formula(text: Column) -> Column:
 
 
 def page_label(first: Column, last: Column) -> Column:
-    return F.when(first.isNull() & last.isNull(), "unknown").when(F.coalesce(first, last) == F.coalesce(last, first), F.coalesce(first, last).cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), last.cast("string")))
+    """One page, a range of pages, or ``unknown`` without a first page."""
+    return F.when(first.isNull(), "unknown").when(F.coalesce(last, first) == first, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), last.cast("string")))
 
 
 def signal_count(text: Column, signals: tuple[str, ...]) -> Column:

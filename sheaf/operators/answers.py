@@ -127,10 +127,14 @@ def finish(states: DataFrame, drafts: DataFrame, evidence: DataFrame) -> DataFra
     return joined.select("qid", state.alias("status"), text.alias("answer"), cited.alias("citations"), lacking.alias("insufficient_evidence"))
 
 
-def prompt(units: DataFrame) -> DataFrame:
-    """Per query the evidence as a prompt's text, in order."""
-    one = F.format_string("[%s] %s | %s | p. %s\n%s", "evidence_id", "paper_id", F.coalesce("section", F.lit("-")), X.page_label(F.col("page_start"), F.col("page_end")), "text")
-    return units.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("line")))), lambda x: x["line"]), "\n\n").alias("prompt"))
+def prompt(units: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Per query the evidence as a prompt's text, in order: label, kind, paper, section, pages and chunks of each unit, then its text.
+
+    ``titles`` (paper_id, paper_title): a paper without one is named by its id.
+    """
+    named = units.withColumn("__title", F.lit(None).cast("string")) if titles is None else units.join(titles.select("paper_id", X.blank_to_null(F.col("paper_title")).alias("__title")), "paper_id", "left")
+    one = F.format_string("[%s] %s | %s | %s | p. %s | %s\n%s", "evidence_id", "kind", F.coalesce("__title", "paper_id"), F.coalesce("section", F.lit("-")), X.page_label(F.col("page_start"), F.col("page_end")), "chunk_ids", "text")
+    return named.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("line")))), lambda x: x["line"]), "\n\n").alias("prompt"))
 
 
 def parse_drafts(replies: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ array, so chunking needs no shuffle beyond the one that gathers a paper's items.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from sheaf.config import Chunking
 from sheaf.functions import text as X
 from sheaf.operators import layout
 
+if TYPE_CHECKING:
+    from sheaf.adaptors import Tokenizer
+
 CHUNK = "struct<section:string,text:string,tokens:int,first:int,last:int>"
 
 
@@ -81,6 +86,11 @@ def build(papers: DataFrame, max_tokens: int, reserve: int = 64, blocks: DataFra
     budget = max_tokens - reserve
     headers = "header" in papers.schema["items"].dataType.elementType.fieldNames()
     packed = papers.select("paper_id", "paper_title", "source", pack(split_oversize(F.col("items"), budget, headers), budget).alias("chunks"))
+    return finished(packed, blocks)
+
+
+def finished(packed: DataFrame, blocks: DataFrame | None = None, count: Callable[[Column], Column] = X.word_count) -> DataFrame:
+    """Chunks (paper_id, paper_title, source, chunks) with identity, links and types; ``count`` tells the tokens of what is embedded."""
     kept = F.filter("chunks", lambda c: (F.length(F.trim(c["text"])) > 0) & ~is_layout_noise(c["section"], c["tokens"], c["text"]))
     rows = packed.select("paper_id", "paper_title", "source", F.posexplode(kept).alias("chunk_index", "c"), F.size(kept).alias("n"))
     index = F.col("chunk_index")
@@ -97,7 +107,7 @@ def build(papers: DataFrame, max_tokens: int, reserve: int = 64, blocks: DataFra
         F.col("c.first").alias("page_start"),
         F.col("c.last").alias("page_end"),
         F.col("c.tokens").cast("long").alias("raw_token_count"),
-        X.word_count(embedded).cast("long").alias("embedding_token_count"),
+        count(embedded).cast("long").alias("embedding_token_count"),
         F.when(index > 0, chunk_id(F.col("paper_id"), index - 1)).alias("prev_chunk_id"),
         F.when(index < F.col("n") - 1, chunk_id(F.col("paper_id"), index + 1)).alias("next_chunk_id"),
     )
@@ -126,7 +136,7 @@ class Chunker(Protocol):
 
 @dataclass(frozen=True)
 class StructureChunker:
-    """The chunker of this module with its settings."""
+    """Chunks by section and budget of words: folds over arrays, without a tokenizer."""
 
     settings: Chunking = Chunking()
     chunker_id: str = "structure_v1"
@@ -135,6 +145,112 @@ class StructureChunker:
         return build(papers, self.settings.max_tokens, self.settings.metadata_reserve, blocks)
 
 
+@dataclass(frozen=True)
+class TokenChunker:
+    """Chunks by section and a tokenizer's budget, which no chunk's text exceeds.
+
+    Items of more tokens are cut at places of tokens, at white space where there is some;
+    neighbours under one heading path are put together while their joined text fits; each
+    further piece of a table begins with its heading row again if that leaves it half the
+    budget.  Papers stay where they are: one Arrow stage, a paper at a time.
+    """
+
+    settings: Chunking = Chunking()
+    chunker_id: str = "tokens_v1"
+
+    def chunk(self, papers: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        from sheaf.adaptors import tokenizer
+
+        made, s = tokenizer(self.settings.tokenizer), self.settings
+        names = papers.schema["items"].dataType.elementType.fieldNames()
+        wanted = ("section", "text", "page", "header")
+        items = F.transform("items", lambda x: F.struct(*(x[c].cast("int" if c == "page" else "string").alias(c) if c in names else F.lit(None).cast("int" if c == "page" else "string").alias(c) for c in wanted)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                packed = [pack_tokens(list(rows), made, s.budget, s.merge_peers, s.repeat_table_header) for rows in batch["items"]]
+                yield batch[["paper_id", "paper_title", "source"]].assign(chunks=packed)
+
+        packed = papers.select("paper_id", "paper_title", "source", items.alias("items")).mapInPandas(run, f"paper_id string, paper_title string, source string, chunks array<{CHUNK}>")
+
+        def lengths(texts: pd.Series) -> pd.Series:
+            return pd.Series([len(o) for o in made.offsets(texts.tolist())])
+
+        lengths.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        return finished(packed, blocks, F.pandas_udf(lengths, "long"))
+
+
+def token_windows(text: str, made: Tokenizer, budget: int) -> list[tuple[str, int]]:
+    """The text in pieces of at most ``budget`` tokens, with their counts; nothing but white space at the cuts is lost.
+
+    A piece may have more tokens by itself than within the text, so it is counted again and cut
+    shorter until it fits.
+    """
+    out, at = [], 0
+    offsets = made.offsets([text])[0]
+    if len(offsets) <= budget:
+        return [(text, len(offsets))]
+    k = 0
+    while k < len(offsets):
+        size = budget
+        while True:
+            end = len(text) if k + size >= len(offsets) else offsets[k + size][0]
+            space = max(text.rfind(c, at + 1, end) for c in " \n\t")
+            # white space in the later half of the piece is a better place
+            if end < len(text) and not text[end].isspace() and not text[end - 1].isspace() and space > at + (end - at) // 2:
+                end = space
+            piece = text[at:end].strip()
+            count = len(made.offsets([piece])[0])
+            if count <= budget or size == 1:
+                break
+            size = max(1, size - max(1, count - budget))
+        if end <= at:
+            # tokens inside one character
+            end = at + 1
+            piece, count = text[at:end], len(made.offsets([text[at:end]])[0])
+        if piece:
+            out.append((piece, count))
+        at = end
+        while k < len(offsets) and offsets[k][0] < at:
+            k += 1
+        if k == len(offsets) and text[at:].strip():
+            offsets = [*offsets, (at, len(text))]
+    return out
+
+
+def pack_tokens(items: list[dict], made: Tokenizer, budget: int, merge: bool = True, repeat: bool = True) -> list[dict]:
+    """Items (section, text, page, header) of one paper as chunks (section, text, tokens, first, last)."""
+    pieces = []
+    for item in items:
+        head = (item["header"] or "").strip() if repeat and item["header"] else ""
+        spent = len(made.offsets([head + "\n"])[0]) if head else 0
+        parts = token_windows(item["text"] or "", made, budget)
+        if head and spent * 2 <= budget and len(parts) > 1:
+            first = token_windows(item["text"], made, budget)[0]
+            rest = item["text"][item["text"].find(first[0]) + len(first[0]) :]
+            again = [f"{head}\n{text}" for text, _ in token_windows(rest.strip(), made, budget - spent - 1)]
+            parts = [first, *((text, len(made.offsets([text])[0])) for text in again)]
+        pieces += [(item["section"], text, count, item["page"]) for text, count in parts]
+    out: list[dict] = []
+    for section, text, count, page in pieces:
+        last = out[-1] if out else None
+        if merge and last and last["section"] == section and last["tokens"] + count <= budget + 2:
+            joined = f"{last['text']}\n{text}"
+            total = len(made.offsets([joined])[0])
+            if total <= budget:
+                pages = [p for p in (last["first"], last["last"], page) if p is not None]
+                out[-1] = {"section": section, "text": joined, "tokens": total, "first": min(pages, default=None), "last": max(pages, default=None)}
+                continue
+        out.append({"section": section, "text": text, "tokens": count, "first": page, "last": page})
+    return out
+
+
+def chunker(settings: Chunking) -> Chunker:
+    """The chunker of the settings: by tokens where they name a tokenizer or other than the plain ways."""
+    plain = not settings.tokenizer and settings.merge_peers and settings.repeat_table_header
+    return StructureChunker(settings) if plain else TokenChunker(settings)
+
+
 def is_layout_noise(section: Column, tokens: Column, text: Column) -> Column:
     """A bare article label without a section."""
     label = F.lower(X.squeeze(text)).isin("article", "research article", "review article")

@@ -99,16 +99,18 @@ def coverage(fused: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
 def quota(ranked: DataFrame, bibliography: DataFrame, plans: DataFrame, final_top_k: int, bibliography_top_k: int, result_limit: int | None = None) -> DataFrame:
     """Content first, then bibliography hits, within the limit; ranks from 1 (``route_rank``: the rank in its own list).
 
-    ``plans``: qid, search_bibliography.  The limit is ``result_limit`` or else final_top_k
+    ``bibliography``: qid, chunk_id, rank, and its BM25 score where there is one, which becomes
+    ``raw_score``.  ``plans``: qid, search_bibliography.  The limit is ``result_limit`` or else final_top_k
     plus, where the bibliography is searched, bibliography_top_k.  Bibliography hits take up
     to their own limit and content what is left.
     """
-    refs = bibliography.join(plans.where("search_bibliography").select("qid"), "qid")
+    found_score = F.col("score").cast("double") if "score" in bibliography.columns else F.lit(None).cast("double")
+    refs = bibliography.select("qid", "chunk_id", "rank", found_score.alias("raw_score")).join(plans.where("search_bibliography").select("qid"), "qid")
     counts = refs.groupBy("qid").agg(F.count("*").alias("n_hits"))
     limit = F.lit(result_limit) if result_limit is not None else F.lit(final_top_k) + F.when(F.col("search_bibliography"), bibliography_top_k).otherwise(0)
     limits = plans.join(counts, "qid", "left").select("qid", limit.alias("limit"), F.least(F.coalesce("n_hits", F.lit(0)), F.lit(bibliography_top_k), limit).alias("n_bib"))
-    content = ranked.join(limits, "qid").where(F.col("rank") <= F.col("limit") - F.col("n_bib")).select("qid", "chunk_id", F.lit("content").alias("section_type"), F.lit(0).alias("class"), F.col("rank").alias("at"), "fused_score")
-    found = refs.join(limits, "qid").where(F.col("rank") <= F.col("n_bib")).select("qid", "chunk_id", F.lit("bibliography").alias("section_type"), F.lit(1).alias("class"), F.col("rank").alias("at"), F.lit(0.0).alias("fused_score"))
+    content = ranked.join(limits, "qid").where(F.col("rank") <= F.col("limit") - F.col("n_bib")).select("qid", "chunk_id", F.lit("content").alias("section_type"), F.lit(0).alias("class"), F.col("rank").alias("at"), "fused_score", F.lit(None).cast("double").alias("raw_score"))
+    found = refs.join(limits, "qid").where(F.col("rank") <= F.col("n_bib")).select("qid", "chunk_id", F.lit("bibliography").alias("section_type"), F.lit(1).alias("class"), F.col("rank").alias("at"), F.lit(0.0).alias("fused_score"), "raw_score")
     order = Window.partitionBy("qid").orderBy("class", "at")
     return content.unionByName(found).withColumn("final_rank", F.row_number().over(order)).withColumnRenamed("at", "route_rank").drop("class")
 
@@ -116,7 +118,7 @@ def quota(ranked: DataFrame, bibliography: DataFrame, plans: DataFrame, final_to
 def detailed(final: DataFrame, ranked: DataFrame) -> DataFrame:
     """Final hits with what led to them: pre_rank, rerank_score and sources of content, one route without weight of references."""
     joined = final.join(ranked.select("qid", "chunk_id", "pre_rank", "rerank_score", "sources"), ["qid", "chunk_id"], "left")
-    direct = bibliography_source(F.col("route_rank").cast("int"))
+    direct = bibliography_source(F.col("route_rank").cast("int"), F.col("raw_score"))
     return joined.withColumn("sources", F.when(F.col("section_type") == "bibliography", direct).otherwise(F.col("sources")))
 
 
@@ -124,14 +126,26 @@ def detailed(final: DataFrame, ranked: DataFrame) -> DataFrame:
 RECORD_COLUMNS = ("chunk_id", "vector_id", "paper_id", "paper_title", "section", "content_kind", "front_matter_type", "page_start", "page_end", "raw_text")
 
 
-def bibliography_source(rank: Column) -> Column:
-    """The sources of a reference hit: one route, without weight."""
-    return F.array(F.struct(F.lit(len(ROUTES)).alias("place"), F.lit("bm25_bibliography").alias("route"), rank.alias("rank"), F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("term")))
+def bibliography_source(rank: Column, score: Column) -> Column:
+    """The sources of a reference hit: one route with its BM25 score, without weight."""
+    return F.array(F.struct(F.lit(len(ROUTES)).alias("place"), F.lit("bm25_bibliography").alias("route"), rank.alias("rank"), F.coalesce(score, F.lit(0.0)).alias("raw_score"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("term")))
+
+
+def asked(route: Column) -> Column:
+    """What a route searched for, of a plan (original_query, semantic_query, keywords): keywords as one query of alternatives."""
+    words = F.array_join("keywords", " OR ")
+    rewritten = F.coalesce("semantic_query", "original_query")
+    return (
+        F.when(route == "dense_rewrite", F.col("semantic_query"))
+        .when(route == "bm25_rewrite", words)
+        .when(route == "bm25_bibliography", F.when(F.size("keywords") > 0, words).otherwise(rewritten))
+        .otherwise(F.col("original_query"))
+    )
 
 
 def to_json(rows: DataFrame, text_limit: int = 500) -> DataFrame:
-    """qid, rank, json: hits joined with their chunks as full records, texts cut to their first characters."""
-    sources = F.transform("sources", lambda s: F.struct(s["route"].alias("route"), s["rank"].alias("rank"), s["raw_score"].alias("raw_score"), s["weight"].alias("effective_weight")))
+    """qid, rank, json: hits joined with their chunks and plans as full records, texts cut to their first characters."""
+    sources = F.transform("sources", lambda s: F.struct(s["route"].alias("route"), asked(s["route"]).alias("query"), s["rank"].alias("rank"), s["raw_score"].alias("raw_score"), s["weight"].alias("effective_weight")))
     fields = [F.col("final_rank").cast("long").alias("rank"), "chunk_id", "vector_id", "paper_id", "paper_title", "section", "content_kind", "front_matter_type", "section_type", "page_start", "page_end", F.substring("raw_text", 1, text_limit).alias("raw_text")]
     fields += [F.col("pre_rank").cast("long").alias("pre_rerank_rank"), "rerank_score", "fused_score", sources.alias("source_matches")]
     return rows.select("qid", F.col("final_rank").cast("long").alias("rank"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))

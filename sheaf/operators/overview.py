@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.config import Overview
+from sheaf.functions import json as J
 from sheaf.functions import text as X
 
 # What section names tell about the category, in this order after abstracts.
@@ -198,11 +199,18 @@ def title_problem(drafted: Column, known: Column) -> Column:
 
 
 def parse_draft(payload: Column) -> Column:
-    """The fields of a drafted overview (a model's JSON): title and an array of (field, content, source_chunk_ids); null if it is no object."""
+    """The fields of a drafted overview (a model's JSON): title and an array of (field, content, source_chunk_ids).
+
+    Null if it is no object of just these fields, each with just its content and ids, of the right types.
+    """
+    inner = lambda r: F.get_json_object(payload, f"$.{r}")
+    strict = J.has_exactly(payload, ("paper_title", *ROLES)) & J.has_types(payload, {"paper_title": ("STRING",)})
+    for r in ROLES:
+        strict = strict & J.has_exactly(inner(r), ("content", "source_chunk_ids")) & J.has_types(inner(r), {"content": ("STRING",), "source_chunk_ids": ("ARRAY<STRING>", "ARRAY<VOID>")})
     kinds = "paper_title string, " + ", ".join(f"{r} struct<content:string,source_chunk_ids:array<string>>" for r in ROLES)
     draft = F.from_json(payload, kinds)
     fields = F.array(*(F.struct(F.lit(r).alias("field"), draft[r]["content"].alias("content"), draft[r]["source_chunk_ids"].alias("source_chunk_ids")) for r in ROLES))
-    return F.when(draft["paper_title"].isNotNull(), F.struct(draft["paper_title"].alias("paper_title"), fields.alias("fields")))
+    return F.when(strict & draft["paper_title"].isNotNull(), F.struct(draft["paper_title"].alias("paper_title"), fields.alias("fields")))
 
 
 def unknown_sources(cited: Column, known: Column) -> Column:

@@ -159,9 +159,9 @@ def evidence_units(spark, d):
     return _units(spark, d).select("qid", "evidence_id", "kind", "paper_id", "section", "page_start", "page_end", "seed_chunk_ids", "chunk_ids", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "token_count", "ord")
 
 
-@query("answer_prompt", EVIDENCE_SQL + "SELECT qid, sha256(string_agg('[' || evidence_id || '] ' || paper_id || ' | ' || coalesce(section, '-') || ' | p. ' || CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS sha FROM units GROUP BY qid")
+@query("answer_prompt", EVIDENCE_SQL + "SELECT qid, sha256(string_agg('[' || evidence_id || '] ' || u.kind || ' | ' || paper_title || ' | ' || coalesce(section, '-') || ' | p. ' || CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END || ' | ' || chunk_ids || chr(10) || u.text, chr(10) || chr(10) ORDER BY n)) AS sha FROM units u JOIN papers USING (paper_id) GROUP BY qid")
 def answer_prompt(spark, d):
-    return answers.prompt(_units(spark, d)).select("qid", F.sha2(F.col("prompt").cast("binary"), 256).alias("sha"))
+    return answers.prompt(_units(spark, d), fx.papers(spark, d).select("paper_id", "paper_title")).select("qid", F.sha2(F.col("prompt").cast("binary"), 256).alias("sha"))
 
 
 # drafts made by rule: valid, unknown citation, label that is not cited, no citation, insufficient

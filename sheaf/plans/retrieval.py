@@ -145,9 +145,16 @@ PHRASE = "SELECT qid, 0 AS pid, ts FROM qs WHERE len(ts) > 0"
 GROUP = "SELECT qid, n AS pid, [word] AS ts FROM kws"
 
 
-@query("bm25_phrase", with_chunks(TERMS_SQL, QUERIES_SQL, bm25_sql("b", "content", "SELECT qid, 0 AS pid, list_slice(ts, 1, 4) AS ts FROM qs", 10)) + HITS_SQL)
+WINDOWS = """SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY n) AS pid, string_split(phrase, ' ') AS ts FROM (
+  SELECT qid, array_to_string(list_slice(ts, n, n + 3), ' ') AS phrase, min(n) AS n FROM (SELECT qid, ts, unnest(range(1, greatest(len(ts) - 2, 2))) AS n FROM qs WHERE len(ts) > 0) GROUP BY ALL)"""
+
+
+@query("bm25_phrase", with_chunks(TERMS_SQL, QUERIES_SQL, bm25_sql("b", "content", WINDOWS, 10)) + HITS_SQL)
 def bm25_phrase(spark, d):
-    questions = fx.query_texts(spark, d).select("qid", F.array(F.array_join(F.slice(X.tokens(F.col("query")), 1, 4), " ")).alias("texts"))
+    """Every run of four words of each question, as one query of alternatives."""
+    words = X.tokens(F.col("query"))
+    runs = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " "))).otherwise(F.array(F.array_join(words, " ")))
+    questions = fx.query_texts(spark, d).select("qid", runs.alias("texts"))
     return _hits(lexical.search(_index(spark, d), questions, S.retrieval.bm25_original_top_k))
 
 
@@ -331,10 +338,10 @@ FUSED_SQL = with_chunks(
     TERMS_SQL, QUERIES_SQL, NUMBERED_SQL, _dense_sql("d1", 0), _dense_sql("d2", 40),
     bm25_sql("b1", "content", "SELECT qid, 0 AS pid, ts FROM qs WHERE len(ts) > 0", 10), bm25_sql("b2", "content", GROUP, 20),
     """hits AS (
-  SELECT qid, 0 AS place, 'dense_original' AS route, chunk_id, rank, 0.8 AS w FROM d1 JOIN numbered USING (vector_id)
-  UNION ALL SELECT qid, 1, 'dense_rewrite', chunk_id, rank, 1.2 FROM d2 JOIN numbered USING (vector_id)
-  UNION ALL SELECT qid, 2, 'bm25_original', id, rank, 0.6 FROM b1
-  UNION ALL SELECT qid, 3, 'bm25_rewrite', id, rank, 1.2 FROM b2),
+  SELECT qid, 0 AS place, 'dense_original' AS route, chunk_id, rank, 0.8 AS w, score FROM d1 JOIN numbered USING (vector_id)
+  UNION ALL SELECT qid, 1, 'dense_rewrite', chunk_id, rank, 1.2, score FROM d2 JOIN numbered USING (vector_id)
+  UNION ALL SELECT qid, 2, 'bm25_original', id, rank, 0.6, score FROM b1
+  UNION ALL SELECT qid, 3, 'bm25_rewrite', id, rank, 1.2, score FROM b2),
 fused AS (
   SELECT qid, chunk_id, sum(w / (60 + rank)) AS fused_score, string_agg(route || ':' || rank, ',' ORDER BY place) AS sources,
          row_number() OVER (PARTITION BY qid ORDER BY round(sum(w / (60 + rank)), 12) DESC, chunk_id) AS pre_rank
@@ -398,9 +405,9 @@ plans AS (SELECT qid, qid % 2 = 0 AS sb FROM qs),
 bib AS (SELECT rb.* FROM rb JOIN plans USING (qid) WHERE sb),
 lim AS (SELECT p.qid, 5 + CASE WHEN sb THEN 5 ELSE 0 END AS l, least(coalesce(n, 0), 5) AS nb FROM plans p LEFT JOIN (SELECT qid, count(*) AS n FROM bib GROUP BY qid) USING (qid)),
 quota AS (
-  SELECT qid, chunk_id, section_type, fused_score, pre_rank, rerank_score, r AS route_rank, row_number() OVER (PARTITION BY qid ORDER BY k, r) AS final_rank FROM (
-    SELECT f.qid, f.chunk_id, 'content' AS section_type, f.fused_score, f.pre_rank, f.rerank_score, 0 AS k, f.rank AS r FROM final f JOIN lim USING (qid) WHERE f.rank <= l - nb
-    UNION ALL SELECT b.qid, b.id, 'bibliography', 0.0, NULL, NULL, 1, b.rank FROM bib b JOIN lim USING (qid) WHERE b.rank <= nb))
+  SELECT qid, chunk_id, section_type, fused_score, pre_rank, rerank_score, score, r AS route_rank, row_number() OVER (PARTITION BY qid ORDER BY k, r) AS final_rank FROM (
+    SELECT f.qid, f.chunk_id, 'content' AS section_type, f.fused_score, f.pre_rank, f.rerank_score, NULL::DOUBLE AS score, 0 AS k, f.rank AS r FROM final f JOIN lim USING (qid) WHERE f.rank <= l - nb
+    UNION ALL SELECT b.qid, b.id, 'bibliography', 0.0, NULL, NULL, b.score, 1, b.rank FROM bib b JOIN lim USING (qid) WHERE b.rank <= nb))
 """
 
 
@@ -417,20 +424,29 @@ def final_quota(spark, d):
     return _quota(spark, d)[0].select("qid", "chunk_id", "section_type", F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
-RECORD = "rank long, chunk_id string, vector_id long, paper_id string, paper_title string, section string, content_kind string, front_matter_type string, section_type string, page_start int, page_end int, raw_text string, pre_rerank_rank long, rerank_score double, fused_score double, source_matches array<struct<route:string,rank:int,raw_score:double,effective_weight:double>>"
+RECORD = "rank long, chunk_id string, vector_id long, paper_id string, paper_title string, section string, content_kind string, front_matter_type string, section_type string, page_start int, page_end int, raw_text string, pre_rerank_rank long, rerank_score double, fused_score double, source_matches array<struct<route:string,query:string,rank:int,raw_score:double,effective_weight:double>>"
 
 
-@query("retrieval_json", QUOTA_SQL + """
+@query("retrieval_json", QUOTA_SQL + """,
+words AS (SELECT qid, string_agg(word, ' OR ' ORDER BY n) AS words FROM kws GROUP BY qid),
+matches AS (
+  SELECT h.qid, h.chunk_id, string_agg(CASE route WHEN 'dense_rewrite' THEN '' WHEN 'bm25_rewrite' THEN words ELSE query END, chr(10) ORDER BY place) AS asked, round(sum((place + 1) * score), 6) AS checked
+  FROM hits h JOIN qs USING (qid) LEFT JOIN words USING (qid) GROUP BY ALL)
 SELECT q.qid, CAST(final_rank AS BIGINT) AS rank, q.chunk_id, n.vector_id, c.paper_id, c.paper_title, c.section, CASE WHEN c.section = 'Abstract' THEN 'front_matter' ELSE 'body' END AS content_kind, CASE WHEN c.section = 'Abstract' THEN 'abstract' END AS front_matter_type, q.section_type, c.page_start, c.page_end,
-       substr(c.raw_text, 1, 500) AS raw_text, CAST(q.pre_rank AS BIGINT) AS pre_rerank_rank, round(q.rerank_score, 9) AS rerank_score, round(q.fused_score, 9) AS fused_score, CASE q.section_type WHEN 'bibliography' THEN 'bm25_bibliography:' || route_rank ELSE f.sources END AS sources
-FROM quota q JOIN chunks c USING (chunk_id) LEFT JOIN numbered n ON n.chunk_id = q.chunk_id LEFT JOIN fused f ON f.qid = q.qid AND f.chunk_id = q.chunk_id""")
+       substr(c.raw_text, 1, 500) AS raw_text, CAST(q.pre_rank AS BIGINT) AS pre_rerank_rank, round(q.rerank_score, 9) AS rerank_score, round(q.fused_score, 9) AS fused_score, CASE q.section_type WHEN 'bibliography' THEN 'bm25_bibliography:' || route_rank ELSE f.sources END AS sources,
+       CASE q.section_type WHEN 'bibliography' THEN w.words ELSE m.asked END AS asked, CASE q.section_type WHEN 'bibliography' THEN round(5 * q.score, 6) ELSE m.checked END AS checked
+FROM quota q JOIN chunks c USING (chunk_id) LEFT JOIN words w ON w.qid = q.qid LEFT JOIN matches m ON m.qid = q.qid AND m.chunk_id = q.chunk_id LEFT JOIN numbered n ON n.chunk_id = q.chunk_id LEFT JOIN fused f ON f.qid = q.qid AND f.chunk_id = q.chunk_id""")
 def retrieval_json(spark, d):
-    """The records as JSON, read again."""
+    """The records as JSON, read again: what each route searched for, and the sum of its scores by the routes' places."""
     final, ranked = _quota(spark, d)
-    records = fusion.to_json(fusion.detailed(final, ranked).join(fx.chunks(spark, d).select(*fusion.RECORD_COLUMNS), "chunk_id"))
+    plans = fx.query_texts(spark, d).select("qid", F.col("query").alias("original_query"), F.lit(None).cast("string").alias("semantic_query"), "keywords")
+    records = fusion.to_json(fusion.detailed(final, ranked).join(fx.chunks(spark, d).select(*fusion.RECORD_COLUMNS), "chunk_id").join(plans, "qid"))
+    asked = F.array_join(F.transform("source_matches", lambda x: F.coalesce(x["query"], F.lit(""))), "\n").alias("asked")
+    places = F.create_map(*(F.lit(v) for i, r in enumerate([*fusion.ROUTES, "bm25_bibliography"]) for v in (r, float(i + 1))))
+    checked = F.round(F.aggregate("source_matches", F.lit(0.0), lambda t, x: t + x["raw_score"] * F.element_at(places, x["route"])), 6).alias("checked")
     shown = F.array_join(F.transform("source_matches", lambda x: F.concat_ws(":", x["route"], x["rank"])), ",").alias("sources")
     parsed = records.select("qid", F.from_json("json", RECORD).alias("r")).select("qid", "r.*")
-    return parsed.select("qid", *(c for c in parsed.columns if c not in ("qid", "rerank_score", "fused_score", "source_matches")), F.round("rerank_score", 9).alias("rerank_score"), F.round("fused_score", 9).alias("fused_score"), shown)
+    return parsed.select("qid", *(c for c in parsed.columns if c not in ("qid", "rerank_score", "fused_score", "source_matches")), F.round("rerank_score", 9).alias("rerank_score"), F.round("fused_score", 9).alias("fused_score"), shown, asked, checked)
 
 
 @query("quota_without_reranking", FUSED_SQL + "SELECT qid, chunk_id, CAST(pre_rank AS BIGINT) AS final_rank FROM fused WHERE pre_rank <= 50")

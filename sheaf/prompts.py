@@ -61,13 +61,19 @@ def _tagged(name: str, text: Column) -> Column:
 
 def rewrite(query: Column, turns: Column, most_keywords: int) -> Column:
     """The user text for a question and its earlier turns (an array of texts)."""
-    lines = F.array_join(F.transform(turns, lambda t: F.concat(F.lit("- "), t)), "\n")
-    context = F.when(F.coalesce(F.size(turns), F.lit(0)) > 0, lines).otherwise(NO_CONTEXT)
-    return F.concat(_tagged("conversation", context), F.lit("\n"), _tagged("question", query), F.lit(f"\nGive one to {most_keywords} keywords."))
+    return F.concat(_conversation(turns), F.lit("\n"), _tagged("question", query), F.lit(f"\nGive one to {most_keywords} keywords."))
 
 
-def answer(query: Column, evidence: Column) -> Column:
-    return F.concat(_tagged("question", query), F.lit("\n"), _tagged("evidence", evidence))
+def _conversation(turns: Column) -> Column:
+    """Earlier turns (an array of texts, or null), blank ones left out, or what stands for none."""
+    said = F.filter(F.coalesce(turns, F.expr("cast(array() as array<string>)")), lambda t: F.length(F.trim(t)) > 0)
+    lines = F.array_join(F.transform(said, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return _tagged("conversation", F.when(F.size(said) > 0, lines).otherwise(NO_CONTEXT))
+
+
+def answer(query: Column, evidence: Column, turns: Column) -> Column:
+    """The user text for a question with its earlier turns, which tell what "this paper" means, and the evidence."""
+    return F.concat(_conversation(turns), F.lit("\n"), _tagged("question", query), F.lit("\n"), _tagged("evidence", evidence))
 
 
 def paper_overview(title: Column, context: Column) -> Column:

@@ -69,7 +69,8 @@ class Service:
         ranked = fusion.rerank(fused, self._scores(fused, plans, chunks), s.reranking.candidate_top_k)
         target = fusion.best_paper(fused, chunks).select("qid", "paper_id")
         wanted = plans.where("search_bibliography").join(target, "qid")
-        texts = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.array("original_query"))
+        # without keywords the rewritten question is searched, if there is one
+        texts = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.array(F.coalesce("semantic_query", "original_query")))
         most = s.retrieval.rewrite.bibliography_top_k
         found = lexical.search_scoped(self.store.index().of("bibliography"), wanted.select("qid", "paper_id", texts.alias("texts")), most, s.bm25).withColumnRenamed("id", "chunk_id")
         final = fusion.quota(ranked, found, plans, size, most, limit)
@@ -110,28 +111,34 @@ class Service:
 
     def records(self, found: Retrieved) -> DataFrame:
         """The hits as full records (qid, rank, json)."""
-        return fusion.to_json(found.hits.join(self.store.table("chunks").select(*fusion.RECORD_COLUMNS), "chunk_id"))
+        plans = found.plans.select("qid", "original_query", "semantic_query", "keywords")
+        return fusion.to_json(found.hits.join(self.store.table("chunks").select(*fusion.RECORD_COLUMNS), "chunk_id").join(plans, "qid"))
 
     def evidence(self, found: Retrieved) -> DataFrame:
         """Evidence units of the hits: content expanded within its section, then references, numbered."""
         s, chunks = self.settings, self.store.table("chunks")
         content = found.hits.where("section_type = 'content'")
-        # a hit's place is its priority: the first hit comes first
-        seeds = content.select("qid", "chunk_id", (-F.col("final_rank")).cast("double").alias("priority"))
+        # a reranked hit's score is its priority, any other's its place
+        seeds = content.select("qid", "chunk_id", F.coalesce("rerank_score", (-F.col("final_rank")).cast("double")).alias("priority"))
         width = s.context.neighbor_window if s.context.enabled else 0
         groups = context.expand(seeds, chunks, width, s.context.max_total_tokens)
         refs = found.hits.where("section_type = 'bibliography'").select("qid", "chunk_id", F.col("final_rank").alias("rank"))
         return context.units(groups, refs.join(chunks.drop("section_type"), "chunk_id"), s.answer.max_evidence_units)
 
+    def _titles(self) -> DataFrame | None:
+        documents = self.store.table("documents")
+        return documents.select("paper_id", "paper_title") if documents is not None and "paper_title" in documents.columns else None
+
     def answer(self, questions: DataFrame, limit: int | None = None) -> DataFrame:
         """qid and the whole outcome as JSON: plan, states, answer, citations, hits and evidence."""
         found = self.retrieve(questions, limit)
         found = Retrieved(written(found.plans), written(found.hits))
         units = written(self.evidence(found))
-        asked = questions.select("qid", "query", F.coalesce(F.size("turns"), F.lit(0)).alias("n_context"))
+        turns = F.filter(F.coalesce("turns", F.expr("cast(array() as array<string>)")), lambda t: F.length(F.trim(t)) > 0)
+        asked = questions.select("qid", "query", turns.alias("turns"), F.size(turns).alias("n_context"))
         states = answers.status(asked, units, self.settings.answer.enabled)
-        ready = states.where("status = 'ready'").select("qid").join(asked, "qid").join(answers.prompt(units), "qid")
-        user = ready.select("qid", prompts.answer(F.col("query"), F.col("prompt")).alias("query"))
+        ready = states.where("status = 'ready'").select("qid").join(asked, "qid").join(answers.prompt(units, self._titles()), "qid")
+        user = ready.select("qid", prompts.answer(F.col("query"), F.col("prompt"), F.col("turns")).alias("query"))
         none = F.lit(None).cast("string")
         drafts = answers.parse_drafts(self.drafter(user) if self.drafter else user.withColumn("payload", none))
         outcome = answers.finish(states, drafts, units)

@@ -56,7 +56,7 @@ def test_small_ones(spark):
     assert values(spark, ["Contributions here", ""], lambda c: X.signal_count(F.lower(c), ("contribution", "contributions"))) == [2, 0]
     assert values(spark, ["5 of 10% by 2.5", ""], X.numeric_density) == [3 / 5, 0.0]
     assert values(spark, ["Café Ünï_x-1.5 漢字"], X.tokens) == [["cafe", "uni", "x", "1", "5", "漢字"]]
-    assert [values(spark, [v], lambda c: X.page_label(c, F.lit(b).cast("int")), "int")[0] for v, b in ((None, None), (2, 2), (2, 4))] == ["unknown", "2", "2-4"]
+    assert [values(spark, [v], lambda c: X.page_label(c, F.lit(b).cast("int")), "int")[0] for v, b in ((None, None), (None, 3), (2, None), (2, 2), (2, 4))] == ["unknown", "unknown", "2", "2", "2-4"]
 
 
 def test_vectors(spark):

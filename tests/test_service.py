@@ -198,7 +198,7 @@ def test_all_text_of_pages(spark):
     html = "before<h2>Part</h2>loose<table><tr><th>a</th><td>b <code>c</code></td></tr></table><pre>x  y</pre><blockquote>quote</blockquote>after <section>inner</section> end"
     rows = readers.html_items(spark.createDataFrame([(1, html)], "page_id long, html string"))
     got = [(r["label"], r["text"]) for r in rows.orderBy("pos").collect()]
-    assert got == [("TEXT", "before"), ("SECTION_HEADER", "Part"), ("TEXT", "loose"), ("TEXT", "a"), ("TEXT", "b c"), ("CODE", "x y"), ("TEXT", "quote"), ("TEXT", "after inner end")]
+    assert got == [("TEXT", "before"), ("SECTION_HEADER", "Part"), ("TEXT", "loose"), ("TABLE", "a | b c"), ("CODE", "x y"), ("TEXT", "quote"), ("TEXT", "after"), ("TEXT", "inner"), ("TEXT", "end")]
     text = readers.markdown(rows).first()["markdown"]
     assert text.startswith("before\n\n## Part\n\nloose") and "```\nx y\n```" in text
 
@@ -256,6 +256,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     store = str(tmp_path / "store")
     assert cli.main(["inspect", store]) == 2
     assert cli.main(["import", docs, store]) == 0
+    # no section, page or title that the documents do not have
+    assert catalog.Catalog(spark, store).table("chunks").where("section is not null or page_start is not null or paper_title is not null").count() == 0
     assert cli.main(["retrieve", store, "radar images"]) == 1  # no index yet
     assert cli.main(["index", store]) == 0 and cli.main(["index", store]) == 1
     assert cli.main(["index", store, "--verify"]) == 0 and cli.main(["index", store, "--recover"]) == 0
@@ -266,6 +268,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["answer_status"] == "fallback"
     assert cli.main(["embed", store, str(tmp_path / "artifacts")]) == 0
     assert readers.read_artifact(spark, capsys.readouterr().out.strip().splitlines()[-1]).count() > 0
+    assert cli.main(["embed", store, str(tmp_path / "artifacts"), "--dimension", "16"]) == 0
+    assert len(readers.read_artifact(spark, capsys.readouterr().out.strip().splitlines()[-1]).first()["embedding"]) == 16
+    assert cli.main(["compact", store]) == 0 and cli.main(["import", docs, store]) == 1  # the papers have vectors
     paper = catalog.Catalog(spark, store).table("documents").first()["paper_id"]
     assert cli.main(["stage", store, paper, str(tmp_path / "w")]) == 0
     name = capsys.readouterr().out.strip().splitlines()[-1]
@@ -276,3 +281,4 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     spark.createDataFrame([(1, "<h1>Head</h1><p>Text</p>")], "page_id long, html string").write.parquet(pages)
     assert cli.main(["inspect-items", pages, "--label", "TEXT", "--markdown", str(tmp_path / "md")]) == 0
     assert spark.read.json(str(tmp_path / "md")).count() == 1
+    assert cli.main(["import-pages", pages, str(tmp_path / "other")]) == 0 and catalog.Catalog(spark, str(tmp_path / "other")).table("chunks").first()["section"] == "Head"
