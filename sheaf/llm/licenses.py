@@ -9,7 +9,8 @@ word, and its key phrases must stand where the template has them.  As a template
 where all words of its key phrases do, the lookup loses none.
 
 Independently of templates, base phrases are found wherever their words stand in a row.  Files
-that contain none of the words which every base phrase and every template needs skip all of it.
+without any of the triggers, of which every base phrase and every template's key phrases have
+one, skip all of it; the triggers are taken from the templates and base phrases that are given.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 # Label, notice, mandatory key phrases of the notice.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software", ("to any person obtaining a copy of this software and associated documentation files",)),
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "licensed under the mit license", ("mit license",)),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
@@ -40,6 +41,17 @@ TEMPLATES = (
     ("agpl-3", "this work is licensed under the gnu affero general public license version 3", ("gnu affero general public license", "version 3")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ("gnu lesser general public license", "version 2 1 of the license")),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ("gnu lesser general public license", "version 3 of the license")),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license", "version 3 of the license")),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    ("boost-1", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("to any person or organization obtaining a copy of the software and accompanying documentation",)),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ("will the authors be held liable for any damages arising from the use of this software",)),
+    ("zlib", "this notice may not be removed or altered from any source distribution", ("may not be removed or altered from any source distribution",)),
+    ("ofl-1.1", "permission is hereby granted free of charge to any person obtaining a copy of the font software", ("to any person obtaining a copy of the font software",)),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license version 1 1",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
@@ -47,8 +59,15 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
 )
-#: A text without any of these has no base phrase and no template's key phrases.
-TRIGGERS = ("licens", "permission", "redistribution", "unencumbered", "cc by", "creative commons", "cc0 1")
+# Label and the identifier that stands for it in a tag, as words.
+IDENTIFIERS = (
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0"), ("gpl-2", "gpl 2 0"), ("lgpl-3", "lgpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("agpl-3", "agpl 3 0"), ("bsd", "bsd 3 clause"), ("bsd", "bsd 2 clause"), ("mpl-2", "mpl 2 0"), ("isc", "isc"), ("unlicense", "unlicense"),
+    ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("zlib", "zlib"), ("boost-1", "bsl 1 0"), ("epl-2", "epl 2 0"), ("ofl-1.1", "ofl 1 1"),
+)
+TEMPLATES += tuple((label, f"spdx license identifier {words}", (f"spdx license identifier {words}",)) for label, words in IDENTIFIERS)
+
+#: Shorter words occur inside others too often to look for them alone.
+LEAST_TRIGGER = 5
 
 #: Votes that a place needs, as many as a template has postings, and the share of a template's words that must agree there.
 LEAST_VOTES, LEAST_SHARE = 2, 0.8
@@ -62,10 +81,30 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def may_match(text: Column) -> Column:
-    """Whether the text has one of TRIGGERS, with any separators between their words (a sound filter)."""
+def triggers(weights: dict[str, float], templates, base) -> list[str]:
+    """Words and phrases of which every base phrase and every template's key phrases have one.
+
+    A phrase's trigger is its word with the highest idf (of equal ones the longest, then the
+    first), unless a trigger chosen before lies in it; a phrase of short words is one itself.
+    """
+    chosen: list[str] = []
+    for phrase in [*(p for p, _ in base), *(max(phrases, key=len) for _, _, phrases in templates)]:
+        words = phrase.split()
+        if not any(t in phrase if " " in t else any(t in w for w in words) for t in chosen):
+            known = [w for w in words if len(w) >= LEAST_TRIGGER]
+            chosen.append(max(known, key=lambda w: (weights.get(w, 0.0), len(w))) if known else phrase)
+    return chosen
+
+
+def may_match(text: Column, wanted: list[str]) -> Column:
+    """Whether the text has one of the triggers, with any separators between a phrase's words (a sound filter)."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return text.rlike("(?i)" + "|".join(t.replace(" ", gap) for t in TRIGGERS))
+    return text.rlike("(?i)" + "|".join(gap.join(map(quoted, t.split())) for t in wanted)) if wanted else F.lit(False)
+
+
+def quoted(word: str) -> str:
+    """The word as a regular expression; letters and digits stand for themselves."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in word)
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -81,6 +120,8 @@ def idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     # the two characters beyond A-Z whose lower case has an ASCII letter are put out of its way
     text = F.replace(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u212a"), F.lit("\u00df")), F.lit("\u0130"), F.lit("\u00df"))
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    if not templates:
+        return {}
     found = docs.select(F.explode(F.array_intersect(words, _strings(vocabulary(templates)))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()
@@ -162,22 +203,27 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     repeated rows, null ids and other columns make no difference (columns with the added
     names are replaced); an empty table gives no rows.
     """
-    postings = _anchors(idf(docs, templates), templates)
+    weights = idf(docs, templates)
+    postings, wanted = _anchors(weights, templates), triggers(weights, templates, base)
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("__words", F.when(may_match(text), words_of(text)))
+    out = docs.withColumn("__words", F.when(may_match(text, wanted), words_of(text)))
     words = F.col("__words")
 
     def labelled(label: str):
         return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
-    starts = F.flatten(F.array(*(F.transform(_phrase_starts(words, phrase), labelled(label)) for phrase, label in base)))
+    nowhere = F.expr("cast(array() as array<array<struct<at:int,label:string>>>)")
+    starts = F.flatten(F.array(*(F.transform(_phrase_starts(words, phrase), labelled(label)) for phrase, label in base)) if base else nowhere)
     out = out.withColumn("__base", F.when(words.isNotNull(), starts))
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*postings))
-    out = out.withColumn("__anchors", F.when(words.isNotNull(), places))
-    # columns of their own, for inside a lambda an expression would be computed for each element
-    out = out.withColumn("__all", F.when(F.size("__anchors") > 0, _votes(F.col("__anchors"), postings)))
-    out = out.withColumn("__votes", _voted(F.col("__all")))
-    out = out.withColumn("__found", F.when(F.size("__votes") > 0, _matches(words, F.col("__votes"), templates)))
+    if templates:
+        places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*postings))
+        out = out.withColumn("__anchors", F.when(words.isNotNull(), places))
+        # columns of their own, for inside a lambda an expression would be computed for each element
+        out = out.withColumn("__all", F.when(F.size("__anchors") > 0, _votes(F.col("__anchors"), postings)))
+        out = out.withColumn("__votes", _voted(F.col("__all")))
+        out = out.withColumn("__found", F.when(F.size("__votes") > 0, _matches(words, F.col("__votes"), templates)))
+    else:
+        out = out.withColumn("__found", F.expr("cast(null as array<struct<label:string,share:double>>)"))
     none = F.expr("cast(array() as array<string>)")
     label = lambda c: F.coalesce(F.transform(F.col(c), lambda m: m["label"]), none)
     at = F.transform("__base", lambda m: m["at"])

@@ -98,13 +98,8 @@ def test_labels_of_all_pairs_of_notices(spark):
     assert set(rows[len(every) + len(damaged) + len(changed) + 1]["labels"]) == {x for x, _ in notices}
 
 
-def test_every_key_phrase_stands_in_its_notice_and_has_a_trigger():
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    trigger = re.compile("|".join(t.replace(" ", gap) for t in L.TRIGGERS))
-    for _, notice, phrases in L.TEMPLATES:
-        assert L._key_places(notice, phrases)
-        assert any(trigger.search(p) for p in phrases)
-    assert all(trigger.search(p) for p, _ in L.BASE)
+def test_every_key_phrase_stands_in_its_notice():
+    assert all(L._key_places(notice, phrases) for _, notice, phrases in L.TEMPLATES)
 
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -249,3 +244,44 @@ def test_repeated_rows_and_null_ids(spark):
     docs = documents(spark, ["token=abcdef"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert [S.render(F.lit(1)) is not None and r["spans"][0]["stop"] for r in S.find(docs.union(docs)).collect()] == [12, 12]
     assert [r["labels"] for r in L.scan(documents(spark, ["under the mit license"] * 2).withColumn("doc_id", F.lit(None).cast("long"))).collect()] == [["mit"]] * 2
+
+
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+
+
+def labelled(spark, texts, **more):
+    return {r["doc_id"]: r["labels"] for r in L.scan(documents(spark, texts), **more).collect()}
+
+
+def test_licenses_of_callers_templates(spark):
+    made = (("own", "may be painted blue by anyone who likes the sea", ("painted blue by anyone",)), ("tiny", "we do as we do", ("do as we do",)), ("é", "à çà et là du vin", ("çà et là",)))
+    texts = ["This house may be painted blue by anyone who likes the sea.", "so We do, as we do!", "à çà et LÀ du vin", "à ÇÀ et là du vin", "à çà et là du vin", ZLIB]
+    assert labelled(spark, texts, templates=made, base=()) == {1: ["own"], 2: ["tiny"], 3: [], 4: [], 5: ["é"], 6: []}
+    assert labelled(spark, texts, templates=(), base=(("blue by", "b"),)) == {1: ["b"], **{i: [] for i in range(2, 7)}}
+
+
+def test_licenses_that_are_near_to_others(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this font and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use",
+        "// SPDX-License-Identifier: GPL-3.0-only\nint x;",
+        ZLIB,
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "This software may not be altered by the authors.",
+    ]
+    assert labelled(spark, texts) == {1: [], 2: ["ofl-1.1"], 3: ["gpl-3"], 4: ["zlib"], 5: ["boost-1"], 6: ["cc-by-nc"], 7: []}
+
+
+def test_every_template_passes_its_own_filter():
+    weights = {w: 1.0 + len(w) % 3 for w in L.vocabulary()}
+    chosen = L.triggers(weights, L.TEMPLATES, L.BASE)
+    assert len(chosen) < 20
+    for phrases in [*((p,) for p, _ in L.BASE), *(p for _, _, p in L.TEMPLATES)]:
+        assert any(t in " ".join(phrases) for t in chosen)
+
+
+def test_licenses_in_texts_of_megabytes(spark):
+    filler = "words of no licence at all " * 120_000
+    got = L.scan(documents(spark, [filler + "under the MIT license " + filler + ZLIB])).first()
+    assert got["labels"] == ["mit", "zlib"] and got["n_base"] == 1 and got["first_word"] == 720_000
