@@ -80,33 +80,36 @@ def judged(flagged: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pattern_counts(rows: DataFrame) -> DataFrame:
-    """part and 32 conditional columns each for documents (n_0, ...), good ones (good_0, ...) and toxic ones (toxic_0, ...), by pattern."""
+    """part and three arrays of 32 numbers: documents (n), good ones and toxic ones by pattern, from 32 conditional columns each."""
     kinds = {"n": "copies", "good": "copies * good", "toxic": "copies * toxic"}
-    return rows.groupBy("part").agg(*(F.expr(f"sum(CASE WHEN pattern = {p} THEN {value} ELSE 0 END) AS {kind}_{p}") for kind, value in kinds.items() for p in range(PATTERNS)))
+    wide = rows.groupBy("part").agg(*(F.expr(f"sum(CASE WHEN pattern = {p} THEN {value} ELSE 0 END) AS {kind}_{p}") for kind, value in kinds.items() for p in range(PATTERNS)))
+    return wide.select("part", *(F.array(*(f"{kind}_{p}" for p in range(PATTERNS))).alias(kind) for kind in kinds))
 
 
 def steps(counts: DataFrame) -> DataFrame:
     """One row per part, order and step; what a step does depends on its filter and on which came before."""
     n = len(FILTERS)
     cases = [(f, before) for f in range(n) for before in range(PATTERNS) if not before >> f & 1]
+    listed = ", ".join(f"named_struct('f', {1 << f}, 'b', {before})" for f, before in cases)
 
-    def sums(kind: str, fits: Callable[[int, int, int], bool], name: str) -> Column:
-        """For each case the sum of the counts of the patterns that fit it."""
-        return F.expr("array(" + ", ".join(" + ".join(f"{kind}_{p}" for p in range(PATTERNS) if fits(p, 1 << f, before)) or "0L" for f, before in cases) + f") AS {name}")
+    def sums(kind: str, fits: str, name: str) -> Column:
+        """For each case (filter c.f, filters before it c.b) the sum of the counts of the patterns p that fit it."""
+        return F.expr(f"transform(array({listed}), c -> aggregate(filter(sequence(0, {PATTERNS - 1}), p -> {fits}), 0L, (t, p) -> t + {kind}[p])) AS {name}")
 
-    lost = lambda p, f, before: bool(p & f) and not p & before
+    lost = "(p & c.f) != 0 AND (p & c.b) = 0"
     shared = counts.select(
         "part",
-        sums("n", lambda p, f, before: not p & (f | before), "kept"),
+        sums("n", "(p & (c.f | c.b)) = 0", "kept"),
         sums("n", lost, "removed"),
-        sums("n", lambda p, f, before: bool(p & f) and bool(p & before), "redundant"),
-        sums("n", lambda p, f, before: p == f, "unique_fails"),
+        sums("n", "(p & c.f) != 0 AND (p & c.b) != 0", "redundant"),
+        sums("n", "p = c.f", "unique_fails"),
         sums("good", lost, "good_lost"),
         sums("toxic", lost, "toxic_lost"),
     )
     # a set of k filters comes before the filter in k! (n - 1 - k)! orders
-    weights = {case: factorial(case[1].bit_count()) * factorial(n - 1 - case[1].bit_count()) for case in cases}
-    shares = F.expr("array(" + ", ".join(" + ".join(f"{weights[case]} * removed[{i}]" for i, case in enumerate(cases) if case[0] == f) for f in range(n)) + ") AS shares")
+    weights = [(f, factorial(before.bit_count()) * factorial(n - 1 - before.bit_count())) for f, before in cases]
+    places = ", ".join("array(" + ", ".join(f"named_struct('i', {i}, 'w', {w})" for i, (g, w) in enumerate(weights) if g == f) + ")" for f in range(n))
+    shares = F.expr(f"transform(array({places}), of -> aggregate(of, 0L, (t, x) -> t + x.w * removed[x.i])) AS shares")
     orders = list(permutations(range(n)))
     at = [cases.index((f, sum(1 << x for x in order[:k]))) for order in orders for k, f in enumerate(order)]
     numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
