@@ -197,10 +197,14 @@ def signal_count(text: Column, signals: tuple[str, ...]) -> Column:
     return total
 
 
+# What counts as a number in a text.
+NUMBER = r"\d+(?:\.\d+)?%?"
+
+
 def numeric_density(text: Column) -> Column:
     clean = squeeze(text)
     words = F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.regexp_count(text, F.lit(r"\d+(?:\.\d+)?%?")) / F.greatest(words, F.lit(1)))
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.regexp_count(text, F.lit(NUMBER)) / F.greatest(words, F.lit(1)))
 
 
 def citation_labels(answer: Column) -> Column:

@@ -1,47 +1,101 @@
 """Exact inner-product search and the vector table's life: ids, checks, fingerprints.
 
-A block of query vectors is scored against all stored vectors: each task keeps the k best per
-query of what it has seen, and one window merges what the tasks kept, so at most
-tasks * queries * k rows are shuffled.  More queries than one block are searched block by
-block, each written before the next is sent, so the driver and the workers hold one block.
+A few query vectors are sent to the workers and scored against all stored vectors: each task
+keeps the k best per query of what it has seen, and one window merges what the tasks kept, so at
+most tasks * queries * k rows are shuffled.  More queries than BATCH_QUERIES are searched in
+tiles: queries and vectors are dealt into blocks, each pair of blocks meets in one group, and
+the groups' k best are merged in two steps.  Each side is read once, and nothing goes through
+the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.storage import written
 from sheaf.functions import vector as V
+from sheaf.storage import shared_folder, written
 
-#: Query vectors that one pass holds, about; more are searched in several passes.
+#: Query vectors that are sent to all workers at most, and that a tile holds, about.
 BATCH_QUERIES = 4096
+#: Stored vectors of a tile, about, and how many tiles' results the first merge puts together.
+TILE_VECTORS, MERGED = 1 << 18, 16
 #: Stored vectors that are scored at once.
 SCORED_ROWS = 1024
+#: Digests that one group of a digest tree joins at most, about.
+GROUP = 1000
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, batch: int | None = None, tile: int = TILE_VECTORS) -> DataFrame:
     """qid, vector_id, score, rank: the k largest inner products; equal ones by vector_id.
 
-    ``vectors``: vector_id, embedding.  ``queries``: qid, embedding.
+    ``vectors``: vector_id, embedding.  ``queries``: qid (each once), embedding.
     """
-    wanted = queries.select("qid", "embedding")
-    blocks = max(1, -(-wanted.count() // BATCH_QUERIES))
+    wanted, batch = queries.select("qid", "embedding"), batch or BATCH_QUERIES
+    blocks = max(1, -(-wanted.count() // batch))
     if blocks == 1:
         out = _pass(vectors, wanted.collect(), k)
     else:
-        wanted = written(wanted.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
-        parts = [written(_pass(vectors, wanted.where(F.col("__block") == b).select("qid", "embedding").collect(), k)) for b in range(blocks)]
-        out = reduce(DataFrame.union, parts)
+        out = _tiles(vectors, wanted, k, blocks, max(1, -(-vectors.count() // tile)))
+        part = Window.partitionBy("qid", "part").orderBy(F.desc("score"), "vector_id")
+        out = out.withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= k).select("qid", "vector_id", "score")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vector_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _tiles(vectors: DataFrame, queries: DataFrame, k: int, rows: int, columns: int) -> DataFrame:
+    """qid, vector_id, score, part: the k best of each tile; ``part`` numbers MERGED tiles of a query.
+
+    In a tile the queries come first, then the vectors, batch by batch.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    asked = queries.select(dealt(rows, "qid", "embedding").alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), F.col("qid").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    given = vectors.select(dealt(columns, "vector_id").alias("j"), every(rows).alias("i"), F.lit(1).alias("side"), F.col("vector_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    met = asked.unionByName(given).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, matrix, best, names = None, [], [], None, None
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            if best is not None and len(best):
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.concatenate(ids), n)), pa.array(names.ravel()), pa.array(best.ravel()), pa.array(np.full(best.size, here[1] // MERGED, np.int32))], names=["qid", "vector_id", "score", "part"])
+
+        for whole in batches:
+            where = np.stack([whole.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "side")], 1)
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                tile, side = tuple(where[start, :2].tolist()), where[start, 2]
+                if tile != here:
+                    yield from kept()
+                    here, ids, matrix, best, names = tile, [], [], None, None
+                for at in range(start, end, SCORED_ROWS):
+                    part = whole.slice(at, min(SCORED_ROWS, end - at))
+                    block = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    numbers = part.column("id").to_numpy(zero_copy_only=False)
+                    if side == 0:
+                        ids.append(numbers)
+                        matrix.append(block)
+                    elif matrix:
+                        if best is None:
+                            matrix = [np.concatenate(matrix)]
+                            best, names = np.zeros((len(matrix[0]), 0)), np.zeros((len(matrix[0]), 0), np.int64)
+                        scores = np.concatenate([best, matrix[0] @ block.T], 1)
+                        named = np.concatenate([names, np.broadcast_to(numbers, (len(matrix[0]), len(numbers)))], 1)
+                        order = best_of(scores, named, k)
+                        best, names = np.take_along_axis(scores, order, 1), np.take_along_axis(named, order, 1)
+        yield from kept()
+
+    return met.mapInArrow(run, "qid long, vector_id long, score double, part int")
+
+
 def best_of(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     """Per row the places of the k largest scores, equal ones by name; only those that reach the k-th are sorted."""
     width = scores.shape[1]
@@ -110,12 +164,84 @@ def state(chunks: DataFrame) -> DataFrame:
 def fingerprint(rows: DataFrame, line: Column, *order: str) -> DataFrame:
     """One row: the digest over all rows' digests in order.
 
-    Rows are digested apart and a range's digests joined, so the last step joins one digest
-    per thousand rows.
+    Rows are digested apart, then the digests of a thousand in a row, and so on, twice at
+    least, until one is left: no group has more than a thousand.
+    """
+    level = number_rows(rows.select(*order, F.sha2(line.cast("binary"), 256).alias("digest")), *order, first=0, name="at").select("at", "digest")
+    most, times = level.agg(F.max("at")).first()[0], 0
+    while times < 2 or most:
+        level = level.groupBy(F.floor(F.col("at") / GROUP).alias("at")).agg(joined("at").alias("digest"))
+        most, times = (most or 0) // GROUP, times + 1
+    return level.agg(F.coalesce(F.min("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("fingerprint"))
+
+
+def joined(order: str) -> Column:
+    """The digest of a group's digests in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), "").cast("binary"), 256)
+
+
+def depth_of(count: int) -> int:
+    """How many levels below the root a tree over so many rows has, with about GROUP rows below each of its lowest."""
+    depth = 1
+    while GROUP ** (depth + 1) < count:
+        depth += 1
+    return depth
+
+
+def digest_tree(rows: DataFrame, key: str, value: Column, depth: int, folder: str | None = None) -> DataFrame:
+    """level, bucket, digest: a tree of digests over the rows' keys, which are each there once; written.
+
+    A key's place is its hash, so a row that comes or goes changes its own branch only.  Level 0
+    is the root; a bucket's parent is the bucket divided by GROUP.
+    """
+    digest = F.sha2(F.concat_ws("|", F.col(key).cast("string"), value).cast("binary"), 256)
+    level = rows.select(place_of(F.col(key), depth).alias("bucket"), F.col(key).cast("string").alias("k"), digest.alias("digest")).groupBy("bucket").agg(joined("k").alias("digest"))
+    levels = [written(level)]
+    for _ in range(depth):
+        levels.append(written(levels[-1].groupBy(F.floor(F.col("bucket") / GROUP).alias("bucket")).agg(joined("bucket").alias("digest"))))
+    numbered = [frame.select(F.lit(depth - n).alias("level"), "bucket", "digest") for n, frame in enumerate(levels)]
+    every = numbered[0]
+    for frame in numbered[1:]:
+        every = every.unionByName(frame)
+    place = folder or shared_folder(rows.sparkSession)
+    every.write.partitionBy("level").parquet(place)
+    return rows.sparkSession.read.schema("bucket long, digest string, level int").parquet(place)
+
+
+def place_of(key: Column, depth: int) -> Column:
+    """A key's bucket in the lowest level of a tree."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(GROUP**depth))
+
+
+def tree_differences(one: DataFrame, other: DataFrame, depth: int) -> DataFrame:
+    """bucket: where the lowest levels of two trees differ, found from the roots down.
+
+    A level is read below buckets that differ only; equal trees are told apart by their roots.
+    """
+    spark = one.sparkSession
+    differ = spark.createDataFrame([(0,)], "bucket long")
+    for level in range(depth + 1):
+        # what differs one level up: as many rows as changes, at most
+        sides = [t.where(F.col("level") == level).join(differ.select(F.col("bucket").alias("up")), F.floor(F.col("bucket") / GROUP if level else F.lit(0)) == F.col("up"), "left_semi").select("bucket", "digest") for t in (one, other)]
+        both = sides[0].withColumnRenamed("digest", "a").join(sides[1].withColumnRenamed("digest", "b"), "bucket", "full_outer")
+        differ = written(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket"))
+        if not differ.limit(1).count():
+            return differ
+    return differ
+
+
+def differences(one: DataFrame, other: DataFrame, key: str, value: Column, trees: tuple[DataFrame, DataFrame] | None = None, depth: int | None = None) -> DataFrame:
+    """key, change (added, removed, changed): how ``other`` differs from ``one``.
+
+    ``trees``: the digest trees of both, of ``depth``, where they are known; rows are compared in
+    the buckets that differ only.
     """
-    lines = number_rows(rows.select(*order, F.sha2(line.cast("binary"), 256).alias("__d")), *order, first=0, name="__at")
-    blocks = lines.groupBy(F.floor(F.col("__at") / 1000).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__d"))), lambda x: x["__d"]), "").cast("binary"), 256).alias("d"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("fingerprint"))
+    depth = depth or depth_of(one.count())
+    first, second = trees or tuple(digest_tree(rows, key, value, depth) for rows in (one, other))
+    buckets = tree_differences(first, second, depth)
+    sides = [rows.select(F.col(key), value.alias("v"), place_of(F.col(key), depth).alias("bucket")).join(buckets, "bucket", "left_semi").select(key, F.struct("v").alias(name)) for rows, name in ((one, "a"), (other, "b"))]
+    both = sides[0].join(sides[1], key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(key, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
 
 
 def staleness(stored: DataFrame, artifact: DataFrame) -> DataFrame:

@@ -245,10 +245,16 @@ def _matching_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
 _matching_ratio.__annotations__ = {"first": pd.Series, "second": pd.Series, "return": pd.Series}
 
 
+# Why a text can't be a title, and what a word of a title is.
+NOT_A_TITLE = ("empty_text", "publication_or_front_matter_label", "publication_metadata")
+TITLE_WORD = r"[A-Za-z0-9][A-Za-z0-9'’.-]*"
+
+
 def rejected(text: Column) -> Column:
     """Why a text can't be a title, or null."""
     k = X.key(X.squeeze(text))
-    return F.when(k == "", "empty_text").when(_starts(k, NO_TITLES), "publication_or_front_matter_label").when(text.rlike(METADATA), "publication_metadata")
+    blank, label, data = NOT_A_TITLE
+    return F.when(k == "", blank).when(_starts(k, NO_TITLES), label).when(text.rlike(METADATA), data)
 
 
 def author_line(text: Column) -> Column:
@@ -279,7 +285,7 @@ def title_candidates(items: DataFrame, most_pages: int = 2) -> DataFrame:
     nearest = lambda cond: F.min(F.when(cond, F.col("pos"))).over(rest)
     marked = marked.withColumn("f", F.coalesce(nearest(F.col("furniture")) < upto, F.lit(False)))
     marked = marked.withColumn("a", F.coalesce(nearest(F.col("author") & plain) < upto, F.lit(False))).withColumn("u", F.coalesce(nearest(F.col("affiliation") & plain) < upto, F.lit(False)))
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9'’.-]*"), F.lit(0)))
+    words = F.size(F.regexp_extract_all("text", F.lit(TITLE_WORD), F.lit(0)))
     yes = lambda cond, name: F.when(cond, POINTS[name]).otherwise(0)
     is_text = F.col("label") == "TEXT"
     score = (

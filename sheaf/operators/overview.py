@@ -46,6 +46,7 @@ PRIORITIES = {"research_problem": 2, "contributions": 2, "main_method": 3, "data
 ROLES = tuple(SIGNALS)
 #: The two roles whose signals count in the text alone.
 TEXT_ONLY = ("research_problem", "contributions")
+# What stands in the results for cut texts, sections without a name and missing fields.
 TRUNCATED = "\n[本 chunk 后续内容已截断]"
 NO_SECTION = "未标注章节"
 MISSING = "论文未明确说明"

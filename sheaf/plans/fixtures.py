@@ -72,12 +72,15 @@ def built(sources: DataFrame) -> DataFrame:
     return chunking.build(with_items, MAX_TOKENS, RESERVE, layout.front_matter_blocks(layout_items(with_items)))
 
 
-_STORES: dict[tuple[str, str], catalog.Catalog] = {}
+_STORES: dict[tuple[str, str, str], catalog.Catalog] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
-    """The store of the tables in a folder: papers, chunks, lexical index, vector ids of the content."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The store of the tables in a folder: papers, chunks, lexical index, vector ids of the content.
+
+    Other documents in the same place have a store of their own.
+    """
+    key = spark.sparkContext.applicationId, sf_dir, catalog.Files(spark, sf_dir).stamp("documents.parquet")
     held = _STORES.get(key)
     if held is None or held.current() is None:
         held = catalog.Catalog(spark, catalog.shared_folder(spark))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf import overviews
 from sheaf.config import Overview
 from sheaf.operators import overview
 from sheaf.plans import fixtures as fx
@@ -145,3 +146,28 @@ def overview_validate(spark, d):
     fields = fx.papers(spark, d).select("paper_id", F.lit("datasets").alias("field"), content.alias("content"), ids.alias("source_chunk_ids"))
     checked = overview.validate(fields, chunks.select("paper_id", "chunk_id", "section"))
     return checked.select("paper_id", "problem", F.coalesce(F.array_join("sections", ","), F.lit("")).alias("sections"))
+
+
+# each field's first passage; drafts of every fifth paper have a field of their own, of every seventh another title
+@query("overview_drafts", with_chunks(CATEGORY_SQL, SCORED_SQL, TOP_SQL, BUDGET_SQL) + """,
+firsts AS (SELECT paper_id, role, arg_min(chunk_id, ord) AS chunk_id FROM (SELECT paper_id, chunk_id, ord, unnest(string_split(roles, ',')) AS role FROM selected) GROUP BY ALL),
+backs AS (SELECT DISTINCT paper_id FROM chunks WHERE section_type = 'content'),
+roles AS (SELECT unnest([""" + ", ".join(f"'{r}'" for r in overview.ROLES) + """]) AS field)
+SELECT p.paper_id, CASE WHEN p.doc_id % 5 = 0 THEN 'no overview' WHEN p.doc_id % 7 = 0 THEN 'title differs' END AS problem, r.field, f.chunk_id AS ids, c.section AS sections
+FROM papers p JOIN backs USING (paper_id) JOIN roles r ON p.doc_id % 5 <> 0 AND p.doc_id % 7 <> 0 LEFT JOIN firsts f ON f.paper_id = p.paper_id AND f.role = r.field LEFT JOIN chunks c ON c.chunk_id = f.chunk_id
+UNION ALL SELECT paper_id, CASE WHEN doc_id % 5 = 0 THEN 'no overview' ELSE 'title differs' END, NULL, NULL, NULL FROM papers JOIN backs USING (paper_id) WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""")
+def overview_drafts(spark, d):
+    """Overviews of all papers: passages, drafts without a model, strict checks."""
+    papers = fx.papers(spark, d)
+    odd = papers.select("paper_id", F.when(F.col("doc_id") % 5 == 0, "five").when(F.col("doc_id") % 7 == 0, "seven").alias("odd"))
+
+    def draft(context, titles):
+        made = overviews.drafted_offline(context, titles).join(odd, "paper_id")
+        whole = F.col("payload")
+        more = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"more":1}'))
+        return made.select("paper_id", F.when(F.col("odd") == "five", more).when(F.col("odd") == "seven", F.regexp_replace(whole, '"paper_title":"', '"paper_title":"Not ')).otherwise(whole).alias("payload"))
+
+    found, _ = overviews.overviews(fx.chunks(spark, d), papers.select("paper_id", "paper_title"), SETTINGS, draft)
+    rows = found.select("paper_id", "problem", F.explode_outer("fields").alias("f"))
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return rows.select("paper_id", "problem", F.col("f.field").alias("field"), joined("f.source_chunk_ids").alias("ids"), joined("f.source_sections").alias("sections"))

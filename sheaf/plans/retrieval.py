@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf import adaptors, catalog
-from sheaf.config import Settings
+from sheaf.config import Chunking, Settings
 from sheaf.functions import text as X
 from sheaf.functions import vector as V
 from sheaf.operators import answers, chunking, dense, fusion, lexical, store
@@ -60,6 +60,16 @@ def chunk_violations(spark, d):
     return chunking.violations(broken)
 
 
+@query("chunk_tokens_bpe")
+def chunk_tokens_bpe(spark, d):
+    """Chunks of all documents under the budget of a public tokenizer; tests hold them against plain Python."""
+    import public_tokenizers
+
+    sources = fx.papers(spark, d).select("paper_id", "paper_title", "source", fx.items_of(F.col("text")).alias("items"))
+    chunks = chunking.TokenChunker(Chunking(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))).chunk(sources)
+    return chunks.select("chunk_id", "section", "raw_token_count", "embedding_token_count", F.sha2(F.col("raw_text").cast("binary"), 256).alias("sha"))
+
+
 @query("embedding_text", with_chunks() + "SELECT chunk_id, embedding_text, sha256(embedding_text) AS sha, CAST(len(string_split(trim(regexp_replace(embedding_text, '\\s+', ' ', 'g')), ' ')) AS BIGINT) AS embedding_token_count FROM chunks WHERE section_type = 'content'")
 def embedding_text(spark, d):
     chunks = fx.chunks(spark, d).withColumn("vector_id", F.lit(None).cast("long"))
@@ -295,6 +305,27 @@ def assignment_fingerprint(spark, d):
     return dense.fingerprint(fx.numbered(spark, d).select("vector_id", "chunk_id"), F.concat_ws("|", "vector_id", "chunk_id"), "vector_id")
 
 
+_CHANGES_SQL = "CASE WHEN chunk_index = 1 THEN 'removed' WHEN chunk_index = 2 THEN 'changed' END"
+
+
+@query("index_diff", with_chunks() + f"SELECT chunk_id, {_CHANGES_SQL} AS change FROM chunks WHERE paper_id LIKE 'paper_0%' AND chunk_index IN (1, 2) UNION ALL SELECT chunk_id || '*', 'added' FROM chunks WHERE paper_id LIKE 'paper_1%' AND chunk_index = 0")
+def index_diff(spark, d):
+    """Two stores' chunks compared by digest trees: what was changed, taken away or added to the second."""
+    chunks = fx.chunks(spark, d).select("chunk_id", "paper_id", "chunk_index", "embedding_text")
+    touched = F.col("paper_id").startswith("paper_0")
+    other = chunks.where(~touched | (F.col("chunk_index") != 1)).withColumn("embedding_text", F.when(touched & (F.col("chunk_index") == 2), F.lit("other")).otherwise(F.col("embedding_text")))
+    more = chunks.where(F.col("paper_id").startswith("paper_1") & (F.col("chunk_index") == 0)).withColumn("chunk_id", F.concat("chunk_id", F.lit("*")))
+    return dense.differences(chunks, other.unionByName(more), "chunk_id", F.sha2(F.col("embedding_text").cast("binary"), 256))
+
+
+@query("dense_tiled", "SELECT q.vec_id AS qid, v.vec_id + 1 AS vector_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS BIGINT) AS rank FROM embeddings q, embeddings v QUALIFY rank <= 5")
+def dense_tiled(spark, d):
+    """The five nearest vectors of every vector, in tiles of 128 queries by 200 vectors."""
+    queries = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    found = dense.search(fx.vectors(spark, d), queries, 5, batch=128, tile=200)
+    return found.select("qid", "vector_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("artifact_staleness", with_chunks() + "SELECT chunk_id, CASE WHEN section_type = 'bibliography' THEN 'unknown chunk' WHEN chunk_index = 1 THEN 'no vector' ELSE 'text changed' END AS problem FROM chunks WHERE section_type = 'bibliography' OR chunk_index IN (1, 2)")
 def artifact_staleness(spark, d):
     chunks = fx.chunks(spark, d)

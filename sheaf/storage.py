@@ -65,6 +65,10 @@ class Files:
         """Seconds since it was changed."""
         return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
 
+    def stamp(self, name: str) -> str:
+        """What tells a table's files from others in their place: names, lengths and times."""
+        return ";".join(sorted(f"{f.getPath().getName()},{f.getLen()},{f.getModificationTime()}" for f in self.fs.listStatus(self._path(name))))
+
     def size(self, name: str) -> int:
         """Bytes of all files below it."""
         return self.fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0

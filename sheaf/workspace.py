@@ -99,6 +99,7 @@ def write_overview(spark: SparkSession, parent: str, name: str, payload: str, ti
     result = {"paper_title": row["d"]["paper_title"].strip(), **{f: {"content": checked[f]["content"], "source_chunk_ids": list(checked[f]["ids"]), "source_sections": list(checked[f]["sections"])} for f in overview.ROLES}}
     chosen = [{"chunk_id": r["chunk_id"], "section": r["section"], "category": r["category"], "overview_roles": (r["roles"] or "").split(","), "token_count": r["tokens"]} for r in context]
     files = Files(spark, f"{parent}/{check_id(name)}")
+    # The keys of the two files are a format
     made = (now or datetime.now(timezone.utc)).isoformat()
     files.write_json("context.json", {"created_at": made, "paper_title": title, "selected_chunks": chosen, "final_token_count": sum(r["tokens"] for r in context), "token_budget": settings.max_total_context_tokens})
     files.write_json("overview.json", result)

@@ -71,3 +71,25 @@ def test_pages_have_their_own_sections(spark, tmp_path):
     text = " ".join(c["raw_text"] for c in sorted(first, key=lambda c: c["chunk_index"]))
     assert "menu entry" not in text and "foot" not in text and "Loose text." in text and "A | B\n1 | 2" in text and text.count("word699") == 1
     assert all(c["raw_token_count"] <= 448 for c in got)
+
+
+def test_token_chunks_of_all_documents_equal_plain_python(spark, sf):
+    from sheaf import registry
+    from sheaf.plans import fixtures as fx
+
+    made = adaptors.FileTokenizer(BPE)
+    want = {}
+    for r in fx.papers(spark, sf).select("paper_id", fx.items_of(F.col("text")).alias("items")).collect():
+        # pieces of at most 448 tokens, put together while the joined text fits
+        out = []
+        for i in r["items"]:
+            for text, _ in chunking.token_windows(i["text"], made, 448):
+                joined = f"{out[-1][1]}\n{text}" if out else text
+                if out and out[-1][0] == i["section"] and len(made.offsets([joined])[0]) <= 448:
+                    out[-1] = (i["section"], joined)
+                else:
+                    out.append((i["section"], text))
+        for k, (section, text) in enumerate(out):
+            want[f"{r['paper_id']}_chunk_{k:04d}"] = (section, len(made.offsets([text])[0]))
+    got = {r["chunk_id"]: (r["section"], r["raw_token_count"]) for r in registry.QUERIES["chunk_tokens_bpe"](spark, sf).collect()}
+    assert got == want and max(n for _, n in got.values()) <= 448
