@@ -243,3 +243,35 @@ def test_fixture_chunks_are_whole(spark, sf):
     words = chunks.select(F.sum(F.size(F.split(F.trim(F.regexp_replace("raw_text", r"\s+", " ")), " ")))).first()[0]
     texts = fx.papers(spark, sf).select(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0]
     assert words == texts
+
+
+def test_digest_trees_name_what_differs(spark, monkeypatch):
+    monkeypatch.setattr(dense, "GROUP", 10)
+    rng = np.random.default_rng(4)
+    one = {f"k{i}": int(v) for i, v in enumerate(rng.integers(0, 50, 400))}
+    other = {k: v for k, v in one.items() if k not in ("k7", "k300")} | {"k5": 99, "k399": -1, "new": 3, "k0": None}
+    frames = [spark.createDataFrame(sorted(d.items()), "k string, v long") for d in (one, other)]
+    value = F.coalesce(F.col("v").cast("string"), F.lit("none"))
+    want = {**{k: "changed" for k in ("k5", "k399", "k0")}, **{k: "removed" for k in ("k7", "k300")}, "new": "added"}
+    for depth in (1, 2, 3):
+        trees = tuple(dense.digest_tree(f.repartition(n), "k", value, depth) for f, n in zip(frames, (3, 5), strict=True))
+        assert {r["k"]: r["change"] for r in dense.differences(*frames, "k", value, trees, depth).collect()} == want
+        # the roots are one row each, and only branches that differ are gone down
+        assert all(t.where("level = 0").count() == 1 for t in trees) and dense.tree_differences(*trees, depth).count() <= len(want)
+        assert trees[0].groupBy("level").count().where(f"level < {depth} and count > {10**depth}").count() == 0
+    assert dense.differences(frames[0], frames[0], "k", value).count() == 0
+    none = frames[0].limit(0)
+    assert dense.differences(none, none, "k", value).count() == 0 and dense.differences(none, frames[0], "k", value).where("change = 'added'").count() == 400
+
+
+def test_fingerprints_of_many_levels(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(dense, "GROUP", 4)
+    rows = [(i, f"text {i * i}") for i in range(150)]
+    digests = [hashlib.sha256(t.encode()).hexdigest() for _, t in rows]
+    while len(digests) > 1:
+        digests = [hashlib.sha256("".join(digests[i : i + 4]).encode()).hexdigest() for i in range(0, len(digests), 4)]
+    frame = spark.createDataFrame(rows, "i int, t string").repartition(6)
+    assert dense.fingerprint(frame, F.col("t"), "i").first()["fingerprint"] == digests[0]
+    assert dense.fingerprint(frame.limit(0), F.col("t"), "i").count() == 1

@@ -282,3 +282,21 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["inspect-items", pages, "--label", "TEXT", "--markdown", str(tmp_path / "md")]) == 0
     assert spark.read.json(str(tmp_path / "md")).count() == 1
     assert cli.main(["import-pages", pages, str(tmp_path / "other")]) == 0 and catalog.Catalog(spark, str(tmp_path / "other")).table("chunks").first()["section"] == "Head"
+
+
+def test_the_answer_prompt_has_earlier_turns_and_where_evidence_is_from(spark, store):
+    seen = {}
+
+    def drafter(asked):
+        seen.update({r["qid"]: r["query"] for r in asked.collect()})
+        return asked.withColumn("payload", F.lit('{"answer":"It is so. [E1]","citations":["E1"],"insufficient_evidence":false}'))
+
+    service = Service(store, drafter=drafter)
+    asked = spark.createDataFrame([(0, "What does this paper say about radar?", ["We spoke of rain models.", " "]), (1, "radar images", None)], "qid long, query string, turns array<string>")
+    got = {r["qid"]: json.loads(r["json"]) for r in service.answer(asked).collect()}
+    assert got[0]["answer_status"] == "success" and "- We spoke of rain models." in seen[0] and "(none)" not in seen[0] and "(none)" in seen[1]
+    first = got[1]["evidence"][0]
+    titles = {r["paper_id"]: r["paper_title"] for r in store.table("documents").collect()}
+    assert f"[E1] content | {titles[first['paper_id']]} | {first['section']} | p. " in seen[1] and ",".join(first["chunk_ids"]) in seen[1]
+    sources = [s for hit in got[1]["retrieved_chunks"] for s in hit["source_matches"]]
+    assert all(s["query"] for s in sources) and {s["query"] for s in sources if s["route"] == "bm25_original"} <= {"radar images"}
