@@ -64,12 +64,12 @@ def sections(items: DataFrame) -> DataFrame:
 
 
 def from_pages(pages: DataFrame, settings: Settings) -> Papers:
-    """Pages (page_id, url, html): cleaned items under their headings; the headings go into the paths.
+    """Pages (page_id, html, and url where there are some): cleaned items under their headings; the headings go into the paths.
 
     The title is the one that clean-up finds, else the page's own ``title``.  Pages without any
     text are left out; of equal pages the smallest page_id's URL counts.
     """
-    known = pages.where(F.length(F.trim("html")) > 0)
+    known = (pages if "url" in pages.columns else pages.withColumn("url", F.lit(None).cast("string"))).where(F.length(F.trim("html")) > 0)
     digest = F.sha2(F.col("html").cast("binary"), 256)
     once = known.groupBy(digest.alias("source_sha256")).agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
     first = written(once.join(known.select("page_id", digest.alias("source_sha256"), "html").dropDuplicates(["page_id", "source_sha256"]), ["page_id", "source_sha256"]))

@@ -97,7 +97,10 @@ class _Tree:
                 if cell is not None:
                     self.cells.setdefault(table, {}).setdefault(cell, []).append(r.text)
                     continue
-            tag = next((self.elements[a].tag for a in chain if self.elements[a].tag in LABELS), "")
+            tags = [self.elements[a].tag for a in chain]
+            # a paragraph in a heading that was not closed is none
+            plain = "p" in tags
+            tag = next((t for i, t in enumerate(tags) if t in LABELS and not (t in HEADINGS and plain and "p" in tags[:i])), "")
             label = furniture or LABELS.get(tag, "TEXT")
             level = int(tag[1]) if label == "SECTION_HEADER" else None
             if level:
