@@ -275,3 +275,40 @@ def test_fingerprints_of_many_levels(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "i int, t string").repartition(6)
     assert dense.fingerprint(frame, F.col("t"), "i").first()["fingerprint"] == digests[0]
     assert dense.fingerprint(frame.limit(0), F.col("t"), "i").count() == 1
+
+
+def test_fingerprint_of_two_levels_has_no_third(spark, monkeypatch):
+    """As the queries' SQL has it: the second level takes all that is left, also with more than GROUP of them."""
+    import hashlib
+
+    monkeypatch.setattr(dense, "GROUP", 4)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(i, f"text {i * i}") for i in range(150)]
+    lines = [digest(t) for _, t in rows]
+    want = digest("".join(digest("".join(lines[i : i + 4])) for i in range(0, len(lines), 4)))
+    frame = spark.createDataFrame(rows, "i int, t string").repartition(6)
+    assert dense.fingerprint(frame, F.col("t"), "i", levels=2).first()["fingerprint"] == want
+    assert dense.fingerprint(frame.limit(0), F.col("t"), "i", levels=2).first()["fingerprint"] == digest("")
+
+
+def test_index_and_search_do_not_shuffle_the_index(spark, tmp_path):
+    """Postings stay with their chunks, and phrases go to the chunks: no exchange below the join."""
+    from sheaf.operators import chunking
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan(lexical.postings(lexical.analysed(frame(spark))))
+    stored = lexical.index(frame(spark))
+    questions = spark.createDataFrame([(1, ["sparse flow"]), (2, ["flow"])], "qid int, texts array<string>")
+    anchored = lexical.written(lexical.anchors(stored, lexical.phrases(questions)))
+    met = plan(lexical.occurrences(stored, anchored, anchored.count()))
+    assert "BroadcastHashJoin" in met and "hashpartitioning" not in met
+
+
+def test_words_of_a_long_item(spark):
+    """Windows of a long item are those of plain Python, and its words are cut in one place of the plan."""
+    from sheaf.operators import chunking
+
+    words = [f"w{i}" for i in range(1000)]
+    item = spark.createDataFrame([([("S", " ".join(words), 1000, 1)],)], "items array<struct<section:string,text:string,tokens:int,page:int>>")
+    parts = item.select(chunking.split_oversize(F.col("items"), 96).alias("p")).first()["p"]
+    assert [p["text"] for p in parts] == [" ".join(words[i : i + 96]) for i in range(0, 1000, 96)]
