@@ -97,3 +97,8 @@ def test_ranges_hold(k):
             config.Retrieval(rrf_k=k)
 
 
+
+
+def test_keywords_of_letters_whose_capital_is_two(spark):
+    row = spark.createDataFrame([(["Er\u00dfie", "ERSSIE", "er\u00dfIE", "other", "OTHER"],)], "w array<string>")
+    assert row.select(X.first_seen_folded(F.col("w")).alias("w")).first()["w"] == ["Er\u00dfie", "other"]
