@@ -305,7 +305,7 @@ def test_index_and_search_do_not_shuffle_the_index(spark, tmp_path):
 
 
 def test_words_of_a_long_item(spark):
-    """Windows of a long item are those of plain Python, and its words are cut in one place of the plan."""
+    """Windows of a long item are those of plain Python; a check of results, which were the same before."""
     from sheaf.operators import chunking
 
     words = [f"w{i}" for i in range(1000)]
