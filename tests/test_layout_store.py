@@ -222,3 +222,28 @@ def test_broken_chunks_are_named(spark, sf):
     assert chunking.violations(chunks).count() == 0
     bad = chunks.withColumn("section_type", F.lit("x")).withColumn("front_matter_type", F.lit("abstract"))
     assert {r["rule"] for r in chunking.violations(bad).collect()} == {"section type", "front matter type"}
+
+
+def test_author_line_of_long_text_in_capitals(spark):
+    """The names are those of the plain pattern, and a text of very many of them does not overflow the stack."""
+    import random
+
+    plain, draw = r"\b[A-Z][A-Za-z'’.-]{1,}(?:\s+[A-Z][A-Za-z'’.-]{1,})+\b", random.Random(5)
+    parts = ["Jane", "DOE", "O'Neil", "A.", "B", "Né", "Jean-Né", "Jean-Aé", "x", "1", "Doe.", "D'", ",", "Foo_", "Mc-", "é"]
+    rows = [("".join(draw.choice(parts) + draw.choice(["", " ", "  ", "\n", ", "]) for _ in range(draw.randint(1, 14))),) for _ in range(20_000)]
+    texts = spark.createDataFrame(rows, "text string")
+    found = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    assert texts.where(found(plain) != found(layout.AUTHOR_NAME)).collect() == []
+    long = spark.createDataFrame([("Ada LOVELACE " * 50_000 + ", Alan Turing",)], "text string")
+    assert long.select(layout.author_line(F.col("text"))).first()[0]
+
+
+def test_single_capitals_of_a_page_stay_apart(spark):
+    """Only a layout's text layer draws letters apart; headings of HTML stand as they were written."""
+    title = "A A A A reeder  B"
+    pages = spark.createDataFrame([(1, f"<html><head><title>{title}</title></head><body><article><h1>{title}</h1><p>Text of it.</p></article></body></html>")], "page_id long, html string")
+    done = layout.clean(readers.html_items(pages), trace=True)
+    assert [r["text"] for r in done.items.orderBy("pos").collect()] == ["A A A A reeder B", "A A A A reeder B", "Text of it."]
+    assert done.diagnostics.where("name = 'headings'").count() == 0
+    placed = spark.createDataFrame([("p", 0, "SECTION_HEADER", "A R T I C L E  I N F O", 1)], "paper_id string, pos int, label string, text string, page int")
+    assert [r["text"] for r in layout.clean(placed).items.collect()] == ["ARTICLE INFO"]
