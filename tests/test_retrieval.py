@@ -312,3 +312,11 @@ def test_words_of_a_long_item(spark):
     item = spark.createDataFrame([([("S", " ".join(words), 1000, 1)],)], "items array<struct<section:string,text:string,tokens:int,page:int>>")
     parts = item.select(chunking.split_oversize(F.col("items"), 96).alias("p")).first()["p"]
     assert [p["text"] for p in parts] == [" ".join(words[i : i + 96]) for i in range(0, 1000, 96)]
+
+
+def test_terms_in_order_stay_in_the_row(spark, sf):
+    """No term is shuffled to put a chunk's terms in order."""
+    from sheaf.plans import retrieval
+
+    shown = retrieval.QUERIES["tokenize"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in shown and "Repartition" not in shown
