@@ -14,12 +14,12 @@
     runs in tiles of bounded size.  A first pass has signatures only and names the vertices
     with a partner that no batch prunes; full sets go to these alone, and of them a tile gives
     only links that join what was apart before.  A bucket with very many members outside its
-    largest component is cut first, by each other band of its members, for a similar pair
-    shares several bands.  Then components are closed again.
+    largest component is cut first, exactly: by each member's rarest shingles, so many of them
+    that two sets which share none of these can't be similar enough.  Then components are
+    closed again.
 
 With these bands (28 of 4 rows) a pair at similarity 0.8 shares no bucket with probability
-4e-7, at 0.9 with 1e-13, and fewer than two buckets with 8e-6; the Bayesian test loses less
-than ``miss`` more.
+4e-7, at 0.9 with 1e-13; the Bayesian test loses less than ``miss`` more.
 
 No join brings a hot key to one task: rows of keys with very many rows (at most MOST_HOT keys)
 meet a broadcast copy of the key's one light row, and full sets of pivots are dealt under salts.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import SALTS, HashCache, gram_hashes, hot_keys, materialize, mix, salted_join, shared_dir, small_batches, space_words, spread_join, text_of, trimmed
@@ -44,7 +44,7 @@ BANDS, ROWS = 28, 4
 BATCH, MISS = 16, 1e-6
 #: Members of a component that one tile compares with at most as many others.
 TILE = 128
-#: A bucket is cut by other bands when more of its members than this lie outside its largest component:
+#: A bucket is cut by its members' rarest shingles when more of its members than this lie outside its largest component:
 #: tiles would then hold more copies of a member than there are bands.
 WIDE = BANDS // 2 * TILE
 #: Rows and bytes of an Arrow batch, about; rows with full sets are large.
@@ -244,6 +244,31 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return whole.where("roots > 1").select("key", F.col("most.root").alias("major"), "n", (F.col("n") - F.col("most.n")).alias("outs"))
 
 
+def rarest(members: DataFrame, percent: int, folder: str) -> DataFrame:
+    """key, id, root: buckets of the members (id, root, items) that share one of their rarest shingles.
+
+    Of n shingles, in one order for all, the rarest first, all but the ceil(percent * n / 100) - 1
+    most frequent are taken.  Two sets with percent * union <= 100 * intersection share a shingle
+    among those taken of both, so no similar pair is lost.  Shingles of one member only come
+    first and make no bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column("items")[i].as_py(), np.int64)
+                one = lambda value, n=len(found): pa.array(np.full(n, value), pa.int64())
+                yield pa.RecordBatch.from_arrays([one(batch.column(c)[i].as_py()) for c in ("id", "root", "part")] + [one(len(found)), pa.array(found)], names=["id", "root", "part", "size", "shingle"])
+
+    # a repeated id may have several sets
+    each = materialize(members.withColumn("part", F.xxhash64("items")).mapInArrow(trimmed(run), "id long, root long, part long, size long, shingle long"), f"{folder}/wide-shingles")
+    counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/wide-counts")
+    met = spread_join(each, counts, "shingle", hot_keys(counts, "shingle", each.count()))
+    own = Window.partitionBy("id", "part")
+    placed = met.withColumn("place", F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own))
+    return placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select(F.xxhash64("shingle").alias("key"), "id", "root").distinct()
+
+
 def across(shared: DataFrame, roots: DataFrame, active: DataFrame, hashes: int, rows: int, percent: int, miss: float, folder: str, tile: int = TILE, wide: int = WIDE) -> DataFrame:
     """Links between components that have members in one bucket.
 
@@ -258,10 +283,8 @@ def across(shared: DataFrame, roots: DataFrame, active: DataFrame, hashes: int,
     total = placed.count()
     cut = mixed.where(F.col("outs") > wide)
     if cut.limit(1).count():
-        # a pair in a wide bucket shares another band, too
-        members = spread_join(placed, cut.select("key"), "key", hot_keys(cut, "key", total))
-        each = members.join(active.select("id", F.explode(band_keys(hashes // rows, rows)).alias("other")), "id").where("key != other")
-        finer = each.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "root").distinct()
+        members = spread_join(placed, cut.select("key"), "key", hot_keys(cut, "key", total)).select("id", "root").distinct()
+        finer = rarest(members.join(active.select("id", "items"), "id"), percent, folder)
         kept = spread_join(placed, mixed.where(F.col("outs") <= wide).select("key"), "key", hot_keys(mixed, "key", total))
         placed = materialize(kept.select("key", "id", "root").unionByName(finer), f"{folder}/finer")
         mixed = materialize(_mixed(placed), f"{folder}/mixed-finer")

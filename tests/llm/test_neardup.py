@@ -184,3 +184,36 @@ def test_a_component_with_others_in_many_buckets_meets_them_bucket_by_bucket(spa
         # by bucket a member meets the others of its own, not those of all buckets
         most = spark.read.parquet(f"{folder}/inner").groupBy("major").count().agg({"count": "max"}).first()[0]
         assert most == (2 if wide == 100 else 2 * n)
+
+
+def test_a_pair_that_shares_a_wide_bucket_alone_is_found(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    n, hashes = 60, neardup.BANDS * neardup.ROWS
+    signs = rng.integers(0, 1 << 16, (n, hashes), np.uint16)
+    signs[:, : neardup.ROWS] = 7
+    # two of them agree in three rows of every band and in one whole band
+    signs[1] = np.where(np.arange(hashes) % neardup.ROWS < neardup.ROWS - 1, signs[0], signs[1])
+    signs[1, : neardup.ROWS] = 7
+    common = np.arange(1, 9, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, rng.integers(1 << 20, 1 << 62, 32).astype(np.uint64)])) for _ in range(n)]
+    sets[1] = np.sort(np.concatenate([sets[0][:-2], rng.integers(1 << 20, 1 << 62, 2).astype(np.uint64)]))
+    active, shared = signed(spark, list(zip(range(n), signs, sets, strict=True)))
+    assert shared.select("key").distinct().count() == 1
+    roots = spark.createDataFrame([], "id long, root long")
+    found = neardup.across(shared, roots, active, hashes, neardup.ROWS, 80, 1e-6, str(tmp_path / "alone"), wide=5)
+    assert [frozenset(r) for r in found.collect()] == [frozenset((0, 1))]
+    # common shingles are among the most frequent, so they make no bucket
+    assert spark.read.parquet(str(tmp_path / "alone/finer")).select("id").distinct().count() == 2
+
+
+def test_rarest_shingles_lose_no_pair(spark, tmp_path):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(1, 40), rng.randrange(1, 30))) for _ in range(40)]
+    sets += [sorted({*s[1:], rng.randrange(1, 40)}) for s in sets]
+    members = spark.createDataFrame([(i, i, np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets)], "id long, root long, items binary")
+    by = {}
+    for r in neardup.rarest(members, 80, str(tmp_path / "r")).collect():
+        by.setdefault(r["key"], set()).add(r["id"])
+    met = {(a, b) for ids in by.values() for a in ids for b in ids if a < b}
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert near and near <= met
