@@ -44,6 +44,8 @@ BASE_POINTS = {
 SIGNAL_POINTS = {"research_problem": 5, "contributions": 6, "main_method": 5, "datasets": 8, "experimental_setup": 7, "main_results": 9, "limitations": 9}
 PRIORITIES = {"research_problem": 2, "contributions": 2, "main_method": 3, "datasets": 2, "experimental_setup": 2, "main_results": 3, "limitations": 2}
 ROLES = tuple(SIGNALS)
+#: The letters of signals that are not in ASCII.
+WIDE = "[\u4e00-\u9fff]"
 #: The two roles whose signals count in the text alone.
 TEXT_ONLY = ("research_problem", "contributions")
 # What stands in the results for cut texts, sections without a name and missing fields.
@@ -54,12 +56,15 @@ MISSING = "论文未明确说明"
 
 def category(section: Column, front_matter_type: Column) -> Column:
     """Category by section name; abstract first, then the groups in order."""
-    name = F.lower(X.squeeze(F.coalesce(section, F.lit(""))))
-    has = lambda words: F.lit(False) if not words else _any(name, words)
-    out = F.when((F.lower(F.coalesce(front_matter_type, F.lit(""))) == "abstract") | has(("abstract", "摘要")), "abstract")
-    for kind, words in CATEGORY_TOKENS:
-        out = out.when(has(words), kind)
-    return out
+
+    def of(name: Column) -> Column:
+        out = F.when((F.lower(F.coalesce(front_matter_type, F.lit(""))) == "abstract") | _any(name, ("abstract", "摘要")), "abstract")
+        for kind, words in CATEGORY_TOKENS:
+            out = out.when(_any(name, words), kind)
+        return out
+
+    # an array of one, so that the name is made once and not for every word
+    return F.get(F.transform(F.array(F.lower(X.squeeze(F.coalesce(section, F.lit(""))))), of), F.lit(0))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -92,39 +97,54 @@ def positions(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("section_position", at / F.greatest(F.count("*").over(by) - 1, F.lit(1)))
 
 
-def _by_role(values: dict) -> Column:
-    """The value of the row's role."""
-    return F.element_at(F.create_map(*(x for r, v in values.items() for x in (F.lit(r), v))), F.col("role"))
+def role_points(role: str) -> Column:
+    """The score of a role, for rows with what their text says (``said``)."""
+    base = F.lit(0.0)
+    for kind, n in reversed(BASE_POINTS[role].items()):
+        base = F.when(F.col("category") == kind, F.lit(float(n))).otherwise(base)
+    points = base + F.lit(float(SIGNAL_POINTS[role])) * F.get("signals", F.lit(ROLES.index(role)))
+    intro = F.coalesce(F.col("category") == "introduction", F.lit(False))
+    place = {"research_problem": 2 * (1 - F.col("section_position")), "contributions": 3 * F.col("section_position")}
+    if role in place:
+        points = points + F.when(intro, place[role]).otherwise(0.0)
+    return points + F.col("numbers") if role == "main_results" else points
 
 
-def role_points() -> Column:
-    """The score of a row's role, for rows with text and section in lower case (``__text``, ``__where``)."""
-    base = {f"{r}:{kind}": float(n) for r in ROLES for kind, n in BASE_POINTS[r].items()}
-    points = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), F.concat_ws(":", "role", "category")), F.lit(0.0))
-    signals = _by_role({r: F.array(*(F.lit(s) for s in SIGNALS[r])) for r in ROLES})
-    where = F.when(F.col("role").isin(*TEXT_ONLY), F.col("__text")).otherwise(F.col("__where"))
-    points = points + _by_role({r: F.lit(float(SIGNAL_POINTS[r])) for r in ROLES}) * F.size(F.filter(signals, lambda s: F.contains(where, s)))
-    intro = F.coalesce(F.col("category") == "introduction", F.lit(False))
-    place = F.when(intro & (F.col("role") == "research_problem"), 2 * (1 - F.col("section_position"))).when(intro & (F.col("role") == "contributions"), 3 * F.col("section_position"))
-    numbers = F.when(F.col("role") == "main_results", F.least(X.numeric_density(F.col("__text")) * 8, F.lit(6.0)))
-    return points + F.coalesce(place, F.lit(0.0)) + F.coalesce(numbers, F.lit(0.0))
+def said(chunks: DataFrame) -> DataFrame:
+    """Adds what is taken from a chunk's text: signals (how many of each role), numbers (points for their density), text_tokens.
+
+    None of it depends on other chunks, so a paper's chunks can be put together without their texts.
+    """
+    low = chunks.withColumn("__text", F.lower(X.squeeze("raw_text")))
+    low = low.withColumn("__where", F.concat_ws(" ", F.lower(F.coalesce(F.trim("section"), F.lit(""))), "__text"))
+    low = low.withColumn("__wide", F.col("__where").rlike(WIDE))
+
+    def found(role: str, ascii_only: bool) -> Column:
+        words = F.array(*(F.lit(s) for s in SIGNALS[role] if s.isascii() == ascii_only))
+        return F.size(F.filter(words, lambda s: F.contains(F.col("__text" if role in TEXT_ONLY else "__where"), s)))
+
+    # most texts have none of the wide letters, and are not searched for words of these
+    counted = lambda r: found(r, True) + F.when(F.col("__wide"), found(r, False)).otherwise(0)
+    numbers = F.coalesce(F.least(X.numeric_density(F.col("__text")) * 8, F.lit(6.0)), F.lit(0.0))
+    return low.withColumns({"signals": F.array(*(counted(r) for r in ROLES)), "numbers": numbers, "text_tokens": text_tokens()}).drop("__text", "__where", "__wide")
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
-    """Content chunks with text, categorized and placed."""
-    return positions(categorize(chunks.where("section_type = 'content'").where(F.length(F.trim("raw_text")) > 0)))
+    """Content chunks with text, categorized and placed, with what their texts say."""
+    return positions(categorize(said(chunks.where("section_type = 'content'").where(F.length(F.trim("raw_text")) > 0))))
 
 
 def role_scores(placed: DataFrame) -> DataFrame:
     """paper_id, chunk_id, chunk_index, section, role, score: positive scores only.
 
-    Texts are lower-cased once; then a chunk has a row per role, and one formula, with its
-    signals and points looked up by role, scores them all.
+    A chunk's scores are made once, in its row; only those that count become rows.
     """
-    text = F.lower(X.squeeze("raw_text"))
-    low = placed.withColumn("__text", text).withColumn("__where", F.concat_ws(" ", F.lower(F.coalesce(F.trim("section"), F.lit(""))), "__text"))
-    rows = low.withColumn("role", F.explode(F.array(*(F.lit(r) for r in ROLES)))).withColumn("score", role_points())
-    return rows.select("paper_id", "chunk_id", "chunk_index", "section", "category", "raw_text", "raw_token_count", "role", "score").where("score > 0")
+    known = placed if "signals" in placed.columns else said(placed)
+    scored = F.array(*(F.struct(F.lit(r).alias("role"), role_points(r).alias("score")) for r in ROLES))
+    carried = ("paper_id", "chunk_id", "chunk_index", "section", "category", "raw_text", "raw_token_count", "text_tokens")
+    # an inner explode would filter by the size of its array, and make the scores again
+    rows = known.select(*carried, F.explode_outer(F.filter(scored, lambda x: x["score"] > 0)).alias("__r")).where("__r is not null")
+    return rows.select(*carried, "__r.role", "__r.score")
 
 
 def role_top(scored: DataFrame, settings: Overview = Overview()) -> DataFrame:
@@ -138,8 +158,13 @@ def role_top(scored: DataFrame, settings: Overview = Overview()) -> DataFrame:
     return marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.element_at(limits, F.col("role"))).drop("again")
 
 
-def context_tokens(settings: Overview) -> Column:
-    original = F.coalesce(F.when(F.col("raw_token_count") > 0, F.col("raw_token_count")), F.greatest(F.lit(1), F.floor((F.length(X.squeeze("raw_text")) + 3) / 4)))
+def text_tokens() -> Column:
+    """A chunk's tokens, guessed by its length where they are not known."""
+    return F.coalesce(F.when(F.col("raw_token_count") > 0, F.col("raw_token_count")), F.greatest(F.lit(1), F.floor((F.length(X.squeeze("raw_text")) + 3) / 4)))
+
+
+def context_tokens(rows: DataFrame, settings: Overview) -> Column:
+    original = F.col("text_tokens") if "text_tokens" in rows.columns else text_tokens()
     return F.least(original, F.lit(settings.max_tokens_per_chunk)).cast("long")
 
 
@@ -157,7 +182,7 @@ def select(chosen: DataFrame, settings: Overview = Overview()) -> DataFrame:
     (``ord``), each with its roles.
     """
     priority = F.create_map(*(x for r, p in PRIORITIES.items() for x in (F.lit(r), F.lit(p))))
-    merged = chosen.withColumn("tokens", context_tokens(settings)).groupBy("paper_id", "chunk_id", "chunk_index", "category", "tokens").agg(
+    merged = chosen.withColumn("tokens", context_tokens(chosen, settings)).groupBy("paper_id", "chunk_id", "chunk_index", "category", "tokens").agg(
         F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.max(F.element_at(priority, F.col("role"))).alias("priority"), F.max("score").alias("best")
     )
     item = F.struct((-F.col("priority")).alias("p"), (-F.col("best")).alias("s"), "chunk_index", "chunk_id", "tokens", F.coalesce("category", F.lit("fallback")).alias("category"), "roles")
@@ -180,8 +205,10 @@ def fallback(placed: DataFrame, selected: DataFrame, settings: Overview = Overvi
     from sheaf.operators import context
 
     order = Window.partitionBy("paper_id").orderBy("chunk_index", "chunk_id")
-    first = placed.join(selected.select("paper_id").distinct(), "paper_id", "left_anti").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= settings.max_fallback_chunks)
-    sized = first.select(F.col("paper_id").alias("qid"), "chunk_id", "ord", context_tokens(settings).alias("tokens"))
+    # the tokens are taken first, so that no text moves
+    light = placed.select("paper_id", "chunk_id", "chunk_index", context_tokens(placed, settings).alias("tokens"))
+    first = light.join(selected.select("paper_id").distinct(), "paper_id", "left_anti").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= settings.max_fallback_chunks)
+    sized = first.select(F.col("paper_id").alias("qid"), "chunk_id", "ord", "tokens")
     kept = sized.groupBy("qid").agg(context.greedy(F.array_sort(F.collect_list(F.struct("ord", "tokens"))), settings.max_total_context_tokens).alias("kept"))
     return sized.join(kept.select("qid", F.explode("kept").alias("ord")), ["qid", "ord"]).select(F.col("qid").alias("paper_id"), "chunk_id", F.lit("fallback").alias("category"), F.lit("fallback").alias("roles"), "tokens", "ord")
 
@@ -209,9 +236,13 @@ def parse_draft(payload: Column) -> Column:
     for r in ROLES:
         strict = strict & J.has_exactly(inner(r), ("content", "source_chunk_ids")) & J.has_types(inner(r), {"content": ("STRING",), "source_chunk_ids": ("ARRAY<STRING>", "ARRAY<VOID>")})
     kinds = "paper_title string, " + ", ".join(f"{r} struct<content:string,source_chunk_ids:array<string>>" for r in ROLES)
-    draft = F.from_json(payload, kinds)
-    fields = F.array(*(F.struct(F.lit(r).alias("field"), draft[r]["content"].alias("content"), draft[r]["source_chunk_ids"].alias("source_chunk_ids")) for r in ROLES))
-    return F.when(strict & draft["paper_title"].isNotNull(), F.struct(draft["paper_title"].alias("paper_title"), fields.alias("fields")))
+
+    def known(draft: Column) -> Column:
+        fields = F.array(*(F.struct(F.lit(r).alias("field"), draft[r]["content"].alias("content"), draft[r]["source_chunk_ids"].alias("source_chunk_ids")) for r in ROLES))
+        return F.when(draft["paper_title"].isNotNull(), F.struct(draft["paper_title"].alias("paper_title"), fields.alias("fields")))
+
+    # an array of one, so that the draft is read once and not for every field
+    return F.when(strict, F.get(F.transform(F.array(F.from_json(payload, kinds)), known), F.lit(0)))
 
 
 def unknown_sources(cited: Column, known: Column) -> Column:

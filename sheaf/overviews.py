@@ -17,6 +17,7 @@ from sheaf.adaptors import ChatClient
 from sheaf.config import Overview
 from sheaf.functions import text as X
 from sheaf.operators import overview
+from sheaf.storage import written
 from sheaf.workspace import overview_context
 
 NO_OVERVIEW = "no overview"
@@ -66,7 +67,8 @@ def checked(drafts: DataFrame, context: DataFrame, titles: DataFrame) -> DataFra
     refused as a whole; ``problem`` names the first reason by field.
     """
     parsed = drafts.join(titles.select("paper_id", F.col("paper_title").alias("__title")), "paper_id", "left").select("paper_id", overview.parse_draft(F.col("payload")).alias("d"), "__title")
-    judged = parsed.select("paper_id", "d", F.when(F.col("d").isNull(), NO_OVERVIEW).otherwise(overview.title_problem(F.col("d.paper_title"), F.col("__title"))).alias("problem"))
+    # stored, so that a draft is parsed once and not again for each way that its rows go
+    judged = written(parsed.select("paper_id", "d", F.when(F.col("d").isNull(), NO_OVERVIEW).otherwise(overview.title_problem(F.col("d.paper_title"), F.col("__title"))).alias("problem")))
     fine = judged.where("problem is null")
     rows = fine.select("paper_id", F.explode("d.fields").alias("f")).select("paper_id", F.col("f.field").alias("field"), F.coalesce("f.content", F.lit("")).alias("content"), F.coalesce("f.source_chunk_ids", F.expr("cast(array() as array<string>)")).alias("source_chunk_ids"))
     tested = overview.validate(rows, context.select("paper_id", "chunk_id", "section"))
@@ -98,7 +100,8 @@ def overviews(chunks: DataFrame, titles: DataFrame, settings: Overview, draft: C
 
     ``draft`` makes paper_id, payload of the passages and the titles (paper_id, paper_title).
     """
-    context = overview_context(chunks, settings)
+    # drafts are made of the passages and checked against them
+    context = written(overview_context(chunks, settings))
     return checked(draft(context, titles), context, titles), context
 
 

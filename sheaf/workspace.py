@@ -13,6 +13,7 @@ from sheaf.adaptors import Embedder, embed
 from sheaf.catalog import CatalogError, Files
 from sheaf.config import Overview
 from sheaf.operators import chunking, dense, overview
+from sheaf.storage import written
 
 PREFIX = "workspace_"
 
@@ -109,7 +110,8 @@ def write_overview(spark: SparkSession, parent: str, name: str, payload: str, ti
 def overview_context(chunks: DataFrame, settings: Overview = Overview()) -> DataFrame:
     """Selected chunks with their cut texts in reading order; the first chunks where no role finds any."""
     placed = overview.candidates(chunks)
-    selected = overview.select(overview.role_top(overview.role_scores(placed), settings), settings)
+    # stored, for the papers without a selected chunk are told by it too
+    selected = written(overview.select(overview.role_top(overview.role_scores(placed), settings), settings))
     every = selected.unionByName(overview.fallback(placed, selected, settings)) if settings.max_fallback_chunks else selected
     texts = placed.select("chunk_id", F.coalesce(F.trim("section"), F.lit(overview.NO_SECTION)).alias("section"), overview.context_text(settings).alias("text"))
     return every.join(texts, "chunk_id")

@@ -108,3 +108,41 @@ def test_drafts_are_checked_strictly(spark, change, problem):
     if (change.get("datasets") or {}).get("source_chunk_ids") == ["c1", " c1", "c2"]:
         field = next(f for f in got["p"]["fields"] if f["field"] == "datasets")
         assert field["source_chunk_ids"] == ["c1", "c2"] and field["source_sections"] == ["S1", "S2"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_move_no_texts_and_are_made_once(spark, sf):
+    chunks = fx.chunks(spark, sf)
+    placed = overview.candidates(chunks)
+    chosen = overview.role_top(overview.role_scores(placed), Overview())
+    shown = _plan(overview.select(chosen, Overview()))
+    below = shown[shown.rindex("Window [min(") :].splitlines()[1]
+    assert "signals" in below and "raw_text" not in below
+    # the seven roles' words stand once in the plan
+    assert shown.count("better than") == 1
+    selected = spark.createDataFrame([], "paper_id string")
+    joined = _plan(overview.fallback(placed, selected, Overview()))
+    assert "raw_text" not in joined[: joined.index("LeftAnti")]
+
+
+def test_drafts_are_parsed_once(spark):
+    context = spark.createDataFrame([("p", "c1", "S1")], "paper_id string, chunk_id string, section string")
+    titles = spark.createDataFrame([("p", "T")], "paper_id string, paper_title string")
+    drafts = spark.createDataFrame([("p", "{}")], "paper_id string, payload string")
+    assert "from_json" not in _plan(overviews.checked(drafts, context, titles))
+    parsed = _plan(drafts.select(overview.parse_draft(F.col("payload")).alias("d")))
+    assert parsed.count("from_json") + parsed.count("JsonToStructs") <= 1
+
+
+def test_signals_of_wide_letters_are_counted(spark):
+    import re
+
+    assert all(s.isascii() or re.fullmatch(f"{overview.WIDE}+", s) for words in overview.SIGNALS.values() for s in words)
+    rows = [("a", "p", 0, "1. Introduction", "However 问题 und 挑战", 4, "content", None), ("b", "p", 1, "数据集", "Größe", 1, "content", None), ("c", "p", 2, "Dataset", "none", 1, "content", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, paper_id string, chunk_index long, section string, raw_text string, raw_token_count long, section_type string, front_matter_type string")
+    signals = {r["chunk_id"]: dict(zip(overview.ROLES, r["signals"])) for r in overview.said(chunks).collect()}
+    assert signals["a"]["research_problem"] == 3 and signals["b"]["datasets"] == 2 and signals["c"]["datasets"] == 1
+    assert signals["b"]["research_problem"] == 0
