@@ -72,3 +72,10 @@ def test_violations_count_ids_and_neighbours_in_one_grouping(spark):
     found = chunking.violations(doubled)
     assert {r["rule"]: r["n"] for r in found.collect()} == {"chunk id": 1, "indexes": 2, "neighbour": 2}
     assert "LeftAnti" not in plan(found)
+
+
+def test_postings_read_no_whole_array_for_each_term(spark):
+    rows = spark.createDataFrame([("content", "p", "c", 4, [["b", "a", "b"], [], ["a"]])], "section_type string, paper_id string, id string, len int, columns array<array<string>>")
+    made = lexical.postings(rows)
+    assert "slice(" not in plan(made)
+    assert [(r["term"], r["col"], r["positions"]) for r in made.collect()] == [("a", 0, [1]), ("a", 2, [0]), ("b", 0, [0, 2])]
