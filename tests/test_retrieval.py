@@ -320,3 +320,15 @@ def test_terms_in_order_stay_in_the_row(spark, sf):
 
     shown = retrieval.QUERIES["tokenize"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in shown and "Repartition" not in shown
+
+
+def test_equal_sums_are_ranked_by_id(spark):
+    # the same terms in another order: the second sum is larger by its last bit
+    rows = [(1, r, c, k, w) for c, x, y in (("a", 1, 5), ("b", 5, 1)) for r, k, w in (("dense_original", 1, 0.8), ("dense_rewrite", x, 1.2), ("bm25_rewrite", y, 1.2))]
+    hits = spark.createDataFrame(rows, "qid int, route string, chunk_id string, rank int, weight double").withColumn("raw_score", F.lit(1.0))
+    fused = fusion.fuse(hits, 60)
+    scores = {r["chunk_id"]: r["fused_score"] for r in fused.collect()}
+    assert scores["a"] < scores["b"]
+    assert [r["chunk_id"] for r in fused.orderBy("pre_rank").collect()] == ["a", "b"]
+    scored = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "qid int, chunk_id string, rerank_score double")
+    assert [r["chunk_id"] for r in fusion.rerank(fused, scored, 10).orderBy("rank").collect()] == ["a", "b"]
