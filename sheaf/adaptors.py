@@ -59,27 +59,61 @@ class WordTokenizer:
         return [[m.span() for m in re.finditer(r"\S+", text)] for text in texts]
 
 
+#: Words whose numbers of tokens are kept by a worker, and the longest of them.
+WORDS, WORD_CHARS = 500_000, 64
+#: White space at which a text is not cut into words: other than spaces and line feeds, several in a row, or at an end.
+UNCUT = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]\Z")
+
+
 class FileTokenizer:
-    """A tokenizer from a JSON file, which the driver reads once; the workers get its content."""
+    """A tokenizer from a JSON file, which the driver reads once; the workers get its content.
+
+    The pattern of byte-level tokenizers never joins what stands before a single space, or on the
+    two sides of a single line feed, with what stands there otherwise; so a text has as many tokens
+    as its words have, and a word that was counted before is looked up.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             self.content = source.read()
-        self.made = None
+        self.made, self.known = None, {}
 
     def __getstate__(self) -> dict:
-        return {"content": self.content, "made": None}
+        return {"content": self.content, "made": None, "known": {}}
+
+    def _load(self) -> None:
+        from tokenizers import Tokenizer as Library
+
+        self.made = Library.from_str(self.content)
+        self.made.no_truncation()
+        # strings of special tokens are text like any other
+        self.made.encode_special_tokens = True
+        told = json.loads(self.content)
+        pre = told.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and told["model"].get("type") == "BPE"
+        self.by_words = plain and not told.get("normalizer") and not told.get("padding") and all(t["special"] for t in told.get("added_tokens") or ())
+        self.feed = len(self.made.encode("\n", add_special_tokens=False).ids)
 
     def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if self.made is None:
-            from tokenizers import Tokenizer as Library
-
-            self.made = Library.from_str(self.content)
-            self.made.no_truncation()
-            # strings of special tokens are text like any other
-            self.made.encode_special_tokens = True
+            self._load()
         return [e.offsets for e in self.made.encode_batch(texts, add_special_tokens=False)]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many tokens each text has."""
+        if self.made is None:
+            self._load()
+        if len(self.known) > WORDS:
+            self.known = {}
+        known = self.known
+        cut = [re.findall(r" ?[^ \n]+", t) if self.by_words and not UNCUT.search(t) else [t] for t in texts]
+        new = list({w for words in cut for w in words if w not in known})
+        fresh = {w: len(e.ids) for w, e in zip(new, self.made.encode_batch(new, add_special_tokens=False) if new else (), strict=True)}
+        known.update((w, n) for w, n in fresh.items() if len(w) <= WORD_CHARS)
+        # a text that was not cut has its line feeds counted
+        feeds = [self.feed * t.count("\n") if words != [t] else 0 for t, words in zip(texts, cut, strict=True)]
+        return [more + sum(known[w] if w in known else fresh[w] for w in words) for more, words in zip(feeds, cut, strict=True)]
+
 
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a settings path; without one words are counted."""

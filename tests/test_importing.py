@@ -93,3 +93,16 @@ def test_token_chunks_of_all_documents_equal_plain_python(spark, sf):
             want[f"{r['paper_id']}_chunk_{k:04d}"] = (section, len(made.offsets([text])[0]))
     got = {r["chunk_id"]: (r["section"], r["raw_token_count"]) for r in registry.QUERIES["chunk_tokens_bpe"](spark, sf).collect()}
     assert got == want and max(n for _, n in got.values()) <= 448
+
+
+def test_words_are_counted_once_and_as_in_their_text():
+    made, seen = adaptors.FileTokenizer(BPE), []
+    texts = [*AWKWARD, "it's 'quoted', isn't it?\nA2b 3rd 12 100,000.5 end.", "a\tb c", " lead", "trail\n", "a \nb", "x\n y", "naïve ñ ciónque s", "a\x1cb c", "\n", "tail <|endoftext|>\nmore<|endoftext|>", "... ' s 've\n'll -- _a_", "a​b ᠎c \u0085d"]
+    assert made.counts(texts) == [len(o) for o in made.offsets(texts)]
+    assert made.by_words and made.counts(texts) == [made.counts([t])[0] for t in texts]
+    plain = "some plain words that are all known\nby now"
+    made.counts([plain])
+    library, made.made = made.made, type("Spy", (), {"encode_batch": lambda self, new, **more: seen.append(new) or library.encode_batch(new, **more)})()
+    assert made.counts([plain, "plain words that some"]) == [len(library.encode(t).ids) for t in (plain, "plain words that some")]
+    # a word that begins the text and one after a space are two
+    assert [sorted(new) for new in seen] == [[" some", "plain"]]
