@@ -99,6 +99,12 @@ class FileTokenizer:
             self._load()
         return [e.offsets for e in self.made.encode_batch(texts, add_special_tokens=False)]
 
+    def even(self, text: str) -> bool:
+        """Whether a text is cut into words; two such with a line feed between have their tokens and ``feed`` more."""
+        if self.made is None:
+            self._load()
+        return self.by_words and text != "" and not UNCUT.search(text)
+
     def counts(self, texts: list[str]) -> list[int]:
         """How many tokens each text has."""
         if self.made is None:

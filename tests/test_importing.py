@@ -106,3 +106,14 @@ def test_words_are_counted_once_and_as_in_their_text():
     assert made.counts([plain, "plain words that some"]) == [len(library.encode(t).ids) for t in (plain, "plain words that some")]
     # a word that begins the text and one after a space are two
     assert [sorted(new) for new in seen] == [[" some", "plain"]]
+
+
+def test_joined_texts_are_not_counted_again():
+    made = adaptors.FileTokenizer(BPE)
+    items = [item("A", text) for text in ("one two,", "it's three", " lead", "four", "five  six", "seven", "x", "日本語")]
+    got = chunking.pack_tokens(items, made, 100)
+    assert [(c["text"], c["tokens"]) for c in got] == [("\n".join(i["text"] for i in items), len(made.offsets([got[0]["text"]])[0]))]
+    seen, real = [], made.counts
+    made.counts = lambda texts: seen.extend(texts) or real(texts)
+    chunking.pack_tokens([item("A", "one two,"), item("A", "it's three"), item("A", "four")], made, 100)
+    assert seen == ["one two,", "it's three", "four"]
